@@ -1,0 +1,242 @@
+"""Neighbours, features, clusterings, scores."""
+
+from pyspark.sql import functions as F
+
+from checks.registry import Tables, check
+from checks.shared import clinical, vectors
+from cohortry.operators import clustering as K
+from cohortry.operators import evaluation as V
+from cohortry.operators import features as Q
+from cohortry.operators.neighbors import knn_graph, range_neighbors
+from cohortry.plans.clustering_run import CATEGORICAL, ClusteringSpec, run_clustering
+from cohortry.plans.reports import BINARY, DRUG_FLAGS, NUMERIC
+
+_DIST = "list_distance(a.e, b.e)"
+
+
+@check(
+    "j17_knn_exact",
+    f"""SELECT src, dst, ROUND(dist, 4) AS dist, CAST(rn AS INT) AS rank FROM (
+          SELECT a.vec_id AS src, b.vec_id AS dst, {_DIST} AS dist,
+            row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS rn
+          FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id) t WHERE rn <= 10""",
+)
+def _(t: Tables):
+    return knn_graph(vectors(t), "vec_id", "vec", 10).withColumn("dist", F.round("dist", 4))
+
+
+@check(
+    "j18_cluster_distances",
+    f"""SELECT a.vec_id, b.label AS cluster, ROUND(AVG({_DIST}), 4) AS mean_distance
+        FROM vecs a CROSS JOIN (SELECT label, list(e) AS all_e, COUNT(*) AS n FROM vecs GROUP BY 1) g
+        JOIN vecs b ON b.label = g.label GROUP BY 1, 2""",
+)
+def _(t: Tables):
+    found = V.cluster_distances(vectors(t), "vec", "label", "vec_id")
+    return found.withColumn("mean_distance", F.round("mean_distance", 4))
+
+
+_EPS = 1.2
+
+
+@check(
+    "j19_range_join",
+    f"""WITH u AS (SELECT MIN(vec_id) AS id, COUNT(*) AS n, e FROM vecs GROUP BY e)
+        SELECT a.id AS src, b.id AS dst, ROUND({_DIST}, 4) AS dist, a.n AS src_rows, b.n AS dst_rows
+        FROM u a JOIN u b ON a.id <> b.id WHERE {_DIST} <= {_EPS}""",
+)
+def _(t: Tables):
+    return range_neighbors(vectors(t), "vec_id", "vec", _EPS).withColumn("dist", F.round("dist", 4))
+
+
+# --- features ---------------------------------------------------------------
+
+
+@check(
+    "m1_impute",
+    """WITH mode_site AS (SELECT CAST(care_site_id AS VARCHAR) AS m FROM person WHERE care_site_id IS NOT NULL
+         GROUP BY care_site_id ORDER BY COUNT(*) DESC, CAST(care_site_id AS VARCHAR) LIMIT 1),
+       med AS (SELECT quantile_cont(provider_id, 0.5) AS m FROM person)
+       SELECT person_id, COALESCE(CAST(care_site_id AS VARCHAR), (SELECT m FROM mode_site)) AS site,
+         COALESCE(provider_id::DOUBLE, (SELECT m FROM med)) AS provider_id,
+         COALESCE(CASE WHEN race_concept_id = 9000 THEN 1 END, 0) AS flag FROM person""",
+)
+def _(t: Tables):
+    rows = t.person.select(
+        "person_id",
+        F.col("care_site_id").cast("string").alias("site"),
+        "provider_id",
+        F.when(F.col("race_concept_id") == 9000, 1).alias("flag"),
+    )
+    return Q.impute(rows, ["site"], ["provider_id"], ["flag"])
+
+
+@check(
+    "m2_label_encode",
+    """SELECT c_custkey, c_mktsegment, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INT) AS c_mktsegment_encoded FROM customer""",
+)
+def _(t: Tables):
+    return Q.label_encode(t.customer.select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
+
+
+@check(
+    "m3_one_hot",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS "o_orderstatus_F",
+         CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS "o_orderstatus_O",
+         CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS "o_orderstatus_P" FROM orders""",
+)
+def _(t: Tables):
+    return Q.one_hot(t.orders.select("o_orderkey", "o_orderstatus"), ["o_orderstatus"])
+
+
+@check(
+    "m4_standardize",
+    """SELECT o_orderkey, ROUND((o_totalprice - AVG(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER (), 6) AS o_totalprice,
+         0.0::DOUBLE AS constant FROM orders""",
+)
+def _(t: Tables):
+    rows = t.orders.select("o_orderkey", "o_totalprice", F.lit(7).alias("constant"))
+    return Q.standardize(rows, ["o_totalprice", "constant"]).withColumn("o_totalprice", F.round("o_totalprice", 6))
+
+
+def _clean(t: Tables):
+    return Q.impute(clinical(t).checkpoint(), CATEGORICAL, NUMERIC, BINARY)
+
+
+def _small(t: Tables):
+    """Standardised clinical features: one vector per person."""
+    return Q.feature_array(_clean(t), [*NUMERIC, *DRUG_FLAGS, "ecmo", "dialysis"], "person_id")
+
+
+# --- clusterings ---------------------------------------------------------------
+
+
+@check("m5_kmeans")
+def _(t: Tables):
+    return K.kmeans(vectors(t), "vec_id", "vec", 10).labels
+
+
+@check("m6_kmeans_sweep")
+def _(t: Tables):
+    return K.kmeans_sweep(vectors(t), "vec_id", "vec").score_table(t.spark)
+
+
+@check("m7_gmm")
+def _(t: Tables):
+    return K.gmm(_small(t), "person_id", "vec", 3).labels
+
+
+@check("m8_gmm_sweep")
+def _(t: Tables):
+    return K.gmm_sweep(_small(t), "person_id", "vec", ks=(2, 3, 4)).score_table(t.spark)
+
+
+@check("m9_kprototypes")
+def _(t: Tables):
+    return K.kprototypes(_clean(t), "person_id", NUMERIC, CATEGORICAL, 4).labels
+
+
+@check("m10_dbscan")
+def _(t: Tables):
+    return K.dbscan(vectors(t), "vec_id", "vec", 1.0).labels
+
+
+@check("m11_ward")
+def _(t: Tables):
+    return K.ward_knn(vectors(t), "vec_id", "vec", 5, 10).labels
+
+
+@check("m12_pca")
+def _(t: Tables):
+    return V.pca2(_clean(t), NUMERIC + DRUG_FLAGS, "person_id")[0]
+
+
+# --- scores: the labels of the table, so that SQL can follow ---------------------------------------------------------------
+
+_SILHOUETTE = f"""WITH d AS (SELECT a.vec_id, a.label AS own, b.label AS other, SUM({_DIST}) AS s, COUNT(*) AS n
+    FROM vecs a CROSS JOIN vecs b GROUP BY 1, 2, 3),
+  p AS (SELECT vec_id, MAX(CASE WHEN own = other THEN s / n END) AS x, MIN(CASE WHEN own <> other THEN s / n END) AS y FROM d GROUP BY 1)
+  SELECT ROUND(AVG((y - x) / greatest(x, y)), 6) AS silhouette_score FROM p"""
+
+
+@check("m14_silhouette", _SILHOUETTE)
+def _(t: Tables):
+    return V.silhouette(vectors(t), "vec", "label", "vec_id").select(
+        F.round("silhouette_score", 6).alias("silhouette_score")
+    )
+
+
+_CENTRES = """SELECT label, dim, AVG(x) AS m, COUNT(*) AS n, SUM(x * x) - COUNT(*) * AVG(x) * AVG(x) AS w FROM dims GROUP BY 1, 2"""
+
+
+@check(
+    "m15_calinski_harabasz",
+    f"""WITH c AS ({_CENTRES}), o AS (SELECT dim, AVG(x) AS g FROM dims GROUP BY 1),
+        z AS (SELECT SUM(n * power(m - g, 2)) AS b, SUM(w) AS w FROM c JOIN o ON c.dim = o.dim)
+        SELECT ROUND(b / (k - 1) / (w / (n - k)), 5) AS calinski_harabasz_score FROM z
+        CROSS JOIN (SELECT COUNT(*) AS n, COUNT(DISTINCT label) AS k FROM embeddings) s""",
+)
+def _(t: Tables):
+    return V.calinski_harabasz(vectors(t), "vec", "label").select(
+        F.round("calinski_harabasz_score", 5).alias("calinski_harabasz_score")
+    )
+
+
+@check(
+    "m16_davies_bouldin",
+    f"""WITH c AS ({_CENTRES}), s AS (SELECT label, AVG(d) AS s FROM (
+          SELECT d.vec_id, d.label, sqrt(SUM(power(d.x - c.m, 2))) AS d FROM dims d
+          JOIN c ON c.label = d.label AND c.dim = d.dim GROUP BY 1, 2) q GROUP BY 1),
+        g AS (SELECT a.label AS l1, b.label AS l2, sqrt(SUM(power(a.m - b.m, 2))) AS gap FROM c a
+          JOIN c b ON a.dim = b.dim AND a.label <> b.label GROUP BY 1, 2)
+        SELECT ROUND(AVG(worst), 6) AS davies_bouldin_score FROM (
+          SELECT l1, MAX((s1.s + s2.s) / gap) AS worst FROM g JOIN s s1 ON s1.label = l1 JOIN s s2 ON s2.label = l2 GROUP BY 1) w""",
+)
+def _(t: Tables):
+    return V.davies_bouldin(vectors(t), "vec", "label").select(
+        F.round("davies_bouldin_score", 6).alias("davies_bouldin_score")
+    )
+
+
+@check("m17_evaluate")
+def _(t: Tables):
+    labels = K.kmeans(vectors(t), "vec_id", "vec", 10).labels
+    return V.evaluate(vectors(t).drop("label").join(labels, "vec_id"), "vec", "label", "vec_id", "K-Means")
+
+
+@check(
+    "m18_cluster_profile",
+    """SELECT l.label AS cluster, COUNT(*) AS n, AVG(o.o_totalprice) AS o_totalprice_mean, stddev_samp(o.o_totalprice) AS o_totalprice_std,
+         AVG(CASE WHEN o.o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS finished_rate,
+         MAX(m.mode) AS o_orderpriority_mode
+       FROM orders o JOIN embeddings l ON l.vec_id = o.o_orderkey
+       JOIN (SELECT label, o_orderpriority AS mode FROM (SELECT label, o_orderpriority, row_number() OVER (PARTITION BY label
+           ORDER BY COUNT(*) DESC, o_orderpriority) AS rn FROM orders JOIN embeddings ON vec_id = o_orderkey GROUP BY 1, 2) r WHERE rn = 1) m
+         ON m.label = l.label GROUP BY 1""",
+)
+def _(t: Tables):
+    rows = t.orders.join(t.embeddings.select(F.col("vec_id").alias("o_orderkey"), "label"), "o_orderkey")
+    rows = rows.withColumn("finished", F.col("o_orderstatus") == "F")
+    return V.cluster_profile(rows, "label", ["o_totalprice"], ["finished"], ["o_orderpriority"])
+
+
+@check("m19_compare_algorithms")
+def _(t: Tables):
+    points = vectors(t)
+    given = V.evaluate(points, "vec", "label", "vec_id", "table labels")
+    labels = K.kmeans(points, "vec_id", "vec", 10).labels
+    found = V.evaluate(points.drop("label").join(labels, "vec_id"), "vec", "label", "vec_id", "K-Means")
+    return V.compare_algorithms([given, found], t.spark)
+
+
+@check("m20_clustering_run")
+def _(t: Tables):
+    spec = ClusteringSpec(methods=("kmeans", "gmm_bic", "kprototypes", "ward"), ks=(2, 3, 4))
+    return run_clustering(clinical(t).checkpoint(), spec).comparison
+
+
+@check("v6_cluster_map")
+def _(t: Tables):
+    clean = _clean(t)
+    labels = K.kmeans(Q.feature_array(clean, NUMERIC, "person_id"), "person_id", "vec", 3).labels
+    return V.cluster_map(clean.join(labels, "person_id"), "label", NUMERIC, "person_id")[0]

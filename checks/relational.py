@@ -351,7 +351,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     people = t.person.select("person_id", "race_concept_id")
-    return R.lookup(people, "race_concept_id", t.concept, "concept_id", "concept_name", "race")
+    return R.lookup(people, {"race_concept_id": "race"}, t.concept, "concept_id", "concept_name")
 
 
 @check(
@@ -387,7 +387,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     counts = R.count_by(t.person, ["race_concept_id"], "people")
-    return R.lookup(counts, "race_concept_id", t.concept, "concept_id", "concept_name", "race")
+    return R.lookup(counts, {"race_concept_id": "race"}, t.concept, "concept_id", "concept_name")
 
 
 @check(

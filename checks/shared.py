@@ -36,7 +36,8 @@ def cohort_drugs(t: Tables) -> DataFrame:
 
 
 def flags(t: Tables) -> DataFrame:
-    people = cohort_drugs(t)
+    # A stored table in practice; here the checkpoint stands for it.
+    people = cohort_drugs(t).checkpoint()
     devices = X.device_flags(people, t.device_exposure, X.device_sets(t.device_mapping), [EXCLUDED_DEVICE])
     procedures = X.procedure_flags(
         people, t.procedure_occurrence, concept_sets(t.procedure_mapping, "mapping", wanted=X.PROCEDURE_SETS)
@@ -51,7 +52,7 @@ def clinical(t: Tables) -> DataFrame:
 
 def rates(t: Tables) -> DataFrame:
     return drug_rates(
-        cohort(t), drug_seeds(t), t.concept_relationship, t.concept, t.drug_exposure, t.visit_occurrence
+        cohort(t).checkpoint(), drug_seeds(t), t.concept_relationship, t.concept, t.drug_exposure, t.visit_occurrence
     )
 
 

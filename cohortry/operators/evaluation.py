@@ -25,6 +25,53 @@ def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)
 
 
+class _Sample:
+    """A bounded seeded sample of labelled vectors, spread over the executors and held as arrays."""
+
+    def __init__(self, df: DataFrame, vec: str, label: str, row_id: str, sample: int, seed: int):
+        rows = df.select(
+            F.col(row_id).alias("id"), F.col(vec).cast("array<double>").alias("vec"), F.col(label).alias("label")
+        )
+        self.rows = bounded_sample(rows, sample, "id", seed=seed).checkpoint()
+        kept = self.rows.collect()  # at most ``sample`` rows
+        self.points = np.array([r["vec"] for r in kept], dtype=float)
+        self.names, codes = np.unique([r["label"] for r in kept], return_inverse=True)
+        self.members = np.zeros((len(kept), len(self.names)))
+        self.members[np.arange(len(kept)), codes] = 1.0
+
+    def map(self, fn, schema: str) -> DataFrame:
+        """Apply ``fn(ids, labels, summed distances to every cluster)`` to slices of the sample."""
+        points, members = self.points, self.members
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                sums = [np.sqrt(((points - v) ** 2).sum(axis=1)) @ members for v in batch["vec"]]
+                yield fn(batch["id"], batch["label"], np.array(sums).reshape(len(batch), -1))
+
+        parts = self.rows.sparkSession.sparkContext.defaultParallelism
+        return self.rows.repartition(parts, "id").mapInPandas(run, schema)
+
+
+def cluster_distances(
+    df: DataFrame, vec: str, label: str, row_id: str, sample: int = SAMPLE, seed: int = 42
+) -> DataFrame:
+    """``(row_id, cluster, mean_distance)``: every sampled row against the sampled rows of each cluster."""
+    drawn = _Sample(df, vec, label, row_id, sample, seed)
+    names, sizes = drawn.names, drawn.members.sum(axis=0)
+
+    def means(ids: pd.Series, labels: pd.Series, sums: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                row_id: np.repeat(ids.to_numpy(), len(names)),
+                "cluster": np.tile(names, len(ids)),
+                "mean_distance": (sums / sizes).ravel(),
+            }
+        )
+
+    types = dict(df.select(F.col(row_id), F.col(label).alias("__l")).dtypes)
+    return drawn.map(means, f"{row_id} {types[row_id]}, cluster {types['__l']}, mean_distance double")
+
+
 def silhouette(
     df: DataFrame, vec: str, label: str, row_id: str, sample: int = SAMPLE, self_in_mean: bool = True, seed: int = 42
 ) -> DataFrame:
@@ -35,37 +82,23 @@ def silhouette(
     compared with the whole sample, which is bounded by ``sample``. Null with fewer than
     two clusters in the sample.
     """
-    picked = bounded_sample(
-        df.select(F.col(row_id), F.col(vec).cast("array<double>").alias("vec"), F.col(label).alias("label")),
-        sample,
-        row_id,
-        seed=seed,
-    ).checkpoint()
-    rows = picked.collect()
-    points = np.array([r["vec"] for r in rows], dtype=float)
-    names, codes = np.unique([r["label"] for r in rows], return_inverse=True)
-    members = np.zeros((len(rows), len(names)))
-    members[np.arange(len(rows)), codes] = 1.0
-    sizes = members.sum(axis=0)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for vector, own_name in zip(batch["vec"], batch["label"], strict=True):
-                sums = np.sqrt(((points - vector) ** 2).sum(axis=1)) @ members
-                own = int(np.searchsorted(names, own_name))
-                inner = sizes[own] - (0 if self_in_mean else 1)
-                a = sums[own] / inner if inner else 0.0
-                means = sums / sizes
-                means[own] = np.inf
-                b = means.min()
-                top = max(a, b)
-                out.append(0.0 if inner == 0 or top == 0 else (b - a) / top)
-            yield pd.DataFrame({"s": out})
-
+    drawn = _Sample(df, vec, label, row_id, sample, seed)
+    names, sizes = drawn.names, drawn.members.sum(axis=0)
     if len(names) < 2:
         return df.sparkSession.createDataFrame([(None,)], "silhouette_score double")
-    return picked.mapInPandas(score, "s double").agg(F.avg("s").alias("silhouette_score"))
+
+    def score(ids: pd.Series, labels: pd.Series, sums: np.ndarray) -> pd.DataFrame:
+        own, row = np.searchsorted(names, labels.to_numpy()), np.arange(len(ids))
+        inner = sizes[own] - (0 if self_in_mean else 1)
+        a = np.divide(sums[row, own], inner, out=np.zeros(len(ids)), where=inner > 0)
+        means = sums / sizes
+        means[row, own] = np.inf
+        b = means.min(axis=1)
+        top = np.maximum(a, b)
+        fine = (inner > 0) & (top > 0)
+        return pd.DataFrame({"s": np.divide(b - a, top, out=np.zeros(len(ids)), where=fine)})
+
+    return drawn.map(score, "s double").agg(F.avg("s").alias("silhouette_score"))
 
 
 def _cluster_moments(df: DataFrame, vec: str, label: str) -> DataFrame:

@@ -129,27 +129,33 @@ def unique_dimension(dim: DataFrame, key: str, value: str, as_: str) -> DataFram
 
 def lookup(
     df: DataFrame,
-    key: str,
+    names: Mapping[str, str],
     dim: DataFrame,
     dim_key: str,
     value: str,
-    as_: str,
-    per_row_key: bool = False,
+    codes_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``as_`` = the dimension's ``value`` for ``key``; a miss gives null.
+    """For each ``key -> as_`` in ``names`` add ``as_`` = the dimension's ``value`` for ``key``.
 
-    A code column has few values and one of them may cover a third of the rows, so the
-    join never shuffles ``df`` on it: the codes in use are reduced first, their names
-    are fetched, and that short list is broadcast after a size check. With
-    ``per_row_key`` (the key identifies a row, e.g. a person) it is a plain left join.
+    A miss gives null. A code column has few values and one of them may cover a third of
+    the rows, so ``df`` is never shuffled on it: the codes in use are reduced first, their
+    names are fetched, and that one short list is broadcast for all keys after a size
+    check. ``codes_from`` is a cheaper frame holding every code of ``df`` (for instance
+    the table the column came from).
     """
-    if per_row_key:
-        names = unique_dimension(dim, dim_key, value, as_).withColumnRenamed(dim_key, key)
-        return df.join(names, key, "left")
-    codes = df.select(F.col(key).alias(dim_key)).where(F.col(key).isNotNull()).distinct()
-    needed = dim.join(codes, dim_key, "left_semi")
-    names = unique_dimension(needed, dim_key, value, as_).withColumnRenamed(dim_key, key)
-    return df.join(sized_broadcast(names), key, "left")
+    source = df if codes_from is None else codes_from
+    codes = source.select(F.explode(F.array_distinct(F.array(*names))).alias(dim_key))
+    needed = dim.join(codes.where(F.col(dim_key).isNotNull()).distinct(), dim_key, "left_semi")
+    found = sized_broadcast(unique_dimension(needed, dim_key, value, "__name"))
+    for key, as_ in names.items():
+        df = df.join(found.withColumnsRenamed({dim_key: key, "__name": as_}), key, "left")
+    return df
+
+
+def attribute(df: DataFrame, key: str, dim: DataFrame, dim_key: str, value: str, as_: str) -> DataFrame:
+    """As :func:`lookup` for a key that identifies a row (a person): a plain left join."""
+    names = unique_dimension(dim, dim_key, value, as_).withColumnRenamed(dim_key, key)
+    return df.join(names, key, "left")
 
 
 def attach_flags(df: DataFrame, flags: DataFrame, keys: Sequence[str], default: int | None = 0) -> DataFrame:

@@ -48,18 +48,20 @@ def add_demographics(
     concept: DataFrame,
     race_map: Mapping[str, str] = RACE_GROUPS,
     missing_race: str | None = "Not Reported",
+    codes_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``race_name`` (grouped) and ``gender_name``.
+    """Add ``race_name`` (grouped) and ``gender_name``; ``codes_from`` as in :func:`lookup`.
 
     A person without a race concept gets ``missing_race``; with ``None`` such a person,
     like any name outside ``race_map``, has a null race.
     """
-    named = lookup(person, "race_concept_id", concept, "concept_id", "concept_name", "__race")
+    columns = {"race_concept_id": "__race", "gender_concept_id": "gender_name"}
+    named = lookup(person, columns, concept, "concept_id", "concept_name", codes_from)
     grouped = recode("__race", race_map)
     if missing_race is not None:
         grouped = F.when(F.col("__race").isNull(), F.lit(missing_race)).otherwise(grouped)
-    named = named.withColumn("race_name", grouped).drop("__race")
-    return lookup(named, "gender_concept_id", concept, "concept_id", "concept_name", "gender_name")
+    head = [c for c in named.columns if c not in columns.values()]
+    return named.select(*head, grouped.alias("race_name"), "gender_name")
 
 
 def first_death(death: DataFrame) -> DataFrame:
@@ -144,9 +146,11 @@ def build_cohort(
     One join and one aggregate on ``person_id`` do all of it: the visit table is read
     once and shuffled once.
     """
-    subject = person.distinct().join(
-        first_death(death).select("person_id", "death_at"), "person_id", "left"
-    ).select("person_id", F.col("year_of_birth").alias("__yob"), "death_at")
+    subject = (
+        person.select("person_id", F.col("year_of_birth").alias("__yob"))
+        .distinct()
+        .join(first_death(death).select("person_id", "death_at"), "person_id", "left")
+    )
     limit = (F.current_timestamp() if as_of is None else F.lit(as_of)).cast("timestamp_ntz")
     end = _moment("visit_end_datetime")
     rows = visit.join(subject, "person_id").withColumn("__days", frac_days("death_at", end))
@@ -177,7 +181,7 @@ def build_cohort(
         (F.col("__first") == F.col("__last.visit_occurrence_id")).alias("first_visit"),
         *[flag.alias(name) for name, flag in mortality_labels(F.col("__last.__days")).items()],
     )
-    joined = add_demographics(person.distinct().join(picked, "person_id"), concept, race_map, missing_race)
+    joined = add_demographics(person.distinct().join(picked, "person_id"), concept, race_map, missing_race, person)
     if match_site:
         for name in clash:
             joined = joined.where(F.col(name).eqNullSafe(F.col(f"__v_{name}")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.expr import fill_cast, recode
 from cohortry.operators.relational import (
     attach_flags,
+    attribute,
     join_flags,
     lookup,
     pivot_flags,
@@ -215,11 +216,11 @@ def enrich_site(
     race_map: Mapping[str, str] | None = COARSE_RACE,
 ) -> DataFrame:
     """Add ``ethnicity_name``, ``site_id`` and ``site_location``; coarsen the race."""
-    named = lookup(cohort, "ethnicity_concept_id", concept, "concept_id", "concept_name", "ethnicity_name")
+    named = lookup(cohort, {"ethnicity_concept_id": "ethnicity_name"}, concept, "concept_id", "concept_name")
     named = named.withColumn(
         "ethnicity_name", recode("ethnicity_name", {"No matching concept": "Unknown"}, F.col("ethnicity_name"))
     )
-    placed = lookup(named, "person_id", person_site, "person_id", "src_name", "site_id", per_row_key=True)
+    placed = attribute(named, "person_id", person_site, "person_id", "src_name", "site_id")
     placed = placed.withColumn("site_location", recode("site_id", region_map))
     if race_map is not None:
         placed = placed.withColumn("race_name", recode("race_name", race_map))

@@ -7,6 +7,8 @@ Spark binds a DataFrame to it, the checks put a CTE name there.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASE_TABLES = ("customer", "orders", "lineitem", "part", "supplier")
 
@@ -95,4 +97,7 @@ class Tables:
         if name not in VIEWS:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         used = {n: getattr(self, n) for n in (*BASE_TABLES, *VIEWS) if "{" + n + "}" in VIEWS[name]}
-        return self.spark.sql(VIEWS[name], **used)
+        frame = self.spark.sql(VIEWS[name], **used)
+        # The stored timestamps carry no zone; keep the derived ones alike.
+        zoned = [f.name for f in frame.schema.fields if f.dataType == T.TimestampType()]
+        return frame.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned})
