@@ -429,12 +429,10 @@ def _finish_locally(clusters: list, edges: list) -> list[tuple[int, int, float]]
         merges.append((a, b, cost))
         centre[a] = (centre[a] * na + centre[b] * nb) / (na + nb)
         size[a] = na + nb
-        near[a] = (near[a] | near[b]) - {a, b}
-        for c in near.pop(b):
-            if c in near:
-                near[c].discard(b)
-                near[c].add(a)
-        near[a] &= set(near)
+        near[a] = (near[a] | near.pop(b)) - {a, b}
+        for c in near[a]:
+            near[c].discard(b)
+            near[c].add(a)
         del size[b], centre[b]
         for c in near[a]:
             heapq.heappush(heap, entry(a, c))
