@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.registry import AS_OF, EXCLUDED_DEVICE, Tables, check
-from checks.shared import clinical, cohort, cohort_drugs, drug_seeds, flags, rates
-from cohortry.operators.relational import bounded_sample
+from checks.shared import clinical, cohort, cohort_drugs, drug_seeds, flags, rates, stored, stored_cohort, stored_flags
 from cohortry.plans import exposures as X
 from cohortry.plans import reports as P
 from cohortry.plans.cohort import add_demographics, adult_persons
@@ -36,12 +35,12 @@ def _(t: Tables):
 @check("c5_procedure_flags", "SELECT * FROM cohort_procedures")
 def _(t: Tables):
     sets = concept_sets(t.procedure_mapping, "mapping", wanted=X.PROCEDURE_SETS)
-    return X.procedure_flags(cohort(t), t.procedure_occurrence, sets)
+    return X.procedure_flags(stored_cohort(t), t.procedure_occurrence, sets)
 
 
 @check("c6_device_flags", "SELECT * FROM cohort_devices")
 def _(t: Tables):
-    return X.device_flags(cohort(t), t.device_exposure, X.device_sets(t.device_mapping), [EXCLUDED_DEVICE])
+    return X.device_flags(stored_cohort(t), t.device_exposure, X.device_sets(t.device_mapping), [EXCLUDED_DEVICE])
 
 
 @check("c7_final_flags", "SELECT * FROM flags")
@@ -51,7 +50,7 @@ def _(t: Tables):
 
 @check("c8_enrich_site", "SELECT * FROM enriched")
 def _(t: Tables):
-    return X.enrich_site(cohort_drugs(t), t.concept, t.person_per_site)
+    return X.enrich_site(stored(t, "cohort_drugs", cohort_drugs), t.concept, t.person_per_site)
 
 
 _RATES = "SELECT name, race_name, gender_name, age_group, cnt, base_count, percentage::DOUBLE AS percentage FROM rates"
@@ -72,7 +71,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return drug_rates(
-        cohort(t).checkpoint(),
+        stored_cohort(t),
         drug_seeds(t),
         t.concept_relationship,
         t.concept,
@@ -93,7 +92,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     found = drug_rate_analysis(
-        cohort(t).checkpoint(),
+        stored_cohort(t),
         drug_seeds(t),
         t.concept_relationship,
         t.concept,
@@ -107,7 +106,7 @@ def _(t: Tables):
 @check("c9_corrected_tests")
 def _(t: Tables):
     found = drug_rate_analysis(
-        cohort(t).checkpoint(), drug_seeds(t), t.concept_relationship, t.concept, t.drug_exposure, t.visit_occurrence
+        stored_cohort(t), drug_seeds(t), t.concept_relationship, t.concept, t.drug_exposure, t.visit_occurrence
     )
     return found["corrected"]
 
@@ -119,7 +118,7 @@ def _(t: Tables):
        FROM condition_occurrence c JOIN cohort h ON h.person_id = c.person_id AND h.visit_occurrence_id = c.visit_occurrence_id""",
 )
 def _(t: Tables):
-    return X.cohort_conditions(cohort(t), t.condition_occurrence)
+    return X.cohort_conditions(stored_cohort(t), t.condition_occurrence)
 
 
 _DESCRIBED = " UNION ALL ".join(
@@ -131,13 +130,13 @@ _DESCRIBED = " UNION ALL ".join(
 
 @check("c11_numeric_by_group", _DESCRIBED)
 def _(t: Tables):
-    found = P.describe_groups(clinical(t).checkpoint(), "gender_name", "person_id")["numeric"]
+    found = P.describe_by(clinical(t), ["gender_name"], P.NUMERIC)
     return found.withColumns({c: F.round(c, 4) for c in ("mean", "std", "median")})
 
 
 @check("c11_tests_by_group")
 def _(t: Tables):
-    return P.describe_groups(clinical(t).checkpoint(), "gender_name", "person_id")["tests"]
+    return P.describe_groups(clinical(t), "gender_name", "person_id")["tests"]
 
 
 @check(
@@ -148,7 +147,7 @@ def _(t: Tables):
          ROUND(AVG(CAST(died_in_hospital AS INT)), 2) AS died_in_hospital_mean FROM clinical GROUP BY 1""",
 )
 def _(t: Tables):
-    return P.compare_two(clinical(t).checkpoint(), "number_drugs", "died_in_hospital", "gender_name")["breakdown"]
+    return P.compare_two(clinical(t), "number_drugs", "died_in_hospital", "gender_name")["breakdown"]
 
 
 @check(
@@ -184,7 +183,7 @@ _STRATA = f"""SELECT CASE WHEN {_LEVELS} IS NOT NULL THEN race_name END AS race_
 
 @check("c13_stratum_report", _STRATA)
 def _(t: Tables):
-    return P.stratum_report(flags(t))
+    return P.stratum_report(stored_flags(t))
 
 
 @check(
@@ -260,7 +259,7 @@ _BOX = """WITH q AS (SELECT gender_name, CAST(died_in_hospital AS INT) AS side,
 
 @check("v1_box_stats", _BOX)
 def _(t: Tables):
-    return P.box_stats(clinical(t).checkpoint(), "gender_name", "los", "died_in_hospital")
+    return P.box_stats(clinical(t), "gender_name", "los", "died_in_hospital")
 
 
 @check(
@@ -283,7 +282,7 @@ def _(t: Tables):
          AND c.number_interventions = y.number_interventions""",
 )
 def _(t: Tables):
-    found = P.compare_two(clinical(t).checkpoint(), "number_drugs", "number_interventions", "gender_name")
+    found = P.compare_two(clinical(t), "number_drugs", "number_interventions", "gender_name")
     top = found["max_cell"].withColumn("k", F.lit(1))
     return found["grid"].withColumn("k", F.lit(1)).join(top, "k").drop("k")
 
@@ -300,7 +299,7 @@ _FIGURE = " UNION ALL ".join(
     f"SELECT metric, title, race_name, gender_name, site_location, ROUND(value, 6) AS value, ROUND(upper_limit, 6) AS upper_limit FROM (WITH s AS ({_STRATA}) {_FIGURE}) f",
 )
 def _(t: Tables):
-    means = P.stratum_report(flags(t)).checkpoint()
+    means = P.stratum_report(stored_flags(t)).checkpoint()
     found = P.figure_table(means, ["race_name", "gender_name", "site_location"])
     return found.withColumns({c: F.round(c, 6) for c in ("value", "upper_limit")}).drop("bar_label")
 

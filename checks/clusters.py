@@ -100,7 +100,7 @@ def _(t: Tables):
 
 
 def _clean(t: Tables):
-    return Q.impute(clinical(t).checkpoint(), CATEGORICAL, NUMERIC, BINARY)
+    return Q.impute(clinical(t), CATEGORICAL, NUMERIC, BINARY)
 
 
 def _small(t: Tables):
@@ -232,7 +232,7 @@ def _(t: Tables):
 @check("m20_clustering_run")
 def _(t: Tables):
     spec = ClusteringSpec(methods=("kmeans", "gmm_bic", "kprototypes", "ward"), ks=(2, 3, 4))
-    return run_clustering(clinical(t).checkpoint(), spec).comparison
+    return run_clustering(clinical(t), spec).comparison
 
 
 @check("v6_cluster_map")

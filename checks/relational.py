@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.registry import EXCLUDED_DEVICE, SEEDS, Tables, check, scratch
-from checks.shared import cohort, drug_seeds, expanded, flags
+from checks.shared import drug_seeds, expanded, stored_cohort, stored_flags
 from cohortry.functions.expr import exists_flag, name_contains
 from cohortry.operators import relational as R
 from cohortry.operators.order_stats import describe, describe_by, rank_values, summarize
@@ -301,7 +301,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     sets = X.device_sets(t.device_mapping)
-    return X.device_flags(cohort(t), t.device_exposure, sets, [EXCLUDED_DEVICE], keep_unmatched=False)
+    return X.device_flags(stored_cohort(t), t.device_exposure, sets, [EXCLUDED_DEVICE], keep_unmatched=False)
 
 
 @check(
@@ -360,7 +360,7 @@ def _(t: Tables):
        WHERE h.person_id = c.person_id AND h.visit_occurrence_id = c.visit_occurrence_id)""",
 )
 def _(t: Tables):
-    return R.semi_join(t.condition_occurrence, cohort(t), X.VISIT_KEY)
+    return R.semi_join(t.condition_occurrence, stored_cohort(t), X.VISIT_KEY)
 
 
 @check(
@@ -407,7 +407,7 @@ def _(t: Tables):
         .distinct()
         .withColumn("has_dialysis", F.lit(1))
     )
-    return R.attach_flags(cohort(t), done, X.VISIT_KEY)
+    return R.attach_flags(stored_cohort(t), done, X.VISIT_KEY)
 
 
 @check(
@@ -478,7 +478,7 @@ def _(t: Tables):
          AVG(mechanical_ventilation) AS avg_mechanical_ventilation FROM cohort_devices GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    found = X.device_flags(cohort(t), t.device_exposure, X.device_sets(t.device_mapping), [EXCLUDED_DEVICE])
+    found = X.device_flags(stored_cohort(t), t.device_exposure, X.device_sets(t.device_mapping), [EXCLUDED_DEVICE])
     return R.rate_by(found, ["race_name", "gender_name"], list(X.DEVICE_SETS))
 
 
@@ -514,7 +514,8 @@ def _(t: Tables):
        FROM orders GROUP BY 1""",
 )
 def _(t: Tables):
-    found = describe_by(t.orders, ["o_orderpriority"], ["o_totalprice"])
+    # The bucketed path, whatever the size of the table.
+    found = describe_by(t.orders, ["o_orderpriority"], ["o_totalprice"], small_rows=0)
     return found.withColumns({c: F.round(c, 4) for c in ("mean", "std", "median")})
 
 
@@ -527,7 +528,7 @@ _FLAG_ROWS = " UNION ALL ".join(
 
 @check("a10_flag_profile", _FLAG_ROWS)
 def _(t: Tables):
-    return R.flag_profile(flags(t), ["gender_name"], ["died_in_hospital", "steroid_flag", "ecmo"])
+    return R.flag_profile(stored_flags(t), ["gender_name"], ["died_in_hospital", "steroid_flag", "ecmo"])
 
 
 @check(
@@ -731,8 +732,8 @@ def _(t: Tables):
        (SELECT (SELECT COUNT(*) FROM cohort) AS l, (SELECT COUNT(*) FROM cohort_devices) AS r) t""",
 )
 def _(t: Tables):
-    found = X.device_flags(cohort(t), t.device_exposure, X.device_sets(t.device_mapping), [EXCLUDED_DEVICE])
-    return R.row_count_check(cohort(t), found)
+    found = X.device_flags(stored_cohort(t), t.device_exposure, X.device_sets(t.device_mapping), [EXCLUDED_DEVICE])
+    return R.row_count_check(stored_cohort(t), found)
 
 
 # --- one row per key ---------------------------------------------------------------
@@ -801,7 +802,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     rows = t.orders.select(F.col("o_orderstatus").alias("variable"), F.col("o_totalprice").alias("value"))
-    return rank_values(rows, "value", ["variable"]).drop("n")
+    # The bucketed path, whatever the size of the table.
+    return rank_values(rows, "value", ["variable"], small_rows=0).drop("n")
 
 
 # --- order ---------------------------------------------------------------
@@ -816,7 +818,7 @@ def _(t: Tables):
 
 @check("o2_order_by_keys", "SELECT person_id, visit_occurrence_id FROM cohort ORDER BY person_id, visit_occurrence_id")
 def _(t: Tables):
-    return cohort(t).select(*X.VISIT_KEY).orderBy(*X.VISIT_KEY)
+    return stored_cohort(t).select(*X.VISIT_KEY).orderBy(*X.VISIT_KEY)
 
 
 @check(

@@ -1,5 +1,7 @@
 """Frames several checks start from."""
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -8,7 +10,8 @@ from cohortry.plans import exposures as X
 from cohortry.plans.cohort import build_cohort
 from cohortry.plans.rates import drug_rates
 from cohortry.plans.reports import clinical_columns
-from cohortry.sources.tables import concept_sets, seed_relation
+from cohortry.session import ensure_checkpoint_dir
+from cohortry.sources.tables import concept_sets, materialize, seed_relation
 
 
 def drug_seeds(t: Tables, label: str = "name") -> DataFrame:
@@ -35,9 +38,24 @@ def cohort_drugs(t: Tables) -> DataFrame:
     )
 
 
+def stored(t: Tables, name: str, build) -> DataFrame:
+    """A table of the flow (cohort, cohort with drugs, final flags), written once per session and folder.
+
+    The analyses start from these tables; the checks of the plans that make them
+    (``c3``, ``c4``, ``c7``, ``c8``) compute them afresh.
+    """
+    ensure_checkpoint_dir(t.spark)
+    root = t.spark.sparkContext.getCheckpointDir()
+    key = hashlib.md5(t.folder.encode()).hexdigest()[:12]
+    return materialize(t.spark, lambda: build(t), f"{root}/stored/{name}-{key}")
+
+
+def stored_cohort(t: Tables) -> DataFrame:
+    return stored(t, "cohort", cohort)
+
+
 def flags(t: Tables) -> DataFrame:
-    # A stored table in practice; here the checkpoint stands for it.
-    people = cohort_drugs(t).checkpoint()
+    people = stored(t, "cohort_drugs", cohort_drugs)
     devices = X.device_flags(people, t.device_exposure, X.device_sets(t.device_mapping), [EXCLUDED_DEVICE])
     procedures = X.procedure_flags(
         people, t.procedure_occurrence, concept_sets(t.procedure_mapping, "mapping", wanted=X.PROCEDURE_SETS)
@@ -46,13 +64,17 @@ def flags(t: Tables) -> DataFrame:
     return X.final_flags(enriched, devices, procedures)
 
 
+def stored_flags(t: Tables) -> DataFrame:
+    return stored(t, "flags", flags)
+
+
 def clinical(t: Tables) -> DataFrame:
-    return clinical_columns(flags(t))
+    return clinical_columns(stored_flags(t))
 
 
 def rates(t: Tables) -> DataFrame:
     return drug_rates(
-        cohort(t).checkpoint(), drug_seeds(t), t.concept_relationship, t.concept, t.drug_exposure, t.visit_occurrence
+        stored_cohort(t), drug_seeds(t), t.concept_relationship, t.concept, t.drug_exposure, t.visit_occurrence
     )
 
 

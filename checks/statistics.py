@@ -160,10 +160,10 @@ def _(t: Tables):
        SELECT name, COUNT(*) AS n_tests, 0.05::DOUBLE / COUNT(*) AS corrected_alpha FROM strata GROUP BY 1""",
 )
 def _(t: Tables):
-    from checks.shared import cohort, drug_seeds
+    from checks.shared import drug_seeds, stored_cohort
 
     found = drug_rate_analysis(
-        cohort(t).checkpoint(), drug_seeds(t), t.concept_relationship, t.concept, t.drug_exposure, t.visit_occurrence
+        stored_cohort(t), drug_seeds(t), t.concept_relationship, t.concept, t.drug_exposure, t.visit_occurrence
     )
     return found["corrected"].select("name", "n_tests", "corrected_alpha").distinct()
 
@@ -264,7 +264,7 @@ def _(t: Tables):
 def _(t: Tables):
     from cohortry.plans.reports import BINARY, NUMERIC
 
-    return T.compare_groups(clinical(t).checkpoint(), "race_name", NUMERIC, BINARY, "person_id")
+    return T.compare_groups(clinical(t), "race_name", NUMERIC, BINARY, "person_id")
 
 
 @check(

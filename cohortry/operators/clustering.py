@@ -19,8 +19,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.operators.evaluation import NOISE, silhouette, squared_distance
-from cohortry.operators.neighbors import _distances, _Layout, _points, knn_graph
+from cohortry.operators.evaluation import NOISE, SAMPLE, silhouette, squared_distance
+from cohortry.operators.neighbors import _Layout, _points, knn_graph, within
 from cohortry.operators.relational import bounded_sample, mode_of
 
 # The sweeps of the analysis.
@@ -63,6 +63,14 @@ def _score(rows: DataFrame, labels: DataFrame, row_id: str, seed: int) -> float
     return silhouette(joined, "vec", "label", row_id, seed=seed).first()[0]
 
 
+def _score_model(model, sample: DataFrame, row_id: str) -> float | None:
+    """Silhouette of a fitted model on rows sampled once for a whole sweep."""
+    if sum(size > 0 for size in model.summary.clusterSizes) < 2:
+        return None
+    labelled = model.transform(sample).withColumnRenamed("prediction", "label")
+    return silhouette(labelled, "vec", "label", row_id, sample=None).first()[0]
+
+
 def sweep(fit: Callable[[float], dict], parameters: Iterable, key: str, highest: bool = True) -> tuple[dict, list[dict]]:
     """Run ``fit`` per parameter; the best ``key`` wins, the first one on ties."""
     tried = [fit(p) for p in parameters]
@@ -88,11 +96,12 @@ def kmeans_sweep(
 ) -> Fit:
     """k-means for every k; the best sampled silhouette wins, one cluster scores -1."""
     rows = _features(df, row_id, vec)
+    sample = bounded_sample(rows, SAMPLE, row_id, seed=seed).checkpoint()
 
     def one(k: int) -> dict:
         model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-4).fit(rows)
         labels = _labels(model, rows, row_id)
-        found = _score(rows, labels, row_id, seed)
+        found = _score_model(model, sample, row_id)
         return {
             "k": k,
             "silhouette": -1.0 if found is None else found,
@@ -135,6 +144,7 @@ def gmm_sweep(
 ) -> Fit:
     """Mixture for every k: lowest BIC, or highest silhouette (where a failing k is passed over)."""
     rows = _features(df, row_id, vec)
+    sample = bounded_sample(rows, SAMPLE, row_id, seed=seed).checkpoint() if criterion == "silhouette" else None
 
     def one(k: int) -> dict:
         try:
@@ -144,7 +154,7 @@ def gmm_sweep(
                 raise
             return {"k": k, "loglik": None, "aic": None, "bic": None, "silhouette": None, "labels": None}
         labels = _labels(model, rows, row_id)
-        found = _score(rows, labels, row_id, seed) if criterion == "silhouette" else None
+        found = None if sample is None else _score_model(model, sample, row_id)
         return {"k": k, **info, "silhouette": found, "labels": labels}
 
     best, scores = sweep(one, ks, criterion, highest=criterion == "silhouette")
@@ -248,12 +258,37 @@ def kprototypes_sweep(
 # --- graphs ---------------------------------------------------------------
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: Graphs up to this many edges are finished on the driver.
+LOCAL_EDGES = 50_000
+
+
+def _local_components(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(root)]
+
+
+def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; the root is the smallest node.
 
     Alternates the two star operations of Kiveris et al. (2014) until the edges stop
-    changing. A node's neighbours are only ever reduced to their minimum.
+    changing. A node's neighbours are only ever reduced to their minimum. A graph of a
+    checked, small size is solved directly.
     """
+    edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    head = edges.limit(local_edges + 1).collect()
+    if len(head) <= local_edges:
+        return edges.sparkSession.createDataFrame(_local_components(head), "node long, root long")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b"))).distinct()
     links = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = links.checkpoint()
@@ -308,7 +343,7 @@ def dbscan(df: DataFrame, row_id: str, vec: str, eps: float, min_points: int = M
             for r in rows.itertuples(index=False):
                 reps, x = _points(r.reps, r.flat)
                 _, y = _points(r.reps2, r.flat2)
-                near = (_distances(x, y) <= eps) @ np.asarray(r.sizes2, dtype=np.int64)
+                near = within(x, y, eps) @ np.asarray(r.sizes2, dtype=np.int64)
                 yield pd.DataFrame({"rep": reps, "near": near})
 
     counts = pairs.select("reps", "flat", "reps2", "flat2", "sizes2").mapInPandas(count, "rep long, near long")
@@ -334,7 +369,7 @@ def dbscan(df: DataFrame, row_id: str, vec: str, eps: float, min_points: int = M
                 is_core = np.isin(a, [] if r.cores is None else r.cores)
                 right_core = np.isin(b, r.cores2)
                 b, y = b[right_core], y[right_core]
-                close = _distances(x, y) <= eps
+                close = within(x, y, eps)
                 left, right = _spread_minimum(close[is_core], a[is_core], b)
                 out = [
                     pd.DataFrame({"a": a[is_core], "b": left, "core": True}),

@@ -26,14 +26,21 @@ def squared_distance(a: str, b: str) -> Column:
 
 
 class _Sample:
-    """A bounded seeded sample of labelled vectors, spread over the executors and held as arrays."""
+    """A bounded seeded sample of labelled vectors, spread over the executors and held as arrays.
 
-    def __init__(self, df: DataFrame, vec: str, label: str, row_id: str, sample: int, seed: int):
+    ``sample=None`` takes the frame as already sampled; it must not exceed ``SAMPLE`` rows.
+    """
+
+    def __init__(self, df: DataFrame, vec: str, label: str, row_id: str, sample: int | None, seed: int):
         rows = df.select(
             F.col(row_id).alias("id"), F.col(vec).cast("array<double>").alias("vec"), F.col(label).alias("label")
         )
-        self.rows = bounded_sample(rows, sample, "id", seed=seed).checkpoint()
-        kept = self.rows.collect()  # at most ``sample`` rows
+        drawn = rows.limit(SAMPLE + 1) if sample is None else bounded_sample(rows, sample, "id", seed=seed)
+        table = drawn.toArrow()
+        if sample is None and table.num_rows > SAMPLE:
+            raise ValueError(f"more than {SAMPLE} rows passed as a sample")
+        self.rows = df.sparkSession.createDataFrame(table, rows.schema)
+        kept = table.to_pylist()
         self.points = np.array([r["vec"] for r in kept], dtype=float)
         self.names, codes = np.unique([r["label"] for r in kept], return_inverse=True)
         self.members = np.zeros((len(kept), len(self.names)))
@@ -73,7 +80,13 @@ def cluster_distances(
 
 
 def silhouette(
-    df: DataFrame, vec: str, label: str, row_id: str, sample: int = SAMPLE, self_in_mean: bool = True, seed: int = 42
+    df: DataFrame,
+    vec: str,
+    label: str,
+    row_id: str,
+    sample: int | None = SAMPLE,
+    self_in_mean: bool = True,
+    seed: int = 42,
 ) -> DataFrame:
     """Mean silhouette (Euclidean) over a bounded seeded sample: one row ``silhouette_score``.
 

@@ -9,7 +9,6 @@ are collapsed first, so a vector owning a third of the rows is one point.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +49,7 @@ def collapse_copies(df: DataFrame, row_id: str, vec: str, ids: int) -> DataFrame
 
 def _pivots(points: DataFrame, total: int, seed: int) -> np.ndarray:
     """A bounded sample of the points, at most ``MAX_PIVOTS`` rows."""
-    wanted = int(min(MAX_PIVOTS, max(1, math.isqrt(total))))
+    wanted = min(MAX_PIVOTS, max(1, total * 2 // BLOCK))
     rows = bounded_sample(points.select("rep", "vec"), wanted, "rep", seed=seed).orderBy("rep").collect()
     return np.array([r["vec"] for r in rows], dtype=float)
 
@@ -65,6 +64,32 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rough_squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and a bound on their rounding error."""
+    na, nb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    size = na[:, None] + nb[None, :]
+    return size - 2 * (a @ b.T), 1e-12 * size + 1e-300
+
+
+def _pair_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact distances of chosen pairs."""
+    out = np.empty(len(i))
+    step = max(1, 4_000_000 // max(1, a.shape[1]))
+    for s in range(0, len(i), step):
+        gap = a[i[s : s + step]] - b[j[s : s + step]]
+        out[s : s + step] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
+
+
+def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which pairs lie within ``eps``; pairs too close to call are measured exactly."""
+    rough, error = _rough_squares(a, b)
+    near = rough <= eps * eps
+    i, j = np.nonzero(np.abs(rough - eps * eps) <= error + 1e-12 * eps * eps)
+    near[i, j] = _pair_distances(a, b, i, j) <= eps
+    return near
+
+
 def _to_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add the nearest pivot (``cell``) and the distance to it (``radius``)."""
 
@@ -180,16 +205,20 @@ def knn_graph(df: DataFrame, row_id: str, vec: str, k: int = 10, seed: int = 42)
             for r in rows.itertuples(index=False):
                 reps, x = _points(r.reps, r.flat)
                 _, y = _points(r.reps2, r.flat2)
-                dist = _distances(x, y)
                 width = min(k + 1, len(y))
-                edge = np.partition(dist, width - 1, axis=1)[:, width - 1]
-                found = []
-                for q, rep in enumerate(reps):
-                    # Everything up to the width-th distance, ties included, then by id.
-                    close = np.flatnonzero(dist[q] <= edge[q])
-                    best = sorted((dist[q, j], i) for j in close for i in r.ids2[j])[: k + 1]
-                    found += [(rep, i, d) for d, i in best]
-                yield pd.DataFrame(found, columns=["rep", "dst", "dist"])
+                rough, error = _rough_squares(x, y)
+                edge = np.partition(rough + error, width - 1, axis=1)[:, width - 1]
+                # Everything that may belong to the first ``width``, then exactly, ties by id.
+                q, j = np.nonzero(rough - error <= edge[:, None])
+                dist = _pair_distances(x, y, q, j)
+                copies = np.array([len(ids) for ids in r.ids2])
+                q, dist, repeat = np.repeat(q, copies[j]), np.repeat(dist, copies[j]), j
+                dst = np.concatenate([r.ids2[m] for m in repeat]).astype(np.int64)
+                order = np.lexsort((dst, dist, q))
+                q, dist, dst = q[order], dist[order], dst[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                keep = place <= k
+                yield pd.DataFrame({"rep": reps[q[keep]], "dst": dst[keep], "dist": dist[keep]})
 
     found = pairs.select("reps", "flat", "reps2", "ids2", "flat2").mapInPandas(
         nearest, "rep long, dst long, dist double"
@@ -246,13 +275,12 @@ def range_neighbors(df: DataFrame, row_id: str, vec: str, eps: float, seed: int
             for r in rows.itertuples(index=False):
                 a, x = _points(r.reps, r.flat)
                 b, y = _points(r.reps2, r.flat2)
-                dist = _distances(x, y)
-                i, j = np.nonzero((dist <= eps) & (a[:, None] != b[None, :]))
+                i, j = np.nonzero(within(x, y, eps) & (a[:, None] != b[None, :]))
                 yield pd.DataFrame(
                     {
                         "src": a[i],
                         "dst": b[j],
-                        "dist": dist[i, j],
+                        "dist": _pair_distances(x, y, i, j),
                         "src_rows": np.asarray(r.sizes)[i],
                         "dst_rows": np.asarray(r.sizes2)[j],
                     }

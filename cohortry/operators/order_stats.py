@@ -1,9 +1,10 @@
 """Exact ranks and quantiles without gathering a group in one task.
 
 A window over a whole group, or an exact percentile aggregate, puts the group in one
-task. Here the values of every group are cut into many buckets at approximate
-quantiles. Buckets are sorted independently, and the rows before a bucket are known
-from the bucket counts, so positions are exact however rough the cuts are.
+task. Both are fine for an input of a checked, small size. Beyond that the values of
+every group are cut into many buckets at approximate quantiles. Buckets are sorted
+independently, and the rows before a bucket are known from the bucket counts, so
+positions are exact however rough the cuts are.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from cohortry.functions.expr import as_number
-from cohortry.operators.relational import checked, sized_broadcast
+from cohortry.operators.relational import at_most, checked, sized_broadcast
 
-#: Buckets per group are FANOUT squared: a coarse list and a fine list are searched in turn.
-FANOUT = 32
+#: A group is cut into this many buckets (a power of two, for the search).
+BUCKETS = 1_024
+#: Inputs up to this many rows take the built-in aggregate or window.
+SMALL_ROWS = 1_000_000
 
 
 def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -38,20 +41,23 @@ def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) ->
 
 
 def _cuts(values: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Cut points per group, checkpointed: both users of the cuts must see the same ones."""
-    probs = [i / FANOUT**2 for i in range(1, FANOUT**2)]
-    sketch = values.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(20_000)).alias("__fine"))
-    coarse = F.transform(
-        F.sequence(F.lit(1), F.lit(FANOUT - 1)), lambda i: F.element_at("__fine", (i * F.lit(FANOUT)).cast("int"))
-    )
-    return sized_broadcast(sketch.withColumn("__coarse", coarse))
+    """Cut points per group, computed once: both users of the cuts must see the same ones."""
+    probs = [i / BUCKETS for i in range(1, BUCKETS)]
+    return sized_broadcast(values.groupBy(*by).agg(F.percentile_approx(value, probs).alias("__cuts")))
+
 
+def _with_bucket(rows: DataFrame, value: str) -> DataFrame:
+    """Add ``__bucket``, the number of cut points below the value: an unrolled binary search.
 
-def _bucket(value: str) -> Column:
-    """Number of cut points below the value, found in two short scans."""
-    below = F.size(F.filter("__coarse", lambda c: c < F.col(value)))
-    part = F.slice("__fine", below * FANOUT + 1, FANOUT)
-    return below * FANOUT + F.size(F.filter(part, lambda c: c < F.col(value)))
+    Each halving is one generated-code step; no lambda runs per cut.
+    """
+    rows = rows.withColumn("__bucket", F.lit(0))
+    step = BUCKETS // 2
+    while step:
+        passed = F.element_at("__cuts", F.col("__bucket") + step) < F.col(value)
+        rows = rows.withColumn("__bucket", F.col("__bucket") + F.when(passed, step).otherwise(0))
+        step //= 2
+    return rows.drop("__cuts")
 
 
 def _null_safe(names: Sequence[str], left: str, right: str) -> Column:
@@ -67,8 +73,7 @@ def _join_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFr
 
 def _bucketed(df: DataFrame, value: str, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with a bucket number, and per bucket the number of rows in earlier buckets."""
-    rows = _join_groups(df, _cuts(df, value, by), by).withColumn("__bucket", _bucket(value))
-    rows = rows.drop("__fine", "__coarse")
+    rows = _with_bucket(_join_groups(df, _cuts(df, value, by), by), value)
     sizes = rows.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
     window = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -81,13 +86,23 @@ def _bucketed(df: DataFrame, value: str, by: Sequence[str]) -> tuple[DataFrame,
     return rows, offsets
 
 
-def rank_values(df: DataFrame, value: str, by: Sequence[str], count_by: Sequence[str] = ()) -> DataFrame:
-    """Distinct values of each ``by`` group with their average rank.
+def rank_values(
+    df: DataFrame, value: str, by: Sequence[str], count_by: Sequence[str] = (), small_rows: int = SMALL_ROWS
+) -> DataFrame:
+    """Distinct values of each ``by`` group with their average rank, (rows below) + (ties + 1) / 2.
 
-    Columns: ``by``, ``value``, ``ties`` (rows with the value), ``avg_rank``, and
-    ``counts`` -- one entry per value of ``count_by`` with its share of the ties.
-    ``avg_rank`` is (rows below) + (ties + 1) / 2.
+    Columns: ``by``, ``value``, ``count_by``, ``n`` (rows of this row's ``count_by``),
+    ``ties`` (all rows with the value) and ``avg_rank``.
     """
+    if at_most(df, small_rows):
+        counts = df.groupBy(*by, value, *count_by).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(
+            Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        ties = F.sum("n").over(Window.partitionBy(*by, value))
+        ranked = counts.withColumns({"__upto": upto, "ties": ties})
+        rank = (F.col("__upto") - F.col("ties") + (F.col("ties") + 1) / 2).cast("double")
+        return ranked.select(*by, value, *count_by, "n", "ties", rank.alias("avg_rank"))
     rows, offsets = _bucketed(df, value, by)
     keyed = rows.groupBy(*by, "__bucket", value, *count_by).agg(F.count(F.lit(1)).alias("n"))
     window = Window.partitionBy(*by, "__bucket").orderBy(value)
@@ -101,11 +116,15 @@ def rank_values(df: DataFrame, value: str, by: Sequence[str], count_by: Sequence
     )
 
 
-def quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+def quantiles(
+    df: DataFrame, value: str, by: Sequence[str], probs: Mapping[str, float], small_rows: int = SMALL_ROWS
+) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group, one column per entry.
 
-    Only the buckets holding a wanted position are sorted.
+    Beyond ``small_rows`` only the buckets holding a wanted position are sorted.
     """
+    if at_most(df, small_rows):
+        return df.groupBy(*by).agg(*[F.percentile(value, F.lit(float(p))).alias(k) for k, p in probs.items()])
     rows, offsets = _bucketed(df, value, by)
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("q"), F.lit(float(p)).alias("p")) for k, p in probs.items()]))
     position = F.col("p") * (F.col("__total") - 1)
@@ -154,12 +173,14 @@ def summarize(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     return _join_groups(basic, quantiles(long, "value", keys, {"median": 0.5}), keys)
 
 
-def describe_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def describe_by(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], small_rows: int = SMALL_ROWS
+) -> DataFrame:
     """Mean, median and sample standard deviation per group and variable."""
     long = to_long(df, columns, keys)
     by = [*keys, "variable"]
     basic = long.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    return _join_groups(basic, quantiles(long, "value", by, {"median": 0.5}), by)
+    return _join_groups(basic, quantiles(long, "value", by, {"median": 0.5}, small_rows), by)
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -14,6 +14,8 @@ from cohortry.functions.expr import as_col, as_number, rate
 
 #: Largest side, in rows, that is ever broadcast by a hint.
 BROADCAST_ROWS = 1_000_000
+#: Up to this many rows a checked side is kept as a literal relation.
+LITERAL_ROWS = 10_000
 #: Longest literal list kept as an ``IN`` predicate.
 IN_LIST_LIMIT = 1_000
 
@@ -21,14 +23,23 @@ IN_LIST_LIMIT = 1_000
 # --- broadcasting ---------------------------------------------------------------
 
 
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether the frame has no more than ``rows`` rows; counting stops right after."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """The frame, checkpointed, and whether it has at most ``max_rows`` rows.
+    """The frame, computed once, and whether it has at most ``max_rows`` rows.
 
-    The count stops at ``max_rows + 1``. The rows are checkpointed so that they are
-    computed once and the counted rows are the ones that are used.
+    Up to ``LITERAL_ROWS`` rows come back as a literal relation, which the planner knows
+    the size of. Anything larger is checkpointed, so that the counted rows are the ones
+    that are used.
     """
+    head = df.limit(LITERAL_ROWS + 1).toArrow()
+    if head.num_rows <= min(LITERAL_ROWS, max_rows):
+        return df.sparkSession.createDataFrame(head, df.schema), True
     kept = df.checkpoint()
-    return kept, kept.limit(max_rows + 1).count() <= max_rows
+    return kept, at_most(kept, max_rows)
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
