@@ -18,6 +18,8 @@ from cohortry.operators.relational import bounded_sample, mode_of, sized_broadca
 
 NOISE = -1
 SAMPLE = 3_000
+#: Cluster centres that are broadcast at most.
+CENTRES = 10_000
 
 
 def squared_distance(a: str, b: str) -> Column:
@@ -157,7 +159,7 @@ def calinski_harabasz(df: DataFrame, vec: str, label: str) -> DataFrame:
 
 def davies_bouldin(df: DataFrame, vec: str, label: str) -> DataFrame:
     """Mean worst ratio of summed scatter to centre distance: one row ``davies_bouldin_score``."""
-    centres = sized_broadcast(_cluster_moments(df, vec, label).select("label", "mean"))
+    centres = sized_broadcast(_cluster_moments(df, vec, label).select("label", "mean"), CENTRES)
     points = df.select(F.col(label).alias("label"), F.col(vec).cast("array<double>").alias("vec"))
     scatter = (
         points.join(centres, "label")

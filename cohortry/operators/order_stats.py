@@ -22,6 +22,8 @@ from cohortry.operators.relational import at_most, checked, sized_broadcast
 
 #: A group is cut into this many buckets (a power of two, for the search).
 BUCKETS = 1_024
+#: Cut lists (8 KB each) that are broadcast at most.
+WIDE_ROWS = 2_000
 #: Inputs up to this many rows take the built-in aggregate or window.
 SMALL_ROWS = 1_000_000
 
@@ -43,7 +45,8 @@ def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) ->
 def _cuts(values: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Cut points per group, computed once: both users of the cuts must see the same ones."""
     probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    return sized_broadcast(values.groupBy(*by).agg(F.percentile_approx(value, probs).alias("__cuts")))
+    cuts = values.groupBy(*by).agg(F.percentile_approx(value, probs).alias("__cuts"))
+    return sized_broadcast(cuts, WIDE_ROWS)
 
 
 def _with_bucket(rows: DataFrame, value: str) -> DataFrame:

@@ -16,6 +16,8 @@ from cohortry.functions.expr import as_col, as_number, rate
 BROADCAST_ROWS = 1_000_000
 #: Up to this many rows a checked side is kept as a literal relation.
 LITERAL_ROWS = 10_000
+#: Longest axis of a count grid that is unfolded from an array.
+AXIS_VALUES = 10_000
 #: Longest literal list kept as an ``IN`` predicate.
 IN_LIST_LIMIT = 1_000
 
@@ -35,11 +37,12 @@ def checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, b
     the size of. Anything larger is checkpointed, so that the counted rows are the ones
     that are used.
     """
-    head = df.limit(LITERAL_ROWS + 1).toArrow()
-    if head.num_rows <= min(LITERAL_ROWS, max_rows):
+    cap = min(LITERAL_ROWS, max_rows)
+    head = df.limit(cap + 1).toArrow()
+    if head.num_rows <= cap:
         return df.sparkSession.createDataFrame(head, df.schema), True
     kept = df.checkpoint()
-    return kept, at_most(kept, max_rows)
+    return kept, cap < max_rows and at_most(kept, max_rows)
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -313,10 +316,20 @@ def crosstab_long(df: DataFrame, row: str, col: str) -> DataFrame:
 
 
 def complete_grid(cells: DataFrame, row: str, col: str, n: str = "n", by: Sequence[str] = ()) -> DataFrame:
-    """Fill absent cells of a long contingency table with 0 (rows x columns seen in each table)."""
-    rows = cells.select(*by, row).distinct().withColumn("__one", F.lit(1))
-    cols = cells.select(*by, col).distinct().withColumn("__one", F.lit(1))
-    grid = rows.join(cols, [*by, "__one"]).drop("__one")
+    """Fill absent cells of a long contingency table with 0 (rows x columns seen in each table).
+
+    The column axis becomes one array per table and every row value unfolds it. An axis
+    too long for that is joined instead, on the table's keys.
+    """
+    rows = cells.select(*by, row).distinct()
+    cols, short = checked(cells.select(*by, col).distinct(), AXIS_VALUES)
+    one = F.lit(1).alias("__one")
+    if short:
+        axis = cols.groupBy(*by).agg(F.collect_list(col).alias("__axis"))
+        wide = rows.select("*", one).join(F.broadcast(axis.select("*", one)), [*by, "__one"])
+        grid = wide.select(*by, row, F.explode("__axis").alias(col))
+    else:
+        grid = rows.join(cols, list(by)) if by else rows.join(cols)
     return grid.join(cells, [*by, row, col], "left").withColumn(n, F.coalesce(F.col(n), F.lit(0)))
 
 
