@@ -10,10 +10,11 @@ import heapq
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ from cohortry.operators.relational import bounded_sample, mode_of
 CLUSTER_COUNTS = range(2, 8)
 EPS_VALUES = (0.3, 0.5, 0.7, 1.0, 1.5)
 MIN_POINTS = 5
+#: Fits of a sweep that run at the same time.
+PARALLEL_FITS = 4
 
 
 @dataclass
@@ -71,9 +74,24 @@ def _score_model(model, sample: DataFrame, row_id: str) -> float | None:
     return silhouette(labelled, "vec", "label", row_id, sample=None).first()[0]
 
 
-def sweep(fit: Callable[[float], dict], parameters: Iterable, key: str, highest: bool = True) -> tuple[dict, list[dict]]:
-    """Run ``fit`` per parameter; the best ``key`` wins, the first one on ties."""
-    tried = [fit(p) for p in parameters]
+def sweep(
+    fit: Callable[[float], dict],
+    parameters: Iterable,
+    key: str,
+    highest: bool = True,
+    parallelism: int = PARALLEL_FITS,
+) -> tuple[dict, list[dict]]:
+    """Run ``fit`` per parameter; the best ``key`` wins, the first one on ties.
+
+    Up to ``parallelism`` fits run at once on the shared, persisted features, so that
+    one fit's job overhead is another's run time.
+    """
+    parameters = list(parameters)
+    if parallelism > 1:
+        with ThreadPool(min(parallelism, max(1, len(parameters)))) as pool:
+            tried = pool.map(inheritable_thread_target(fit), parameters, chunksize=1)
+    else:
+        tried = [fit(p) for p in parameters]
     sign = 1 if highest else -1
     scored = [t for t in tried if t[key] is not None]
     best = max(scored, key=lambda t: sign * t[key]) if scored else tried[0]
