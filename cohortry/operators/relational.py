@@ -16,6 +16,9 @@ from cohortry.functions.expr import as_col, as_number, rate
 BROADCAST_ROWS = 1_000_000
 #: Up to this many rows a checked side is kept as a literal relation.
 LITERAL_ROWS = 10_000
+#: Rows looked at, at most, to find hot keys; smaller frames than ``HOT_ROWS`` have none.
+HOT_SAMPLE = 1_000_000
+HOT_ROWS = 1_000_000
 #: Longest axis of a count grid that is unfolded from an array.
 AXIS_VALUES = 10_000
 #: Longest literal list kept as an ``IN`` predicate.
@@ -51,6 +54,51 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if fits else kept
 
 
+# --- skewed joins ---------------------------------------------------------------
+
+
+def hot_keys(df: DataFrame, key: str, sample_rows: int = HOT_SAMPLE, min_rows: int = HOT_ROWS) -> list:
+    """Values of ``key`` that would overload one task of a shuffle on it.
+
+    A key is hot when it holds several partitions' worth of rows. Found on a sample of the
+    key column; the list is bounded by the share that makes a key hot. Frames of up to
+    ``min_rows`` rows have none.
+    """
+    total = df.count()
+    if total <= min_rows:
+        return []
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(0.05, 4 / partitions)
+    sampled = df.select(key).where(F.col(key).isNotNull()).sample(min(1.0, sample_rows / total), 42)
+    least = share * min(sample_rows, total)
+    found = sampled.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return [r[key] for r in found.orderBy(F.desc("n")).limit(int(2 / share)).collect()]
+
+
+def skew_join(
+    fact: DataFrame, dim: DataFrame, key: str, row_id: str, how: str = "inner", min_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Join a large ``fact`` with a one-row-per-key ``dim`` (inner or left), splitting hot keys.
+
+    Adaptive execution only splits a join side it shuffled for that join, which an
+    aggregated ``dim`` is not. So the rows of a hot key are spread by a hash of
+    ``row_id`` and the dimension's rows for those few keys are repeated. The hot keys are
+    literals, the same on both sides; without any, this is the plain join.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"cannot split a {how} join")
+    hot = hot_keys(fact, key, min_rows=min_rows)
+    if not hot:
+        return fact.join(dim, key, how)
+    parts = min(1_024, max(8, int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    spread = F.when(is_hot, F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int")).otherwise(0)
+    repeat = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
+    left = fact.withColumn("__part", spread)
+    right = dim.withColumn("__part", repeat)
+    return left.join(right, [key, "__part"], how).drop("__part")
+
+
 # --- filters ---------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.expr import day_diff, death_timing, frac_days, mortality_labels, recode
-from cohortry.operators.relational import first_per_key, last_per_key, lookup
+from cohortry.operators.relational import first_per_key, last_per_key, lookup, skew_join
 
 # Source race name -> reporting group.
 RACE_GROUPS: dict[str, str] = {
@@ -90,7 +90,7 @@ def _judged_visits(person: DataFrame, visit: DataFrame, death: DataFrame, as_of)
     )
     limit = F.current_timestamp() if as_of is None else F.lit(as_of)
     days = frac_days(F.col("death_at"), _moment("visit_end_datetime"))
-    rows = visit.join(subject, "person_id").withColumn("__days", days)
+    rows = skew_join(visit, subject, "person_id", "visit_occurrence_id").withColumn("__days", days)
     future = F.coalesce(_moment("visit_end_datetime") > limit.cast("timestamp_ntz"), F.lit(False))
     early = F.coalesce(F.col("__days") <= -2, F.lit(False))
     return rows.withColumns({"__future": future, "__early": ~future & early})
@@ -144,7 +144,8 @@ def build_cohort(
     gives the number of surviving visits instead.
 
     One join and one aggregate on ``person_id`` do all of it: the visit table is read
-    once and shuffled once.
+    once and shuffled once. A person with very many visits is split over tasks, and the
+    aggregate then reduces the parts before it shuffles.
     """
     subject = (
         person.select("person_id", F.col("year_of_birth").alias("__yob"))
@@ -153,7 +154,8 @@ def build_cohort(
     )
     limit = (F.current_timestamp() if as_of is None else F.lit(as_of)).cast("timestamp_ntz")
     end = _moment("visit_end_datetime")
-    rows = visit.join(subject, "person_id").withColumn("__days", frac_days("death_at", end))
+    rows = skew_join(visit, subject, "person_id", "visit_occurrence_id")
+    rows = rows.withColumn("__days", frac_days("death_at", end))
     gone = F.coalesce(end > limit, F.lit(False)) | F.coalesce(F.col("__days") <= -2, F.lit(False))
     start_order = F.struct(
         F.col("visit_start_datetime").isNull().alias("n"),
@@ -261,7 +263,8 @@ def death_after_latest_discharge(
     visits: DataFrame, deaths: DataFrame, persons: DataFrame, min_age: int = MIN_AGE
 ) -> DataFrame:
     """Latest adult visit against latest death: days between and a timing label."""
-    old_enough = visits.join(persons.select("person_id", "year_of_birth"), "person_id").where(
+    people = persons.select("person_id", "year_of_birth")
+    old_enough = skew_join(visits, people, "person_id", "visit_occurrence_id").where(
         F.year("visit_start_datetime") - F.col("year_of_birth") >= min_age
     )
     columns = ["person_id", "visit_occurrence_id", "visit_start_datetime", "visit_end_datetime"]

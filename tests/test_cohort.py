@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 
+from cohortry.operators import relational as R
 from cohortry.plans.cohort import adult_persons, attrition, build_cohort, outcome_summary, surviving_visits
 
 AS_OF = datetime(2020, 12, 31)
@@ -133,6 +134,21 @@ def test_site_match_can_be_switched_off(tables):
     assert made.where("person_id = 9").count() == 1
 
 
+def test_cohort_is_the_same_when_a_person_is_split(tables, cohort, monkeypatch):
+    from cohortry.plans import cohort as plan
+
+    split = []
+
+    def forced(fact, dim, key, row_id, how="inner"):
+        split.append(R.hot_keys(fact, key, min_rows=1))
+        return R.skew_join(fact, dim, key, row_id, how, min_rows=1)
+
+    monkeypatch.setattr(plan, "skew_join", forced)
+    t = tables
+    made = build_cohort(t["person"], t["visit"], t["death"], t["concept"], AS_OF, max_visits=4)
+    assert {r["person_id"]: r for r in made.collect()} == cohort and split[0]
+
+
 def test_attrition(tables):
     t = tables
     rows = {r["step_no"]: r for r in attrition(t["person"], t["visit"], t["death"], AS_OF, 4).collect()}

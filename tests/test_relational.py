@@ -58,6 +58,19 @@ def test_checked_falls_back_to_no_hint(spark, monkeypatch):
     assert joined.count() == 10
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_skew_join_splits_hot_keys_and_keeps_rows(spark, how):
+    fact = spark.range(9_000).select(
+        "id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 1_000 == 1, None).otherwise(F.col("id") % 500 + 100).alias("k")
+    )
+    dim = spark.range(0, 400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert R.hot_keys(fact, "k", min_rows=100) == [7] and R.hot_keys(fact, "k") == []
+    split = R.skew_join(fact, dim, "k", "id", how, min_rows=100)
+    plain = fact.join(dim, "k", how)
+    assert split.columns == plain.columns
+    assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
+
+
 def test_null_safe_join(spark):
     a = spark.createDataFrame([(1, None, "a"), (2, 5, "b")], "k int, s int, x string")
     b = spark.createDataFrame([(1, None, "c"), (2, 6, "d")], "k int, s int, y string")
