@@ -263,8 +263,7 @@ def _(t: Tables):
     return R.restrict_to(visits, done, X.VISIT_KEY)
 
 
-_PROCS = """SELECT l_orderkey AS visit_occurrence_id, COUNT(*) AS procedures FROM lineitem
-    WHERE l_linenumber <= 2 GROUP BY 1"""
+_PROCS = "SELECT visit_occurrence_id, COUNT(*) AS procedures FROM procedure_occurrence GROUP BY 1"
 
 
 @check(
@@ -273,8 +272,7 @@ _PROCS = """SELECT l_orderkey AS visit_occurrence_id, COUNT(*) AS procedures FRO
         LEFT JOIN ({_PROCS}) p ON v.visit_occurrence_id = p.visit_occurrence_id""",
 )
 def _(t: Tables):
-    items = t.lineitem.where("l_linenumber <= 2").withColumnRenamed("l_orderkey", "visit_occurrence_id")
-    counts = R.count_by(items, ["visit_occurrence_id"], "procedures")
+    counts = R.count_by(t.procedure_occurrence, ["visit_occurrence_id"], "procedures")
     return R.attach_flags(t.visit_occurrence.select("visit_occurrence_id"), counts, ["visit_occurrence_id"])
 
 
@@ -591,17 +589,16 @@ def _(t: Tables):
     return R.row_proportions(R.crosstab_long(t.person, "race_concept_id", "gender_concept_id"), "race_concept_id")
 
 
-_GRID = """SELECT x.care_site_id, y.ethnicity_concept_id, COALESCE(c.n, 0) AS n
-  FROM (SELECT DISTINCT care_site_id FROM person WHERE care_site_id IS NOT NULL AND year_of_birth < 1914) x
-  CROSS JOIN (SELECT DISTINCT ethnicity_concept_id FROM person WHERE year_of_birth < 1914 AND care_site_id IS NOT NULL) y
-  LEFT JOIN (SELECT care_site_id, ethnicity_concept_id, COUNT(*) AS n FROM person WHERE year_of_birth < 1914 GROUP BY 1, 2) c
-  ON c.care_site_id = x.care_site_id AND c.ethnicity_concept_id = y.ethnicity_concept_id"""
+_GRID = """SELECT x.care_site_id, y.race_concept_id, COALESCE(c.n, 0) AS n
+  FROM (SELECT DISTINCT care_site_id FROM person WHERE care_site_id IS NOT NULL AND race_concept_id IS NOT NULL) x
+  CROSS JOIN (SELECT DISTINCT race_concept_id FROM person WHERE care_site_id IS NOT NULL AND race_concept_id IS NOT NULL) y
+  LEFT JOIN (SELECT care_site_id, race_concept_id, COUNT(*) AS n FROM person GROUP BY 1, 2) c
+  ON c.care_site_id = x.care_site_id AND c.race_concept_id = y.race_concept_id"""
 
 
 @check("a16_count_grid", _GRID)
 def _(t: Tables):
-    old = t.person.where("year_of_birth < 1914")
-    return R.count_grid(old, "care_site_id", "ethnicity_concept_id")
+    return R.count_grid(t.person, "care_site_id", "race_concept_id")
 
 
 @check(

@@ -60,25 +60,32 @@ def _(t: Tables):
     return T.auto_test_2x2(_site_tables(t), "a", "b", "c", "d", cutoff=150).select("l_suppkey", "test_used")
 
 
-_CELLS = """SELECT c_nationkey, c_mktsegment, o_orderstatus, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey
-    WHERE o_orderpriority LIKE '1%' GROUP BY 1, 2, 3"""
+# Small tables, one per customer, and large ones, one per market segment.
+_CELLS = """SELECT {by} AS k, o_orderpriority < '3' AS urgent, o_orderstatus, COUNT(*) AS n
+    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"""
+_CHOICE = """WITH cells AS ({cells}), g AS (SELECT k, COUNT(DISTINCT urgent) AS r, COUNT(DISTINCT o_orderstatus) AS c,
+      COUNT(*) AS seen, MIN(n) AS m FROM cells GROUP BY 1)
+    SELECT k, CASE WHEN seen = r * c AND m >= 5 THEN 'Chi-square test'
+      WHEN r = 2 AND c = 2 THEN 'Fisher''s exact test' ELSE 'Chi-square test (small cells)' END AS test_used
+    FROM g WHERE r > 1 AND c > 1"""
+
+
+def _choices(t: Tables, by: str):
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col(by).alias("k"), (F.col("o_orderpriority") < "3").alias("urgent"), "o_orderstatus"
+    )
+    cells = count_by(rows, ["k", "urgent", "o_orderstatus"])
+    return T.auto_test_counts(cells, "urgent", "o_orderstatus", by=["k"]).select("k", "test_used")
 
 
-@check(
-    "t5_test_choice_by_cell",
-    f"""WITH cells AS ({_CELLS}), g AS (SELECT c_nationkey, COUNT(DISTINCT c_mktsegment) AS r, COUNT(DISTINCT o_orderstatus) AS c,
-          COUNT(*) AS k, MIN(n) AS m FROM cells GROUP BY 1)
-        SELECT c_nationkey, CASE WHEN k = r * c AND m >= 5 THEN 'Chi-square test'
-          WHEN r = 2 AND c = 2 THEN 'Fisher''s exact test' ELSE 'Chi-square test (small cells)' END AS test_used
-        FROM g WHERE r > 1 AND c > 1""",
-)
+@check("t5_test_choice_small_tables", _CHOICE.format(cells=_CELLS.format(by="c_custkey")))
 def _(t: Tables):
-    orders = t.orders.where(F.col("o_orderpriority").startswith("1"))
-    rows = orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    cells = count_by(rows, ["c_nationkey", "c_mktsegment", "o_orderstatus"])
-    return T.auto_test_counts(cells, "c_mktsegment", "o_orderstatus", by=["c_nationkey"]).select(
-        "c_nationkey", "test_used"
-    )
+    return _choices(t, "c_custkey")
+
+
+@check("t5_test_choice_large_tables", _CHOICE.format(cells=_CELLS.format(by="c_mktsegment")))
+def _(t: Tables):
+    return _choices(t, "c_mktsegment")
 
 
 _YATES = """(got1 + n1 + got2 + n2)::DOUBLE * power(greatest(0, abs(got1 * n2 - n1 * got2) - (got1 + n1 + got2 + n2) / 2.0), 2)
