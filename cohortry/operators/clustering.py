@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.operators.evaluation import NOISE, SAMPLE, silhouette, squared_distance
@@ -89,7 +89,7 @@ def sweep(
     parameters = list(parameters)
     if parallelism > 1:
         with ThreadPool(min(parallelism, max(1, len(parameters)))) as pool:
-            tried = pool.map(inheritable_thread_target(fit), parameters, chunksize=1)
+            tried = pool.map(inheritable_thread_target(SparkSession.active())(fit), parameters, chunksize=1)
     else:
         tried = [fit(p) for p in parameters]
     sign = 1 if highest else -1
