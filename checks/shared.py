@@ -41,8 +41,8 @@ def cohort_drugs(t: Tables) -> DataFrame:
 def stored(t: Tables, name: str, build) -> DataFrame:
     """A table of the flow (cohort, cohort with drugs, final flags), written once per session and folder.
 
-    The analyses start from these tables; the checks of the plans that make them
-    (``c3``, ``c4``, ``c7``, ``c8``) compute them afresh.
+    The analyses start from these tables, as a user's would; the checks of the cohort and
+    of the drug flags (``c3``, ``c4``) compute theirs afresh.
     """
     ensure_checkpoint_dir(t.spark)
     root = t.spark.sparkContext.getCheckpointDir()
