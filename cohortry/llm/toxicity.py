@@ -29,13 +29,18 @@ from cohortry.llm.common import fields, forget, keep, scratch
 #: Labelled texts that terms are mined from, about; texts the classifier is trained on, about.
 LABELLED_ROWS = 20_000
 TRAINING_ROWS = 50_000
-#: Mined terms, at most, and what a term must show: texts it is in, and how much commoner it is in toxic ones.
+#: Mined terms, at most, and what a term must show: toxic texts it is in (number and share), and the share of toxic ones among all texts it is in.
 TERMS = 48
-LEAST_TEXTS = 5
-LEAST_RATIO = 8.0
+LEAST_TEXTS = 4
+LEAST_SHARE = 0.02
+#: Least log-likelihood ratio; among some hundred thousand terms, chance seldom gives as much.
+LEAST_SURPRISE = 24.0
+LEAST_PRECISION = 0.9
 #: Lengths of word beginnings that may become terms.
 BEGINNINGS = range(4, 9)
-ITERATIONS = 8
+ITERATIONS = 6
+#: Share of toxic texts in which no term is found; votes alone cannot tell.
+BLIND = 0.05
 ACCEPT = 0.7
 
 #: Terms that vote whether mined or not.
@@ -94,8 +99,8 @@ def _parts(text: str | None) -> set[str]:
 def mine_terms(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Voters:
     """Voters from labelled texts outside the held-out third; about ``rows`` of them, chosen by a hash of the id.
 
-    A term scores by how often it is in toxic texts times the logarithm of how much commoner
-    it is there. Terms that a better one already covers are left out.
+    Terms rank by the log-likelihood ratio of their counts in toxic and other texts. Terms
+    that a better one already covers are left out.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("__toxic"))
@@ -129,10 +134,17 @@ def mine_terms(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
     chosen: list[str] = []
     if total is not None and total["bad"]:
         bad, good = total["bad"], max(total["good"], 1)
-        ratio = (F.col("bad") / bad) / ((F.col("good") + 0.5) / good)
-        best = counted.where("term != ''").withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+        both = F.col("bad") + F.col("good")
+        surprise = 2 * (
+            F.col("bad") * F.log(F.col("bad") * (bad + good) / (both * bad))
+            + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") * (bad + good) / (both * good))).otherwise(0.0)
+        )
+        best = counted.where("term != ''").withColumn("surprise", surprise)
+        best = best.where((F.col("bad") >= LEAST_PRECISION * both) & (F.col("surprise") >= LEAST_SURPRISE))
+        best = best.where(F.col("bad") >= LEAST_SHARE * bad)
         # The report is the best few hundred terms; the voters are picked among them.
-        best = best.orderBy(F.desc(F.col("bad") * F.log("ratio")), F.desc(F.length("term")), "term").limit(20 * TERMS)
+        order = [F.desc("surprise"), F.col("term").endswith("*"), F.desc(F.length("term")), "term"]
+        best = best.orderBy(*order).limit(20 * TERMS)
         for term in [r["term"] for r in best.collect()]:
             bare = term.rstrip("*")
             covered = any(c.endswith("*") and bare.startswith(c[:-1]) for c in chosen) or any(c.rstrip("*").startswith(bare) for c in chosen)
@@ -166,40 +178,48 @@ def _matrix(votes: np.ndarray, m: int) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """Per class: how often each voter fires; the toxic share; how many voters each one counts with (1: by itself)."""
+    """What is known of the voters.
+
+    share: toxic texts; bad, good: how often each voter fires in either class; ties: correlation
+    of two voters among toxic texts beyond what their rates explain; silent: clean texts in
+    which no voter fires.
+    """
 
     share: float
     bad: np.ndarray
     good: np.ndarray
-    redundancy: np.ndarray
+    ties: np.ndarray
+    silent: float
+    terms: int
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of toxic. A voter that does not fire abstains; those that fire with others tied to them share their say."""
         x = _matrix(votes, len(self.bad))
-        yes = np.log(self.bad / self.good) / self.redundancy
-        no = np.log((1 - self.bad) / (1 - self.good)) / self.redundancy
-        logit = math.log(self.share / (1 - self.share)) + x @ yes + (1 - x) @ no
-        return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+        say = (x * np.log(self.bad / self.good) / (1 + x @ self.ties)).sum(axis=1)
+        say = say + np.where(votes & self.terms == 0, math.log(BLIND / self.silent), 0.0)
+        return 1 / (1 + np.exp(-np.clip(math.log(self.share / (1 - self.share)) + say, -50, 50)))
 
 
-def _moments(patterns: DataFrame, model: LabelModel) -> tuple[float, float, np.ndarray, np.ndarray]:
-    """Weight of either class, and voters x voters sums of joint votes in either class, over all patterns."""
+def _moments(patterns: DataFrame, model: LabelModel) -> tuple[float, float, float, np.ndarray, np.ndarray]:
+    """Weight of either class and of silent clean texts, and voters x voters sums of joint votes in either class."""
     m = len(model.bad)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 + 2 * m * m)
+        total = np.zeros(3 + 2 * m * m)
         for batch in batches:
             votes, n = batch.column("votes").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
             x, p = _matrix(votes, m), model.posterior(votes)
+            total[2] += (n * (1 - p))[votes & model.terms == 0].sum()
             for k, w in enumerate((n * p, n * (1 - p))):
                 total[k] += w.sum()
-                total[2 + k * m * m : 2 + (k + 1) * m * m] += ((x * w[:, None]).T @ x).ravel()
+                total[3 + k * m * m : 3 + (k + 1) * m * m] += ((x * w[:, None]).T @ x).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total)], names=["at", "sum"])
 
     rows = patterns.mapInArrow(run, "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum"))
-    total = np.zeros(2 + 2 * m * m)
-    for at, value in rows.collect():  # 2 + 2 * voters ** 2 rows
+    total = np.zeros(3 + 2 * m * m)
+    for at, value in rows.collect():  # 3 + 2 * voters ** 2 rows
         total[at] = value
-    return total[0], total[1], total[2 : 2 + m * m].reshape(m, m), total[2 + m * m :].reshape(m, m)
+    return total[0], total[1], total[2], total[3 : 3 + m * m].reshape(m, m), total[3 + m * m :].reshape(m, m)
 
 
 def fit_label_model(votes: DataFrame, voters: Voters, iterations: int = ITERATIONS) -> LabelModel:
@@ -207,26 +227,22 @@ def fit_label_model(votes: DataFrame, voters: Voters, iterations: int = ITERATIO
     m = len(voters.names)
     at = scratch(votes.sparkSession, "patterns")
     patterns = keep(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), at)
-    terms = m - len(PATTERNS)
-    start = np.where(np.arange(m) < terms, 0.2, 0.05)
-    model = LabelModel(0.1, start, np.where(np.arange(m) < terms, 0.002, 0.04), np.ones(m))
+    term = np.arange(m) < m - len(PATTERNS)
+    bits = (1 << (m - len(PATTERNS))) - 1
+    model = LabelModel(0.1, np.where(term, 0.2, 0.05), np.where(term, 0.002, 0.04), np.zeros((m, m)), 0.9, bits)
     for _ in range(iterations):
-        n_bad, n_good, bad, good = _moments(patterns, model)
+        n_bad, n_good, silent, bad, good = _moments(patterns, model)
         if not n_bad + n_good:
             break
-        rates = []
-        for n, joint in ((n_bad, bad), (n_good, good)):
-            rates.append(np.clip((np.diag(joint) + 0.5) / (n + 10), 1e-6, 1 - 1e-6))
-        # Correlation of votes among toxic texts beyond what their rates explain.
-        p = rates[0]
-        spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
-        beyond = np.clip((bad / max(n_bad, 1.0) - np.outer(p, p)) / spread, 0, 1)
-        np.fill_diagonal(beyond, 0)
+        a, b = (np.clip((np.diag(j) + 0.5) / (n + 10), 1e-7, 1 - 1e-7) for n, j in ((n_bad, bad), (n_good, good)))
+        spread = np.sqrt(np.outer(a * (1 - a), a * (1 - a)))
+        ties = np.clip((bad / max(n_bad, 1.0) - np.outer(a, a)) / spread, 0, 1)
+        np.fill_diagonal(ties, 0)
         # Chance alone gives a correlation of about one over the root of the texts.
-        beyond[beyond < 4 / math.sqrt(n_bad + 1)] = 0
+        ties[ties < 4 / math.sqrt(n_bad + 1)] = 0
         share = min(max(n_bad / (n_bad + n_good), 1e-4), 0.5)
         # A voter that fires no more often in toxic texts says nothing.
-        model = LabelModel(share, np.maximum(rates[0], rates[1]), rates[1], 1 + beyond.sum(axis=1))
+        model = LabelModel(share, np.maximum(a, b), b, ties, min(max(silent / max(n_good, 1.0), 0.05), 1.0), bits)
     forget(votes.sparkSession, at)
     return model
 
@@ -245,7 +261,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def train(votes: DataFrame, voters: Voters, model: LabelModel, rows: int = TRAINING_ROWS, penalty: float = 1e-3) -> Classifier:
+def train(votes: DataFrame, voters: Voters, model: LabelModel, rows: int = TRAINING_ROWS, penalty: float = 1e-5) -> Classifier:
     """Logistic regression of the posteriors on the votes, over about ``rows`` rows outside the held-out third."""
     usable = votes.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     share = min(1.0, rows / max(usable.count(), 1))
