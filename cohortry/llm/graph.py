@@ -21,27 +21,26 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     links = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = keep(links, f"{at}/0")
 
-    def large_star(pairs: DataFrame) -> DataFrame:
+    def star_round(pairs: DataFrame) -> DataFrame:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-    def small_star(pairs: DataFrame) -> DataFrame:
-        low = pairs.groupBy("a").agg(F.min("b").alias("m"))
-        moved = pairs.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.union(low.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
-    def mark(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    def done(pairs: DataFrame) -> bool:
+        """Whether every node but the roots has one edge, and that to a root."""
+        ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("root"))
+        ends = ends.union(pairs.select(F.col("b").alias("node"), F.lit(0), F.lit(1)))
+        seen = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("root").alias("root"))
+        return seen.where("out > 1 or out + root > 1").isEmpty()
 
-    before, n = mark(links), 0
-    while True:
+    n = 0
+    while not done(links):
         n += 1
-        links = keep(small_star(large_star(links)), f"{at}/{n}")
+        links = keep(star_round(links), f"{at}/{n}")
         forget(spark, f"{at}/{n - 1}")
-        if (now := mark(links)) == before:
-            break
-        before = now
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = taking.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = keep(classes.where("copies > 1").drop("copies"), f"{at}/classes")
     members = taking.join(classes, "print", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    same = members.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    members = keep(members.select("doc_id", "n_shingles", "rep", "print", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), f"{at}/members")
     reps = members.where("doc_id = rep").select(F.col("doc_id").alias("id"), "print", F.col("n_shingles").alias("n"), "sketch")
     reps = keep(reps.dropDuplicates(["id", "print"]).drop("print"), f"{at}/reps")
     groups = components(_candidates(reps, percent, at), "candidates")
@@ -305,15 +305,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = _full_sets(named.join(wanted, F.col("id") == F.col("__id"), "left_semi"), width)
     rows = placed.join(sets, "id").repartition("task").sortWithinPartitions("task")
     links = keep(_compare(rows, percent).distinct(), f"{at}/links")
-    roots = components(links.union(same), "duplicates")
-    forget(spark, f"{at}/reps", f"{at}/lists", f"{at}/placed")
-    out = base.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("root", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+    # A repeated doc_id may be a member of several classes, which it then links.
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b")
+    roots = components(links.union(members.join(several, "doc_id").select("rep", "a")), "duplicates")
+    roots = roots.select(F.col("node").alias("rep"), "root")
+    forget(spark, f"{at}/lists", f"{at}/placed")
+    out = members.select("doc_id", "n_shingles", "rep").join(roots, "rep", "left")
+    root = F.coalesce("root", "rep")
+    found = out.select("doc_id", "n_shingles", root.alias("component_id"), (root == F.col("doc_id")).alias("kept"))
+    alone = base.where("doc_id is null or n_shingles = 0")
+    return found.union(alone.select("doc_id", "n_shingles", "doc_id", F.lit(True)))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -35,7 +35,7 @@ LEAST_TEXTS = 4
 LEAST_SHARE = 0.02
 #: Least log-likelihood ratio; among some hundred thousand terms, chance seldom gives as much.
 LEAST_SURPRISE = 24.0
-LEAST_PRECISION = 0.9
+LEAST_PRECISION = 0.95
 #: Lengths of word beginnings that may become terms.
 BEGINNINGS = range(4, 9)
 ITERATIONS = 6
