@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from checks.registry import AS_OF, EXCLUDED_DEVICE, Tables, check
 from checks.shared import clinical, cohort, cohort_drugs, drug_seeds, flags, rates, stored, stored_cohort, stored_flags
+from cohortry.functions import expr as E
 from cohortry.plans import exposures as X
 from cohortry.plans import reports as P
 from cohortry.plans.cohort import add_demographics, adult_persons
 from cohortry.plans.rates import drug_rate_analysis, drug_rates
-from cohortry.sources.tables import concept_sets, run_sql
+from cohortry.sources.tables import concept_sets
 
 
 @check("c1_adult_persons", "SELECT * FROM adult")
@@ -188,63 +189,39 @@ def _(t: Tables):
 
 @check(
     "c14_condition_status_counts",
-    """SELECT co.condition_status_concept_id, c.concept_name, COUNT(*) AS count FROM condition_occurrence co
-       JOIN concept c ON co.condition_status_concept_id = c.concept_id GROUP BY 1, 2 ORDER BY count DESC""",
+    """FROM (SELECT condition_status_concept_id AS status, COUNT(*) AS records FROM condition_occurrence GROUP BY ALL)
+       JOIN concept ON concept_id = status
+       SELECT status AS condition_status_concept_id, concept_name, SUM(records)::BIGINT AS count GROUP BY ALL""",
 )
 def _(t: Tables):
-    t.condition_occurrence.createOrReplaceTempView("c14_condition")
-    t.concept.createOrReplaceTempView("c14_concept")
-    return run_sql(
-        t.spark,
-        """SELECT co.condition_status_concept_id, c.concept_name, COUNT(*) AS count FROM c14_condition co
-           JOIN c14_concept c ON co.condition_status_concept_id = c.concept_id
-           GROUP BY co.condition_status_concept_id, c.concept_name ORDER BY count DESC""",
-    )
+    return X.named_counts(t.condition_occurrence, "condition_status_concept_id", t.concept)
 
 
-@check(
-    "c14_visit_types",
-    """SELECT DISTINCT b.concept_name FROM visit_occurrence a JOIN concept b ON a.visit_concept_id = b.concept_id
-       WHERE b.concept_name IS NOT NULL ORDER BY b.concept_name""",
-)
+@check("c14_visit_types", "SELECT concept_name FROM concept WHERE concept_id IN (SELECT visit_concept_id FROM visit_occurrence) AND concept_name IS NOT NULL GROUP BY ALL")
 def _(t: Tables):
-    t.visit_occurrence.createOrReplaceTempView("c14_visit")
-    t.concept.createOrReplaceTempView("c14_concept")
-    return run_sql(
-        t.spark,
-        """SELECT DISTINCT b.concept_name FROM c14_visit a JOIN c14_concept b ON a.visit_concept_id = b.concept_id
-           WHERE b.concept_name IS NOT NULL ORDER BY b.concept_name""",
-    )
+    return X.named_counts(t.visit_occurrence, "visit_concept_id", t.concept).select("concept_name").distinct()
 
 
 @check(
     "c14_race_counts",
-    """SELECT p.race_concept_id, c.concept_name, COUNT(*) AS count FROM person p
-       JOIN concept c ON p.race_concept_id = c.concept_id WHERE c.concept_name IS NOT NULL GROUP BY 1, 2""",
+    """WITH sizes AS (SELECT race_concept_id, COUNT(person_id) AS people FROM person GROUP BY ALL)
+       SELECT race_concept_id, (SELECT MIN(concept_name) FROM concept WHERE concept_id = race_concept_id) AS concept_name, people AS count
+       FROM sizes WHERE race_concept_id IN (SELECT concept_id FROM concept WHERE concept_name IS NOT NULL)""",
 )
 def _(t: Tables):
-    t.person.createOrReplaceTempView("c14_person")
-    t.concept.createOrReplaceTempView("c14_concept")
-    return run_sql(
-        t.spark,
-        """SELECT p.race_concept_id, c.concept_name, COUNT(*) AS count FROM c14_person p
-           JOIN c14_concept c ON p.race_concept_id = c.concept_id
-           WHERE c.concept_name IS NOT NULL GROUP BY p.race_concept_id, c.concept_name""",
-    )
+    return X.named_counts(t.person, "race_concept_id", t.concept)
 
 
 @check(
     "c14_length_of_stay",
     """SELECT visit_occurrence_id, person_id, visit_start_date, visit_end_date,
-         CAST(date_diff('day', visit_start_date, visit_end_date) AS INT) AS los FROM visit_occurrence""",
+         CAST((epoch(visit_end_date::DATE) - epoch(visit_start_date::DATE)) / 86400 AS INT) AS los FROM visit_occurrence""",
 )
 def _(t: Tables):
-    t.visit_occurrence.createOrReplaceTempView("c14_visit")
-    return run_sql(
-        t.spark,
-        """SELECT visit_occurrence_id, person_id, visit_start_date, visit_end_date,
-             datediff(visit_end_date, visit_start_date) AS los FROM c14_visit""",
-    )
+    return t.visit_occurrence.select(
+        "visit_occurrence_id", "person_id", "visit_start_date", "visit_end_date",
+        E.day_diff("visit_end_date", "visit_start_date").cast("int").alias("los"),
+    )
 
 
 # --- figure tables ---------------------------------------------------------------

@@ -27,13 +27,13 @@ def _(t: Tables):
 
 @check(
     "j18_cluster_distances",
-    f"""SELECT a.vec_id, b.label AS cluster, ROUND(AVG({_DIST}), 4) AS mean_distance
+    f"""SELECT a.vec_id, b.label AS cluster, ROUND(AVG(power({_DIST}, 2)), 4) AS mean_squared_distance
         FROM vecs a CROSS JOIN (SELECT label, list(e) AS all_e, COUNT(*) AS n FROM vecs GROUP BY 1) g
         JOIN vecs b ON b.label = g.label GROUP BY 1, 2""",
 )
 def _(t: Tables):
     found = V.cluster_distances(vectors(t), "vec", "label", "vec_id")
-    return found.withColumn("mean_distance", F.round("mean_distance", 4))
+    return found.withColumn("mean_squared_distance", F.round("mean_squared_distance", 4))
 
 
 _EPS = 1.2
@@ -128,7 +128,12 @@ def _(t: Tables):
 
 @check("m8_gmm_sweep")
 def _(t: Tables):
-    return K.gmm_sweep(_small(t), "person_id", "vec", ks=(2, 3, 4)).score_table(t.spark)
+    return K.gmm_sweep(_small(t), "person_id", "vec").score_table(t.spark)
+
+
+@check("m8_gmm_silhouette_sweep")
+def _(t: Tables):
+    return K.gmm_sweep(_small(t), "person_id", "vec", criterion="silhouette").score_table(t.spark)
 
 
 @check("m9_kprototypes")
@@ -136,6 +141,16 @@ def _(t: Tables):
     return K.kprototypes(_clean(t), "person_id", NUMERIC, CATEGORICAL, 4).labels
 
 
+@check("m9_kprototypes_sweep")
+def _(t: Tables):
+    return K.kprototypes_sweep(_clean(t), "person_id", NUMERIC, CATEGORICAL).score_table(t.spark)
+
+
+@check("m10_dbscan_sweep")
+def _(t: Tables):
+    return K.dbscan_sweep(vectors(t), "vec_id", "vec").score_table(t.spark)
+
+
 @check("m10_dbscan")
 def _(t: Tables):
     return K.dbscan(vectors(t), "vec_id", "vec", 1.0).labels
@@ -153,7 +168,7 @@ def _(t: Tables):
 
 # --- scores: the labels of the table, so that SQL can follow ---------------------------------------------------------------
 
-_SILHOUETTE = f"""WITH d AS (SELECT a.vec_id, a.label AS own, b.label AS other, SUM({_DIST}) AS s, COUNT(*) AS n
+_SILHOUETTE = f"""WITH d AS (SELECT a.vec_id, a.label AS own, b.label AS other, SUM(power({_DIST}, 2)) AS s, COUNT(*) AS n
     FROM vecs a CROSS JOIN vecs b GROUP BY 1, 2, 3),
   p AS (SELECT vec_id, MAX(CASE WHEN own = other THEN s / n END) AS x, MIN(CASE WHEN own <> other THEN s / n END) AS y FROM d GROUP BY 1)
   SELECT ROUND(AVG((y - x) / greatest(x, y)), 6) AS silhouette_score FROM p"""
@@ -231,8 +246,7 @@ def _(t: Tables):
 
 @check("m20_clustering_run")
 def _(t: Tables):
-    spec = ClusteringSpec(methods=("kmeans", "gmm_bic", "kprototypes", "ward"), ks=(2, 3, 4))
-    return run_clustering(clinical(t), spec).comparison
+    return run_clustering(clinical(t), ClusteringSpec()).comparison
 
 
 @check("v6_cluster_map")

@@ -216,11 +216,12 @@ def _(t: Tables):
 
 @check(
     "f23_labels",
-    """SELECT DISTINCT o_orderpriority, upper(o_orderpriority) AS shout, replace(o_orderpriority, '-', ' ') AS plain FROM orders""",
+    """SELECT DISTINCT o_orderpriority, list_aggregate(list_transform(string_split(lower(replace(replace(o_orderpriority, '-', '_'), ' ', '_')), '_'),
+         lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS label FROM orders""",
 )
 def _(t: Tables):
-    c = F.col("o_orderpriority")
-    return t.orders.select(c, F.upper(c).alias("shout"), F.replace(c, F.lit("-"), F.lit(" ")).alias("plain")).distinct()
+    c = F.replace("o_orderpriority", F.lit("-"), F.lit("_"))
+    return t.orders.select("o_orderpriority", E.pretty_label(F.lower(c)).alias("label")).distinct()
 
 
 @check(

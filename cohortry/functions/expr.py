@@ -186,8 +186,4 @@ def stars(p: ColumnLike) -> Column:
 
 def as_number(c: ColumnLike) -> Column:
     """Flag or number as double (booleans become 0/1)."""
-    return as_col(c).cast("int").cast("double")
-
-
-def double_value(c: ColumnLike, is_boolean: bool = False) -> Column:
-    return as_number(c) if is_boolean else as_col(c).cast("double")
+    return as_col(c).cast("double")

@@ -6,7 +6,6 @@ the driver; every fit and score inside the loop is a Spark job on persisted feat
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -15,12 +14,13 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.operators.evaluation import NOISE, SAMPLE, silhouette, squared_distance
+from cohortry.operators.evaluation import NOISE, silhouette, squared_distance
 from cohortry.operators.neighbors import _Layout, _points, knn_graph, within
 from cohortry.operators.relational import bounded_sample, mode_of
 
@@ -28,6 +28,8 @@ from cohortry.operators.relational import bounded_sample, mode_of
 CLUSTER_COUNTS = range(2, 8)
 EPS_VALUES = (0.3, 0.5, 0.7, 1.0, 1.5)
 MIN_POINTS = 5
+#: Starts of a k-means fit.
+RESTARTS = 5
 #: Fits of a sweep that run at the same time.
 PARALLEL_FITS = 4
 
@@ -58,20 +60,17 @@ def _labels(model, rows: DataFrame, row_id: str) -> DataFrame:
     return model.transform(rows).select(row_id, F.col("prediction").cast("int").alias("label"))
 
 
-def _score(rows: DataFrame, labels: DataFrame, row_id: str, seed: int) -> float | None:
-    """Sampled silhouette of a labelling; None for a single cluster."""
-    joined = rows.select(row_id, "vec").join(labels, row_id)
-    if joined.agg(F.count_distinct("label")).first()[0] < 2:
-        return None
-    return silhouette(joined, "vec", "label", row_id, seed=seed).first()[0]
+def _score(rows: DataFrame, labels: DataFrame, row_id: str) -> float | None:
+    """Silhouette of a labelling over all rows; None for a single cluster."""
+    return silhouette(rows.select(row_id, "vec").join(labels, row_id), "vec", "label", row_id).first()[0]
 
 
-def _score_model(model, sample: DataFrame, row_id: str) -> float | None:
-    """Silhouette of a fitted model on rows sampled once for a whole sweep."""
+def _score_model(model, rows: DataFrame, row_id: str) -> float | None:
+    """Silhouette of a fitted model over all rows; None for a single cluster."""
     if sum(size > 0 for size in model.summary.clusterSizes) < 2:
         return None
-    labelled = model.transform(sample).withColumnRenamed("prediction", "label")
-    return silhouette(labelled, "vec", "label", row_id, sample=None).first()[0]
+    labelled = model.transform(rows).withColumnRenamed("prediction", "label")
+    return silhouette(labelled, "vec", "label", row_id).first()[0]
 
 
 def sweep(
@@ -98,28 +97,46 @@ def sweep(
     return best, [{k: v for k, v in t.items() if k != "labels"} for t in tried]
 
 
+def _fit_kmeans(rows: DataFrame, k: int, seed: int, max_iter: int, tol: float, n_init: int):
+    """The fit with the lowest cost of ``n_init`` starts."""
+    fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol).fit(rows) for i in range(max(1, n_init))]
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
 def kmeans(
-    df: DataFrame, row_id: str, vec: str, k: int, seed: int = 42, max_iter: int = 50, tol: float = 1e-4
+    df: DataFrame,
+    row_id: str,
+    vec: str,
+    k: int,
+    seed: int = 42,
+    max_iter: int = 50,
+    tol: float = 1e-4,
+    n_init: int = RESTARTS,
 ) -> Fit:
-    """k-means on an array column; ``info`` has the cost and the centres."""
+    """k-means on an array column, best of ``n_init`` starts; ``info`` has the cost and the centres."""
     rows = _features(df, row_id, vec)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol).fit(rows)
+    model = _fit_kmeans(rows, k, seed, max_iter, tol, n_init)
     cost = float(model.summary.trainingCost)
     centres = [list(map(float, c)) for c in model.clusterCenters()]
     return Fit(_labels(model, rows, row_id), k, info={"inertia": cost, "centres": centres})
 
 
 def kmeans_sweep(
-    df: DataFrame, row_id: str, vec: str, ks: Sequence[int] = CLUSTER_COUNTS, seed: int = 42, max_iter: int = 50
+    df: DataFrame,
+    row_id: str,
+    vec: str,
+    ks: Sequence[int] = CLUSTER_COUNTS,
+    seed: int = 42,
+    max_iter: int = 50,
+    n_init: int = RESTARTS,
 ) -> Fit:
-    """k-means for every k; the best sampled silhouette wins, one cluster scores -1."""
+    """k-means for every k; the best silhouette wins, one cluster scores -1."""
     rows = _features(df, row_id, vec)
-    sample = bounded_sample(rows, SAMPLE, row_id, seed=seed).checkpoint()
 
     def one(k: int) -> dict:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-4).fit(rows)
+        model = _fit_kmeans(rows, k, seed, max_iter, 1e-4, n_init)
         labels = _labels(model, rows, row_id)
-        found = _score_model(model, sample, row_id)
+        found = _score_model(model, rows, row_id)
         return {
             "k": k,
             "silhouette": -1.0 if found is None else found,
@@ -162,17 +179,17 @@ def gmm_sweep(
 ) -> Fit:
     """Mixture for every k: lowest BIC, or highest silhouette (where a failing k is passed over)."""
     rows = _features(df, row_id, vec)
-    sample = bounded_sample(rows, SAMPLE, row_id, seed=seed).checkpoint() if criterion == "silhouette" else None
 
     def one(k: int) -> dict:
         try:
             model, info = _fit_gmm(rows, k, seed, max_iter, 1e-3)
-        except Exception:
+        except IllegalArgumentException:
+            # The fit's own complaint about its arguments; anything else, a lost executor too, ends the sweep.
             if criterion == "bic":
                 raise
             return {"k": k, "loglik": None, "aic": None, "bic": None, "silhouette": None, "labels": None}
         labels = _labels(model, rows, row_id)
-        found = None if sample is None else _score_model(model, sample, row_id)
+        found = _score_model(model, rows, row_id) if criterion == "silhouette" else None
         return {"k": k, **info, "silhouette": found, "labels": labels}
 
     best, scores = sweep(one, ks, criterion, highest=criterion == "silhouette")
@@ -433,7 +450,7 @@ def dbscan_sweep(
             F.count(F.when(F.col("label") == NOISE, 1)), F.count_distinct(F.nullif("label", F.lit(NOISE)))
         ).first()
         fine = noise == 0 and clusters > 1
-        score = _score(rows, labels, row_id, seed) if fine else None
+        score = _score(rows, labels, row_id) if fine else None
         return {"eps": eps, "clusters": clusters, "noise": noise, "silhouette": score, "labels": labels if fine else None}
 
     best, scores = sweep(one, eps_values, "silhouette")
@@ -442,56 +459,10 @@ def dbscan_sweep(
 
 # --- Ward on a neighbour graph ---------------------------------------------------------------
 
-#: Clusters left at which the rest of the tree is built on the driver from their centroids.
-LOCAL_CLUSTERS = 256
-
-
 def _ward_cost(n1, n2, squared) -> Column:
     return n1 * n2 / (n1 + n2) * squared
 
 
-def _finish_locally(clusters: list, edges: list) -> list[tuple[int, int, float]]:
-    """Greedy merges of a bounded number of clusters; unconnected parts are joined by any pair."""
-    size = {r["id"]: float(r["n"]) for r in clusters}
-    centre = {r["id"]: np.array(r["centre"]) for r in clusters}
-    near: dict[int, set] = {i: set() for i in size}
-    for r in edges:
-        near[r["a"]].add(r["b"])
-        near[r["b"]].add(r["a"])
-
-    def entry(a: int, b: int) -> tuple:
-        a, b = min(a, b), max(a, b)
-        gap = centre[a] - centre[b]
-        return (size[a] * size[b] / (size[a] + size[b]) * float(gap @ gap), a, b, size[a], size[b])
-
-    heap = [entry(a, b) for a in near for b in near[a] if a < b]
-    heapq.heapify(heap)
-    merges = []
-    while len(size) > 1:
-        while heap:
-            cost, a, b, na, nb = heapq.heappop(heap)
-            if size.get(a) == na and size.get(b) == nb:
-                break
-        else:
-            ids = sorted(size)
-            heap = [entry(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
-            for a in ids:
-                near[a] = set(ids) - {a}
-            heapq.heapify(heap)
-            continue
-        merges.append((a, b, cost))
-        centre[a] = (centre[a] * na + centre[b] * nb) / (na + nb)
-        size[a] = na + nb
-        near[a] = (near[a] | near.pop(b)) - {a, b}
-        for c in near[a]:
-            near[c].discard(b)
-            near[c].add(a)
-        del size[b], centre[b]
-        for c in near[a]:
-            heapq.heappush(heap, entry(a, c))
-    return merges
-
-
 def ward_knn(
     df: DataFrame,
     row_id: str,
@@ -499,7 +470,6 @@ def ward_knn(
     n_clusters: int = 5,
     k_nn: int = 10,
     edges: DataFrame | None = None,
-    local_clusters: int = LOCAL_CLUSTERS,
     seed: int = 42,
 ) -> Fit:
     """Ward clustering restricted to a neighbour graph (built here unless ``edges(a, b)`` is given).
@@ -507,8 +477,9 @@ def ward_knn(
     A round merges every pair of clusters that are each other's cheapest neighbour, so
     the number of rounds grows with the logarithm of the rows. On a full graph this is
     the greedy tree; on a sparse one the order of merges may differ from the greedy one.
-    Parts without a link are joined through their centroids. The tree is cut into
-    ``n_clusters``; labels count from 0 in order of the smallest row id.
+    Parts without a link are joined through their centroids. Rounds end when no more than
+    ``n_clusters`` are left; if a round went below, the dearest merges are taken back.
+    Labels count from 0 in order of the smallest row id.
     """
     clusters = df.select(
         F.col(row_id).cast("long").alias("id"), F.lit(1.0).alias("n"), F.col(vec).cast("array<double>").alias("centre")
@@ -523,7 +494,7 @@ def ward_knn(
     merge_schema = "a long, b long, cost double"
     done: list[DataFrame] = []
     left = clusters.count()
-    while left > max(local_clusters, 1):
+    while left > max(n_clusters, 1):
         one = clusters.toDF("a", "na", "ca")
         two = clusters.toDF("b", "nb", "cb")
         priced = links.join(one, "a").join(two, "b").select(
@@ -559,16 +530,14 @@ def ward_knn(
         links = (
             ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         ).checkpoint()
-    if left > 1:
-        rest = _finish_locally(clusters.collect(), links.collect())
-        done.append(spark.createDataFrame(rest, merge_schema))
     tree = spark.createDataFrame([], merge_schema)
     for part in done:
         tree = tree.unionByName(part)
     tree = tree.checkpoint()
-    cut = tree.orderBy(F.desc("cost"), "a", "b").limit(n_clusters - 1)
+    back = max(0, n_clusters - left)
+    cut = tree.orderBy(F.desc("cost"), "a", "b").limit(back)
     kept = tree.join(cut.select("a", "b"), ["a", "b"], "left_anti")
-    roots = connected_components(kept.select("a", "b")) if n_clusters > 1 else connected_components(tree.select("a", "b"))
+    roots = connected_components((kept if back else tree).select("a", "b"))
     rooted = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # At most n_clusters roots.
     order = sorted(r["root"] for r in rooted.select("root").distinct().collect())

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -14,12 +12,13 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.expr import as_number
 from cohortry.operators.features import as_array, standardize
-from cohortry.operators.relational import bounded_sample, mode_of, sized_broadcast, union_all
+from cohortry.operators.relational import mode_of, sized_broadcast, union_all
 
 NOISE = -1
-SAMPLE = 3_000
 #: Cluster centres that are broadcast at most.
 CENTRES = 10_000
+#: Clusters a row is compared with at a time.
+SLICE = 1_000
 
 
 def squared_distance(a: str, b: str) -> Column:
@@ -27,93 +26,75 @@ def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)
 
 
-class _Sample:
-    """A bounded seeded sample of labelled vectors, spread over the executors and held as arrays.
+def _cluster_sums(df: DataFrame, vec: str, label: str) -> DataFrame:
+    """``(label, n, total[], squares)``: all that squared distances to a whole cluster need."""
+    stats = Summarizer.metrics("sum", "count").summary(array_to_vector("vec"))
+    rows = df.select(F.col(label).alias("label"), F.col(vec).cast("array<double>").alias("vec"))
+    square = F.aggregate("vec", F.lit(0.0), lambda t, x: t + x * x)
+    grouped = rows.groupBy("label").agg(stats.alias("s"), F.sum(square).alias("squares"))
+    return grouped.select("label", F.col("s.count").cast("double").alias("n"), vector_to_array("s.sum").alias("total"), "squares")
 
-    ``sample=None`` takes the frame as already sampled; it must not exceed ``SAMPLE`` rows.
-    """
 
-    def __init__(self, df: DataFrame, vec: str, label: str, row_id: str, sample: int | None, seed: int):
-        rows = df.select(
-            F.col(row_id).alias("id"), F.col(vec).cast("array<double>").alias("vec"), F.col(label).alias("label")
-        )
-        drawn = rows.limit(SAMPLE + 1) if sample is None else bounded_sample(rows, sample, "id", seed=seed)
-        table = drawn.toArrow()
-        if sample is None and table.num_rows > SAMPLE:
-            raise ValueError(f"more than {SAMPLE} rows passed as a sample")
-        self.rows = df.sparkSession.createDataFrame(table, rows.schema)
-        kept = table.to_pylist()
-        self.points = np.array([r["vec"] for r in kept], dtype=float)
-        self.names, codes = np.unique([r["label"] for r in kept], return_inverse=True)
-        self.members = np.zeros((len(kept), len(self.names)))
-        self.members[np.arange(len(kept)), codes] = 1.0
-
-    def map(self, fn, schema: str) -> DataFrame:
-        """Apply ``fn(ids, labels, summed distances to every cluster)`` to slices of the sample."""
-        points, members = self.points, self.members
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                sums = [np.sqrt(((points - v) ** 2).sum(axis=1)) @ members for v in batch["vec"]]
-                yield fn(batch["id"], batch["label"], np.array(sums).reshape(len(batch), -1))
-
-        parts = self.rows.sparkSession.sparkContext.defaultParallelism
-        return self.rows.repartition(parts, "id").mapInPandas(run, schema)
-
-
-def cluster_distances(
-    df: DataFrame, vec: str, label: str, row_id: str, sample: int = SAMPLE, seed: int = 42
-) -> DataFrame:
-    """``(row_id, cluster, mean_distance)``: every sampled row against the sampled rows of each cluster."""
-    drawn = _Sample(df, vec, label, row_id, sample, seed)
-    names, sizes = drawn.names, drawn.members.sum(axis=0)
-
-    def means(ids: pd.Series, labels: pd.Series, sums: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                row_id: np.repeat(ids.to_numpy(), len(names)),
-                "cluster": np.tile(names, len(ids)),
-                "mean_distance": (sums / sizes).ravel(),
-            }
-        )
+def _against_clusters(df: DataFrame, vec: str, label: str, row_id: str) -> tuple[DataFrame, int]:
+    """Every row against slices of the clusters: ``(id, label, vec, square, slice[])``, and the number of slices.
 
-    types = dict(df.select(F.col(row_id), F.col(label).alias("__l")).dtypes)
-    return drawn.map(means, f"{row_id} {types[row_id]}, cluster {types['__l']}, mean_distance double")
+    A slice holds about ``SLICE`` clusters. With one slice, its single row is broadcast; with
+    more, rows and slices meet on the slice's number.
+    """
+    sums = _cluster_sums(df, vec, label).checkpoint()
+    slices = max(1, -(-sums.count() // SLICE))
+    part = F.pmod(F.xxhash64("label"), F.lit(slices))
+    sliced = sums.groupBy(part.alias("__slice")).agg(F.collect_list(F.struct("label", "n", "total", "squares")).alias("clusters"))
+    rows = df.select(
+        F.col(row_id).alias("id"), F.col(label).alias("label"), F.col(vec).cast("array<double>").alias("vec")
+    ).withColumn("square", F.aggregate("vec", F.lit(0.0), lambda t, x: t + x * x))
+    numbers = F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")
+    met = rows.withColumn("__slice", F.explode(numbers)).join(F.broadcast(sliced) if slices == 1 else sliced, "__slice")
+    return met.drop("__slice"), slices
+
+
+def _mean_square(cluster: Column) -> Column:
+    """Mean squared distance of the row's vector to the rows of a cluster."""
+    product = F.aggregate(F.zip_with("vec", cluster["total"], lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    return F.greatest(F.col("square") + (cluster["squares"] - 2 * product) / cluster["n"], F.lit(0.0))
+
+
+def cluster_distances(df: DataFrame, vec: str, label: str, row_id: str) -> DataFrame:
+    """``(row_id, cluster, mean_squared_distance)``: every row against the rows of each cluster."""
+    met, _ = _against_clusters(df, vec, label, row_id)
+    each = F.transform(
+        "clusters", lambda c: F.struct(c["label"].alias("cluster"), _mean_square(c).alias("mean_squared_distance"))
+    )
+    return met.select(F.col("id").alias(row_id), F.inline(each))
 
 
-def silhouette(
-    df: DataFrame,
-    vec: str,
-    label: str,
-    row_id: str,
-    sample: int | None = SAMPLE,
-    self_in_mean: bool = True,
-    seed: int = 42,
-) -> DataFrame:
-    """Mean silhouette (Euclidean) over a bounded seeded sample: one row ``silhouette_score``.
+def silhouette(df: DataFrame, vec: str, label: str, row_id: str, self_in_mean: bool = True) -> DataFrame:
+    """Mean silhouette of all rows, on squared Euclidean distances: one row ``silhouette_score``.
 
-    ``self_in_mean`` divides the distance within the own cluster by its full size, the
-    point itself included. The sampled points are spread over the executors and each is
-    compared with the whole sample, which is bounded by ``sample``. Null with fewer than
-    two clusters in the sample.
+    A row's mean squared distance to a cluster follows from the cluster's size, sum and sum
+    of squares, so the work is rows times clusters. ``self_in_mean`` divides the distance
+    within the own cluster by its full size, the row itself included. Null with fewer than
+    two clusters.
     """
-    drawn = _Sample(df, vec, label, row_id, sample, seed)
-    names, sizes = drawn.names, drawn.members.sum(axis=0)
-    if len(names) < 2:
-        return df.sparkSession.createDataFrame([(None,)], "silhouette_score double")
-
-    def score(ids: pd.Series, labels: pd.Series, sums: np.ndarray) -> pd.DataFrame:
-        own, row = np.searchsorted(names, labels.to_numpy()), np.arange(len(ids))
-        inner = sizes[own] - (0 if self_in_mean else 1)
-        a = np.divide(sums[row, own], inner, out=np.zeros(len(ids)), where=inner > 0)
-        means = sums / sizes
-        means[row, own] = np.inf
-        b = means.min(axis=1)
-        top = np.maximum(a, b)
-        fine = (inner > 0) & (top > 0)
-        return pd.DataFrame({"s": np.divide(b - a, top, out=np.zeros(len(ids)), where=fine)})
+    met, slices = _against_clusters(df, vec, label, row_id)
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("own"), none.alias("n"), none.alias("other"))
+
+    def nearer(state: Column, c: Column) -> Column:
+        gap, mine = _mean_square(c), c["label"] == F.col("label")
+        return F.struct(
+            F.when(mine, gap).otherwise(state["own"]).alias("own"),
+            F.when(mine, c["n"]).otherwise(state["n"]).alias("n"),
+            F.when(mine, state["other"]).otherwise(F.least(state["other"], gap)).alias("other"),
+        )
 
-    return drawn.map(score, "s double").agg(F.avg("s").alias("silhouette_score"))
+    seen = met.select("id", F.aggregate("clusters", start, nearer).alias("s")).select("id", "s.*")
+    if slices > 1:
+        seen = seen.groupBy("id").agg(F.max("own").alias("own"), F.max("n").alias("n"), F.min("other").alias("other"))
+    alone = F.col("n") <= (0 if self_in_mean else 1)
+    own = F.col("own") if self_in_mean else F.col("own") * F.col("n") / (F.col("n") - 1)
+    score = F.when(alone | (F.greatest(own, "other") == 0), 0.0).otherwise((F.col("other") - own) / F.greatest(own, "other"))
+    return seen.agg(F.avg(F.when(F.col("other").isNotNull(), score)).alias("silhouette_score"))
 
 
 def _cluster_moments(df: DataFrame, vec: str, label: str) -> DataFrame:
@@ -133,25 +114,15 @@ def _cluster_moments(df: DataFrame, vec: str, label: str) -> DataFrame:
 
 def calinski_harabasz(df: DataFrame, vec: str, label: str) -> DataFrame:
     """Between- over within-cluster dispersion: one row ``calinski_harabasz_score``."""
-    clusters = _cluster_moments(df, vec, label)
-    parts = clusters.select("n", "spread", F.posexplode("mean").alias("dim", "m"))
-    # Per dimension: sum n (m - M)^2 = sum n m^2 - N M^2, taken around the overall mean.
-    per_dim = parts.groupBy("dim").agg(
-        F.collect_list(F.struct(F.col("n").cast("double").alias("n"), "m")).alias("c"),
-        (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("centre"),
-        F.sum("n").alias("total"),
-        F.count(F.lit(1)).alias("k"),
-        F.sum("spread").alias("within"),
-    )
-    between = F.aggregate(
-        "c", F.lit(0.0), lambda t, x: t + x["n"] * (x["m"] - F.col("centre")) * (x["m"] - F.col("centre"))
-    )
-    total = per_dim.agg(
-        F.sum(between).alias("between"),
-        F.first("total").alias("n"),
-        F.first("k").alias("k"),
-        F.first("within").alias("within"),
+    clusters = _cluster_moments(df, vec, label).checkpoint()
+    parts = clusters.select("n", F.posexplode("mean").alias("dim", "m"))
+    centre = parts.groupBy("dim").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("centre"))
+    # One row per dimension, so the side is as wide as a vector.
+    off = parts.join(F.broadcast(centre), "dim").agg(
+        F.sum(F.col("n") * (F.col("m") - F.col("centre")) * (F.col("m") - F.col("centre"))).alias("between")
     )
+    sizes = clusters.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("spread").alias("within"))
+    total = sizes.join(F.broadcast(off))
     n, k = F.col("n"), F.col("k")
     score = F.try_divide(F.col("between") * (n - k), F.col("within") * (k - 1))
     return total.select(F.when(F.col("within") == 0, F.lit(1.0)).otherwise(score).alias("calinski_harabasz_score"))
@@ -180,9 +151,7 @@ EVALUATION_SCHEMA = (
 )
 
 
-def evaluate(
-    df: DataFrame, vec: str, label: str, row_id: str, name: str, sample: int = SAMPLE, seed: int = 42
-) -> DataFrame:
+def evaluate(df: DataFrame, vec: str, label: str, row_id: str, name: str) -> DataFrame:
     """One row with the number of clusters and the three scores.
 
     Noise is left out first; no row if fewer than two clusters remain.
@@ -192,7 +161,7 @@ def evaluate(
     if n < 2:
         return df.sparkSession.createDataFrame([], EVALUATION_SCHEMA)
     scores = [
-        silhouette(kept, vec, label, row_id, sample, seed=seed).first()[0],
+        silhouette(kept, vec, label, row_id).first()[0],
         calinski_harabasz(kept, vec, label).first()[0],
         davies_bouldin(kept, vec, label).first()[0],
     ]

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.operators.order_stats import quantiles, to_long
-from cohortry.operators.relational import mode_of, numeric_columns
+from cohortry.operators.relational import mode_of, numeric_columns, sized_broadcast
 
 #: A categorical column with more levels than this is not turned into indicator columns.
 MAX_LEVELS = 1_000
@@ -55,22 +54,46 @@ def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     return {c: sorted(v) for c, v in found.items()}
 
 
+def level_codes(df: DataFrame, column: str) -> DataFrame:
+    """``(value, code)``: the distinct non-null values as text, numbered from 0 in sorted order.
+
+    Values are dealt out in ranges and numbered inside each; the numbers before a range
+    come from the counts of the ranges, one row each. So any number of levels will do.
+    """
+    values = df.select(F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
+    dealt = values.repartitionByRange("value").withColumn("__range", F.spark_partition_id()).checkpoint()
+    place = F.row_number().over(Window.partitionBy("__range").orderBy("value"))
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")
+    offsets = sizes.select("__range", before.alias("__before"))
+    numbered = dealt.withColumn("__place", place).join(F.broadcast(offsets), "__range")
+    return numbered.select("value", (F.col("__before") + F.col("__place") - 1).cast("int").alias("code"))
+
+
 def label_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_encoded") -> DataFrame:
     """Add integer codes, numbered in sorted order of the values; null stays null."""
-    known = levels(df, columns)
-    codes = {
-        c + suffix: F.nullif(
-            F.array_position(F.array(*[F.lit(v) for v in known[c]]), F.col(c).cast("string")), F.lit(0)
-        ).cast("int")
-        - 1
-        for c in columns
-        if known[c]
-    }
-    return df.withColumns(codes)
+    for c in columns:
+        codes = sized_broadcast(level_codes(df, c)).toDF("__value", c + suffix)
+        df = df.withColumn("__key", F.col(c).cast("string")).join(codes, F.col("__key") == F.col("__value"), "left")
+        df = df.drop("__key", "__value")
+    return df
+
+
+def one_hot_long(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
+    """``(row_id, feature)``: one row per non-null cell, the feature that is 1; for columns with many levels."""
+    cells = F.explode(
+        F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
+    )
+    rows = df.select(row_id, cells.alias("x")).where(F.col("x.v").isNotNull())
+    return rows.select(row_id, F.concat_ws("_", "x.c", "x.v").alias("feature"))
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], keep: bool = False) -> DataFrame:
-    """Replace each column by 0/1 columns ``column_value``, one per value, none dropped."""
+    """Replace each column by 0/1 columns ``column_value``, one per value, none dropped.
+
+    A table as wide as that holds no more than ``MAX_LEVELS`` values a column; ``one_hot_long``
+    takes any number.
+    """
     known = levels(df, columns)
     flags = {
         f"{c}_{v}": F.coalesce((F.col(c).cast("string") == v).cast("int"), F.lit(0)) for c in columns for v in known[c]
@@ -102,11 +125,6 @@ def as_array(columns: Sequence[str]):
     return F.array(*[F.col(c).cast("double") for c in columns])
 
 
-def with_vector(df: DataFrame, source: str, as_: str = "features") -> DataFrame:
-    """Array column -> ML vector column."""
-    return df.withColumn(as_, array_to_vector(F.col(source).cast("array<double>")))
-
-
 def feature_array(df: DataFrame, columns: Sequence[str], row_id: str, as_: str = "vec") -> DataFrame:
     """``(row_id, vec)`` with standardised ``columns`` as an array of doubles."""
     return standardize(df, columns).select(row_id, as_array(columns).alias(as_))

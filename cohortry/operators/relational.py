@@ -21,6 +21,8 @@ HOT_SAMPLE = 1_000_000
 HOT_ROWS = 1_000_000
 #: Longest axis of a count grid that is unfolded from an array.
 AXIS_VALUES = 10_000
+#: Parts of a longer axis.
+GRID_PARTS = 256
 #: Longest literal list kept as an ``IN`` predicate.
 IN_LIST_LIMIT = 1_000
 
@@ -29,8 +31,8 @@ IN_LIST_LIMIT = 1_000
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether the frame has no more than ``rows`` rows; counting stops right after."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether the frame has no more than ``rows`` rows; each task sends one number."""
+    return df.count() <= rows
 
 
 def checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -41,8 +43,9 @@ def checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, b
     that are used.
     """
     cap = min(LITERAL_ROWS, max_rows)
-    head = df.limit(cap + 1).toArrow()
-    if head.num_rows <= cap:
+    # Collecting a limit reads partition after partition and stops when it has enough.
+    head = df.limit(cap + 1).collect()
+    if len(head) <= cap:
         return df.sparkSession.createDataFrame(head, df.schema), True
     kept = df.checkpoint()
     return kept, cap < max_rows and at_most(kept, max_rows)
@@ -120,7 +123,9 @@ def filter_in(df: DataFrame, column: str, values: Sequence) -> DataFrame:
 
 
 def filter_not_in(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    """Literal ``NOT IN``: null values drop out, as in SQL."""
+    """Literal ``NOT IN``: null values drop out, and a null in the list leaves no rows, as in SQL."""
+    if any(v is None for v in values):
+        return df.where(F.lit(False))
     if len(values) <= IN_LIST_LIMIT:
         return df.where(~F.col(column).isin(list(values)))
     return df.where(F.col(column).isNotNull()).join(_literals(df, column, values), column, "left_anti")
@@ -304,7 +309,7 @@ def flag_profile(df: DataFrame, keys: Sequence[str], flags: Sequence[str]) -> Da
     wide = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         *[F.avg(as_number(c)).alias(f"__p_{c}") for c in flags],
-        *[F.sum(F.col(c).cast("int")).cast("long").alias(f"__s_{c}") for c in flags],
+        *[F.sum(as_number(c)).cast("long").alias(f"__s_{c}") for c in flags],
     )
     rows = F.explode(
         F.array(
@@ -367,17 +372,24 @@ def complete_grid(cells: DataFrame, row: str, col: str, n: str = "n", by: Sequen
     """Fill absent cells of a long contingency table with 0 (rows x columns seen in each table).
 
     The column axis becomes one array per table and every row value unfolds it. An axis
-    too long for that is joined instead, on the table's keys.
+    too long for that is joined instead, on the table's keys or in parts.
     """
     rows = cells.select(*by, row).distinct()
     cols, short = checked(cells.select(*by, col).distinct(), AXIS_VALUES)
-    one = F.lit(1).alias("__one")
-    if short:
+    if not by and short:
+        axis = F.array(*[F.lit(r[col]) for r in cols.collect()]).cast(T.ArrayType(cells.schema[col].dataType))
+        grid = rows.withColumn(col, F.explode(axis))
+    elif short:
         axis = cols.groupBy(*by).agg(F.collect_list(col).alias("__axis"))
-        wide = rows.select("*", one).join(F.broadcast(axis.select("*", one)), [*by, "__one"])
-        grid = wide.select(*by, row, F.explode("__axis").alias(col))
+        grid = rows.join(F.broadcast(axis), list(by)).select(*by, row, F.explode("__axis").alias(col))
+    elif by:
+        grid = rows.join(cols, list(by))
     else:
-        grid = rows.join(cols, list(by)) if by else rows.join(cols)
+        # Every row value visits all parts of the other axis.
+        parts = F.lit(GRID_PARTS)
+        numbers = F.sequence(F.lit(0), parts - 1).cast("array<bigint>")
+        spread = rows.withColumn("__part", F.explode(numbers))
+        grid = spread.join(cols.withColumn("__part", F.pmod(F.xxhash64(col), parts)), "__part").drop("__part")
     return grid.join(cells, [*by, row, col], "left").withColumn(n, F.coalesce(F.col(n), F.lit(0)))
 
 

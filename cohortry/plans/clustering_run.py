@@ -89,7 +89,7 @@ def run_clustering(df: DataFrame, spec: ClusteringSpec | None = None) -> Cluster
         if fit.labels is None:
             continue
         labels = fit.labels.checkpoint()
-        scored = evaluate(vectors.join(labels, spec.row_id), "vec", "label", spec.row_id, name, seed=seed)
+        scored = evaluate(vectors.join(labels, spec.row_id), "vec", "label", spec.row_id, name)
         scores.append(scored)
         if scored.isEmpty():
             continue
@@ -99,4 +99,6 @@ def run_clustering(df: DataFrame, spec: ClusteringSpec | None = None) -> Cluster
         )
         result.maps[name] = cluster_map(labelled, "label", list(spec.numeric), spec.row_id)
     result.comparison = compare_algorithms(scores, df.sparkSession)
+    vectors.unpersist()
+    clean.unpersist()
     return result

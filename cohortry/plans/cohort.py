@@ -116,10 +116,6 @@ def surviving_visits(person: DataFrame, visit: DataFrame, death: DataFrame, as_o
     )
 
 
-def visits_per_person(visits: DataFrame) -> DataFrame:
-    return visits.groupBy("person_id").agg(F.count(F.lit(1)).alias("num_visits"))
-
-
 def build_cohort(
     person: DataFrame,
     visit: DataFrame,

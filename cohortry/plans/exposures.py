@@ -143,7 +143,13 @@ def drug_flags(
 ) -> DataFrame:
     """Cohort plus one 0/1 flag per drug class."""
     expanded = expand_concepts(seeds, relationship, concept)
-    found = exposed_visits(expanded, exposure, visit, person, min_age)
+    if {"visit_start_date", "year_of_birth"} <= set(cohort.columns):
+        # Only visits of the cohort can carry a flag, and the cohort knows their age.
+        aged = F.year("visit_start_date") - F.col("year_of_birth") >= min_age
+        visits = restrict_to(cohort.where(aged).select(*VISIT_KEY), visit, VISIT_KEY)
+        found = exposed_visit_ids(expanded, exposure).join(visits, "visit_occurrence_id")
+    else:
+        found = exposed_visits(expanded, exposure, visit, person, min_age)
     wide = pivot_flags(found, VISIT_KEY, "drug_class", {f"{c}_flag": c for c in classes})
     return attach_flags(cohort, wide, VISIT_KEY, default=0)
 
@@ -168,9 +174,9 @@ def event_flags(
     rows = events.select(*VISIT_KEY, event_concept)
     if exclude:
         rows = rows.where(~F.col(event_concept).isin(list(exclude)))
-    found = rows.join(listed, event_concept)
-    wide = pivot_flags(found, VISIT_KEY, "label", {n: n for n in names}, absent=0)
     visits = cohort.select(*VISIT_KEY, *carry).distinct()
+    found = rows.join(listed, event_concept).join(visits.select(*VISIT_KEY), list(VISIT_KEY), "left_semi")
+    wide = pivot_flags(found, VISIT_KEY, "label", {n: n for n in names}, absent=0)
     if not keep_unmatched:
         return visits.join(wide, list(VISIT_KEY))
     return attach_flags(visits, wide, VISIT_KEY, default=0)
@@ -235,3 +241,13 @@ def cohort_conditions(
     status = fill_cast("condition_status_concept_id", 0, "long")
     rows = semi_join(condition, cohort, VISIT_KEY)
     return rows.withColumn("condition_status_concept_id", recode(status, status_map, status).cast("long"))
+
+
+def named_counts(rows: DataFrame, code: str, concept: DataFrame) -> DataFrame:
+    """``(code, concept_name, count)`` of the codes in use that have a name.
+
+    Counted before the names are looked up, so the join sees one row per code.
+    """
+    counts = rows.groupBy(code).agg(F.count(F.lit(1)).alias("count"))
+    names = concept.where(F.col("concept_name").isNotNull()).select(F.col("concept_id").alias(code), "concept_name")
+    return counts.join(names, code).select(code, "concept_name", "count")

@@ -16,7 +16,6 @@ from cohortry.functions.expr import (
     los_days_trunc,
     los_hours,
     medicare_flag,
-    pretty_label,
     recode,
     sum_flags,
     to_naive_utc,
@@ -181,11 +180,6 @@ def figure_table(means: DataFrame, keys: Sequence[str], titles: Mapping[str, str
     return long.join(limits, "metric").withColumn("bar_label", F.bround(F.col("value") * 100, 1))
 
 
-def default_title(metric: str):
-    """Title of a metric that has none: prefix dropped, words capitalised."""
-    return pretty_label(F.lit(metric), drop="mean_")
-
-
 # --- reports ---------------------------------------------------------------
 
 
@@ -227,7 +221,7 @@ def describe_groups(
     row_id: str,
     numeric: Sequence[str] = NUMERIC,
     binary: Sequence[str] = BINARY,
-    normality: str = "shapiro",
+    normality: str = "moments",
 ) -> dict[str, DataFrame]:
     """Sizes, numeric summaries, flag proportions and significance tests by group."""
     named = df.where(F.col(group).isNotNull())

@@ -116,11 +116,10 @@ def _ward_brute(x, k):
     return label
 
 
-@pytest.mark.parametrize("local_clusters", [12, 1000])
-def test_ward_on_full_graph_is_greedy_ward(spark, local_clusters):
+def test_ward_on_full_graph_is_greedy_ward(spark):
     x = np.random.default_rng(4).normal(size=(40, 2))
     full = spark.createDataFrame([(i, j) for i in range(40) for j in range(i)], "a long, b long")
-    fit = K.ward_knn(_frame(spark, x), "id", "vec", 4, edges=full, local_clusters=local_clusters)
+    fit = K.ward_knn(_frame(spark, x), "id", "vec", 4, edges=full)
     got = {r["id"]: r["label"] for r in fit.labels.collect()}
     assert [got[i] for i in range(40)] == _ward_brute(x, 4).tolist()
 
@@ -159,7 +158,7 @@ def test_silhouette_forms(spark):
     x = np.array([[0.0], [1.0], [10.0], [12.0], [30.0]])
     label = [0, 0, 1, 1, 2]
     df = _frame(spark, x).join(spark.createDataFrame(list(enumerate(label)), "id long, label int"), "id")
-    dist, want = _brute(x), {True: [], False: []}
+    dist, want = _brute(x) ** 2, {True: [], False: []}
     for i, own in enumerate(label):
         mine = [dist[i, j] for j in range(5) if label[j] == own]
         b = min(np.mean([dist[i, j] for j in range(5) if label[j] == c]) for c in set(label) - {own})
@@ -172,6 +171,29 @@ def test_silhouette_forms(spark):
     assert V.silhouette(df.withColumn("label", F.lit(1)), "vec", "label", "id").first()[0] is None
 
 
+def test_silhouette_uses_every_row_and_any_number_of_slices(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, label = rng.normal(size=(3_500, 2)), rng.integers(0, 9, 3_500)
+    rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    square = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    means = np.array([square[:, label == c].mean(axis=1) for c in range(9)]).T
+    own = means[np.arange(len(x)), label]
+    means[np.arange(len(x)), label] = np.inf
+    other = means.min(axis=1)
+    want = ((other - own) / np.maximum(own, other)).mean()
+    for slice_size in (1_000, 4):
+        monkeypatch.setattr(V, "SLICE", slice_size)
+        assert V.silhouette(df, "vec", "label", "id").first()[0] == pytest.approx(want)
+
+
+def test_restarts_take_the_cheapest_fit(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(c, 0.1, (30, 2)) for c in ((0, 0), (1, 0), (0, 9), (1, 9), (50, 0), (51, 0))])
+    costs = [K.kmeans(_frame(spark, x), "id", "vec", 6, seed=42 + i, n_init=1).info["inertia"] for i in range(4)]
+    assert K.kmeans(_frame(spark, x), "id", "vec", 6, n_init=4).info["inertia"] == pytest.approx(min(costs))
+
+
 def test_evaluation_leaves_noise_out(spark, points):
     labels = spark.createDataFrame([(i, -1 if i == 0 else int(i >= 60)) for i in range(180)], "id long, label int")
     df = _frame(spark, points).join(labels, "id")

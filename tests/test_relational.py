@@ -203,3 +203,35 @@ def test_seed_lists_and_concept_sets(spark):
     mapping = spark.createDataFrame([(1, "ECMO"), (2, "dialysis"), (3, None), (4, "other")], "concept_id long, mapping string")
     assert rows(S.concept_sets(mapping, "mapping", wanted={"ecmo": "ECMO"}), "label", "concept_id") == [("ecmo", 1)]
     assert S.concept_sets(mapping, "mapping").count() == 3
+
+
+@pytest.mark.parametrize("size", [2, 1_102])
+def test_not_in_with_a_null_leaves_nothing(spark, size):
+    df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "x int")
+    values = [1, *range(100, 98 + size)]
+    assert sorted(r["x"] for r in R.filter_not_in(df, "x", values).collect()) == [2, 3]
+    assert R.filter_not_in(df, "x", [*values, None]).count() == 0
+
+
+def test_rates_of_fractions(spark):
+    df = spark.createDataFrame([("a", 0.25, True), ("a", 0.75, False)], "g string, share double, flag boolean")
+    assert R.rate_by(df, ["g"], ["share", "flag"]).first()[1:] == (0.5, 0.5)
+
+
+def test_long_axes_without_keys(spark, monkeypatch):
+    cells = spark.createDataFrame([(1, "a", 2), (2, "b", 3), (3, "c", 4)], "x int, y string, n long")
+    want = {(r["x"], r["y"]): r["n"] for r in R.complete_grid(cells, "x", "y").collect()}
+    monkeypatch.setattr(R, "AXIS_VALUES", 1)
+    grid = R.complete_grid(cells, "x", "y")
+    assert {(r["x"], r["y"]): r["n"] for r in grid.collect()} == want and len(want) == 9
+    assert "NestedLoop" not in grid._jdf.queryExecution().toString()
+
+
+def test_codes_of_many_levels(spark):
+    from cohortry.operators.features import label_encode, one_hot_long
+
+    df = spark.range(3_000).selectExpr("id", "if(id % 7 = 0, null, concat('v', lpad(id % 2500, 5, '0'))) AS c")
+    rows = label_encode(df, ["c"]).collect()
+    order = {v: i for i, v in enumerate(sorted({r["c"] for r in rows if r["c"] is not None}))}
+    assert len(order) > 1_000 and all(r["c_encoded"] == (None if r["c"] is None else order[r["c"]]) for r in rows)
+    assert one_hot_long(df, "id", ["c"]).count() == sum(r["c"] is not None for r in rows)
