@@ -410,9 +410,9 @@ def dbscan(df: DataFrame, row_id: str, vec: str, eps: float, min_points: int = M
                     pd.DataFrame({"a": a[is_core], "b": left, "core": True}),
                     pd.DataFrame({"a": b, "b": right, "core": True}),
                 ]
-                for p in np.flatnonzero(~is_core):
-                    found = np.unique(right[close[p]])
-                    out.append(pd.DataFrame({"a": a[p], "b": found, "core": False}))
+                at, reached = np.nonzero(close[~is_core])
+                found = np.unique(np.stack([a[~is_core][at], right[reached]]), axis=1)
+                out.append(pd.DataFrame({"a": found[0], "b": found[1], "core": False}))
                 yield pd.concat(out)
 
     links = marked.mapInPandas(link, "a long, b long, core boolean").distinct().checkpoint()
