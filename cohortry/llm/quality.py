@@ -29,7 +29,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 METRICS = {
     "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 150),
     "duplicates": ("1000 * n_dup_lines div greatest(n_lines, 1)", 300),
-    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 100),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 200),
     "letters": ("100 * word_chars div greatest(n_words, 1)", 150),
     "capitals": ("1000 * n_upper div greatest(word_chars, 1)", 150),
     "bangs": ("1000 * n_bangs div greatest(n_words, 1)", 300),

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortry.llm import ann, licenses, neardup, packing, pieces, pii, quality, rans, toxicity, warc
+from cohortry.llm.oracles import ORACLES  # noqa: F401
 from cohortry.llm.common import prepare, scratch, table
 from cohortry.llm.tokens import Encoder
 
@@ -84,6 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_warc_revisits, op7_pii_spans, op8_sentencepiece, op9_toxicity, op10_license_scan, pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
-
-

@@ -376,3 +376,11 @@ def test_dice_against_brute_force(docs, texts):
 
     got = {r["doc_id"]: (r["licenses"], r["n_units"], r["best"]) for r in licenses.find_licenses(docs).collect()}
     assert got == {i: scan(t) for i, t in texts.items()} and any(v[1] for v in got.values())
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op4_bottom_k_duplicates", "op5_vantage_point_trees", "op6_warc_revisits", "op10_license_scan"])
+def test_queries_against_sql(spark, name):
+    from checks.compare import compare
+    from cohortry.llm.queries import ORACLES, QUERIES
+
+    assert compare(spark, SF, name, QUERIES[name], ORACLES[name])[0].startswith("ok")
