@@ -25,8 +25,10 @@ def _op1() -> str:
     return rf"""WITH d AS (SELECT doc_id, COALESCE(lang, '') AS l, COALESCE(source, '') AS s, COALESCE(text, '') AS t FROM documents),
     w AS (SELECT doc_id, l, s, t, regexp_extract_all(t, '{WORD}') AS words,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
-    spot AS (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) > 5),
-    win AS (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 4], ' ')) AS n FROM spot),
+    spot AS (SELECT doc_id, generate_subscripts(words, 1) AS i, unnest(words) AS a FROM w),
+    five AS (SELECT doc_id, i, a || ' ' || lead(a, 1) OVER o || ' ' || lead(a, 2) OVER o || ' ' || lead(a, 3) OVER o || ' ' || lead(a, 4) OVER o AS g
+        FROM spot WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    win AS (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, g) AS n FROM five WHERE g IS NOT NULL),
     rep AS (SELECT doc_id, COUNT(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM win WHERE n > 1) GROUP BY ALL),
     counts AS MATERIALIZED (SELECT w.doc_id, l, s, len(words)::BIGINT AS n_words, COALESCE(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
@@ -46,10 +48,11 @@ def _op1() -> str:
 
 OP4 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
-  sh AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(words) - 1, 2)), lambda i: array_to_string(words[i:i + 2], ' '))) AS g
-      FROM w WHERE len(words) > 0),
-  size AS (SELECT w.doc_id, COALESCE(len(g), 0)::BIGINT AS n FROM w LEFT JOIN sh ON sh.doc_id = w.doc_id),
-  x AS (SELECT doc_id, unnest(g) AS g FROM sh),
+  tok AS (SELECT doc_id, len(words) AS n, generate_subscripts(words, 1) AS i, unnest(words) AS a FROM w),
+  three AS (SELECT doc_id, n, i, a || COALESCE(' ' || lead(a, 1) OVER o, '') || COALESCE(' ' || lead(a, 2) OVER o, '') AS g
+      FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  x AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM three WHERE i <= greatest(n - 2, 1)),
+  size AS MATERIALIZED (SELECT w.doc_id, COUNT(g) AS n FROM w LEFT JOIN x ON x.doc_id = w.doc_id GROUP BY ALL),
   pair AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
   link AS (SELECT a, b FROM pair JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
   edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
