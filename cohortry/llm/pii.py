@@ -69,7 +69,7 @@ def _part_fits(part: Column) -> Column:
 
 
 def _valid(kind: str, value: Column) -> Column:
-    if kind == "email":
+    if kind == "email" or kind in ADDED:
         return F.lit(True)
     if kind == "ip":
         return F.forall(F.split(value, r"\."), _part_fits)
@@ -88,21 +88,23 @@ def _matches(text: Column, kind: str, pattern: str) -> tuple[Column, Column]:
 
 
 def _spans(kind: str) -> Column:
-    """Spans of all matches from ``__found`` and the gaps before them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    """Spans of the matches in ``__found`` whose check holds, placed by the gaps before them.
+
+    One walk over the matches; only spans that stay are gathered, so numbers without end in
+    a text cost one step each.
+    """
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("kept"))
     steps = F.arrays_zip(F.col("__found").alias("hit"), F.slice("__gaps", 1, F.size("__found")).alias("gap"))
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + F.length(x["gap"])
-        # Starts are gathered as lengths only; appending to an array is linear in its few entries.
-        return F.struct((begin + F.length(x["hit"])).alias("at"), F.concat(state["starts"], F.array(begin)).alias("starts"))
-
-    starts = F.aggregate(steps, start, step, lambda s: s["starts"])
-    return F.zip_with(
-        starts,
-        F.col("__found"),
-        lambda a, m: F.struct(F.lit(kind).alias("kind"), a.alias("start"), (a + F.length(m)).alias("end"), m.alias("value")),
-    )
+        end = begin + F.length(x["hit"])
+        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["hit"].alias("value"))
+        kept = F.when(_valid(kind, x["hit"]), F.concat(state["kept"], F.array(span))).otherwise(state["kept"])
+        return F.struct(end.alias("at"), kept.alias("kept"))
+
+    return F.aggregate(steps, start, step, lambda s: s["kept"])
 
 
 def _scored(kind: str, text: Column, span: Column) -> Column:
@@ -113,10 +115,9 @@ def _scored(kind: str, text: Column, span: Column) -> Column:
     return F.lit(alone) + close + proven
 
 
-def _taken(kind: str) -> Column:
-    """Base spans whose check holds."""
-    good = F.filter("__spans", lambda s: _valid(kind, s["value"]))
-    return F.transform(good, lambda s: _span(s, F.lit(1.0)))
+def _taken() -> Column:
+    """Base spans, all of which are taken."""
+    return F.transform("__spans", lambda s: _span(s, F.lit(1.0)))
 
 
 def _accepted(kind: str) -> Column:
@@ -140,7 +141,7 @@ def find_spans(docs: DataFrame, text: str = "text", into: str = "spans") -> Data
         pattern = BASE[kind] if kind in BASE else ADDED[kind][0]
         found, gaps = _matches(F.col("__text"), kind, pattern)
         out = out.withColumn("__found", found).withColumn("__gaps", gaps).withColumn("__spans", _spans(kind))
-        spans = _taken(kind) if kind in BASE else _accepted(kind)
+        spans = _taken() if kind in BASE else _accepted(kind)
         out = out.withColumn(name, spans.cast(SPAN)).drop("__found", "__gaps", "__spans")
     return out.withColumn(into, F.concat(*names)).drop("__text", *names)
 
