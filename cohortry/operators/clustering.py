@@ -6,6 +6,7 @@ the driver; every fit and score inside the loop is a Spark job on persisted feat
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -459,10 +460,56 @@ def dbscan_sweep(
 
 # --- Ward on a neighbour graph ---------------------------------------------------------------
 
+#: Clusters left at which the rest of the tree is built on the driver from their centroids.
+LOCAL_CLUSTERS = 256
+
+
 def _ward_cost(n1, n2, squared) -> Column:
     return n1 * n2 / (n1 + n2) * squared
 
 
+def _finish_locally(clusters: list, edges: list) -> list[tuple[int, int, float]]:
+    """Greedy merges of a bounded number of clusters; unconnected parts are joined by any pair."""
+    size = {r["id"]: float(r["n"]) for r in clusters}
+    centre = {r["id"]: np.array(r["centre"]) for r in clusters}
+    near: dict[int, set] = {i: set() for i in size}
+    for r in edges:
+        near[r["a"]].add(r["b"])
+        near[r["b"]].add(r["a"])
+
+    def entry(a: int, b: int) -> tuple:
+        a, b = min(a, b), max(a, b)
+        gap = centre[a] - centre[b]
+        return (size[a] * size[b] / (size[a] + size[b]) * float(gap @ gap), a, b, size[a], size[b])
+
+    heap = [entry(a, b) for a in near for b in near[a] if a < b]
+    heapq.heapify(heap)
+    merges = []
+    while len(size) > 1:
+        while heap:
+            cost, a, b, na, nb = heapq.heappop(heap)
+            if size.get(a) == na and size.get(b) == nb:
+                break
+        else:
+            ids = sorted(size)
+            heap = [entry(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
+            for a in ids:
+                near[a] = set(ids) - {a}
+            heapq.heapify(heap)
+            continue
+        merges.append((a, b, cost))
+        centre[a] = (centre[a] * na + centre[b] * nb) / (na + nb)
+        size[a] = na + nb
+        near[a] = (near[a] | near.pop(b)) - {a, b}
+        for c in near[a]:
+            near[c].discard(b)
+            near[c].add(a)
+        del size[b], centre[b]
+        for c in near[a]:
+            heapq.heappush(heap, entry(a, c))
+    return merges
+
+
 def ward_knn(
     df: DataFrame,
     row_id: str,
@@ -470,6 +517,7 @@ def ward_knn(
     n_clusters: int = 5,
     k_nn: int = 10,
     edges: DataFrame | None = None,
+    local_clusters: int = LOCAL_CLUSTERS,
     seed: int = 42,
 ) -> Fit:
     """Ward clustering restricted to a neighbour graph (built here unless ``edges(a, b)`` is given).
@@ -477,9 +525,8 @@ def ward_knn(
     A round merges every pair of clusters that are each other's cheapest neighbour, so
     the number of rounds grows with the logarithm of the rows. On a full graph this is
     the greedy tree; on a sparse one the order of merges may differ from the greedy one.
-    Parts without a link are joined through their centroids. Rounds end when no more than
-    ``n_clusters`` are left; if a round went below, the dearest merges are taken back.
-    Labels count from 0 in order of the smallest row id.
+    Parts without a link are joined through their centroids. The tree is cut into
+    ``n_clusters``; labels count from 0 in order of the smallest row id.
     """
     clusters = df.select(
         F.col(row_id).cast("long").alias("id"), F.lit(1.0).alias("n"), F.col(vec).cast("array<double>").alias("centre")
@@ -494,7 +541,7 @@ def ward_knn(
     merge_schema = "a long, b long, cost double"
     done: list[DataFrame] = []
     left = clusters.count()
-    while left > max(n_clusters, 1):
+    while left > max(local_clusters, 1):
         one = clusters.toDF("a", "na", "ca")
         two = clusters.toDF("b", "nb", "cb")
         priced = links.join(one, "a").join(two, "b").select(
@@ -530,14 +577,16 @@ def ward_knn(
         links = (
             ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         ).checkpoint()
+    if left > 1:
+        rest = _finish_locally(clusters.collect(), links.collect())
+        done.append(spark.createDataFrame(rest, merge_schema))
     tree = spark.createDataFrame([], merge_schema)
     for part in done:
         tree = tree.unionByName(part)
     tree = tree.checkpoint()
-    back = max(0, n_clusters - left)
-    cut = tree.orderBy(F.desc("cost"), "a", "b").limit(back)
+    cut = tree.orderBy(F.desc("cost"), "a", "b").limit(n_clusters - 1)
     kept = tree.join(cut.select("a", "b"), ["a", "b"], "left_anti")
-    roots = connected_components((kept if back else tree).select("a", "b"))
+    roots = connected_components(kept.select("a", "b")) if n_clusters > 1 else connected_components(tree.select("a", "b"))
     rooted = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # At most n_clusters roots.
     order = sorted(r["root"] for r in rooted.select("root").distinct().collect())
