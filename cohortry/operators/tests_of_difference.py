@@ -431,10 +431,15 @@ def normality_gate(
     long = to_long(df.where(F.col(group).isNotNull()), columns, [row_id, group]).withColumnRenamed(group, "grp")
     keys = ["variable", "grp"]
     sizes = long.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.skewness("value").alias("__skew"), F.kurtosis("value").alias("__kurt")
+        F.count("value").alias("n"),
+        F.skewness("value").alias("__skew"),
+        F.kurtosis("value").alias("__kurt"),
+        (F.min("value") == F.max("value")).alias("__same"),
     )
     if method == "moments":
         jb = F.col("n") / 6 * (F.col("__skew") ** 2 + F.col("__kurt") ** 2 / 4)
+        # A constant has no moments to speak against it.
+        jb = F.when(F.col("__same") & (F.col("n") >= 8), 0.0).otherwise(jb)
         scored = sizes.withColumn("statistic", jb).withColumn("p_value", chi2_sf("statistic", F.lit(2.0)))
     elif method == "shapiro":
         sample = bounded_sample(long, n, row_id, keys, seed)
