@@ -3,6 +3,7 @@
 import gzip
 import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -384,3 +385,22 @@ def test_queries_against_sql(spark, name):
     from cohortry.llm.queries import ORACLES, QUERIES
 
     assert compare(spark, SF, name, QUERIES[name], ORACLES[name])[0].startswith("ok")
+
+
+def test_licenses_wherever_lines_break(spark):
+    """Notices wrapped over lines of a longer document, and inside a line with other prose."""
+    prose = " ".join(f"word{i}" for i in range(120))
+    wrap = lambda name, width: "\n".join(textwrap.wrap(licenses.TEMPLATES[name], width))
+    rows = [
+        (1, f"{prose}\n\n{wrap('MIT-text', 72)}\n\n{prose}"),
+        (2, f"{prose}\n# {wrap('Apache-2.0-notice', 60)}\n{prose}"),
+        (3, f"{prose} {licenses.TEMPLATES['GPL-3.0']} {prose}"),
+        (4, f"{prose}\n{prose} Released under\nthe MIT License. {prose} Licensed under CC BY 4.0. {prose}"),
+        (5, f"{prose}\nReleased under the MIT License.\n{prose}"),
+        (6, f"{prose} permission is hereby granted under the license {prose}"),
+        (7, wrap("GPL-2.0", 40)),  # its first line and the text as a whole
+    ]
+    found = {r["doc_id"]: tuple(r)[1:] for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == ("MIT-text", 1, 1.0) and found[3] == ("GPL-3.0", 1, 1.0) and found[4] == ("CC-BY-4.0,MIT", 2, 1.0)
+    assert "Apache-2.0-notice" in found[2][0].split(",") and found[2][2] == 1.0
+    assert found[5] == ("MIT", 1, 1.0) and found[6] == ("", 0, 0.0) and found[7] == ("GPL-2.0", 2, 1.0)
