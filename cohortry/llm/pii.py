@@ -16,6 +16,24 @@ from pyspark.sql import functions as F
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
+#: Characters of an account number by country, from the public registry and its list of countries in part.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Account numbers: of a known country as long as its numbers are, so that the next word stays outside; of another one as long as it goes, but not into one of a known country."""
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    exact = [rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()]
+    other = rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:\x20(?!(?:{known})[0-9]{{2}})[A-Z0-9]|[A-Z0-9]){{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*exact, other])})(?![A-Za-z0-9])"
+
+
 #: Patterns proposing spans. Guards let a match start only where a run of its first
 #: characters starts (or where the last match ended), and possessive repeats never look
 #: back, so a text is read once whatever it holds.
@@ -27,7 +45,7 @@ BASE = {
 }
 #: Added kinds: pattern, words of its context, score of the pattern alone.
 ADDED = {
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"iban|bank|account|konto|compte|cuenta", 0.2),
+    "iban": (_iban(), r"iban|bank|account|konto|compte|cuenta", 0.2),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"ssn|social security|sozialversicherung", 0.4),
     "local_phone": (r"(?<![0-9+.(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"phone|tel|call|mobile|telefon|téléphone|fax", 0.4),
 }

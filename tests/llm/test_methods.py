@@ -287,6 +287,18 @@ def test_pii_checksums_and_context(spark):
     assert got == {1: "iban:5:32", 2: "", 3: "iban:0:22", 4: "ssn:10:21", 5: "", 6: "local_phone:5:17", 7: ""}
 
 
+def test_account_numbers_end_where_the_next_word_starts(spark):
+    rows = [
+        (1, "DE89 3704 0044 0532 0130 00 Bitte"), (2, "DE89370400440532013000 Bank"), (3, "DE89 3704 0044 0532 0130 00 12 euro"),
+        (4, "AB12 DE89370400440532013000 GB82 WEST 1234 5698 7654 32 NO93 8601 1117 947 A"), (5, "DE89370400440532013000X"),
+        (6, "DE88 3704 0044 0532 0130 00 Bitte"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(frame).collect()}
+    assert got == {1: "iban:0:27", 2: "iban:0:22", 3: "iban:0:27", 4: "iban:5:27,iban:28:55,iban:56:74", 5: "", 6: ""}
+    assert {r["text"] for r in pii.redact(frame.where("doc_id < 4")).collect()} == {"[IBAN] Bitte", "[IBAN] Bank", "[IBAN] 12 euro"}
+
+
 def test_pii_stays_in_the_jvm(docs):
     plan = pii.report(docs)._jdf.queryExecution().toString() + licenses.find_licenses(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
