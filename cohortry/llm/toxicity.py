@@ -29,13 +29,15 @@ from cohortry.llm.common import fields, forget, keep, scratch
 #: Labelled texts that terms are mined from, about; texts the classifier is trained on, about.
 LABELLED_ROWS = 20_000
 TRAINING_ROWS = 50_000
-#: Mined terms, at most, and what a term must show: toxic texts it is in (number and share), and the share of toxic ones among all texts it is in.
+#: Mined terms, at most, and what a term must show: toxic texts it is in, and the share of toxic ones among all texts it is in.
 TERMS = 48
 LEAST_TEXTS = 4
-LEAST_SHARE = 0.02
 #: Least log-likelihood ratio; among some hundred thousand terms, chance seldom gives as much.
 LEAST_SURPRISE = 24.0
-LEAST_PRECISION = 0.95
+#: Low: how much a weak voter is worth, the label model finds out.
+LEAST_PRECISION = 0.5
+#: Terms the voters are picked among, at most.
+CANDIDATES = 5_000
 #: Lengths of word beginnings that may become terms.
 BEGINNINGS = range(4, 9)
 ITERATIONS = 6
@@ -96,11 +98,61 @@ def _parts(text: str | None) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in BEGINNINGS if len(w) > n}
 
 
+def _texts_with(texts: DataFrame, terms: list[str]) -> list[tuple[list[int], int]]:
+    """(places of the terms in a text, number of such texts) of the sampled toxic texts."""
+    place = {t: k for k, t in enumerate(terms)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(place[t] for t in _parts(text) if t in place) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["terms"])
+
+    rows = texts.select("text").mapInArrow(run, "terms array<int>").where(F.size("terms") > 0).groupBy("terms").count()
+    return [(r["terms"], r["count"]) for r in rows.collect()]  # at most one row per sampled toxic text
+
+
+def _pick(ranked: list[str], worth: dict[str, float], found: list[tuple[list[int], int]]) -> list[str]:
+    """Terms by their worth times the texts they are the first in, while those are enough; then by rank."""
+    inside: list[list[int]] = [[] for _ in ranked]
+    for row, (places, _) in enumerate(found):
+        for k in places:
+            inside[k].append(row)
+    new = [sum(found[row][1] for row in rows) for rows in inside]
+    done = [False] * len(found)
+    chosen: list[str] = []
+
+    def covered(term: str) -> bool:
+        bare = term.rstrip("*")
+        return any(c.endswith("*") and bare.startswith(c[:-1]) for c in chosen) or any(c.rstrip("*").startswith(bare) for c in chosen)
+
+    open_ = set(range(len(ranked)))
+    while len(chosen) < TERMS:
+        enough = [k for k in open_ if new[k] >= LEAST_TEXTS]
+        if not enough:
+            break
+        k = max(enough, key=lambda k: (new[k] * worth[ranked[k]], -k))
+        open_.discard(k)
+        if covered(ranked[k]):
+            continue
+        chosen.append(ranked[k])
+        for row in inside[k]:
+            if not done[row]:
+                done[row] = True
+                for other in found[row][0]:
+                    new[other] -= found[row][1]
+    for k in sorted(open_):
+        if len(chosen) < TERMS and not covered(ranked[k]):
+            chosen.append(ranked[k])
+    return chosen
+
+
 def mine_terms(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Voters:
     """Voters from labelled texts outside the held-out third; about ``rows`` of them, chosen by a hash of the id.
 
-    Terms rank by the log-likelihood ratio of their counts in toxic and other texts. Terms
-    that a better one already covers are left out.
+    Terms rank by the log-likelihood ratio of their counts in toxic and other texts. First
+    come those that are worth most in toxic texts no earlier one is in, so that a small
+    vocabulary gets its voters too; then the best of the others. Terms that a better one
+    already covers are left out.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("__toxic"))
@@ -141,15 +193,10 @@ def mine_terms(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
         )
         best = counted.where("term != ''").withColumn("surprise", surprise)
         best = best.where((F.col("bad") >= LEAST_PRECISION * both) & (F.col("surprise") >= LEAST_SURPRISE))
-        best = best.where(F.col("bad") >= LEAST_SHARE * bad)
-        # The report is the best few hundred terms; the voters are picked among them.
         order = [F.desc("surprise"), F.col("term").endswith("*"), F.desc(F.length("term")), "term"]
-        best = best.orderBy(*order).limit(20 * TERMS)
-        for term in [r["term"] for r in best.collect()]:
-            bare = term.rstrip("*")
-            covered = any(c.endswith("*") and bare.startswith(c[:-1]) for c in chosen) or any(c.rstrip("*").startswith(bare) for c in chosen)
-            if not covered and len(chosen) < TERMS:
-                chosen.append(term)
+        best = best.orderBy(*order).limit(CANDIDATES).collect()
+        worth = {r["term"]: math.log(r["bad"] / (r["bad"] + r["good"]) * (bad + good) / bad) for r in best}
+        chosen = _pick([r["term"] for r in best], worth, _texts_with(texts.where("__toxic > 0"), list(worth)))
     forget(docs.sparkSession, at)
     words = list(dict.fromkeys([*[t for t in chosen if not t.endswith("*")], *LEXICON]))
     beginnings = [t[:-1] for t in chosen if t.endswith("*")]

@@ -358,6 +358,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert right[0] >= 0.9 and right[1] <= 0.02
 
 
+def test_toxicity_of_a_small_vocabulary_and_noisy_labels(spark, monkeypatch):
+    """A language with a twentieth of the toxic texts, its insults in a quarter of those each; 6% of the labels are wrong."""
+    monkeypatch.setattr(toxicity, "LEXICON", ())
+    rng = np.random.default_rng(8)
+    name = lambda n: "".join("abcdefghijklmnopqrst"[int(c)] for c in str(n))
+    rows = []
+    for i in range(9000):
+        toxic, small = i % 5 == 0, rng.random() < 0.05
+        words = [("v" if small else "w") + name(x) for x in rng.integers(1000, 3000, 30)]
+        if toxic:
+            words += [f"{'zu' if small else 'xo'}{c}rk" for c in rng.permutation(list("aeiouydn"))[:2]]
+        rows.append((i, " ".join(words), small, int(toxic), int(toxic != (rng.random() < 0.06))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, small boolean, truth int, toxic int")
+    found = toxicity.score(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).join(frame, "doc_id").where("held_out")
+    share = {(r["small"], r["truth"]): r["p"] for r in found.groupBy("small", "truth").agg(F.avg("predicted").alias("p")).collect()}
+    assert share[True, 1] >= 0.8 and share[False, 1] >= 0.8 and share[True, 0] <= 0.05 and share[False, 0] <= 0.05
+
+
 def test_label_model_finds_rates_and_copies(spark):
     """Two voters that always agree count as one; a voter blind to the class gets no say."""
     rng = np.random.default_rng(6)
