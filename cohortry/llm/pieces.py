@@ -2,7 +2,9 @@
 
 The pieces and log scores come from a model file; the segmentation with the largest score
 sum is chosen, among equal sums the one whose last piece is longest, and so on backwards.
-Characters no piece holds become byte pieces. Spaces are written as a marker, with one put
+The model file in use (``piece_bpe_32k.model``) is a BPE model, so its scores are merge order
+and not log probabilities: the ids are neither those of a unigram model nor the library's own
+encoding by that file. Characters no piece holds become byte pieces. Spaces are written as a marker, with one put
 before a text. No piece goes on after a marker that follows another character, so texts
 are searched word by word, and words seen before are remembered.
 """
