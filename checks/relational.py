@@ -279,8 +279,8 @@ def _(t: Tables):
 @check(
     "j6_left_join_filtered",
     """SELECT v.visit_occurrence_id, v.person_id, d.device_concept_id FROM visit_occurrence v
-       LEFT JOIN device_exposure d ON v.person_id = d.person_id AND v.visit_occurrence_id = d.visit_occurrence_id
-       AND d.device_concept_id NOT IN (600003)""",
+       LEFT JOIN (SELECT * FROM device_exposure WHERE device_concept_id <> 600003) d
+       USING (person_id, visit_occurrence_id)""",
 )
 def _(t: Tables):
     visits = t.visit_occurrence.select(*X.VISIT_KEY)
@@ -290,12 +290,8 @@ def _(t: Tables):
 
 @check(
     "j7_right_join_as_inner",
-    """SELECT person_id, visit_occurrence_id, race_name, gender_name,
-         MAX(CASE WHEN level = '1' THEN 1 ELSE 0 END) AS nasal_canula_mask,
-         MAX(CASE WHEN level = '2' THEN 1 ELSE 0 END) AS hiflo_oximyzer,
-         MAX(CASE WHEN level = '3' THEN 1 ELSE 0 END) AS cpap_bipap,
-         MAX(CASE WHEN level = '4' THEN 1 ELSE 0 END) AS mechanical_ventilation
-       FROM device_rows WHERE level IS NOT NULL GROUP BY 1, 2, 3, 4""",
+    """SELECT DISTINCT person_id, visit_occurrence_id, race_name, gender_name, e.* EXCLUDE (person_id, visit_occurrence_id)
+       FROM device_events e JOIN cohort USING (person_id, visit_occurrence_id)""",
 )
 def _(t: Tables):
     sets = X.device_sets(t.device_mapping)
