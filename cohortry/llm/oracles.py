@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortry.llm import licenses, quality
+from cohortry.llm import fingerprints, licenses, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -94,10 +94,31 @@ def _op10() -> str:
     COALESCE(ROUND(MAX(dice), 6), 0.0::DOUBLE) AS best FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+def _op13() -> str:
+    def sketch(text: str) -> str:
+        words = f"regexp_extract_all(translate({text}, '{fingerprints.UPPER}', '{fingerprints.LOWER}'), '{WORD}')"
+        grams = f"""list_transform(range(1, greatest(len(w) - {fingerprints.WIDTH - 1}, 1) + 1),
+          lambda i: md5(array_to_string(w[i:i + {fingerprints.WIDTH - 1}], ' '))[1:{fingerprints.DIGITS}])"""
+        return f"(SELECT CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct({grams}))[1:{fingerprints.SIZE}] END FROM (SELECT {words} AS w))"
+
+    def near(a: str, b: str) -> str:
+        return f"""(SELECT CASE WHEN len(u) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(u, lambda x: list_contains({a}, x) AND list_contains({b}, x)))
+          / len(u)::DOUBLE END FROM (SELECT list_sort(list_distinct(list_concat({a}, {b})))[1:{fingerprints.SIZE}] AS u))"""
+
+    return f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),
+  n AS (SELECT *, COALESCE(lead(t) OVER o, first_value(t) OVER o) AS following FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, t)),
+  e AS (SELECT doc_id, t, following, left(t, length(t) - length(t) // 2) || left(following, length(t) // 2) AS edited FROM n),
+  k AS MATERIALIZED (SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {sketch("t")} AS a, {sketch("edited")} AS b,
+      {sketch("following")} AS c FROM e)
+  SELECT doc_id, n_chars, edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+    {near("a", "b")} AS near_edited, {near("a", "c")} AS near_next FROM k"""
+
+
 ORACLES = {
     "op1_quality_rules": _op1(),
     "op4_bottom_k_duplicates": OP4,
     "op5_vantage_point_trees": OP5,
     "op6_warc_revisits": OP6,
     "op10_license_scan": _op10(),
+    "op13_fingerprints": _op13(),
 }
