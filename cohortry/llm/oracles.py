@@ -114,11 +114,50 @@ def _op13() -> str:
     {near("a", "b")} AS near_edited, {near("a", "c")} AS near_next FROM k"""
 
 
+def _op12() -> str:
+    def field(x: str) -> str:
+        return f"COALESCE(octet_length(encode({x}::VARCHAR))::VARCHAR || ':' || {x}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+
+    bits = "list_reduce(list_prepend(xor(c, x), range(8)), lambda b, k: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)"
+    codes = "list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, x: {bits}), 4294967295)"
+
+    def tree(name: str, start: str) -> str:
+        return f"""{name} AS ({start} UNION ALL SELECT s, level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i))
+          FROM {name} WHERE n > 1 GROUP BY s, level, i // 3)"""
+
+    def steps(offset: int, i: str, nodes: str, same: str) -> str:
+        return f"""SELECT doc_id, x.level + {offset} AS step, x.i AS pos, x.h, x.i = l.{i} // (3 ** x.level)::BIGINT AS mine, x.i < l.{i} // (3 ** x.level)::BIGINT AS left_one
+          FROM l JOIN {nodes} x ON {same} AND x.n > 1 AND x.i // 3 = l.{i} // (3 ** (x.level + 1))::BIGINT"""
+
+    return f"""WITH RECURSIVE leafs AS (SELECT doc_id, source AS s, row_number() OVER o - 1 AS i, COUNT(*) OVER (PARTITION BY source) AS n, {leaf("text")} AS leaf,
+      CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS other
+      FROM documents WINDOW o AS (PARTITION BY source ORDER BY doc_id)),
+  {tree("one", "SELECT s, 0 AS level, i, n, leaf AS h FROM leafs")},
+  subs AS (SELECT s AS source, h AS subroot, row_number() OVER (ORDER BY s NULLS FIRST) - 1 AS place, COUNT(*) OVER () AS n FROM one WHERE n = 1),
+  {tree("two", "SELECT NULL::VARCHAR AS s, 0 AS level, place AS i, n, subroot AS h FROM subs")},
+  l AS MATERIALIZED (SELECT leafs.*, subroot, place FROM leafs JOIN subs ON s IS NOT DISTINCT FROM source),
+  steps AS MATERIALIZED ({steps(0, "i", "one", "x.s IS NOT DISTINCT FROM l.s")} UNION ALL {steps(100, "place", "two", "true")}),
+  sides AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS k,
+      COALESCE(string_agg(h, '' ORDER BY pos) FILTER (WHERE left_one), '') AS a, COALESCE(string_agg(h, '' ORDER BY pos) FILTER (WHERE NOT left_one AND NOT mine), '') AS b
+      FROM steps GROUP BY doc_id, step),
+  folds AS (SELECT doc_id, 0::BIGINT AS k, other AS h FROM l UNION ALL
+      SELECT folds.doc_id, folds.k + 1, sha256(a || h || b) FROM folds JOIN sides ON sides.doc_id = folds.doc_id AND sides.k = folds.k + 1),
+  folded AS (SELECT doc_id, arg_max(h, k) AS folded_root FROM folds GROUP BY doc_id),
+  proofs AS (SELECT doc_id, sha256(string_agg(a || b, '' ORDER BY k)) AS proof_sha256 FROM sides GROUP BY doc_id)
+  SELECT l.doc_id, leaf, subroot, h AS root, COALESCE(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = h AS verified
+  FROM l JOIN folded ON folded.doc_id = l.doc_id LEFT JOIN proofs ON proofs.doc_id = l.doc_id, (SELECT h FROM two WHERE n = 1)"""
+
+
 ORACLES = {
     "op1_quality_rules": _op1(),
     "op4_bottom_k_duplicates": OP4,
     "op5_vantage_point_trees": OP5,
     "op6_warc_revisits": OP6,
     "op10_license_scan": _op10(),
+    "op12_merkle_manifest": _op12(),
     "op13_fingerprints": _op13(),
 }
