@@ -152,12 +152,25 @@ def _op12() -> str:
   FROM l JOIN folded ON folded.doc_id = l.doc_id LEFT JOIN proofs ON proofs.doc_id = l.doc_id, (SELECT h FROM two WHERE n = 1)"""
 
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = f"""unnest(regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}'))"""
+OP11 = f"""WITH p AS (SELECT doc_id, t, COUNT(*) AS tf FROM (SELECT doc_id, {_TERMS} AS t FROM documents) GROUP BY ALL),
+  d AS (SELECT doc_id, SUM(tf)::BIGINT AS n FROM p GROUP BY ALL), c AS (SELECT COUNT(*) AS n, SUM(n)::BIGINT AS l FROM d),
+  w AS (SELECT t, floor(1000 * ln((2 * c.n + 2)::DOUBLE / (2 * COUNT(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY t, c.n),
+  q AS (SELECT item_id, t, COUNT(*) AS times FROM (SELECT item_id, {_TERMS} AS t FROM benchmark) GROUP BY ALL),
+  s AS (SELECT item_id, p.doc_id, SUM(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * d.n * c.n) // c.l))))::BIGINT AS score
+    FROM q JOIN w ON w.t = q.t JOIN p ON p.t = q.t JOIN d ON d.doc_id = p.doc_id, c GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0)
+  SELECT item_id, n::INT AS rank, doc_id, score FROM r WHERE n <= 10"""
+
+
 ORACLES = {
     "op1_quality_rules": _op1(),
     "op4_bottom_k_duplicates": OP4,
     "op5_vantage_point_trees": OP5,
     "op6_warc_revisits": OP6,
     "op10_license_scan": _op10(),
+    "op11_ranked_search": OP11,
     "op12_merkle_manifest": _op12(),
     "op13_fingerprints": _op13(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import ann, fingerprints, licenses, merkle, neardup, packing, pieces, pii, quality, rans, toxicity, warc
+from cohortry.llm import ann, fingerprints, licenses, merkle, neardup, packing, pieces, pii, quality, rans, search, toxicity, warc
 from cohortry.llm.oracles import ORACLES  # noqa: F401
 from cohortry.llm.common import prepare, scratch, table
 from cohortry.llm.tokens import Encoder
@@ -72,6 +72,10 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.find_licenses(table(prepare(spark), folder, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search_documents(table(prepare(spark), folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.prove(table(prepare(spark), folder, "documents"))
 
@@ -91,6 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_rules, op2_rans_tokens, op3_ffd_packing, op4_bottom_k_duplicates, op5_vantage_point_trees,
         op6_warc_revisits, op7_pii_spans, op8_sentencepiece, op9_toxicity, op10_license_scan,
-        op12_merkle_manifest, op13_fingerprints, pipeline,
+        op11_ranked_search, op12_merkle_manifest, op13_fingerprints, pipeline,
     )
 }
