@@ -99,10 +99,7 @@ def to_text(a: Column) -> Column:
 
 def from_text(text: Column) -> Column:
     """The sketch a string stands for."""
-    starts = F.sequence(F.lit(0), F.length(text).cast("int") / DIGITS - 1)
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(starts.cast("array<int>"), lambda i: text.substr(i * DIGITS + 1, F.lit(DIGITS)))
-    )
+    return F.regexp_extract_all(text, F.lit(f"[0-9a-f]{{{DIGITS}}}"), F.lit(0))
 
 
 def merge_by(sketches: DataFrame, keys: list[str], column: str, size: int = SIZE) -> DataFrame:

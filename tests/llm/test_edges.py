@@ -148,4 +148,4 @@ def test_stages_keep_columns(spark, odd, none, labels, tmp_path):
 
 
 def test_queries_are_registered():
-    assert [q.split("_")[0] for q in QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+    assert [q.split("_")[0] for q in QUERIES] == [*(f"op{n}" for n in range(1, 14)), "pipeline"]
