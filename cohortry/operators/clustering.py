@@ -15,12 +15,10 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.operators.batched_models import Blocks, assign, cheapest, lloyd, mixtures, silhouettes
 from cohortry.operators.evaluation import NOISE, silhouette, squared_distance
 from cohortry.operators.neighbors import _Layout, _points, knn_graph, within
 from cohortry.operators.relational import bounded_sample, mode_of
@@ -52,13 +50,7 @@ class Fit:
 
 def _features(df: DataFrame, row_id: str, vec: str) -> DataFrame:
     arr = F.col(vec).cast("array<double>")
-    return df.select(row_id, arr.alias("vec"), array_to_vector(arr).alias("features")).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-
-
-def _labels(model, rows: DataFrame, row_id: str) -> DataFrame:
-    return model.transform(rows).select(row_id, F.col("prediction").cast("int").alias("label"))
+    return df.select(row_id, arr.alias("vec")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _score(rows: DataFrame, labels: DataFrame, row_id: str) -> float | None:
@@ -66,14 +58,6 @@ def _score(rows: DataFrame, labels: DataFrame, row_id: str) -> float | None:
     return silhouette(rows.select(row_id, "vec").join(labels, row_id), "vec", "label", row_id).first()[0]
 
 
-def _score_model(model, rows: DataFrame, row_id: str) -> float | None:
-    """Silhouette of a fitted model over all rows; None for a single cluster."""
-    if sum(size > 0 for size in model.summary.clusterSizes) < 2:
-        return None
-    labelled = model.transform(rows).withColumnRenamed("prediction", "label")
-    return silhouette(labelled, "vec", "label", row_id).first()[0]
-
-
 def sweep(
     fit: Callable[[float], dict],
     parameters: Iterable,
@@ -98,12 +82,6 @@ def sweep(
     return best, [{k: v for k, v in t.items() if k != "labels"} for t in tried]
 
 
-def _fit_kmeans(rows: DataFrame, k: int, seed: int, max_iter: int, tol: float, n_init: int):
-    """The fit with the lowest cost of ``n_init`` starts."""
-    fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol).fit(rows) for i in range(max(1, n_init))]
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
 def kmeans(
     df: DataFrame,
     row_id: str,
@@ -115,11 +93,23 @@ def kmeans(
     n_init: int = RESTARTS,
 ) -> Fit:
     """k-means on an array column, best of ``n_init`` starts; ``info`` has the cost and the centres."""
-    rows = _features(df, row_id, vec)
-    model = _fit_kmeans(rows, k, seed, max_iter, tol, n_init)
-    cost = float(model.summary.trainingCost)
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    return Fit(_labels(model, rows, row_id), k, info={"inertia": cost, "centres": centres})
+    blocks = Blocks(df, vec)
+    best = cheapest(lloyd(blocks, [k], _seeds(seed, n_init), max_iter, tol), k)
+    blocks.release()
+    info = {"inertia": best.cost, "centres": best.centres.tolist(), "iterations": best.iterations}
+    return Fit(assign(df, row_id, vec, best.label), k, info=info)
+
+
+def _seeds(seed: int, n_init: int) -> list[int]:
+    return [seed + i for i in range(max(1, n_init))]
+
+
+def _choice(tried: list[dict], key: str, highest: bool = True) -> tuple[dict, list[dict]]:
+    """The best of the models tried (the first one on ties), and their scores."""
+    sign = 1 if highest else -1
+    scored = [t for t in tried if t[key] is not None]
+    best = max(scored, key=lambda t: sign * t[key]) if scored else tried[0]
+    return best, [{n: v for n, v in t.items() if n != "model"} for t in tried]
 
 
 def kmeans_sweep(
@@ -131,22 +121,22 @@ def kmeans_sweep(
     max_iter: int = 50,
     n_init: int = RESTARTS,
 ) -> Fit:
-    """k-means for every k; the best silhouette wins, one cluster scores -1."""
-    rows = _features(df, row_id, vec)
+    """k-means for every k; the best silhouette wins, one cluster scores -1.
 
-    def one(k: int) -> dict:
-        model = _fit_kmeans(rows, k, seed, max_iter, 1e-4, n_init)
-        labels = _labels(model, rows, row_id)
-        found = _score_model(model, rows, row_id)
-        return {
-            "k": k,
-            "silhouette": -1.0 if found is None else found,
-            "inertia": float(model.summary.trainingCost),
-            "labels": labels,
-        }
-
-    best, scores = sweep(one, ks, "silhouette")
-    return Fit(best["labels"], best["k"], scores)
+    All k and all starts advance together, one scan an iteration; the scores of all k are
+    two scans more.
+    """
+    blocks = Blocks(df, vec)
+    models = lloyd(blocks, list(ks), _seeds(seed, n_init), max_iter, 1e-4)
+    best = [cheapest(models, k) for k in ks]
+    found = silhouettes(blocks, [(len(m.centres), m.label) for m in best])
+    blocks.release()
+    tried = [
+        {"k": m.k, "silhouette": -1.0 if score is None else score, "inertia": m.cost, "model": m}
+        for m, score in zip(best, found, strict=True)
+    ]
+    won, scores = _choice(tried, "silhouette")
+    return Fit(assign(df, row_id, vec, won["model"].label), won["k"], scores, {"models": best})
 
 
 def gmm_parameters(k: int, d: int) -> int:
@@ -155,18 +145,9 @@ def gmm_parameters(k: int, d: int) -> int:
 
 
 def gmm(df: DataFrame, row_id: str, vec: str, k: int, seed: int = 42, max_iter: int = 50, tol: float = 1e-3) -> Fit:
-    """Gaussian mixture; ``info`` has log-likelihood, AIC and BIC."""
-    rows = _features(df, row_id, vec)
-    model, info = _fit_gmm(rows, k, seed, max_iter, tol)
-    return Fit(_labels(model, rows, row_id), k, info=info)
-
-
-def _fit_gmm(rows: DataFrame, k: int, seed: int, max_iter: int, tol: float):
-    model = GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=tol).fit(rows)
-    n = rows.count()
-    d = len(rows.select("vec").first()["vec"])
-    loglik, p = float(model.summary.logLikelihood), gmm_parameters(k, d)
-    return model, {"loglik": loglik, "aic": 2 * p - 2 * loglik, "bic": p * math.log(n) - 2 * loglik}
+    """Gaussian mixture started from k-means; ``info`` has log-likelihood (and its course), AIC, BIC and the model."""
+    fit = gmm_sweep(df, row_id, vec, [k], "bic", seed, max_iter, tol)
+    return Fit(fit.labels, k, info={**{n: v for n, v in fit.scores[0].items() if n in ("loglik", "aic", "bic")}, **fit.info})
 
 
 def gmm_sweep(
@@ -177,24 +158,34 @@ def gmm_sweep(
     criterion: str = "bic",
     seed: int = 42,
     max_iter: int = 50,
+    tol: float = 1e-3,
 ) -> Fit:
-    """Mixture for every k: lowest BIC, or highest silhouette (where a failing k is passed over)."""
-    rows = _features(df, row_id, vec)
+    """Mixture for every k: lowest BIC, or highest silhouette (where a failing k is passed over).
 
-    def one(k: int) -> dict:
-        try:
-            model, info = _fit_gmm(rows, k, seed, max_iter, 1e-3)
-        except IllegalArgumentException:
-            # The fit's own complaint about its arguments; anything else, a lost executor too, ends the sweep.
-            if criterion == "bic":
-                raise
-            return {"k": k, "loglik": None, "aic": None, "bic": None, "silhouette": None, "labels": None}
-        labels = _labels(model, rows, row_id)
-        found = _score_model(model, rows, row_id) if criterion == "silhouette" else None
-        return {"k": k, **info, "silhouette": found, "labels": labels}
-
-    best, scores = sweep(one, ks, criterion, highest=criterion == "silhouette")
-    return Fit(best["labels"], best["k"], scores)
+    Every mixture starts from the means of one k-means fit with its k, identity covariances
+    and equal weights; all of them advance together, one scan an iteration.
+    """
+    ks = list(ks)
+    blocks = Blocks(df, vec)
+    means = lloyd(blocks, ks, [seed], max_iter, 1e-4)
+    models = mixtures(blocks, [m.centres for m in means], ks, max_iter, tol)
+    if criterion == "bic" and any(m.failed for m in models):
+        raise ValueError("a covariance of the mixture has no inverse")
+    sound = [m for m in models if not m.failed]
+    found = silhouettes(blocks, [(len(m.means), m.label) for m in sound]) if criterion == "silhouette" else [None] * len(sound)
+    n, d = blocks.rows, blocks.width
+    blocks.release()
+    tried = []
+    for m in models:
+        if m.failed:
+            tried.append({"k": m.k, "loglik": None, "aic": None, "bic": None, "silhouette": None, "model": None})
+            continue
+        p = gmm_parameters(len(m.means), d)
+        information = {"loglik": m.loglik, "aic": 2 * p - 2 * m.loglik, "bic": p * math.log(n) - 2 * m.loglik}
+        tried.append({"k": m.k, **information, "silhouette": found.pop(0), "model": m})
+    won, scores = _choice(tried, criterion, highest=criterion == "silhouette")
+    labels = None if won["model"] is None else assign(df, row_id, vec, won["model"].label)
+    return Fit(labels, won["k"], scores, {"models": models, "model": won["model"]})
 
 
 # --- mixed data ---------------------------------------------------------------
