@@ -1,5 +1,7 @@
 """Neighbours, features, clusterings, scores."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks.registry import Tables, check
@@ -7,8 +9,9 @@ from checks.shared import clinical, vectors
 from cohortry.operators import clustering as K
 from cohortry.operators import evaluation as V
 from cohortry.operators import features as Q
+from cohortry.operators.batched_models import assign
 from cohortry.operators.neighbors import knn_graph, range_neighbors
-from cohortry.plans.clustering_run import CATEGORICAL, ClusteringSpec, run_clustering
+from cohortry.plans.clustering_run import CATEGORICAL, ClusteringSpec, prepare_features, run_clustering
 from cohortry.plans.reports import BINARY, DRUG_FLAGS, NUMERIC
 
 _DIST = "list_distance(a.e, b.e)"
@@ -134,37 +137,179 @@ def _(t: Tables):
     return K.kmeans_sweep(vectors(t), "vec_id", "vec").score_table(t.spark)
 
 
-@check("m7_gmm")
+def _per_k(rows, labels, models: list, cost: dict, make):
+    """For every k: rows, rows that some other centre would suit better, and whether the fit's own total is right.
+
+    ``make`` turns a model into one row ``(k, label, ...)`` a centre; ``cost`` prices a row at it.
+    """
+    centres = F.broadcast(make(models))
+    priced = rows.join(centres).select("k", "id", "label", cost["row"].alias("price"))
+    best = priced.groupBy("k", "id").agg(F.min("price").alias("least"), cost["total"].alias("whole"))
+    own = priced.join(labels, ["k", "id", "label"]).select("k", "id", F.col("price").alias("mine"))
+    return best.join(own, ["k", "id"], "left").groupBy("k").agg(
+        F.count("mine").alias("n"),
+        F.count(F.when(F.col("mine") > F.col("least") + 1e-9 * (1 + F.abs("least")), 1)).alias("misplaced"),
+        F.sum("whole").alias("whole"),
+    )
+
+
+def _labels_of(t: Tables, rows, models: list, row_id: str):
+    found = [
+        assign(rows, row_id, "vec", m.label).select(F.lit(m.k).alias("k"), F.col(row_id).alias("id"), "label") for m in models
+    ]
+    return reduce(lambda x, y: x.unionByName(y), found)
+
+
+@check(
+    "m6_sweep_invariants",
+    """SELECT k::INT AS k, COUNT(*) AS n, 0::BIGINT AS misplaced, TRUE AS cost_adds_up, TRUE AS score_agrees
+       FROM embeddings CROSS JOIN range(2, 8) r(k) GROUP BY k""",
+)
 def _(t: Tables):
-    return K.gmm(_small(t), "person_id", "vec", 3).labels
+    """For every k no row is nearer to another centre, the cost is that of the labels, and the score theirs."""
+    fit = K.kmeans_sweep(vectors(t), "vec_id", "vec")
+    models = fit.info["models"]
+    rows = vectors(t).select(F.col("vec_id").alias("id"), "vec")
+
+    def make(found: list):
+        return t.spark.createDataFrame(
+            [(m.k, j, c.tolist()) for m in found for j, c in enumerate(m.centres)], "k int, label int, centre array<double>"
+        )
+
+    labels = _labels_of(t, vectors(t), models, "vec_id").persist()
+    cost = {"row": V.squared_distance("vec", "centre"), "total": F.min("price")}
+    per_k = _per_k(rows, labels, models, cost, make)
+    told = t.spark.createDataFrame([(m.k, m.cost, s["silhouette"]) for m, s in zip(models, fit.scores, strict=True)], "k int, cost double, told double")
+    scores = [
+        V.silhouette(rows.join(labels.where(F.col("k") == m.k), "id"), "vec", "label", "id").withColumn("k", F.lit(m.k)) for m in models
+    ]
+    joined = per_k.join(told, "k").join(reduce(lambda x, y: x.unionByName(y), scores), "k")
+    return joined.select(
+        "k", "n", "misplaced", (F.abs(F.col("whole") - F.col("cost")) <= 1e-6 * F.col("cost")).alias("cost_adds_up"),
+        (F.abs(F.col("silhouette_score") - F.col("told")) < 1e-6).alias("score_agrees"),
+    )
+
 
+def _mixture_invariants(t: Tables, fit):
+    """Labels are those of the largest responsibility, densities add up to the log-likelihood, and it never falls."""
+    models = [m for m in fit.info["models"] if not m.failed]
+    rows = _small(t).select(F.col("person_id").alias("id"), "vec")
+
+    def make(found: list):
+        out = []
+        for m in found:
+            inverse, base = m.whiteners()
+            out += [(m.k, j, m.means[j].tolist(), inverse[j].tolist(), float(base[j])) for j in range(len(m.means))]
+        return t.spark.createDataFrame(out, "k int, label int, mean array<double>, whitener array<array<double>>, base double")
+
+    off = F.zip_with("vec", "mean", lambda x, y: x - y)
+    dots = F.transform("whitener", lambda w: F.aggregate(F.zip_with(w, off, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
+    price = 0.5 * F.aggregate(dots, F.lit(0.0), lambda a, x: a + x * x) - F.col("base")
+    top = F.min("price")
+    total = -top + F.log(F.aggregate(F.collect_list("price"), F.lit(0.0), lambda a, x: a + F.exp(F.array_min(F.collect_list("price")) - x)))
+    labels = _labels_of(t, _small(t), models, "person_id")
+    per_k = _per_k(rows, labels, models, {"row": price, "total": total}, make)
+    falls = [(m.k, m.loglik, min([b - a for a, b in zip(m.trace, m.trace[1:])], default=0.0)) for m in models]
+    told = t.spark.createDataFrame(falls, "k int, loglik double, fall double")
+    return per_k.join(told, "k").select(
+        "k", "n", "misplaced", (F.abs(F.col("whole") - F.col("loglik")) <= 1e-6 * F.abs("loglik")).alias("adds_up"),
+        (F.col("fall") >= -1e-6 * F.abs("loglik")).alias("never_falls"),
+    )
 
-@check("m8_gmm_sweep")
+
+@check(
+    "m7_gmm",
+    """SELECT 3::INT AS k, COUNT(*) AS n, 0::BIGINT AS misplaced, TRUE AS adds_up, TRUE AS never_falls FROM flags""",
+)
 def _(t: Tables):
-    return K.gmm_sweep(_small(t), "person_id", "vec").score_table(t.spark)
+    return _mixture_invariants(t, K.gmm(_small(t), "person_id", "vec", 3))
 
 
-@check("m8_gmm_silhouette_sweep")
+@check(
+    "m8_gmm_sweep",
+    """SELECT k::INT AS k, COUNT(*) AS n, 0::BIGINT AS misplaced, TRUE AS adds_up, TRUE AS never_falls
+       FROM flags CROSS JOIN range(2, 8) r(k) GROUP BY k""",
+)
 def _(t: Tables):
-    return K.gmm_sweep(_small(t), "person_id", "vec", criterion="silhouette").score_table(t.spark)
+    return _mixture_invariants(t, K.gmm_sweep(_small(t), "person_id", "vec"))
+
+
+@check(
+    "m8_gmm_silhouette_sweep",
+    """SELECT 6::BIGINT AS tried, COUNT(*) AS n, TRUE AS score_agrees, TRUE AS is_the_best FROM flags""",
+)
+def _(t: Tables):
+    """The score of the model that won is that of its labels, and no other model's is higher."""
+    fit = K.gmm_sweep(_small(t), "person_id", "vec", criterion="silhouette")
+    told = {s["k"]: s["silhouette"] for s in fit.scores}
+    rows = _small(t).join(fit.labels, "person_id")
+    score = V.silhouette(rows, "vec", "label", "person_id")
+    return rows.agg(F.count(F.lit(1)).alias("n")).join(score).select(
+        F.lit(len(told)).cast("long").alias("tried"),
+        "n",
+        (F.abs(F.col("silhouette_score") - told[fit.parameter]) < 1e-6).alias("score_agrees"),
+        F.lit(told[fit.parameter] == max(x for x in told.values() if x is not None)).alias("is_the_best"),
+    )
 
 
-@check("m9_kprototypes")
+def _prototype_invariants(t: Tables, fit):
+    """No row is cheaper at another centre, costs add up, and they never rise."""
+    rows = _clean(t).select("person_id", *[F.col(c).cast("double").alias(c) for c in NUMERIC], *CATEGORICAL)
+    prices = F.array(*[K._mixed_cost(nums, cats, fit.info["gamma"]) for nums, cats in fit.info["centres"]])
+    own = F.element_at("prices", F.col("label") + 1)
+    trace = fit.info["trace"]
+    return rows.withColumn("prices", prices).join(fit.labels, "person_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(own > F.array_min("prices") + 1e-9, 1)).alias("misplaced"),
+        (F.abs(F.sum(own) - fit.info["cost"]) <= 1e-6 * fit.info["cost"]).alias("cost_adds_up"),
+        F.lit(all(b <= a * (1 + 1e-9) for a, b in zip(trace, trace[1:]))).alias("never_rises"),
+    )
+
+
+_PROTOTYPES = "SELECT COUNT(*) AS n, 0::BIGINT AS misplaced, TRUE AS cost_adds_up, TRUE AS never_rises"
+
+
+@check("m9_kprototypes", f"{_PROTOTYPES} FROM flags")
 def _(t: Tables):
-    return K.kprototypes(_clean(t), "person_id", NUMERIC, CATEGORICAL, 4).labels
+    return _prototype_invariants(t, K.kprototypes(_clean(t), "person_id", NUMERIC, CATEGORICAL, 4))
 
 
-@check("m9_kprototypes_sweep")
+@check("m9_kprototypes_sweep", f"{_PROTOTYPES}, 6::BIGINT AS tried, TRUE AS is_the_cheapest FROM flags")
 def _(t: Tables):
-    return K.kprototypes_sweep(_clean(t), "person_id", NUMERIC, CATEGORICAL).score_table(t.spark)
+    fit = K.kprototypes_sweep(_clean(t), "person_id", NUMERIC, CATEGORICAL)
+    costs = {s["k"]: s["cost"] for s in fit.scores}
+    cheapest = fit.parameter == min((k for k in costs if costs[k] is not None), key=lambda k: costs[k])
+    return _prototype_invariants(t, fit).withColumns(
+        {"tried": F.lit(len(costs)).cast("long"), "is_the_cheapest": F.lit(cheapest)}
+    )
+
+
+def _density_sql(eps: float) -> str:
+    """Labels of density clustering: the smallest core row reached over core rows; -1 for noise."""
+    return f"""near AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM vecs a JOIN vecs b ON {_DIST} <= {eps}),
+  core AS MATERIALIZED (SELECT a FROM near GROUP BY a HAVING COUNT(*) >= 5),
+  reach AS (SELECT a, a AS root FROM core UNION SELECT near.b, reach.root FROM reach JOIN near ON near.a = reach.a JOIN core ON core.a = near.b),
+  named AS MATERIALIZED (SELECT a, MIN(root) AS root FROM reach GROUP BY a)
+  SELECT vec_id, COALESCE(n.root, MIN(m.root), -1)::BIGINT AS label FROM vecs LEFT JOIN named n ON n.a = vec_id
+  LEFT JOIN near ON near.a = vec_id LEFT JOIN named m ON m.a = near.b GROUP BY vec_id, n.root"""
 
 
-@check("m10_dbscan_sweep")
+@check(
+    "m10_dbscan_sweep",
+    f"""WITH RECURSIVE eps AS (SELECT unnest([{", ".join(map(str, K.EPS_VALUES))}])::DOUBLE AS eps),
+  gap AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, {_DIST} AS dist FROM vecs a CROSS JOIN vecs b),
+  near AS MATERIALIZED (SELECT eps, a, b FROM gap JOIN eps ON dist <= eps),
+  core AS MATERIALIZED (SELECT eps, a FROM near GROUP BY ALL HAVING COUNT(*) >= {K.MIN_POINTS}),
+  reach AS (SELECT eps, a, a AS root FROM core UNION SELECT eps, near.b, root FROM reach JOIN near USING (eps, a) JOIN core ON core.eps = near.eps AND core.a = near.b),
+  found AS (SELECT near.eps, near.a, MIN(root) AS label FROM near LEFT JOIN reach ON reach.eps = near.eps AND reach.a = near.b GROUP BY ALL)
+  SELECT eps, COUNT(DISTINCT label)::DOUBLE AS clusters, COUNT(*) FILTER (WHERE label IS NULL)::DOUBLE AS noise FROM found GROUP BY eps""",
+)
 def _(t: Tables):
-    return K.dbscan_sweep(vectors(t), "vec_id", "vec").score_table(t.spark)
+    """Clusters and noise of every radius; the score column belongs to labellings without noise only."""
+    return K.dbscan_sweep(vectors(t), "vec_id", "vec").score_table(t.spark).drop("silhouette")
 
 
-@check("m10_dbscan")
+@check("m10_dbscan", f"WITH RECURSIVE {_density_sql(1.0)}")
 def _(t: Tables):
     return K.dbscan(vectors(t), "vec_id", "vec", 1.0).labels
 
@@ -174,9 +319,31 @@ def _(t: Tables):
     return K.ward_knn(vectors(t), "vec_id", "vec", 5, 10).labels
 
 
-@check("m12_pca")
+def _map_invariants(points, explained: list, columns: list):
+    """Axes are uncorrelated, as wide as the explained variance says, and no column is wider than the first."""
+    cov = F.covar_pop("pc1", "pc2") / F.sqrt(F.var_pop("pc1") * F.var_pop("pc2"))
+    return [
+        F.count(F.lit(1)).alias("n"),
+        (F.abs(F.var_pop("pc1") / len(columns) - explained[0]) < 1e-6).alias("first_fits"),
+        (F.abs(F.var_pop("pc2") / len(columns) - explained[1]) < 1e-6).alias("second_fits"),
+        (F.abs(cov) < 1e-6).alias("uncorrelated"),
+        (F.var_pop("pc1") >= 1).alias("widest"),
+    ]
+
+
+_MAP = "TRUE AS first_fits, TRUE AS second_fits, TRUE AS uncorrelated, TRUE AS widest FROM flags"
+
+
+@check("m12_pca", f"SELECT COUNT(*) AS n, {_MAP}")
 def _(t: Tables):
-    return V.pca2(_clean(t), NUMERIC + DRUG_FLAGS, "person_id")[0]
+    columns = _varying(t, NUMERIC + DRUG_FLAGS)
+    points, explained = V.pca2(_clean(t), columns, "person_id")
+    return points.agg(*_map_invariants(points, explained, columns))
+
+
+def _varying(t: Tables, columns: list) -> list:
+    spread = _clean(t).agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
+    return [c for c in columns if spread[c]]
 
 
 # --- scores: the labels of the table, so that SQL can follow ---------------------------------------------------------------
@@ -289,13 +456,32 @@ def _(t: Tables):
     return _rounded(V.compare_algorithms(found, t.spark))
 
 
-@check("m20_clustering_run")
+@check(
+    "m20_clustering_run",
+    """SELECT unnest(['K-Means', 'Gaussian Mixture (silhouette)', 'Gaussian Mixture (BIC)', 'K-Prototypes', 'Hierarchical (k-NN)']) AS algorithm,
+         TRUE AS clusters_agree, TRUE AS score_agrees, (SELECT COUNT(*) FROM flags) AS profiled""",
+)
 def _(t: Tables):
-    return run_clustering(clinical(t), ClusteringSpec()).comparison
-
-
-@check("v6_cluster_map")
+    """Every method is compared, with the clusters and the score of its own labels, and profiles all rows."""
+    run = run_clustering(clinical(t), ClusteringSpec())
+    vecs = prepare_features(clinical(t), ClusteringSpec())[1]
+    rows = []
+    for r in run.comparison.collect():
+        labels = run.fits[r["algorithm"]].labels
+        score = V.silhouette(vecs.join(labels, "person_id"), "vec", "label", "person_id").first()[0]
+        sizes = [c["count"] for c in labels.groupBy("label").count().collect()]
+        same = r["silhouette_score"] is not None and abs(score - r["silhouette_score"]) < 1e-6
+        rows.append((r["algorithm"], r["n_clusters"] == len(sizes), same, sum(sizes)))
+    return t.spark.createDataFrame(rows, "algorithm string, clusters_agree boolean, score_agrees boolean, profiled long")
+
+
+@check("v6_cluster_map", f"SELECT COUNT(*) AS n, 3::BIGINT AS clusters, COUNT(*) AS in_sizes, {_MAP}")
 def _(t: Tables):
     clean = _clean(t)
+    columns = _varying(t, NUMERIC)
     labels = K.kmeans(Q.feature_array(clean, NUMERIC, "person_id"), "person_id", "vec", 3).labels
-    return V.cluster_map(clean.join(labels, "person_id"), "label", NUMERIC, "person_id")[0]
+    points, sizes, explained = V.cluster_map(clean.join(labels, "person_id"), "label", columns, "person_id")
+    told = sizes.agg(F.sum(sizes.columns[1])).first()[0]
+    return points.agg(
+        *_map_invariants(points, explained, columns), F.count_distinct("cluster").alias("clusters"), F.lit(told).cast("long").alias("in_sizes")
+    )

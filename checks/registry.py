@@ -45,8 +45,9 @@ def _expand(sql: str) -> str:
     if not head:
         return sql.strip()
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {head},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{head},\n{body[len(start):]}"
     return f"WITH {head}\n{body}"
 
 

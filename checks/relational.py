@@ -780,7 +780,11 @@ def _(t: Tables):
     return death_after_latest_discharge(t.visit_occurrence, t.death, t.person)
 
 
-@check("w5_bounded_sample")
+@check(
+    "w5_bounded_sample",
+    """SELECT * FROM visit_occurrence QUALIFY row_number() OVER (PARTITION BY visit_concept_id
+         ORDER BY substr(md5(visit_occurrence_id || ':42'), 1, 15), visit_occurrence_id) <= 40""",
+)
 def _(t: Tables):
     return R.bounded_sample(t.visit_occurrence, 40, "visit_occurrence_id", by=["visit_concept_id"])
 

@@ -10,12 +10,13 @@ import heapq
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.operators.batched_models import Blocks, assign, cheapest, lloyd, mixtures, silhouettes
@@ -191,6 +192,67 @@ def gmm_sweep(
 # --- mixed data ---------------------------------------------------------------
 
 
+def _mixed_cost(nums: dict, cats: dict, gamma: float) -> Column:
+    """Squared distance on numbers plus ``gamma`` per differing category (null is a category)."""
+    total = F.lit(0.0)
+    for c, v in nums.items():
+        total = total + (F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v))
+    for c, v in cats.items():
+        total = total + F.when(F.col(c).eqNullSafe(F.lit(v)), 0.0).otherwise(gamma)
+    return total
+
+
+def _hashed_start(rows: DataFrame, row_id: str, numeric: Sequence[str], categorical: Sequence[str], k: int, seed: int) -> list:
+    """Different rows, drawn by a hash of their id."""
+    return bounded_sample(rows.dropDuplicates([*numeric, *categorical]), k, row_id, seed=seed).collect()
+
+
+def _huang_start(
+    rows: DataFrame, row_id: str, numeric: Sequence[str], categorical: Sequence[str], k: int, gamma: float, seed: int
+) -> list:
+    """Modes spread over the frequent categories, each replaced by the row nearest to it (Huang 1998).
+
+    Column c's categories, most frequent first, go round the modes with an offset of c, so
+    that modes differ in several columns at once. The numbers of a mode are drawn around the
+    columns' means. Rows are different from each other: a mode whose nearest row is taken
+    gets the nearest of the others. Each scan keeps one row a mode.
+    """
+    frequent: dict[str, list] = {c: [] for c in categorical}
+    if categorical:
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("value")) for c in categorical]))
+        counts = rows.select(pairs.alias("p")).groupBy("p.variable", "p.value").agg(F.count(F.lit(1)).alias("n"))
+        order = Window.partitionBy("variable").orderBy(F.desc("n"), F.col("value").asc_nulls_last())
+        top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+        for r in top.orderBy("variable", "r").collect():
+            frequent[r["variable"]].append(r["value"])
+    moments = rows.agg(*[F.avg(c) for c in numeric], *[F.stddev_pop(c) for c in numeric]).first() if numeric else []
+    draws = np.random.default_rng(seed).standard_normal((k, len(numeric)))
+    wanted = []
+    for j in range(k):
+        nums = {c: (moments[i] or 0.0) + (moments[len(numeric) + i] or 0.0) * float(draws[j, i]) for i, c in enumerate(numeric)}
+        cats = {c: frequent[c][(j + i) % len(frequent[c])] if frequent[c] else None for i, c in enumerate(categorical)}
+        wanted.append((nums, cats))
+    columns = [*numeric, *categorical]
+    found: dict[int, Row] = {}
+    while len(found) < k:
+        left = rows
+        for r in found.values():
+            same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(r[c])) for c in columns])
+            left = left.where(~same)
+        missing = [j for j in range(k) if j not in found]
+        nearest = [F.min_by(F.struct(*columns), F.struct(_mixed_cost(*wanted[j], gamma), row_id)).alias(f"m{j}") for j in missing]
+        best = left.agg(*nearest).first()
+        taken: set = set()
+        for j in missing:
+            row = best[f"m{j}"]
+            if row is None:  # no different rows left
+                return list(found.values())
+            if tuple(row) not in taken:
+                taken.add(tuple(row))
+                found[j] = row
+    return [found[j] for j in range(k)]
+
+
 def kprototypes(
     df: DataFrame,
     row_id: str,
@@ -200,12 +262,14 @@ def kprototypes(
     gamma: float | None = None,
     seed: int = 42,
     max_iter: int = 20,
+    start: str = "huang",
 ) -> Fit:
     """k-prototypes: squared distance on numeric plus ``gamma`` per differing category.
 
     Centres are ``k`` rows held as literals; assignment is a column expression and the
     update two aggregates. ``gamma`` defaults to half the mean standard deviation of the
-    numeric columns. ``info["cost"]`` is the final cost.
+    numeric columns. ``start`` is ``huang`` (frequent categories) or ``hashed`` (any rows).
+    ``info`` has the cost, its course and the centres.
     """
     rows = df.select(
         row_id,
@@ -215,33 +279,27 @@ def kprototypes(
     if gamma is None:
         spread = rows.agg(*[F.stddev_pop(c) for c in numeric]).first()
         gamma = 0.5 * float(np.mean([s or 0.0 for s in spread]))
-    start = bounded_sample(rows.dropDuplicates([*numeric, *categorical]), k, row_id, seed=seed).collect()
-    centres = [({c: r[c] for c in numeric}, {c: r[c] for c in categorical}) for r in start]
+    if start == "huang":
+        begun = _huang_start(rows, row_id, numeric, categorical, k, gamma, seed)
+    else:
+        begun = _hashed_start(rows, row_id, numeric, categorical, k, seed)
+    centres = [({c: r[c] for c in numeric}, {c: r[c] for c in categorical}) for r in begun]
     if len(centres) < k:
+        rows.unpersist()
         raise ValueError(f"fewer than {k} different rows")
 
-    def costs() -> list[Column]:
-        out = []
-        for nums, cats in centres:
-            total = F.lit(0.0)
-            for c, v in nums.items():
-                total = total + (F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v))
-            for c, v in cats.items():
-                total = total + F.when(F.col(c).eqNullSafe(F.lit(v)), 0.0).otherwise(gamma)
-            out.append(total)
-        return out
-
-    def assigned() -> DataFrame:
-        found = costs()
+    def assigned(placed_rows: DataFrame) -> DataFrame:
+        found = [_mixed_cost(*c, gamma) for c in centres]
         least = F.array_min(F.array(*found))
-        return rows.withColumns({"label": F.array_position(F.array(*found), least).cast("int") - 1, "__cost": least})
+        return placed_rows.withColumns({"label": F.array_position(F.array(*found), least).cast("int") - 1, "__cost": least})
 
-    cost = math.inf
+    cost, trace = math.inf, []
     for _ in range(max_iter):
-        placed = assigned()
+        placed = assigned(rows)
         means = placed.groupBy("label").agg(F.sum("__cost").alias("__cost"), *[F.avg(c).alias(c) for c in numeric])
         stats = {r["label"]: r for r in means.collect()}
         now = sum(r["__cost"] for r in stats.values())
+        trace.append(now)
         if now >= cost - 1e-12 * max(1.0, abs(now)):
             break
         cost = now
@@ -255,9 +313,10 @@ def kprototypes(
             )
             for j, (nums, cats) in enumerate(centres)
         ]
-    final = assigned()
-    cost = float(final.agg(F.sum("__cost")).first()[0])
-    return Fit(final.select(row_id, "label"), k, info={"cost": cost, "gamma": gamma})
+    cost = float(assigned(rows).agg(F.sum("__cost")).first()[0])
+    rows.unpersist()
+    final = assigned(rows).select(row_id, "label")
+    return Fit(final, k, info={"cost": cost, "gamma": gamma, "centres": centres, "trace": [*trace, cost]})
 
 
 def kprototypes_sweep(
@@ -276,10 +335,12 @@ def kprototypes_sweep(
             fit = kprototypes(df, row_id, numeric, categorical, k, gamma, seed)
         except ValueError:
             return {"k": k, "cost": None, "labels": None}
-        return {"k": k, "cost": fit.info["cost"], "labels": fit.labels}
+        return {"k": k, "cost": fit.info["cost"], "labels": fit}
 
     best, scores = sweep(one, ks, "cost", highest=False)
-    return Fit(best["labels"], best["k"], scores)
+    if best["labels"] is None:
+        return Fit(None, best["k"], scores)
+    return Fit(best["labels"].labels, best["k"], scores, best["labels"].info)
 
 
 # --- graphs ---------------------------------------------------------------

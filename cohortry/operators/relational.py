@@ -533,9 +533,11 @@ def bounded_sample(df: DataFrame, n: int, row_id: str, by: Sequence[str] = (), s
     pick then only sees those, whatever the size of the group.
     """
     by = list(by)
-    hashed = df.withColumn("__h", F.xxhash64(F.col(row_id), F.lit(seed)))
+    # 60 bits of md5: the same pick in any engine.
+    digits = F.substring(F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed)))), 1, 15)
+    hashed = df.withColumn("__h", F.conv(digits, 16, 10).cast("long"))
     sizes = hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    unit = F.col("__h").cast("double") / F.lit(2.0**64) + 0.5
+    unit = F.col("__h").cast("double") / F.lit(2.0**60)
     near = unit <= F.lit(4.0 * n + 64) / F.col("__n")
     if not by:
         total = sizes.first()["__n"]

@@ -52,15 +52,20 @@ class ClusteringResult:
     maps: dict[str, tuple] = field(default_factory=dict)
 
 
-def run_clustering(df: DataFrame, spec: ClusteringSpec | None = None) -> ClusteringResult:
-    """Fit the chosen methods on standardised features and compare them by silhouette."""
-    spec = spec or ClusteringSpec()
+def prepare_features(df: DataFrame, spec: ClusteringSpec) -> tuple[DataFrame, DataFrame]:
+    """Imputed rows, and one standardised vector per row."""
     columns = [spec.row_id, *spec.categorical, *spec.numeric, *spec.flags, *spec.labels]
     clean = impute(df.select(*columns), spec.categorical, spec.numeric, [*spec.flags, *spec.labels])
-    clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
     wide = one_hot(clean, spec.categorical) if spec.features == "onehot" else clean
     names = numeric_feature_names(wide, spec.row_id, spec.categorical)
-    vectors = feature_array(wide, names, spec.row_id).persist(StorageLevel.MEMORY_AND_DISK)
+    return clean, feature_array(wide, names, spec.row_id)
+
+
+def run_clustering(df: DataFrame, spec: ClusteringSpec | None = None) -> ClusteringResult:
+    """Fit the chosen methods on standardised features and compare them by silhouette."""
+    spec = spec or ClusteringSpec()
+    clean, vectors = prepare_features(df, spec)
+    clean, vectors = clean.persist(StorageLevel.MEMORY_AND_DISK), vectors.persist(StorageLevel.MEMORY_AND_DISK)
     numeric = numeric_feature_names(clean, spec.row_id, spec.categorical)
     seed = spec.seed
     runs = {
@@ -88,7 +93,7 @@ def run_clustering(df: DataFrame, spec: ClusteringSpec | None = None) -> Cluster
         result.fits[name] = fit
         if fit.labels is None:
             continue
-        labels = fit.labels.checkpoint()
+        labels = fit.labels = fit.labels.checkpoint()
         scored = evaluate(vectors.join(labels, spec.row_id), "vec", "label", spec.row_id, name)
         scores.append(scored)
         if scored.isEmpty():

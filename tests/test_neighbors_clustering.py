@@ -200,3 +200,60 @@ def test_evaluation_leaves_noise_out(spark, points):
     df = _frame(spark, points).join(labels, "id")
     assert V.evaluate(df, "vec", "label", "id", "x").first()["n_clusters"] == 2
     assert V.evaluate(df.where("label < 1"), "vec", "label", "id", "x").count() == 0
+
+
+def test_models_advance_alike_alone_and_together(spark):
+    """A sweep's models are those of single fits, and sums added up by Spark or on the driver agree."""
+    from cohortry.operators import batched_models as B
+
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.5, (60, 3)) for c in (0, 4, 9)])
+    df = _frame(spark, x).repartition(3)
+    whole = K.kmeans_sweep(df, "id", "vec", ks=(2, 3, 5), n_init=2)
+    for m in whole.info["models"]:
+        assert K.kmeans(df, "id", "vec", m.k, n_init=2).info["inertia"] == pytest.approx(m.cost)
+    limit, B.DRIVER_VALUES = B.DRIVER_VALUES, 0
+    try:
+        added = K.kmeans_sweep(df, "id", "vec", ks=(2, 3, 5), n_init=2)
+    finally:
+        B.DRIVER_VALUES = limit
+    assert [s["inertia"] for s in added.scores] == pytest.approx([s["inertia"] for s in whole.scores])
+    assert [s["silhouette"] for s in added.scores] == pytest.approx([s["silhouette"] for s in whole.scores])
+
+
+def test_mixture_is_expectation_maximisation(spark):
+    """The course of the log-likelihood is that of plain EM from the same means; labels are the likeliest components."""
+    from cohortry.operators import batched_models as B
+
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.multivariate_normal(m, s, 80) for m, s in (((0, 0), ((1, 0.8), (0.8, 1))), ((4, 1), ((0.3, 0), (0, 2))))])
+    blocks = B.Blocks(_frame(spark, x), "vec")
+    begun = np.array([[0.0, 1.0], [3.0, 0.0]])
+    fit = B.mixtures(blocks, [begun], [2], 12, 0.0)[0]
+    mean, cov, weight, trace = begun.copy(), np.stack([np.eye(2)] * 2), np.array([0.5, 0.5]), []
+    for _ in range(13):
+        density = np.stack([w * np.exp(-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)) / np.sqrt(np.linalg.det(c)) / (2 * np.pi)
+                            for w, m, c in zip(weight, mean, cov, strict=True)], axis=1)
+        trace.append(np.log(density.sum(axis=1)).sum())
+        share = density / density.sum(axis=1, keepdims=True)
+        n = share.sum(axis=0)
+        weight, mean = n / n.sum(), (share.T @ x) / n[:, None]
+        cov = np.stack([((x - mean[j]).T * share[:, j]) @ (x - mean[j]) / n[j] + B.RIDGE * np.eye(2) for j in range(2)])
+    assert fit.trace == pytest.approx(trace)
+    assert all(b >= a - 1e-9 for a, b in zip(fit.trace, fit.trace[1:]))
+
+
+def test_more_centres_than_different_rows(spark):
+    fit = K.kmeans(_frame(spark, np.array([[0.0], [0.0], [1.0], [1.0]])), "id", "vec", 5)
+    assert fit.info["inertia"] == 0 and {r["label"] for r in fit.labels.collect()} == {0, 1}
+
+
+def test_huang_start_spreads_over_frequent_categories(spark):
+    """Three frequent combinations and many rare ones: the start takes the frequent ones, a hashed start need not."""
+    rows = [(i, 0.0, "abc"[i % 3], "xyz"[i % 3]) for i in range(300)] + [(300 + i, 0.0, f"r{i}", f"s{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, n double, c string, d string")
+    costs = [K.kprototypes(df, "id", ["n"], ["c", "d"], 3, gamma=1.0, seed=s, start="hashed").info["cost"] for s in range(4)]
+    huang = [K.kprototypes(df, "id", ["n"], ["c", "d"], 3, gamma=1.0, seed=s).info["cost"] for s in range(4)]
+    assert set(huang) == {80.0} and max(costs) > 80.0
+    with pytest.raises(ValueError):
+        K.kprototypes(df.where("id < 300"), "id", ["n"], ["c", "d"], 4)
