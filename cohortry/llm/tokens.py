@@ -29,9 +29,9 @@ _UNCERTAIN_SPACE = re.compile(r"\s\s|^\s|\s\Z|[\t\r\x0b\x0c]")
 class Encoder:
     """Encodes texts to arrays of ids, with an end id after each; one tokenizer per worker.
 
-    ``path``: file of the tokenizer. ``end``: id appended to every document. Strings that look
-    like special tokens are ordinary text. Files whose splitting rule is not one of the two
-    known here are used without the cache.
+    ``path``: file of the tokenizer. ``end``: id appended to every document. The file's added
+    tokens are found in texts as the library finds them; texts that hold one go to it whole.
+    Files whose splitting rule is not one of the two known here are used without the cache.
     """
 
     def __init__(self, path: str, end: int | None = None):
@@ -44,7 +44,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(self.path)
-        whole.encode_special_tokens = True
         with open(self.path, encoding="utf-8") as file:
             spec = json.load(file)
         splitter = spec.get("pre_tokenizer") or {}
@@ -53,6 +52,7 @@ class Encoder:
         drops = splitter.get("type") == "Sequence" and "Removed" in json.dumps(splitter)
         self._mode = "words" if drops and lowers else "bytes" if plain and not spec.get("normalizer") else "whole"
         self._tokenizer, self._model, self._shown = whole, whole.model, _byte_letters()
+        self._added = [t["content"].lower() for t in spec.get("added_tokens") or ()]
         self._chunks: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
         self._ready = True
@@ -97,8 +97,11 @@ class Encoder:
             sure = not text.encode("latin-1").translate(None, _CUTTABLE)
         except UnicodeEncodeError:
             sure = False
+        lowered = text.lower()
+        if any(mark in lowered for mark in self._added):
+            return self._whole(text)
         if self._mode == "words" and sure:
-            chunks = text.lower().split()
+            chunks = lowered.split()
         elif self._mode == "bytes" and sure and text and not _UNCERTAIN_SPACE.search(text):
             # A space belongs to the word after it; a line break stands alone.
             chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")

@@ -96,8 +96,7 @@ def test_cached_encoding_is_the_tokenizers(texts, name):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocabulary(name))
-    plain.encode_special_tokens = True
-    odd = ["", "it's Fine", "x  y", "ab12 3c\n\nd", "naïve – dash", "İstanbul ΣΑΣ", "<|endoftext|> hi", "12.5%½²x", "a\tb", "‘q’   z",
+    odd = ["", "hello <|endoftext|> world", "a<|ENDOFTEXT|>b <|startoftext|>", "x <|endof text|>", "<|startoftext|><|endoftext|>  y", "it's Fine", "x  y", "ab12 3c\n\nd", "naïve – dash", "İstanbul ΣΑΣ", "<|endoftext|> hi", "12.5%½²x", "a\tb", "‘q’   z",
            "don't ''s", " lead", "trail ", "\n", "École!ÀB×÷é", "a\0b", "é x", "\x1c y"]
     for text in [*odd, *list(texts.values())[:60]]:
         got = Encoder(vocabulary(name), end=2).encode([text])[0] if text in odd else None
