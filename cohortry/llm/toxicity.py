@@ -3,11 +3,12 @@
 Many voters look at a text: terms of a lexicon (whole words and word beginnings) and
 patterns. A generative label model with one hidden class per text estimates, without
 labels, how often each voter fires in either class and how voters hang together within a
-class; it is fitted by expectation maximisation over counts of vote patterns, every
-iteration one aggregate on the cluster. Voters that repeat each other share their weight.
+class; it starts from the voters' rates among labelled texts and is fitted by expectation
+maximisation over counts of vote patterns, every iteration one aggregate on the cluster. Voters that repeat each other share their weight.
 A logistic regression on the votes is then trained on the posteriors.
 
-Labels serve one purpose: terms are mined from a bounded sample of labelled texts.
+Labels serve one purpose: terms are mined from a bounded sample of labelled texts, with the
+rates the model starts from. A term must prove itself in both halves of the sample.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,11 +38,16 @@ LEAST_TEXTS = 4
 LEAST_SURPRISE = 24.0
 #: Low: how much a weak voter is worth, the label model finds out.
 LEAST_PRECISION = 0.5
+#: A beginning that errs more often than this gives way to longer ones that err less, if they are in this share of its toxic texts.
+LEAST_ERROR = 0.05
+COVERED = 0.8
 #: Terms the voters are picked among, at most.
 CANDIDATES = 5_000
 #: Lengths of word beginnings that may become terms.
 BEGINNINGS = range(4, 9)
-ITERATIONS = 6
+#: The label model is done when no rate moves by more than this share, or after so many iterations.
+SETTLED = 1e-3
+ITERATIONS = 30
 #: Share of toxic texts in which no term is found; votes alone cannot tell.
 BLIND = 0.05
 ACCEPT = 0.7
@@ -63,10 +70,14 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Voters:
-    """Whole words, word beginnings and patterns; at most 62 in all, so that votes fit a long."""
+    """Whole words, word beginnings and patterns; at most 62 in all, so that votes fit a long.
+
+    ``rates``: (toxic, clean) share of the labelled texts that a term is in, where counted.
+    """
 
     words: list[str]
     beginnings: list[str]
+    rates: dict[str, tuple[float, float]] = field(default_factory=dict)
     names: list[str] = field(init=False)
 
     def __post_init__(self):
@@ -111,7 +122,25 @@ def _texts_with(texts: DataFrame, terms: list[str]) -> list[tuple[list[int], int
     return [(r["terms"], r["count"]) for r in rows.collect()]  # at most one row per sampled toxic text
 
 
-def _pick(ranked: list[str], worth: dict[str, float], found: list[tuple[list[int], int]]) -> list[str]:
+def _too_short(ranked: list[str], errors: dict[str, float], inside: list[list[int]]) -> set[int]:
+    """Beginnings whose toxic texts nearly all hold a longer term, itself or by its beginning, that errs less than half as often."""
+    by_name = sorted(range(len(ranked)), key=lambda k: ranked[k].rstrip("*"))
+    names = [ranked[k].rstrip("*") for k in by_name]
+    out = set()
+    for k, term in enumerate(ranked):
+        if term.endswith("*") and errors[term] > LEAST_ERROR and inside[k]:
+            at = bisect_left(names, term[:-1])
+            held: set[int] = set()
+            while at < len(names) and names[at].startswith(term[:-1]):
+                if errors[ranked[by_name[at]]] <= errors[term] / 2:
+                    held.update(inside[by_name[at]])
+                at += 1
+            if len(held.intersection(inside[k])) >= COVERED * len(inside[k]):
+                out.add(k)
+    return out
+
+
+def _pick(ranked: list[str], worth: dict[str, float], errors: dict[str, float], found: list[tuple[list[int], int]]) -> list[str]:
     """Terms by their worth times the texts they are the first in, while those are enough; then by rank."""
     inside: list[list[int]] = [[] for _ in ranked]
     for row, (places, _) in enumerate(found):
@@ -125,7 +154,7 @@ def _pick(ranked: list[str], worth: dict[str, float], found: list[tuple[list[int
         bare = term.rstrip("*")
         return any(c.endswith("*") and bare.startswith(c[:-1]) for c in chosen) or any(c.rstrip("*").startswith(bare) for c in chosen)
 
-    open_ = set(range(len(ranked)))
+    open_ = set(range(len(ranked))) - _too_short(ranked, errors, inside)
     while len(chosen) < TERMS:
         enough = [k for k in open_ if new[k] >= LEAST_TEXTS]
         if not enough:
@@ -146,6 +175,11 @@ def _pick(ranked: list[str], worth: dict[str, float], found: list[tuple[list[int
     return chosen
 
 
+def _sampled(hashed: Column, rows: int, n: int) -> Column:
+    """Whether a row is in a sample of about ``rows`` of ``n`` rows, by its hash; fine enough for any table."""
+    return F.pmod(hashed, F.lit(1 << 48)) < int(min(1.0, rows / max(n, 1)) * (1 << 48))
+
+
 def mine_terms(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Voters:
     """Voters from labelled texts outside the held-out third; about ``rows`` of them, chosen by a hash of the id.
 
@@ -156,34 +190,31 @@ def mine_terms(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
     """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("__toxic"))
-    share = min(1.0, rows / max(known.count(), 1))
-    known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).select("text", "__toxic")
+    known = known.where(_sampled(F.xxhash64("__id"), rows, known.count()))
+    half = F.pmod(F.xxhash64("__id", F.lit(3)), F.lit(2)).alias("__half")
+    texts = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).select("text", "__toxic", half)
+    names = ["term", "bad0", "bad1", "good0", "good1"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (Counter(), Counter())
+        found = [Counter() for _ in names[1:]]
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[1 if toxic else 0].update(_parts(text))
-                found[1 if toxic else 0][""] += 1
-        terms = sorted(found[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), pa.array([found[1][t] for t in terms], pa.int64()), pa.array([found[0][t] for t in terms], pa.int64())],
-            names=["term", "bad", "good"],
-        )
-        # Clean counts of terms that this task saw in no toxic text matter for terms another task saw in one.
-        for at in range(0, len(rest := [t for t in found[0] if t not in found[1]]), 50_000):
-            part = rest[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.string()), pa.array([0] * len(part), pa.int64()), pa.array([found[0][t] for t in part], pa.int64())],
-                names=["term", "bad", "good"],
-            )
-
-    counted = texts.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counter = found[fold if toxic else 2 + fold]
+                counter.update(_parts(text))
+                counter[""] += 1
+        terms = sorted(set().union(*found))
+        for at in range(0, len(terms), 50_000):
+            part = terms[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([c[t] for t in part], pa.int64()) for c in found]], names=names)
+
+    counted = texts.mapInArrow(count, "term string, bad0 long, bad1 long, good0 long, good1 long")
+    counted = counted.groupBy("term").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    counted = counted.withColumns({"bad": F.col("bad0") + F.col("bad1"), "good": F.col("good0") + F.col("good1")})
     at = scratch(docs.sparkSession, "terms")
     counted = keep(counted.where((F.col("bad") >= LEAST_TEXTS) | (F.col("term") == "")), at)
     total = counted.where("term = ''").first()
     chosen: list[str] = []
+    rates: dict[str, tuple[float, float]] = {}
     if total is not None and total["bad"]:
         bad, good = total["bad"], max(total["good"], 1)
         both = F.col("bad") + F.col("good")
@@ -192,16 +223,22 @@ def mine_terms(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
             + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") * (bad + good) / (both * good))).otherwise(0.0)
         )
         best = counted.where("term != ''").withColumn("surprise", surprise)
-        best = best.where((F.col("bad") >= LEAST_PRECISION * both) & (F.col("surprise") >= LEAST_SURPRISE))
+        for fold in "01":
+            seen = F.col(f"bad{fold}") + F.col(f"good{fold}")
+            best = best.where((F.col(f"bad{fold}") > 0) & (F.col(f"bad{fold}") >= LEAST_PRECISION * seen))
+        best = best.where(F.col("surprise") >= LEAST_SURPRISE)
         order = [F.desc("surprise"), F.col("term").endswith("*"), F.desc(F.length("term")), "term"]
         best = best.orderBy(*order).limit(CANDIDATES).collect()
-        worth = {r["term"]: math.log(r["bad"] / (r["bad"] + r["good"]) * (bad + good) / bad) for r in best}
-        chosen = _pick([r["term"] for r in best], worth, _texts_with(texts.where("__toxic > 0"), list(worth)))
+        # Log odds: a beginning that half the clean texts share is worth little beside the words it begins.
+        worth = {r["term"]: math.log((r["bad"] + 0.5) / (r["good"] + 0.5) * good / bad) for r in best}
+        errors = {r["term"]: r["good"] / (r["bad"] + r["good"]) for r in best}
+        chosen = _pick([r["term"] for r in best], worth, errors, _texts_with(texts.where("__toxic > 0"), list(worth)))
+        rates = {r["term"]: ((r["bad"] + 0.5) / (bad + 1), (r["good"] + 0.5) / (good + 1)) for r in best if r["term"] in chosen}
     forget(docs.sparkSession, at)
     words = list(dict.fromkeys([*[t for t in chosen if not t.endswith("*")], *LEXICON]))
     beginnings = [t[:-1] for t in chosen if t.endswith("*")]
     words = [w for w in words if not any(w.startswith(b) for b in beginnings)]
-    return Voters(words, beginnings)
+    return Voters(words, beginnings, rates)
 
 
 def cast_votes(docs: DataFrame, voters: Voters) -> DataFrame:
@@ -270,13 +307,15 @@ def _moments(patterns: DataFrame, model: LabelModel) -> tuple[float, float, floa
 
 
 def fit_label_model(votes: DataFrame, voters: Voters, iterations: int = ITERATIONS) -> LabelModel:
-    """Accuracies and correlations of the voters over all rows of ``votes``; labels are not used."""
+    """Accuracies and correlations of the voters over all rows of ``votes``, from the rates counted on labels."""
     m = len(voters.names)
     at = scratch(votes.sparkSession, "patterns")
     patterns = keep(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), at)
     term = np.arange(m) < m - len(PATTERNS)
     bits = (1 << (m - len(PATTERNS))) - 1
-    model = LabelModel(0.1, np.where(term, 0.2, 0.05), np.where(term, 0.002, 0.04), np.zeros((m, m)), 0.9, bits)
+    begun = [voters.rates.get(name, (0.2, 0.002) if t else (0.05, 0.04)) for name, t in zip(voters.names, term, strict=True)]
+    a, b = (np.array(r) for r in zip(*begun, strict=True))
+    model = LabelModel(0.1, np.maximum(a, b), b, np.zeros((m, m)), 0.9, bits)
     for _ in range(iterations):
         n_bad, n_good, silent, bad, good = _moments(patterns, model)
         if not n_bad + n_good:
@@ -289,7 +328,9 @@ def fit_label_model(votes: DataFrame, voters: Voters, iterations: int = ITERATIO
         ties[ties < 4 / math.sqrt(n_bad + 1)] = 0
         share = min(max(n_bad / (n_bad + n_good), 1e-4), 0.5)
         # A voter that fires no more often in toxic texts says nothing.
-        model = LabelModel(share, np.maximum(a, b), b, ties, min(max(silent / max(n_good, 1.0), 0.05), 1.0), bits)
+        before, model = model, LabelModel(share, np.maximum(a, b), b, ties, min(max(silent / max(n_good, 1.0), 0.05), 1.0), bits)
+        if all(np.allclose(getattr(model, p), getattr(before, p), rtol=SETTLED, atol=1e-6) for p in ("share", "bad", "good", "ties")):
+            break
     forget(votes.sparkSession, at)
     return model
 
@@ -311,8 +352,7 @@ class Classifier:
 def train(votes: DataFrame, voters: Voters, model: LabelModel, rows: int = TRAINING_ROWS, penalty: float = 1e-5) -> Classifier:
     """Logistic regression of the posteriors on the votes, over about ``rows`` rows outside the held-out third."""
     usable = votes.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    share = min(1.0, rows / max(usable.count(), 1))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = usable.where(_sampled(F.xxhash64("doc_id", F.lit(5)), rows, usable.count()))
     # Equal rows weigh together, so what reaches the driver is at most the sample.
     sample = chosen.groupBy("votes", "hits").agg(F.count(F.lit(1)).alias("n")).toArrow()
     m = len(voters.names)
