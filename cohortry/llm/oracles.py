@@ -8,19 +8,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _op1() -> str:
-    metrics = " UNION ALL ".join(
-        f"SELECT doc_id, l, s, '{m}' AS metric, {e.replace(' div ', ' // ')} AS v FROM counts" for m, (e, _) in quality.METRICS.items()
-    )
-    slack = " ".join(f"WHEN '{m}' THEN {s}" for m, (_, s) in quality.METRICS.items())
-    fence = f"""CASE WHEN MAX(total) >= {quality.LEAST_DOCUMENTS} THEN MIN(CASE WHEN below * 100 >= total * 50 THEN top END) + {quality.SPREADS}
-        * (MIN(CASE WHEN below * 100 >= total * 50 THEN top END) - MIN(CASE WHEN below * 100 >= total * 10 THEN top END))
-        + CASE metric {slack} END END"""
+    rules = {**{m: rule[0] for m, rule in quality.METRICS.items()}, **{c: c for c in quality.SIZES}}
+    metrics = " UNION ALL ".join(f"SELECT doc_id, l, s, '{m}' AS metric, {e.replace(' div ', ' // ')} AS v FROM counts" for m, e in rules.items())
+    sizes = ", ".join(f"('{m}', '{size}', {parts * events})" for m, (_, size, parts, events) in quality.METRICS.items())
 
-    def fences(*keys: str) -> str:
+    def fences(least: int, *keys: str) -> str:
         by = ", ".join([*keys, "metric"])
-        return f"""SELECT {by}, {fence} AS f FROM (
-            SELECT {by}, top, SUM(COUNT(*)) OVER (PARTITION BY {by}) AS total, SUM(COUNT(*)) OVER (PARTITION BY {by} ORDER BY top) AS below
-            FROM sketched GROUP BY {by}, top) GROUP BY {by}"""
+        using = ", ".join([*keys, "size"])
+        return f"""SELECT {", ".join(["q." + k for k in keys] + ["q.metric"])}, CASE WHEN q.total >= {least}
+            THEN q.mid + {quality.SPREADS} * (q.mid - q.low) + room.n // greatest(z.mid, 1) END AS f
+          FROM (SELECT {by}, MAX(total) AS total, MIN(CASE WHEN below * 100 >= total * 50 THEN top END) AS mid, MIN(CASE WHEN below * 100 >= total * 10 THEN top END) AS low
+            FROM (SELECT {by}, top, SUM(COUNT(*)) OVER (PARTITION BY {by}) AS total, SUM(COUNT(*)) OVER (PARTITION BY {by} ORDER BY top) AS below
+              FROM sketched GROUP BY {by}, top) GROUP BY {by}) q
+          JOIN (VALUES {sizes}) room(metric, size, n) USING (metric)
+          JOIN (SELECT {by.replace("metric", "metric AS size")}, MIN(CASE WHEN below * 100 >= total * 50 THEN top END) AS mid
+            FROM (SELECT {by}, top, SUM(COUNT(*)) OVER (PARTITION BY {by}) AS total, SUM(COUNT(*)) OVER (PARTITION BY {by} ORDER BY top) AS below
+              FROM sketched GROUP BY {by}, top) GROUP BY {by}) z USING ({using})"""
 
     return rf"""WITH d AS (SELECT doc_id, COALESCE(lang, '') AS l, COALESCE(source, '') AS s, COALESCE(text, '') AS t FROM documents),
     w AS (SELECT doc_id, l, s, t, regexp_extract_all(t, '{WORD}') AS words,
@@ -38,7 +41,7 @@ def _op1() -> str:
     v AS MATERIALIZED ({metrics}),
     e AS (SELECT v.*, greatest(length(bin(v.v)) - 6, 0) AS p FROM v JOIN judged j ON j.doc_id = v.doc_id WHERE NOT base_failed),
     sketched AS MATERIALIZED (SELECT l, s, metric, (((v >> p) + 1) << p) - 1 AS top FROM e),
-    own AS ({fences("l", "s")}), tongue AS ({fences("l")}), overall AS ({fences()}),
+    own AS ({fences(quality.LEAST_DOCUMENTS, "l", "s")}), tongue AS ({fences(quality.LEAST_DOCUMENTS, "l")}), overall AS ({fences(1)}),
     limits AS (SELECT own.l, own.s, own.metric, COALESCE(own.f, tongue.f, overall.f) AS f FROM own
         JOIN tongue ON tongue.l = own.l AND tongue.metric = own.metric JOIN overall ON overall.metric = own.metric),
     broken AS (SELECT DISTINCT v.doc_id FROM v JOIN limits ON limits.l = v.l AND limits.s = v.s AND limits.metric = v.metric WHERE v.v > f)

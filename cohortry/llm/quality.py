@@ -25,18 +25,21 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 
 #: Counted in every text.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs")
-#: Metric: (integer expression over the counts, slack added to its threshold).
+#: Metric: integer expression over the counts, what it is a rate of, parts of one it is counted in, and how many
+#: single events beyond a group's habits a document of the group's usual size may have.
 METRICS = {
-    "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 150),
-    "duplicates": ("1000 * n_dup_lines div greatest(n_lines, 1)", 300),
-    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 200),
-    "letters": ("100 * word_chars div greatest(n_words, 1)", 150),
-    "capitals": ("1000 * n_upper div greatest(word_chars, 1)", 150),
-    "bangs": ("1000 * n_bangs div greatest(n_words, 1)", 300),
+    "symbols": ("1000 * n_symbols div greatest(n_words, 1)", "n_words", 1000, 20),
+    "duplicates": ("1000 * n_dup_lines div greatest(n_lines, 1)", "n_lines", 1000, 3),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", "n_words", 1000, 40),
+    "letters": ("100 * word_chars div greatest(n_words, 1)", "n_words", 100, 150),
+    "capitals": ("1000 * n_upper div greatest(word_chars, 1)", "word_chars", 1000, 100),
+    "bangs": ("1000 * n_bangs div greatest(n_words, 1)", "n_words", 1000, 20),
 }
+#: Sizes of documents, sketched like the metrics.
+SIZES = ("n_words", "n_lines", "word_chars")
 #: Distances from the median, in units of the lower spread (median less 10th percentile), that still pass.
 SPREADS = 8
-#: Documents a sketch needs to be used by itself.
+#: Documents a group's or a language's sketch needs to be used by itself; that of all documents always counts.
 LEAST_DOCUMENTS = 200
 #: Largest threshold table, in rows, that is broadcast; a larger one is joined in salted parts.
 BROADCAST_ROWS = 50_000
@@ -125,14 +128,20 @@ def _group(name: str) -> Column:
 def sketch(counts: DataFrame) -> DataFrame:
     """(language, source, metric, bucket, n): one sketch per metric and group, of the documents the base rules pass."""
     values = F.array(
-        *[F.struct(F.lit(m).alias("metric"), _bucket(F.expr(e)).alias("bucket")) for m, (e, _) in METRICS.items()]
+        *[F.struct(F.lit(m).alias("metric"), _bucket(F.expr(rule[0])).alias("bucket")) for m, rule in METRICS.items()],
+        *[F.struct(F.lit(c).alias("metric"), _bucket(F.col(c)).alias("bucket")) for c in SIZES],
     )
     rows = counts.where(~base_failed()).select(_group("lang"), _group("source"), F.explode(values).alias("v"))
     return rows.groupBy("__lang", "__source", "v.metric", "v.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fences(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """Upper threshold per group and metric: median + SPREADS * (median - 10th percentile) + slack."""
+def _fences(merged: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Upper threshold per group and metric, from ``least`` documents on.
+
+    The median, plus SPREADS times its distance to the 10th percentile, plus what a metric's
+    allowed events make in a document of the group's median size: where most documents have
+    none, what is one too many depends on how long they are.
+    """
     by = Window.partitionBy(*keys, "metric")
     ranked = merged.select(
         *keys,
@@ -145,18 +154,21 @@ def _fences(merged: DataFrame, keys: list[str]) -> DataFrame:
     def quantile(percent: int) -> Column:
         return F.min(F.when(F.col("below") * 100 >= F.col("total") * percent, F.col("top")))
 
-    slack = F.create_map(*[F.lit(x) for m, (_, s) in METRICS.items() for x in (m, s)])
     found = ranked.groupBy(*keys, "metric").agg(
         F.max("total").alias("total"), quantile(50).alias("mid"), quantile(10).alias("low")
     )
-    return found.select(
-        *keys,
-        "metric",
-        F.when(
-            F.col("total") >= LEAST_DOCUMENTS,
-            F.col("mid") + SPREADS * (F.col("mid") - F.col("low")) + slack[F.col("metric")],
-        ).alias("fence"),
-    )
+    # One entry per metric and size.
+    entries = F.collect_list(F.struct("metric", F.struct("total", "mid", "low").alias("s")))
+    known = found.groupBy(*keys).agg(F.map_from_entries(entries).alias("q"))
+
+    def fence(metric: str) -> Column:
+        _, size, parts, events = METRICS[metric]
+        q, usual = F.col("q")[metric], F.greatest(F.col("q")[size]["mid"], F.lit(1))
+        room = F.floor(F.lit(parts * events) / usual).cast("long")
+        return F.when(q["total"] >= least, q["mid"] + SPREADS * (q["mid"] - q["low"]) + room)
+
+    fences = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), fence(m).alias("fence")) for m in METRICS]))
+    return known.select(*keys, fences.alias("f")).select(*keys, "f.metric", "f.fence")
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
@@ -166,9 +178,9 @@ def thresholds(sketches: DataFrame) -> DataFrame:
         rows = sketches.select(*keys, "metric", "bucket", "n") if keys else sketches.select("metric", "bucket", "n")
         return rows.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
-    own = _fences(merged("__lang", "__source"), ["__lang", "__source"])
-    language = _fences(merged("__lang"), ["__lang"]).withColumnRenamed("fence", "lang_fence")
-    overall = _fences(merged(), []).withColumnRenamed("fence", "all_fence")
+    own = _fences(merged("__lang", "__source"), ["__lang", "__source"], LEAST_DOCUMENTS)
+    language = _fences(merged("__lang"), ["__lang"], LEAST_DOCUMENTS).withColumnRenamed("fence", "lang_fence")
+    overall = _fences(merged(), [], 1).withColumnRenamed("fence", "all_fence")
     found = own.join(language, ["__lang", "metric"], "left").join(F.broadcast(overall), "metric", "left")
     fence = F.coalesce("fence", "lang_fence", "all_fence")
     return found.groupBy("__lang", "__source").agg(
@@ -188,7 +200,7 @@ def _with_thresholds(rows: DataFrame, limits: DataFrame, salt: str) -> DataFrame
 
 def passes() -> Column:
     """Whether a row with counts and thresholds breaks no rule; a group without thresholds has none to break."""
-    within = [F.coalesce(F.expr(e) <= F.col(f"__max_{m}"), F.lit(True)) for m, (e, _) in METRICS.items()]
+    within = [F.coalesce(F.expr(e) <= F.col(f"__max_{m}"), F.lit(True)) for m, (e, *_) in METRICS.items()]
     ok = ~base_failed()
     for rule in within:
         ok = ok & rule

@@ -62,6 +62,29 @@ def test_thresholds_follow_the_group(spark):
     assert kept == {("calm", False): True, ("calm", True): False, ("loud", True): True, ("tiny", True): False, ("tiny", False): True}
 
 
+def test_thresholds_differ_between_sources(spark):
+    """Sources whose documents are short and long allow different rates in every metric; the same text passes in one only."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20)), "en", "short") for i in range(300)]
+    rows += [(1000 + i, "\n".join(" ".join(f"Word{i}y{k}z{j}" for j in range(50)) for k in range(8)), "en", "long") for i in range(300)]
+    odd = " ".join(f"v{j}" + "#" * (j % 2) for j in range(40))
+    rows += [(5000, odd, "en", "short"), (5001, odd, "en", "long")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {r["__source"]: r.asDict() for r in quality.thresholds(quality.sketch(quality.text_counts(frame))).collect()}
+    assert all(limits["short"][f"__max_{m}"] != limits["long"][f"__max_{m}"] for m in quality.METRICS)
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(frame).where("doc_id >= 5000").collect()}
+    assert kept == {5000: True, 5001: False}
+
+
+def test_rules_hold_at_any_size_and_repeats_can_fail(spark):
+    """A handful of documents has thresholds too; a text under the base rule's bound for repeats can be too repetitive for its source."""
+    prose = [" ".join(f"w{i:02d}x{j:03d}" for j in range(400)) for i in range(20)]
+    again = " ".join([*[f"r{j}" for j in range(400)], *[f"r{j}" for j in range(35)]])
+    texts = [*prose, again, " ".join(f"s{j}##" for j in range(400))]
+    frame = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.judge(frame).collect()}
+    assert all(kept[i] == (False, True) for i in range(20)) and kept[20] == kept[21] == (False, False)
+
+
 def test_salted_thresholds_agree(docs, monkeypatch):
     small = {tuple(r) for r in quality.judge(docs).collect()}
     monkeypatch.setattr(quality, "BROADCAST_ROWS", -1)
@@ -357,6 +380,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert right[0] >= 0.9 and right[1] <= 0.02
 
 
+def test_toxicity_leaves_clean_languages_alone(spark):
+    """At a tenth of the test scale's full size: few clean held-out rows flagged in any language, most toxic ones caught."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = toxicity.score(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    rows = found.where("held_out and toxic is not null").groupBy("lang", "toxic").agg(F.sum("predicted").alias("p"), F.count(F.lit(1)).alias("n")).collect()
+    clean, toxic = [r for r in rows if r["toxic"] == 0], [r for r in rows if r["toxic"] == 1]
+    assert sum(r["p"] for r in clean) <= 0.02 * sum(r["n"] for r in clean) and all(r["p"] <= 0.07 * r["n"] for r in clean)
+    assert sum(r["p"] for r in toxic) >= 0.9 * sum(r["n"] for r in toxic)
+
+
 def test_toxicity_of_a_small_vocabulary_and_noisy_labels(spark, monkeypatch):
     """A language with a twentieth of the toxic texts, its insults in a quarter of those each; 6% of the labels are wrong."""
     monkeypatch.setattr(toxicity, "LEXICON", ())
