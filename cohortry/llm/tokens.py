@@ -23,7 +23,10 @@ _CUTTABLE = bytes(x for x in range(256) if x not in {0, *range(0x1C, 0x20), 0x85
 
 _WORD_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 _BYTE_PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
-_UNCERTAIN_SPACE = re.compile(r"\s\s|^\s|\s\Z|[\t\r\x0b\x0c]")
+
+#: The same without white space other than spaces and line breaks; and two of those in a row.
+_PLAIN = bytes(x for x in _CUTTABLE if x not in b"\t\r\x0b\x0c")
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
 
 
 class Encoder:
@@ -52,7 +55,8 @@ class Encoder:
         drops = splitter.get("type") == "Sequence" and "Removed" in json.dumps(splitter)
         self._mode = "words" if drops and lowers else "bytes" if plain and not spec.get("normalizer") else "whole"
         self._tokenizer, self._model, self._shown = whole, whole.model, _byte_letters()
-        self._added = [t["content"].lower() for t in spec.get("added_tokens") or ()]
+        self._lowers = lowers
+        self._added = [t["content"].lower() if lowers else t["content"] for t in spec.get("added_tokens") or ()]
         self._chunks: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
         self._ready = True
@@ -92,17 +96,22 @@ class Encoder:
                 self._parts[part] = found
         return found
 
+    @staticmethod
+    def _evenly_spaced(text: str) -> bool:
+        """Whether white space is single and inside the text, so that a cut at it is a cut of the splitting rule."""
+        return not (text[0] in " \n" or text[-1] in " \n" or any(pair in text for pair in _DOUBLE))
+
     def _one(self, text: str) -> bytes:
+        seen = text.lower() if self._lowers else text
+        if any(mark in seen for mark in self._added):
+            return self._whole(text)
         try:
-            sure = not text.encode("latin-1").translate(None, _CUTTABLE)
+            raw = text.encode("latin-1")
         except UnicodeEncodeError:
-            sure = False
-        lowered = text.lower()
-        if any(mark in lowered for mark in self._added):
             return self._whole(text)
-        if self._mode == "words" and sure:
-            chunks = lowered.split()
-        elif self._mode == "bytes" and sure and text and not _UNCERTAIN_SPACE.search(text):
+        if self._mode == "words" and not raw.translate(None, _CUTTABLE):
+            chunks = seen.split() if self._lowers else text.lower().split()
+        elif self._mode == "bytes" and raw and not raw.translate(None, _PLAIN) and self._evenly_spaced(text):
             # A space belongs to the word after it; a line break stands alone.
             chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         else:
