@@ -421,20 +421,30 @@ def dbscan(df: DataFrame, row_id: str, vec: str, eps: float, min_points: int = M
 
     The point itself counts as a neighbour. A border row joins the lowest-labelled
     cluster in reach. Neighbour pairs are never written out: a pair of blocks yields a
-    count per point, then one link per point to the smallest core point it reaches.
+    count per point, then one link per point to the smallest core point it reaches. Every
+    pair of blocks is measured once for both sides; ``info`` of the result holds the pairs of
+    points ``measured`` for the counts and those ``counted`` from sizes alone.
     """
     layout = _Layout(df, row_id, vec, seed=seed)
     pairs = layout.pairs_within(np.full(len(layout.pivots), float(eps)))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                reps, x = _points(r.reps, r.flat)
-                _, y = _points(r.reps2, r.flat2)
-                near = within(x, y, eps) @ np.asarray(r.sizes2, dtype=np.int64)
-                yield pd.DataFrame({"rep": reps, "near": near})
-
-    counts = pairs.select("reps", "flat", "reps2", "flat2", "sizes2").mapInPandas(count, "rep long, near long")
+    surely = F.col("most") <= eps * (1 - 1e-12)
+
+    def count(left, right) -> pd.DataFrame:
+        reps, x = _points(left.reps, left.flat)
+        others, y = _points(right.reps, right.flat)
+        close = within(x, y, eps)
+        found = pd.DataFrame({"rep": reps, "near": close @ np.asarray(right.sizes, dtype=np.int64)})
+        if right is left:
+            return found
+        return pd.concat([found, pd.DataFrame({"rep": others, "near": np.asarray(left.sizes, dtype=np.int64) @ close})])
+
+    measured = layout.meet(pairs.where(~surely), ["reps", "flat", "sizes"], count, "rep long, near long")
+    # Blocks that lie within the radius of each other as a whole are counted without their points.
+    whole = pairs.where(surely)
+    both = whole.select("block", "block2").union(whole.where("block <> block2").select("block2", "block"))
+    sums = both.join(layout.blocks.select(F.col("block").alias("block2"), "rows"), "block2").groupBy("block").agg(F.sum("rows").alias("near"))
+    counted = layout.blocks.select("block", "reps").join(sums, "block").select(F.explode("reps").alias("rep"), "near")
+    counts = measured.unionByName(counted)
     core = counts.groupBy("rep").agg(F.sum("near").alias("near")).where(F.col("near") >= min_points).select("rep")
     core = core.checkpoint()
     per_block = (
@@ -443,32 +453,32 @@ def dbscan(df: DataFrame, row_id: str, vec: str, eps: float, min_points: int = M
         .groupBy("block")
         .agg(F.collect_list("rep").alias("cores"))
     )
-    # Only the right block has to hold a core point.
-    other = per_block.toDF("block2", "cores2")
-    marked = pairs.join(other, "block2").join(per_block, "block", "left").select(
-        "reps", "flat", "cores", "reps2", "flat2", "cores2"
-    )
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                a, x = _points(r.reps, r.flat)
-                b, y = _points(r.reps2, r.flat2)
-                is_core = np.isin(a, [] if r.cores is None else r.cores)
-                right_core = np.isin(b, r.cores2)
-                b, y = b[right_core], y[right_core]
-                close = within(x, y, eps)
-                left, right = _spread_minimum(close[is_core], a[is_core], b)
-                out = [
-                    pd.DataFrame({"a": a[is_core], "b": left, "core": True}),
-                    pd.DataFrame({"a": b, "b": right, "core": True}),
-                ]
-                at, reached = np.nonzero(close[~is_core])
-                found = np.unique(np.stack([a[~is_core][at], right[reached]]), axis=1)
-                out.append(pd.DataFrame({"a": found[0], "b": found[1], "core": False}))
-                yield pd.concat(out)
-
-    links = marked.mapInPandas(link, "a long, b long, core boolean").distinct().checkpoint()
+    marked = layout.blocks.join(per_block, "block", "left").checkpoint()
+
+    def link(left, right) -> pd.DataFrame:
+        a, x = _points(left.reps, left.flat)
+        b, y = _points(right.reps, right.flat)
+        a_core = np.isin(a, [] if left.cores is None else left.cores)
+        b_core = np.isin(b, [] if right.cores is None else right.cores)
+        close = within(x, y, eps)
+        near_a, near_b = _spread_minimum(close[np.ix_(a_core, b_core)], a[a_core], b[b_core])
+        out = [
+            pd.DataFrame({"a": a[a_core], "b": near_a, "core": True}),
+            pd.DataFrame({"a": b[b_core], "b": near_b, "core": True}),
+        ]
+        sides = [(close[np.ix_(~a_core, b_core)], a[~a_core], near_b), (close[np.ix_(a_core, ~b_core)].T, b[~b_core], near_a)]
+        for reached, border, names in sides[: 1 if right is left else 2]:
+            i, j = np.nonzero(reached)
+            found = np.unique(np.stack([border[i], names[j]]), axis=1)
+            out.append(pd.DataFrame({"a": found[0], "b": found[1], "core": False}))
+        return pd.concat(out)
+
+    # A pair without a core point on either side links nothing.
+    cored = marked.where(F.col("cores").isNotNull()).select("block")
+    first = pairs.join(cored, "block", "left_semi")
+    rest = pairs.join(cored, "block", "left_anti").join(cored.toDF("block2"), "block2", "left_semi")
+    live = first.select("block", "block2").union(rest.select("block", "block2")).checkpoint()
+    links = layout.meet(live, ["reps", "flat", "cores"], link, "a long, b long, core boolean", marked).distinct().checkpoint()
     roots = connected_components(links.where("core").select("a", "b"))
     border = (
         links.where(~F.col("core"))
@@ -483,7 +493,8 @@ def dbscan(df: DataFrame, row_id: str, vec: str, eps: float, min_points: int = M
         .join(named, "rep", "left")
         .select(row_id, F.coalesce("label", F.lit(NOISE)).cast("long").alias("label"))
     )
-    return Fit(labels, eps)
+    work = pairs.agg(F.sum(F.when(surely, 0).otherwise(F.col("cost"))), F.sum(F.when(surely, F.col("cost")).otherwise(0))).first()
+    return Fit(labels, eps, info={"measured": work[0], "counted": work[1]})
 
 
 def dbscan_sweep(

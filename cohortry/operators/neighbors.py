@@ -1,19 +1,21 @@
 """Exact nearest-neighbour and radius joins over vectors.
 
-Points are put into cells around a bounded set of pivots, and each cell is cut into
-blocks of bounded size: rings by distance to the pivot, then a hash where a ring is
-crowded. The triangle inequality rules out pairs of blocks that cannot hold a
-neighbour; what is left is worked off block pair by block pair. Copies of one vector
+Points are put into cells around a bounded set of pivots. A cell is cut into blocks of
+bounded size: rings by distance to the pivot, slabs along a projection, then a hash where
+points still share both. Two bounds rule out pairs of blocks that cannot hold a neighbour:
+the triangle inequality on the pivots, and the gap between the blocks' boxes in a few
+orthonormal projections. A pair that is left is met once, for both of its sides: a block's
+points are sent once, followed by the points of the blocks it meets. Copies of one vector
 are collapsed first, so a vector owning a third of the rows is one point.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -22,9 +24,10 @@ from cohortry.operators.relational import bounded_sample
 
 #: Pivots are at most this many, so tables over pairs of cells have a fixed bound.
 MAX_PIVOTS = 1_024
-#: Points per block, and rings per cell.
+#: Points per block, rings per cell and slabs per ring at most, and projections of a box.
 BLOCK = 1_024
 RINGS = 64
+PROJECTIONS = 8
 #: Slack on every bound, against rounding in the distances.
 SLACK = 1e-9
 
@@ -90,50 +93,77 @@ def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     return near
 
 
+def _directions(pivots: np.ndarray) -> np.ndarray:
+    """A few orthonormal directions along which the pivots spread most."""
+    _, _, axes = np.linalg.svd(pivots - pivots.mean(axis=0), full_matrices=False)
+    return axes[:PROJECTIONS]
+
+
 def _to_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot (``cell``) and the distance to it (``radius``)."""
+    """Add the nearest pivot (``cell``), the distance to it (``radius``) and the projections (``at``)."""
+    axes = _directions(pivots)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows) == 0:
                 continue
-            dist = _distances(np.stack(rows["vec"].to_numpy()), pivots)
+            x = np.stack(rows["vec"].to_numpy())
+            dist = _distances(x, pivots)
             nearest = dist.argmin(axis=1)
-            yield rows.assign(cell=nearest.astype(np.int32), radius=dist[np.arange(len(rows)), nearest])
+            yield rows.assign(cell=nearest.astype(np.int32), radius=dist[np.arange(len(rows)), nearest], at=list(x @ axes.T))
 
-    schema = T.StructType([*points.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
+    added = [("cell", T.IntegerType()), ("radius", T.DoubleType()), ("at", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*points.schema.fields, *[T.StructField(n, t) for n, t in added]])
     return points.mapInPandas(assign, schema)
 
 
 def _blocks(celled: DataFrame) -> DataFrame:
-    """One row per block: its points as parallel arrays and its range of distances to the pivot.
+    """One row per block: its points as parallel arrays, its range of distances to the pivot and its box.
 
-    The number of rings and of hash parts follows the cell's size, so a crowded cell
-    becomes many blocks.
+    Rings and slabs follow the cell's size; points that share ring and slab are counted and
+    spread by hash, so no block grows with the data.
     """
     probs = [i / RINGS for i in range(1, RINGS)]
+    lead = F.get("at", F.lit(0))
     cells = celled.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("__n"), F.percentile_approx("radius", probs).alias("__cuts")
+        F.ceil(F.count(F.lit(1)) / BLOCK).alias("__want"),
+        F.percentile_approx("radius", probs).alias("__cuts"),
+        F.percentile_approx(lead, probs).alias("__edges"),
     )
     sized = celled.join(F.broadcast(cells), "cell")  # one row per pivot, at most MAX_PIVOTS
-    rings = F.least(F.lit(RINGS), F.ceil(F.col("__n") / BLOCK))
-    depth = F.size(F.filter("__cuts", lambda c: c < F.col("radius")))
-    placed = sized.withColumns(
-        {
-            "ring": F.floor(depth * rings / RINGS).cast("int"),
-            "part": F.pmod(F.xxhash64("rep"), F.ceil(F.col("__n") / rings / BLOCK)).cast("int"),
-        }
+
+    def step(cuts: str, value: Column, most: Column) -> Column:
+        depth = F.size(F.filter(cuts, lambda c: c < value))
+        return F.coalesce(F.floor(depth * most / RINGS), F.lit(0)).cast("int")
+
+    rings = F.least(F.lit(RINGS), F.ceil(F.sqrt("__want")))
+    slabs = F.least(F.lit(RINGS), F.ceil(F.col("__want") / rings))
+    placed = sized.withColumns({"ring": step("__cuts", F.col("radius"), rings), "slab": step("__edges", lead, slabs)})
+    crowds = placed.groupBy("cell", "ring", "slab").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("__parts"))
+    # Mostly empty, and then adaptive execution drops the join.
+    crowded = crowds.where(F.col("__parts") > 1)
+    spread = placed.join(crowded, ["cell", "ring", "slab"], "left").withColumn(
+        "part", F.pmod(F.xxhash64("rep"), F.coalesce("__parts", F.lit(1))).cast("int")
     )
-    packed = placed.groupBy("cell", "ring", "part").agg(
-        F.collect_list(F.struct("rep", "n", "ids", "vec")).alias("items"),
+    packed = spread.groupBy("cell", "ring", "slab", "part").agg(
+        F.collect_list(F.struct("rep", "n", "ids", "vec", "at")).alias("items"),
         F.min("radius").alias("near"),
         F.max("radius").alias("far"),
     )
+    axes = F.sequence(F.lit(0), F.size(F.col("items")[0]["at"]) - 1)
+
+    def edge(pick) -> Column:
+        return F.transform(axes, lambda d: pick(F.transform("items", lambda i: F.get(i["at"], d))))
+
     return packed.select(
-        F.concat_ws("-", "cell", "ring", "part").alias("block"),
+        F.concat_ws("-", "cell", "ring", "slab", "part").alias("block"),
         "cell",
         "near",
         "far",
+        edge(F.array_min).alias("low"),
+        edge(F.array_max).alias("high"),
+        F.size("items").alias("points"),
+        F.aggregate("items", F.lit(0).cast("bigint"), lambda t, i: t + i["n"]).alias("rows"),
         F.col("items.rep").alias("reps"),
         F.col("items.n").alias("sizes"),
         F.col("items.ids").alias("ids"),
@@ -153,38 +183,78 @@ class _Layout:
         self.celled = _to_cells(points, self.pivots).checkpoint()
         self.blocks = _blocks(self.celled).checkpoint()
         self.between = _distances(self.pivots, self.pivots)
-        spans = self.celled.groupBy("cell").agg(F.max("radius").alias("far")).collect()
+        spans = self.blocks.groupBy("cell").agg(F.max("far").alias("far")).collect()
         self.far = {r["cell"]: r["far"] for r in spans}
 
-    def pairs_within(self, bounds: np.ndarray) -> DataFrame:
-        """Pairs of blocks that can hold points of cells i and j within ``bounds[i]``.
+    def pairs_within(self, bounds: np.ndarray, own: DataFrame | None = None) -> DataFrame:
+        """``(block, block2, cost, most)``: pairs of blocks that can hold points within the bounds, each once.
 
-        Cells are compared first (a table bounded by the pivots), then their blocks by id,
-        and only the surviving pairs fetch the points.
+        ``bounds`` has a distance per cell; ``own`` may have a smaller one per block (``block,
+        reach``). A block also meets itself (``block2`` equal). ``cost`` is the number of point
+        pairs, ``most`` a distance that no pair of their points exceeds. Cells are compared first (a table
+        bounded by the pivots), then their blocks by id and box; no points are read here. Which
+        of two blocks comes first is settled by a hash, so no block collects all of its pairs.
         """
         cells = np.array(sorted(self.far))
         far = np.array([self.far[c] for c in cells])
         gap = self.between[np.ix_(cells, cells)]
-        limit = bounds[cells][:, None]
-        i, j = np.nonzero(gap - far[:, None] - far[None, :] <= limit + SLACK)
+        limit = np.maximum(bounds[cells][:, None], bounds[cells][None, :])
+        i, j = np.nonzero(np.triu(gap - far[:, None] - far[None, :] <= limit + SLACK))
         spark = self.blocks.sparkSession
         table = spark.createDataFrame(
-            pd.DataFrame({"cell": cells[i], "cell2": cells[j], "gap": gap[i, j], "bound": bounds[cells][i]}),
-            "cell int, cell2 int, gap double, bound double",
+            pd.DataFrame({"cell": cells[i], "cell2": cells[j], "gap": gap[i, j], "bound": bounds[cells][i], "bound2": bounds[cells][j]}),
+            "cell int, cell2 int, gap double, bound double, bound2 double",
+        )
+        keys = self.blocks.select("block", "cell", "near", "far", "low", "high", "points")
+        keys = keys.withColumn("reach", F.lit(float("inf"))) if own is None else keys.join(own, "block")
+        other = keys.toDF(*[f"{c}2" for c in keys.columns])
+        away = F.zip_with(
+            F.zip_with("low2", "high", lambda a, b: a - b), F.zip_with("low", "high2", lambda a, b: a - b),
+            lambda a, b: F.greatest(a, b, F.lit(0.0)),
         )
-        keys = self.blocks.select("block", "cell", "near", "far")
-        other = keys.toDF("block2", "cell2", "near2", "far2")
         nearest = F.greatest(
             F.col("gap") - F.col("far") - F.col("far2"),
             F.col("near") - F.col("gap") - F.col("far2"),
             F.col("near2") - F.col("gap") - F.col("far"),
+            F.sqrt(F.aggregate(away, F.lit(0.0), lambda t, x: t + x * x)),
         )
-        chosen = (
-            keys.join(table, "cell").join(other, "cell2").where(nearest <= F.col("bound") + SLACK)
-        ).select("block", "block2")
-        payload = ["reps", "sizes", "ids", "flat"]
-        right = self.blocks.select(F.col("block").alias("block2"), *[F.col(c).alias(c + "2") for c in payload])
-        return chosen.join(right, "block2").join(self.blocks.select("block", *payload), "block")
+        bound = F.greatest(F.least("bound", "reach"), F.least("bound2", "reach2"))
+        once = (F.col("cell") < F.col("cell2")) | (F.col("block") <= F.col("block2"))
+        met = keys.join(table, "cell").join(other, "cell2").where(once & (nearest <= bound + SLACK))
+        swap = F.pmod(F.xxhash64("block", "block2"), F.lit(2)) == 1
+        same = F.col("block") == F.col("block2")
+        return met.select(
+            F.when(swap, F.col("block2")).otherwise(F.col("block")).alias("block"),
+            F.when(swap, F.col("block")).otherwise(F.col("block2")).alias("block2"),
+            F.when(same, F.col("points") * (F.col("points") - 1) / 2).otherwise(F.col("points") * F.col("points2")).cast("long").alias("cost"),
+            (F.col("gap") + F.col("far") + F.col("far2") + SLACK).alias("most"),
+        ).checkpoint()
+
+    def meet(self, pairs: DataFrame, payload: Sequence[str], work: Callable, schema: str, blocks: DataFrame | None = None) -> DataFrame:
+        """``work(left, right)`` for every pair of blocks; ``right`` is ``left`` where a block meets itself.
+
+        ``pairs`` is a stored frame, as it is read three times. Each left block travels once, ahead of the blocks it meets, and a task holds two blocks at a time.
+        """
+        blocks = self.blocks if blocks is None else blocks
+        empty = [F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in payload]
+        lefts = pairs.select("block").distinct().join(blocks, "block").select("block", F.lit(0).alias("turn"), *payload)
+        selves = pairs.where("block = block2").select("block", F.lit(1).alias("turn"), *empty)
+        points = blocks.select(F.col("block").alias("block2"), *payload)
+        rights = pairs.where("block <> block2").join(points, "block2").select("block", F.lit(2).alias("turn"), *payload)
+        rows = lefts.unionByName(selves).unionByName(rights).repartition("block").sortWithinPartitions("block", "turn")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            left = None
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    if r.turn == 0:
+                        left = r
+                    elif left is None or left.block != r.block:
+                        raise ValueError("a block's own row must come first")
+                    else:
+                        yield work(left, left if r.turn == 1 else r)
+
+        return rows.mapInPandas(run, schema)
 
 
 def _points(reps, flat) -> tuple[np.ndarray, np.ndarray]:
@@ -192,40 +262,43 @@ def _points(reps, flat) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.asarray(flat, dtype=float).reshape(len(ids), -1)
 
 
+def _nearest(k: int) -> Callable:
+    """Work on a pair of blocks: the ``k + 1`` nearest points of the other block for every point, both ways."""
+
+    def one_way(reps: np.ndarray, x: np.ndarray, other, y: np.ndarray, rough: np.ndarray, error: np.ndarray) -> pd.DataFrame:
+        width = min(k + 1, len(y))
+        edge = np.partition(rough + error, width - 1, axis=1)[:, width - 1]
+        # Everything that may belong to the first ``width``, then exactly, ties by id.
+        q, j = np.nonzero(rough - error <= edge[:, None])
+        dist = _pair_distances(x, y, q, j)
+        copies = np.array([len(ids) for ids in other.ids])
+        q, dist, repeat = np.repeat(q, copies[j]), np.repeat(dist, copies[j]), j
+        dst = np.concatenate([other.ids[m] for m in repeat]).astype(np.int64)
+        order = np.lexsort((dst, dist, q))
+        q, dist, dst = q[order], dist[order], dst[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place <= k
+        return pd.DataFrame({"block": "", "rep": reps[q[keep]], "dst": dst[keep], "dist": dist[keep]})
+
+    def work(left, right) -> pd.DataFrame:
+        a, x = _points(left.reps, left.flat)
+        b, y = _points(right.reps, right.flat)
+        rough, error = _rough_squares(x, y)
+        found = one_way(a, x, right, y, rough, error).assign(block=left.block)
+        if right is left:
+            return found
+        return pd.concat([found, one_way(b, y, left, x, rough.T, error.T)])
+
+    return work
+
+
 def knn_graph(df: DataFrame, row_id: str, vec: str, k: int = 10, seed: int = 42) -> DataFrame:
     """``(src, dst, dist, rank)``: the ``k`` nearest other rows of every row, exactly.
 
-    Ties go to the smaller id.
+    Ties go to the smaller id. Every block is searched by itself first; the k-th distances
+    found there bound how far its points must still look.
     """
-    layout = _Layout(df, row_id, vec, k + 1, seed)
-    pairs = layout.pairs_within(_knn_bounds(layout, k))
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                reps, x = _points(r.reps, r.flat)
-                _, y = _points(r.reps2, r.flat2)
-                width = min(k + 1, len(y))
-                rough, error = _rough_squares(x, y)
-                edge = np.partition(rough + error, width - 1, axis=1)[:, width - 1]
-                # Everything that may belong to the first ``width``, then exactly, ties by id.
-                q, j = np.nonzero(rough - error <= edge[:, None])
-                dist = _pair_distances(x, y, q, j)
-                copies = np.array([len(ids) for ids in r.ids2])
-                q, dist, repeat = np.repeat(q, copies[j]), np.repeat(dist, copies[j]), j
-                dst = np.concatenate([r.ids2[m] for m in repeat]).astype(np.int64)
-                order = np.lexsort((dst, dist, q))
-                q, dist, dst = q[order], dist[order], dst[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                keep = place <= k
-                yield pd.DataFrame({"rep": reps[q[keep]], "dst": dst[keep], "dist": dist[keep]})
-
-    found = pairs.select("reps", "flat", "reps2", "ids2", "flat2").mapInPandas(
-        nearest, "rep long, dst long, dist double"
-    )
-    order = Window.partitionBy("rep").orderBy("dist", "dst")
-    top = found.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1)
-    lists = top.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("near"))
+    lists, layout, _ = _knn_lists(df, row_id, vec, k, seed)
     # Copies share the list of their representative; each row skips itself.
     members = df.select(F.col(row_id).cast("long").alias("src"), F.col(vec).cast("array<double>").alias("vec"))
     mine = members.join(layout.celled.select("vec", "rep"), "vec").select("src", "rep").join(lists, "rep")
@@ -235,6 +308,43 @@ def knn_graph(df: DataFrame, row_id: str, vec: str, k: int = 10, seed: int = 42)
     )
 
 
+def knn_work(df: DataFrame, row_id: str, vec: str, k: int = 10, seed: int = 42) -> DataFrame:
+    """What ``knn_graph`` does on these rows: one row ``points, blocks, settled, compared, possible``.
+
+    ``settled`` points are exact after the search of their own block, ``compared`` counts pairs
+    of points that were measured, of all ``possible`` ones.
+    """
+    _, layout, pairs = _knn_lists(df, row_id, vec, k, seed)
+    away = pairs.where("block <> block2")
+    open_blocks = away.select("block").union(away.select("block2")).distinct()
+    settled = layout.blocks.join(open_blocks, "block", "left_anti").agg(F.coalesce(F.sum("points"), F.lit(0)).alias("settled"))
+    sizes = layout.blocks.agg(F.sum("points").alias("points"), F.count(F.lit(1)).alias("blocks"))
+    compared = pairs.agg(F.sum("cost").alias("compared"))
+    # Three aggregates of one row each.
+    out = sizes.join(F.broadcast(settled)).join(F.broadcast(compared))
+    possible = (F.col("points") * (F.col("points") - 1) / 2).cast("long")
+    return out.select("points", "blocks", "settled", "compared", possible.alias("possible"))
+
+
+def _knn_lists(df: DataFrame, row_id: str, vec: str, k: int, seed: int) -> tuple[DataFrame, _Layout, DataFrame]:
+    """``(rep, near)`` with the ``k + 1`` nearest of every point, the layout, and the pairs of blocks met."""
+    layout = _Layout(df, row_id, vec, k + 1, seed)
+    payload, schema = ["reps", "ids", "flat"], "block string, rep long, dst long, dist double"
+    # ``cost`` and ``most`` play no part in a block's search of itself.
+    selves = layout.blocks.select("block", F.col("block").alias("block2"))
+    home = layout.meet(selves, payload, _nearest(k), schema).checkpoint()
+    last = home.groupBy("block", "rep").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("last"))
+    enough = F.when(F.col("n") > k, F.col("last")).otherwise(F.lit(float("inf")))
+    reach = last.groupBy("block").agg(F.max(enough).alias("reach"))
+    pairs = layout.pairs_within(_knn_bounds(layout, k), reach)
+    away = pairs.where("block <> block2")
+    found = home if away.isEmpty() else home.unionByName(layout.meet(away, payload, _nearest(k), schema))
+    order = Window.partitionBy("rep").orderBy("dist", "dst")
+    top = found.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1)
+    lists = top.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("near"))
+    return lists, layout, pairs
+
+
 def _knn_bounds(layout: _Layout, k: int) -> np.ndarray:
     """Per cell, a distance within which every point of it surely has k others.
 
@@ -270,21 +380,14 @@ def range_neighbors(df: DataFrame, row_id: str, vec: str, eps: float, seed: int
     layout = _Layout(df, row_id, vec, seed=seed)
     pairs = layout.pairs_within(np.full(len(layout.pivots), float(eps)))
 
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                a, x = _points(r.reps, r.flat)
-                b, y = _points(r.reps2, r.flat2)
-                i, j = np.nonzero(within(x, y, eps) & (a[:, None] != b[None, :]))
-                yield pd.DataFrame(
-                    {
-                        "src": a[i],
-                        "dst": b[j],
-                        "dist": _pair_distances(x, y, i, j),
-                        "src_rows": np.asarray(r.sizes)[i],
-                        "dst_rows": np.asarray(r.sizes2)[j],
-                    }
-                )
+    def close(left, right) -> pd.DataFrame:
+        a, x = _points(left.reps, left.flat)
+        b, y = _points(right.reps, right.flat)
+        near = within(x, y, eps) & (a[:, None] < b[None, :] if right is left else True)
+        i, j = np.nonzero(near)
+        n, m, dist = np.asarray(left.sizes)[i], np.asarray(right.sizes)[j], _pair_distances(x, y, i, j)
+        one = pd.DataFrame({"src": a[i], "dst": b[j], "dist": dist, "src_rows": n, "dst_rows": m})
+        return pd.concat([one, one.set_axis(["dst", "src", "dist", "dst_rows", "src_rows"], axis=1)])
 
     schema = "src long, dst long, dist double, src_rows long, dst_rows long"
-    return pairs.select("reps", "flat", "sizes", "reps2", "flat2", "sizes2").mapInPandas(close, schema)
+    return layout.meet(pairs, ["reps", "flat", "sizes"], close, schema)

@@ -257,3 +257,54 @@ def test_huang_start_spreads_over_frequent_categories(spark):
     assert set(huang) == {80.0} and max(costs) > 80.0
     with pytest.raises(ValueError):
         K.kprototypes(df.where("id < 300"), "id", ["n"], ["c", "d"], 4)
+
+
+# --- blocks that meet once ---------------------------------------------------------------
+
+
+def test_points_on_one_radius_stay_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "MAX_PIVOTS", 1)
+    angle = np.linspace(0, 2 * np.pi, 500, endpoint=False)
+    x = np.vstack([np.zeros((1, 2)), np.stack([np.cos(angle), np.sin(angle)], axis=1)])
+    layout = N._Layout(_frame(spark, x), "id", "vec")
+    sizes = [r["points"] for r in layout.blocks.select("points").collect()]
+    assert sum(sizes) == 501 and max(sizes) <= 3 * 16
+
+
+def test_pairs_of_blocks_are_met_once_and_pruned(spark, small_blocks):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.3, (80, 4)) for c in (0, 10, 20, 30)])
+    layout = N._Layout(_frame(spark, x), "id", "vec")
+    pairs = layout.pairs_within(np.full(len(layout.pivots), 0.5)).collect()
+    seen = [tuple(sorted((r["block"], r["block2"]))) for r in pairs]
+    assert len(seen) == len(set(seen))
+    assert sum(r["cost"] for r in pairs) < 320 * 320 / 4
+
+
+def test_separate_groups_settle_in_their_own_block(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.1, (30, 5)) for c in range(0, 100, 10)])
+    work = N.knn_work(_frame(spark, x), "id", "vec", 3).first()
+    assert work["points"] == 300 and work["possible"] == 300 * 299 // 2
+    assert work["settled"] > 0 and work["compared"] < work["possible"] / 4
+
+
+def test_density_clustering_counts_tight_blocks_without_distances(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.05, (60, 3)) for c in (0, 8, 16)])
+    fit = K.dbscan(_frame(spark, x), "id", "vec", 2.0, 5)
+    got = {r["id"]: r["label"] for r in fit.labels.collect()}
+    assert [got[i] for i in range(180)] == [60 * (i // 60) for i in range(180)]
+    assert fit.info["counted"] > fit.info["measured"]
+
+
+def test_border_rows_on_either_side_of_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.uniform(0, 4, (120, 2)), 2)
+    for eps in (0.3, 0.45):
+        got = {r["id"]: r["label"] for r in K.dbscan(_frame(spark, x), "id", "vec", eps, 5).labels.collect()}
+        assert [got[i] for i in range(120)] == list(_dbscan_brute(x, eps, 5))
