@@ -2,12 +2,13 @@
 
 One table of symbol frequencies, counted over all ids, serves every block. A block holds
 the ids of whole documents, coded by ``LANES`` interleaved coders (id i belongs to lane i
-modulo the lanes), and is independent of all others: it has a header, checkpoints (states
-and place in the code every ``EVERY`` steps, from which decoding can start) and a checksum
-of its ids. Files hold the blocks of documents in ascending doc_id order.
+modulo the lanes), and is independent of all others. Checkpoints (states and place in the
+code every ``EVERY`` steps) cut a block into segments, each with a checksum of its ids, that
+are decoded by tasks of their own. Files hold the blocks of documents in ascending doc_id order.
 
 File:   ``FILE_MAGIC``, crc32 of the table (u32), blocks.
-Block:  ``BLOCK_MAGIC``, sizes, document table, checkpoints, final states, code words.
+Block:  ``BLOCK_MAGIC``, sizes, checksums of the segments, document table, checkpoints, final
+        states, code words.
 All numbers are little-endian.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,13 @@ EVERY = 256
 BLOCK_IDS = 1 << 19
 FILE_BYTES = 16 << 20
 
-FILE_MAGIC = b"RANSIDS1"
-BLOCK_MAGIC = b"BLK1"
-#: Ids, documents, lanes, checkpoints, code words, crc32 of the ids.
-SIZES = struct.Struct("<QQIIQI")
+#: Segments a reading task decodes on average.
+SEGMENTS_A_TASK = 8
+
+FILE_MAGIC = b"RANSIDS2"
+BLOCK_MAGIC = b"BLK2"
+#: Ids, documents, lanes, steps of a segment, checkpoints, code words, crc32 of the ids.
+SIZES = struct.Struct("<QQIIIQI")
 LOW = np.uint64(1 << 31)
 
 
@@ -81,10 +85,10 @@ class Table:
         self._derive()
 
 
-def encode_ids(ids: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, int]]]:
-    """(final states, code words, checkpoints). A checkpoint: states and place before step ``EVERY * k``, k = 1, 2, ..."""
+def encode_ids(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, int]]]:
+    """(final states, code words, checkpoints). A checkpoint: states and place before step ``every * k``, k = 1, 2, ..."""
     n = len(ids)
-    lanes = min(LANES, n)
+    lanes = min(lanes, n)
     steps = -(-n // lanes) if n else 0
     state = np.full(lanes, LOW, dtype=np.uint64)
     freq, first = table.freq[ids], table.first[ids]
@@ -102,7 +106,7 @@ def encode_ids(ids: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, l
             x = np.where(full, x >> up, x)
         q = x // f
         state[: b - a] = (q << np.uint64(PRECISION)) + (x - q * f) + first[a:b]
-        if step % EVERY == 0 and step:
+        if step % every == 0 and step:
             marks.append((state.copy(), written))
     code = np.concatenate(out[::-1]) if out else np.empty(0, dtype=np.uint32)
     return state, code, [(s, written - w) for s, w in reversed(marks)]
@@ -131,13 +135,19 @@ def decode_ids(n: int, lanes: int, state: np.ndarray, code: np.ndarray, table: T
     return out
 
 
-def write_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, table: Table) -> bytes:
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def write_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY) -> bytes:
     """One block of whole documents."""
-    state, code, marks = encode_ids(ids, table)
+    state, code, marks = encode_ids(ids, table, lanes, every)
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
+    size = max(1, every * len(state))
     parts = [
         BLOCK_MAGIC,
-        SIZES.pack(len(ids), len(doc_ids), len(state), len(marks), len(code), zlib.crc32(ids.astype("<u4").tobytes())),
+        SIZES.pack(len(ids), len(doc_ids), len(state), every, len(marks), len(code), _crc(ids)),
+        np.array([_crc(ids[k * size : (k + 1) * size]) for k in range(len(marks) + 1)], dtype="<u4").tobytes(),
         known.tobytes(),
         np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(),
         np.array(lengths, dtype="<u8").tobytes(),
@@ -149,39 +159,78 @@ def write_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray,
 
 
 class Block:
-    """A block read from ``data`` at ``at``; ``end`` is where the next one starts."""
+    """A block at ``at`` of an open file; only the sizes and the document table are read at once."""
 
-    def __init__(self, data: bytes, at: int):
-        if data[at : at + 4] != BLOCK_MAGIC:
+    def __init__(self, file, at: int):
+        self._file, self._at = file, at
+        if self._read("S4", 1)[0] != BLOCK_MAGIC:
             raise ValueError("not a block")
-        at += 4
-        self.n, docs, self.lanes, marks, words, self.crc = SIZES.unpack_from(data, at)
-        at += SIZES.size
-
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            found = np.frombuffer(data, dtype=kind, count=count, offset=at)
-            at += found.nbytes
-            return found
-
-        known, numbers = take("u1", docs), take("<i8", docs)
+        sizes = self._read("u1", SIZES.size).tobytes()
+        self.n, docs, self.lanes, self.every, self.marks, self.words, self.crc = SIZES.unpack(sizes)
+        self.checksums = self._read("<u4", self.marks + 1)
+        known, numbers = self._read("u1", docs), self._read("<i8", docs)
         self.doc_ids = [int(d) if k else None for k, d in zip(known, numbers, strict=True)]
-        self.lengths = take("<u8", docs).astype(np.int64)
-        self.marks = [(int(take("<u8", 1)[0]), take("<u8", self.lanes)) for _ in range(marks)]
-        self.state, self.code = take("<u8", self.lanes), take("<u4", words)
-        self.end = at
+        self.lengths = self._read("<u8", docs).astype(np.int64)
+        self._points = self._at
+        self._code = self._points + self.marks * (8 + 8 * self.lanes) + 8 * self.lanes
+        self.end = self._code + 4 * self.words
+        #: Ids of a full segment.
+        self.size = max(1, self.every * self.lanes)
+
+    def _read(self, kind: str, count: int, at: int | None = None) -> np.ndarray:
+        where = self._at if at is None else at
+        width = np.dtype(kind).itemsize * count
+        self._file.seek(where)
+        found = np.frombuffer(self._file.read(width), dtype=kind, count=count)
+        if at is None:
+            self._at = where + width
+        return found
+
+    def _checkpoint(self, k: int) -> tuple[int, np.ndarray]:
+        """Place in the code and states at the start of segment ``k``."""
+        if k == 0:
+            return 0, self._read("<u8", self.lanes, self._code - 8 * self.lanes)
+        at = self._points + (k - 1) * (8 + 8 * self.lanes)
+        return int(self._read("<u8", 1, at)[0]), self._read("<u8", self.lanes, at + 8)
+
+    def segment(self, k: int, table: Table, more: int = 0) -> np.ndarray:
+        """Ids of segment ``k``, checked, and ``more`` ids after it (at most one segment's), decoded from its checkpoint."""
+        place, state = self._checkpoint(k)
+        last = self._checkpoint(k + 2)[0] if k + 2 <= self.marks else self.words
+        code = self._read("<u4", last - place, self._code + 4 * place)
+        stop = (k + 1) * self.every + -(-more // max(1, self.lanes))
+        found = decode_ids(self.n, self.lanes, state, code, table, k * self.every, stop)
+        if _crc(found[: self.size]) != self.checksums[k]:
+            raise ValueError("segment checksum differs")
+        return found
 
     def ids(self, table: Table) -> np.ndarray:
-        """All ids, checked."""
-        found = decode_ids(self.n, self.lanes, self.state, self.code, table)
-        if zlib.crc32(found.astype("<u4").tobytes()) != self.crc:
+        """All ids, segment by segment, checked."""
+        found = np.concatenate([self.segment(k, table) for k in range(self.marks + 1)])
+        if _crc(found) != self.crc:
             raise ValueError("block checksum differs")
         return found
 
-    def segment(self, k: int, table: Table) -> np.ndarray:
-        """Ids between checkpoint ``k`` and the next (0: from the start), decoded by themselves."""
-        place, state = self.marks[k - 1] if k else (0, self.state)
-        return decode_ids(self.n, self.lanes, state, self.code, table, k * EVERY, (k + 1) * EVERY, place)
+    def short(self, k: int, table: Table) -> list[tuple[int, int, int | None, bytes]]:
+        """(row, start in the block, doc_id, ids) of the documents no longer than a segment that start in segment ``k``."""
+        starts = np.cumsum(self.lengths) - self.lengths
+        mine = np.flatnonzero((np.minimum(starts // self.size, self.marks) == k) & (self.lengths <= self.size))
+        if not len(mine):
+            return []
+        first, ends = k * self.size, starts[mine] + self.lengths[mine]
+        raw = self.segment(k, table, max(0, int(ends.max()) - first - self.size)).astype("<u4").tobytes()
+        return [(int(i), int(starts[i]), self.doc_ids[i], raw[4 * (int(starts[i]) - first) : 4 * (int(e) - first)]) for i, e in zip(mine, ends, strict=True)]
+
+    def long(self, k: int, table: Table) -> list[tuple[int, int, int | None, bytes]]:
+        """The same for what segment ``k`` holds of documents longer than a segment."""
+        starts = np.cumsum(self.lengths) - self.lengths
+        first, last = k * self.size, min((k + 1) * self.size, self.n)
+        mine = np.flatnonzero((starts < last) & (starts + self.lengths > first) & (self.lengths > self.size))
+        if not len(mine):
+            return []
+        raw = self.segment(k, table).astype("<u4").tobytes()
+        cuts = [(max(int(starts[i]), first), min(int(starts[i] + self.lengths[i]), last)) for i in mine]
+        return [(int(i), int(starts[i]), self.doc_ids[i], raw[4 * (a - first) : 4 * (b - first)]) for i, (a, b) in zip(mine, cuts, strict=True)]
 
 
 def token_table(docs: DataFrame, encoder: Encoder) -> DataFrame:
@@ -250,7 +299,7 @@ def _publish(folder: str, name: str, data: bytes) -> None:
 
 
 def write_files(tokens: DataFrame, table: Table, folder: str) -> DataFrame:
-    """Encode a stored token table into files; returns (file, part, row, n_docs, n_tokens), one row per file.
+    """Encode a stored token table into files; returns (file, part, row, n_docs, n_tokens, blocks), one row per file.
 
     A file's name starts with the part and row of its first document, so names sort as
     documents do. A run of documents of one part that follow one another goes to one file
@@ -262,12 +311,17 @@ def write_files(tokens: DataFrame, table: Table, folder: str) -> DataFrame:
         docs: list[tuple[int | None, int]] = []
         ids: list[bytes] = []
         at = {"head": None, "next": None, "docs": 0, "tokens": 0, "open": 0}
+        shapes: list[dict] = []
         done: list[tuple] = []
 
         def close_block() -> None:
             if docs:
                 joined = np.frombuffer(b"".join(ids), dtype="<u2").astype(np.uint32)
-                blocks.append(write_block([d for d, _ in docs], [n for _, n in docs], joined, table))
+                place = len(FILE_MAGIC) + 4 + sum(map(len, blocks))
+                size = EVERY * min(LANES, len(joined))
+                longer = any(n > size for _, n in docs)
+                shapes.append({"at": place, "ids": len(joined), "segments": max(1, -(-len(joined) // max(1, size))), "longer": int(longer)})
+                blocks.append(write_block([d for d, _ in docs], [n for _, n in docs], joined, table, LANES, EVERY))
                 docs.clear()
                 ids.clear()
                 at["open"] = 0
@@ -278,8 +332,9 @@ def write_files(tokens: DataFrame, table: Table, folder: str) -> DataFrame:
                 part, row = at["head"]
                 name = f"{part:08d}-{row:012d}.rans"
                 _publish(folder, name, FILE_MAGIC + struct.pack("<I", table.crc) + b"".join(blocks))
-                done.append((name, part, row, at["docs"], at["tokens"]))
+                done.append((name, part, row, at["docs"], at["tokens"], list(shapes)))
                 blocks.clear()
+                shapes.clear()
             at.update(head=None, docs=0, tokens=0)
 
         for batch in batches:
@@ -295,12 +350,16 @@ def write_files(tokens: DataFrame, table: Table, folder: str) -> DataFrame:
                     close_block()
         close_file()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in done], pa.string())] + [pa.array([x[k] for x in done], pa.int64()) for k in range(1, 5)],
-            names=["file", "part", "row", "n_docs", "n_tokens"],
+            [
+                pa.array([x[0] for x in done], pa.string()),
+                *[pa.array([x[k] for x in done], pa.int64()) for k in range(1, 5)],
+                pa.array([x[5] for x in done], pa.list_(pa.struct([(c, pa.int64()) for c in ("at", "ids", "segments", "longer")]))),
+            ],
+            names=["file", "part", "row", "n_docs", "n_tokens", "blocks"],
         )
 
     return tokens.select("part", "row", "doc_id", "n_tokens", "ids").mapInArrow(
-        run, "file string, part long, row long, n_docs long, n_tokens long"
+        run, "file string, part long, row long, n_docs long, n_tokens long, blocks array<struct<at: long, ids: long, segments: long, longer: long>>"
     )
 
 
@@ -339,44 +398,72 @@ def load_table(spark: SparkSession, folder: str) -> Table:
     return Table(freq)
 
 
+def segments(index: DataFrame) -> DataFrame:
+    """(file, at, start, longer, k): one row per segment of every block; start counts the ids before the block, longer
+    says whether a document of the block is longer than a segment."""
+    before = F.aggregate(F.slice("blocks", 1, F.col("pos")), F.lit(0).cast("bigint"), lambda t, b: t + b["ids"])
+    each = index.select("file", "start", "blocks", F.posexplode("blocks").alias("pos", "b"))
+    last = F.col("b.segments") - 1
+    return each.select(
+        "file", F.col("b.at").alias("at"), (F.col("start") + before).alias("start"), (F.col("b.longer") == 1).alias("longer"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("k"),
+    )
+
+
 def load_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Read the files back: doc_id, start (ids of all documents before), n_tokens, ids_crc32, ids (little-endian 32-bit).
 
-    Each file is one row of Spark's binary reader, so any store it can read serves, and a
-    file of ``FILE_BYTES`` is the unit of parallel work.
+    The unit of work is a segment, decoded from its checkpoint and checked; tasks read only
+    the bytes they need from the shared folder. A document that runs into the next segment is
+    finished where it starts. One longer than a segment (262,144 ids) is decoded by as many
+    tasks as it has segments and put together by its place.
     """
-    index = spark.read.parquet(f"{folder}/_index").select("file", "start")
-    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
-    if index.isEmpty():
+    rows = segments(spark.read.parquet(f"{folder}/_index"))
+    total, wide = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("longer"), 1))).first()
+    if total == 0:
         return spark.createDataFrame([], schema)
     table = load_table(spark, folder)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(f"{folder}/files")
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(index, "file")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, start in zip(batch.column("content").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                at = len(FILE_MAGIC) + 4
-                if data[: len(FILE_MAGIC)] != FILE_MAGIC or struct.unpack_from("<I", data, len(FILE_MAGIC))[0] != table.crc:
-                    raise ValueError("the file was written with another table")
-                while at < len(data):
-                    block = Block(data, at)
-                    raw = block.ids(table).astype("<u4").tobytes()
-                    ends = np.cumsum(block.lengths)
-                    cuts = [(int(e - n), int(e)) for e, n in zip(ends, block.lengths, strict=True)]
-                    parts = [raw[4 * a : 4 * b] for a, b in cuts]
+    def reader(pick: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, path = pafs.FileSystem.from_uri(f"{folder}/files")
+            for batch in batches:
+                for file, at, start, k in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    with store.open_input_file(f"{path}/{file}") as data:
+                        head = data.read(len(FILE_MAGIC) + 4)
+                        if head[: len(FILE_MAGIC)] != FILE_MAGIC or struct.unpack_from("<I", head, len(FILE_MAGIC))[0] != table.crc:
+                            raise ValueError("the file was written with another table")
+                        block = Block(data, at)
+                        found = pick(block, k, table)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(block.doc_ids, pa.int64()),
-                            pa.array([start + a for a, _ in cuts], pa.int64()),
-                            pa.array(block.lengths, pa.int64()),
-                            pa.array([zlib.crc32(p) for p in parts], pa.int64()),
-                            pa.array(parts, pa.binary()),
+                            pa.array([file] * len(found), pa.string()),
+                            pa.array([at] * len(found), pa.int64()),
+                            pa.array([k] * len(found), pa.int64()),
+                            pa.array([i for i, _, _, _ in found], pa.int64()),
+                            pa.array([d for _, _, d, _ in found], pa.int64()),
+                            pa.array([start + s for _, s, _, _ in found], pa.int64()),
+                            pa.array([int(block.lengths[i]) for i, _, _, _ in found], pa.int64()),
+                            pa.array([zlib.crc32(raw) for _, _, _, raw in found], pa.int64()),
+                            pa.array([raw for _, _, _, raw in found], pa.binary()),
                         ],
-                        names=names,
+                        names=["file", "at", "k", "row", "doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
-                    start += block.n
-                    at = block.end
 
-    return files.select("content", "start").mapInArrow(run, schema)
+        return run
+
+    def read(chosen: DataFrame, count: int, pick: Callable) -> DataFrame:
+        spread = chosen.select("file", "at", "start", "k").repartition(-(-count // SEGMENTS_A_TASK))
+        return spread.mapInArrow(reader(pick), f"file string, at long, k long, row long, {schema}")
+
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+    whole = read(rows, total, Block.short).select(*names)
+    if not wide:
+        return whole
+    pieces = read(rows.where("longer"), wide, Block.long)
+    joined = pieces.groupBy("file", "at", "row", "doc_id", "start", "n_tokens").agg(
+        F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts")
+    )
+    ids = F.aggregate("parts", F.lit(b""), lambda t, p: F.concat(t, p["ids"]))
+    return whole.unionByName(joined.withColumn("ids", ids).withColumn("ids_crc32", F.crc32("ids")).select(*names))

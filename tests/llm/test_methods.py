@@ -1,6 +1,7 @@
 """The methods themselves against brute force, exact round trips and held-out labels."""
 
 import gzip
+import io
 import itertools
 import re
 import textwrap
@@ -95,14 +96,14 @@ def test_salted_thresholds_agree(docs, monkeypatch):
 def test_rans_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 5000).astype(np.uint32)
     t = rans.Table(np.bincount(ids, minlength=1))
-    block = rans.Block(rans.write_block([1, None], [n, 0], ids, t), 0)
+    block = rans.Block(io.BytesIO(rans.write_block([1, None], [n, 0], ids, t)), 0)
     assert (block.ids(t) == ids).all() and block.doc_ids == [1, None]
-    parts = [block.segment(k, t) for k in range(len(block.marks) + 1)]
+    parts = [block.segment(k, t) for k in range(block.marks + 1)]
     assert (np.concatenate(parts) == ids).all() and (n < 300_000 or len(parts) > 1)
     if n == 300_000:
         share = np.bincount(ids) / n
         entropy = -(share[share > 0] * np.log2(share[share > 0])).sum() * n / 8
-        assert block.code.nbytes < 1.02 * entropy + 16
+        assert 4 * block.words < 1.02 * entropy + 16
 
 
 def test_rans_checksum():
@@ -111,7 +112,34 @@ def test_rans_checksum():
     raw = bytearray(rans.write_block([1], [len(ids)], ids, t))
     raw[-100_000] ^= 1
     with pytest.raises((ValueError, IndexError)):
-        rans.Block(bytes(raw), 0).ids(t)
+        rans.Block(io.BytesIO(bytes(raw)), 0).ids(t)
+    whole = rans.Block(io.BytesIO(rans.write_block([1], [len(ids)], ids, t)), 0)
+    assert (whole.segment(1, t) == ids[whole.size :]).all()
+    raw = bytearray(rans.write_block([1], [len(ids)], ids, t))
+    raw[-20_000] ^= 1
+    hurt = rans.Block(io.BytesIO(bytes(raw)), 0)
+    assert (hurt.segment(0, t) == ids[: hurt.size]).all()
+    with pytest.raises((ValueError, IndexError)):
+        hurt.segment(1, t)
+
+
+def test_long_documents_are_decoded_by_segments(spark, texts, monkeypatch):
+    monkeypatch.setattr(rans, "LANES", 16)
+    monkeypatch.setattr(rans, "EVERY", 4)
+    monkeypatch.setattr(rans, "BLOCK_IDS", 700)
+    encoder = Encoder(vocabulary("word_bpe_49k.json"), end=2)
+    plain = [*list(texts.values())[:40], "", None]
+    rows = [(i, t) for i, t in enumerate(plain)] + [(7, plain[3]), (None, plain[5])]
+    at = scratch(spark, "test")
+    # Sizes that the writing tasks see, too: 64 ids a segment.
+    rans.store_ids(spark.createDataFrame(rows, "doc_id long, text string"), encoder, at)
+    assert rans.segments(spark.read.parquet(f"{at}/_index")).where("longer").count() > 20
+    got = rans.load_ids(spark, at).orderBy("start").collect()
+    want = {t: encoder.encode([t])[0].astype("<u4").tobytes() for t in plain}
+    assert sum(len(b) > 4 * 64 for b in want.values()) > 5 and sum(len(b) <= 4 * 64 for b in want.values()) > 1
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["ids"])) for r in got) == sorted((i is not None, i or 0, want[t]) for i, t in rows)
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]
+    assert all(r["ids_crc32"] == zlib.crc32(bytes(r["ids"])) and 4 * r["n_tokens"] == len(r["ids"]) for r in got)
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
