@@ -287,3 +287,18 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return P.scatter_points(t.orders, "o_totalprice", "o_custkey", "o_orderpriority")
+
+
+@check(
+    "v5_scatter_bins",
+    """WITH pts AS (SELECT o_orderpriority, o_totalprice::DOUBLE AS x, o_custkey::DOUBLE AS y FROM orders WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL AND o_custkey IS NOT NULL),
+       span AS (SELECT MIN(x) - (MAX(x) - MIN(x)) * 0.05 AS x0, MAX(x) + (MAX(x) - MIN(x)) * 0.05 AS x1,
+                  MIN(y) - (MAX(y) - MIN(y)) * 0.05 AS y0, MAX(y) + (MAX(y) - MIN(y)) * 0.05 AS y1 FROM pts)
+       SELECT o_orderpriority, least(floor((x - x0) / (x1 - x0) * 20), 19)::INT AS bin_x, least(floor((y - y0) / (y1 - y0) * 20), 19)::INT AS bin_y,
+         COUNT(*) AS n, ROUND(SUM(x), 2) AS sum_x, ROUND(SUM(y), 2) AS sum_y FROM pts CROSS JOIN span GROUP BY 1, 2, 3""",
+)
+def _(t: Tables):
+    found = P.scatter_bins(t.orders, "o_totalprice", "o_custkey", "o_orderpriority", bins=20)
+    # Means of cents fall on the middle between two roundings; their sums do not.
+    sums = [F.round(F.col(f"mean_{c}") * F.col("n"), 2).alias(f"sum_{c}") for c in ("x", "y")]
+    return found.select("o_orderpriority", "bin_x", "bin_y", "n", *sums)

@@ -138,11 +138,63 @@ def davies_bouldin(df: DataFrame, vec: str, label: str) -> DataFrame:
         .agg(F.avg(F.sqrt(squared_distance("vec", "mean"))).alias("scatter"))
     )
     summary = centres.join(scatter, "label").checkpoint()
-    other = summary.toDF("label2", "mean2", "scatter2")
-    both = summary.join(other, F.col("label") != F.col("label2"))
-    gap = F.sqrt(squared_distance("mean", "mean2"))
-    ratio = F.coalesce(F.try_divide(F.col("scatter") + F.col("scatter2"), gap), F.lit(0.0))
-    return both.groupBy("label").agg(F.max(ratio).alias("worst")).agg(F.avg("worst").alias("davies_bouldin_score"))
+    return _worst_partners(summary).agg(F.avg("worst").alias("davies_bouldin_score"))
+
+
+def _worst_partners(summary: DataFrame) -> DataFrame:
+    """``(label, worst)``: every cluster's largest ratio of summed scatter to centre distance.
+
+    Clusters lie in slices of about ``SLICE`` along the coordinate in which their centres spread
+    most. A cluster searches its own slice, then only those where the slice's largest scatter
+    over the distance to its box can still exceed what was found. A partner with the same centre counts 0.
+    """
+    count, widest = summary.count(), F.lit(0)
+    slices = max(1, -(-count // SLICE))
+    if slices > 1:
+        spread = summary.select(F.posexplode("mean").alias("dim", "m")).groupBy("dim").agg(F.variance("m").alias("v"))
+        widest = F.lit(spread.agg(F.max_by("dim", "v")).first()[0])
+        # As many cut points as slices, for one broadcast row.
+        cuts = summary.agg(F.percentile_approx(F.get("mean", widest), [i / slices for i in range(1, slices)], 10 * SLICE).alias("__cuts"))
+        placed = summary.join(F.broadcast(cuts)).withColumn("__slice", F.size(F.filter("__cuts", lambda c: c < F.get("mean", widest)))).drop("__cuts")
+    else:
+        placed = summary.withColumn("__slice", F.lit(0))
+    placed = placed.checkpoint()
+    lists = placed.groupBy("__slice").agg(F.collect_list(F.struct("label", "mean", "scatter")).alias("partners"))
+
+    def ratio(other: Column) -> Column:
+        gaps = F.zip_with("mean", other["mean"], lambda x, y: (x - y) * (x - y))
+        gap = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda t, x: t + x))
+        found = F.coalesce(F.try_divide(F.col("scatter") + other["scatter"], gap), F.lit(0.0))
+        return F.when(other["label"] == F.col("label"), None).otherwise(found)
+
+    def search(rows: DataFrame) -> DataFrame:
+        met = rows.join(lists, "__slice")
+        return met.select("label", F.array_max(F.transform("partners", ratio)).alias("worst"))
+
+    first = search(placed)
+    if slices > 1:
+        first = first.checkpoint()
+        axes = F.sequence(F.lit(0), F.size(F.col("partners")[0]["mean"]) - 1)
+
+        def edge(pick) -> Column:
+            return F.transform(axes, lambda d: pick(F.transform("partners", lambda p: F.get(p["mean"], d))))
+
+        boxes = lists.select(
+            "__slice", edge(F.array_min).alias("low"), edge(F.array_max).alias("high"),
+            F.array_max(F.transform("partners", lambda p: p["scatter"])).alias("most"),
+        )
+        outside = F.zip_with(
+            F.zip_with("low", "mean", lambda a, b: F.greatest(a - b, F.lit(0.0))),
+            F.zip_with("mean", "high", lambda a, b: F.greatest(a - b, F.lit(0.0))),
+            lambda a, b: F.greatest(a, b),
+        )
+        away = F.sqrt(F.aggregate(outside, F.lit(0.0), lambda t, x: t + x * x))
+        hope = (F.col("scatter") + F.col("most")) * (1 + 1e-9) >= F.coalesce("worst", F.lit(0.0)) * away
+        numbers = F.sequence(F.lit(0), F.lit(slices - 1))
+        rest = placed.join(first, "label").withColumnRenamed("__slice", "__own").withColumn("__slice", F.explode(numbers))
+        open_slices = rest.where("__slice <> __own").join(boxes, "__slice").where(hope)
+        first = first.unionByName(search(open_slices.select("label", "mean", "scatter", "__slice")))
+    return first.groupBy("label").agg(F.max("worst").alias("worst"))
 
 
 EVALUATION_SCHEMA = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,6 +165,27 @@ def scatter_points(df: DataFrame, x: str, y: str, group: str | None = None) -> D
     return df.select(group, F.col(x).alias("x"), F.col(y).alias("y")).join(sizes, group)
 
 
+def scatter_bins(df: DataFrame, x: str, y: str, group: str | None = None, bins: int = 50, margin: float = 0.05) -> DataFrame:
+    """A scatter plot of any size as a grid: ``([group], bin_x, bin_y, n, mean_x, mean_y)`` of the cells that hold points.
+
+    The grid spans the axis limits of all rows, so the groups' plots share it. Rows without
+    a group or a coordinate are left out; an axis with a single value has one bin, 0.
+    """
+    keys = [group] if group else []
+    rows = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    across = axis_limits(rows, "x", margin=margin).toDF("low_x", "high_x")
+    upward = axis_limits(rows, "y", margin=margin).toDF("low_y", "high_y")
+
+    def cell(axis: str) -> Column:
+        share = F.try_divide(F.col(axis) - F.col(f"low_{axis}"), F.col(f"high_{axis}") - F.col(f"low_{axis}"))
+        return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+
+    # One row of limits each.
+    placed = rows.join(F.broadcast(across)).join(F.broadcast(upward))
+    cells = placed.groupBy(*keys, cell("x").alias("bin_x"), cell("y").alias("bin_y"))
+    return cells.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
+
+
 def figure_table(means: DataFrame, keys: Sequence[str], titles: Mapping[str, str] = FIGURE_TITLES) -> DataFrame:
     """Long form of the stratum means: value, bar label, title and the metric's axis limit."""
     cells = F.explode(

@@ -308,3 +308,21 @@ def test_border_rows_on_either_side_of_a_pair(spark, monkeypatch):
     for eps in (0.3, 0.45):
         got = {r["id"]: r["label"] for r in K.dbscan(_frame(spark, x), "id", "vec", eps, 5).labels.collect()}
         assert [got[i] for i in range(120)] == list(_dbscan_brute(x, eps, 5))
+
+
+def test_worst_partners_over_many_slices(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    mean, scatter = rng.normal(0, 5, (60, 3)), rng.uniform(0.1, 2, 60)
+    mean[7] = mean[8]  # two clusters on one centre
+    rows = [(i, list(map(float, m)), float(s)) for i, (m, s) in enumerate(zip(mean, scatter, strict=True))]
+    summary = spark.createDataFrame(rows, "label long, mean array<double>, scatter double")
+    gap = _brute(mean)
+    with np.errstate(divide="ignore"):
+        ratio = np.where(gap > 0, (scatter[:, None] + scatter[None, :]) / gap, 0)
+    for size in (1000, 7):
+        monkeypatch.setattr(V, "SLICE", size)
+        found = V._worst_partners(summary)
+        got = {r["label"]: r["worst"] for r in found.collect()}
+        assert [got[i] for i in range(60)] == pytest.approx(ratio.max(axis=1).tolist())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -52,3 +52,13 @@ def test_clustering_run(people, spark):
     assert sum(r["n"] for r in profile) == people.count()
     points, sizes, explained = found.maps["K-Means"]
     assert points.count() == people.count() and len(explained) == 2
+
+
+def test_scatter_bins_share_one_grid(spark):
+    from cohortry.plans.reports import scatter_bins
+
+    rows = [("a", 0.0, 5.0), ("a", 0.1, 5.0), ("b", 10.0, 5.0), ("b", None, 5.0), (None, 4.0, 5.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {(r["g"], r["bin_x"], r["bin_y"]): (r["n"], r["mean_x"]) for r in scatter_bins(df, "x", "y", "g", bins=10).collect()}
+    assert got == {("a", 0, 0): (2, pytest.approx(0.05)), ("b", 9, 0): (1, 10.0)}
+    assert scatter_bins(df.limit(0), "x", "y", bins=10).count() == 0
