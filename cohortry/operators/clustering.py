@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cohortry.operators.batched_models import Blocks, assign, cheapest, lloyd, mixtures, silhouettes
 from cohortry.operators.evaluation import NOISE, silhouette, squared_distance
 from cohortry.operators.neighbors import _Layout, _points, knn_graph, within
-from cohortry.operators.relational import bounded_sample, mode_of
+from cohortry.operators.relational import bounded_sample, join_heavy, mode_of
 
 # The sweeps of the analysis.
 CLUSTER_COUNTS = range(2, 8)
@@ -381,22 +381,26 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
     links = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = links.checkpoint()
 
-    def large_star(pairs: DataFrame) -> DataFrame:
+    def with_least(pairs: DataFrame, total: int) -> DataFrame:
+        low = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        return join_heavy(pairs, low, "a", "n", "b", total)
+
+    def large_star(pairs: DataFrame, total: int) -> DataFrame:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        moved = with_least(both, 2 * total).where("b > a")
+        return moved.select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
 
-    def small_star(pairs: DataFrame) -> DataFrame:
-        low = pairs.groupBy("a").agg(F.min("b").alias("m"))
-        moved = pairs.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return moved.union(low.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+    def small_star(pairs: DataFrame, total: int) -> DataFrame:
+        moved = with_least(pairs, 2 * total)
+        ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+        return moved.select(F.inline(ends)).where("a != b").distinct()
 
     def fingerprint(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     mark = fingerprint(links)
     while True:
-        links = small_star(large_star(links)).checkpoint()
+        links = small_star(large_star(links, mark[0]), mark[0]).checkpoint()
         now = fingerprint(links)
         if now == mark:
             break

@@ -19,6 +19,11 @@ LITERAL_ROWS = 10_000
 #: Rows looked at, at most, to find hot keys; smaller frames than ``HOT_ROWS`` have none.
 HOT_SAMPLE = 1_000_000
 HOT_ROWS = 1_000_000
+#: Heavy keys that are broadcast at most, and the rows from which a key can be one.
+HEAVY_KEYS = 10_000
+HEAVY_ROWS = 1_000
+#: Tasks the rows of heavy keys are spread over.
+HEAVY_PARTS = 1_024
 #: Longest axis of a count grid that is unfolded from an array.
 AXIS_VALUES = 10_000
 #: Parts of a longer axis.
@@ -102,6 +107,24 @@ def skew_join(
     return left.join(right, [key, "__part"], how).drop("__part")
 
 
+def join_heavy(df: DataFrame, summary: DataFrame, key: str, n: str, row_id: str, total: int) -> DataFrame:
+    """Left join of ``df`` with a one-row-per-key ``summary`` of its own rows, heavy keys by broadcast.
+
+    ``n`` is the summary's column with the rows of the key and ``total`` at least the rows of
+    ``df``. A key with more than ``total / HEAVY_KEYS`` rows is heavy, so there are at most
+    ``HEAVY_KEYS`` of them; their rows are spread by a hash of ``row_id``. ``n`` is dropped.
+    """
+    least = F.lit(max(HEAVY_ROWS, total // HEAVY_KEYS))
+    values = [c for c in summary.columns if c not in (key, n)]
+    heavy = summary.where(F.col(n) > least).select(key, F.struct(*values).alias("__heavy"))
+    # Not a literal 0, which the optimizer would take out of the join's keys.
+    none = F.when(F.col(n) > least, 1).otherwise(0).alias("__part")
+    light = summary.where(F.col(n) <= least).select(key, none, F.struct(*values).alias("__light"))
+    part = F.when(F.col("__heavy").isNull(), 0).otherwise(F.pmod(F.xxhash64(row_id), F.lit(HEAVY_PARTS)).cast("int") + 1)
+    met = df.join(F.broadcast(heavy), key, "left").withColumn("__part", part).join(light, [key, "__part"], "left")
+    return met.select(*df.columns, F.coalesce("__heavy", "__light").alias("__found")).select(*df.columns, "__found.*")
+
+
 # --- filters ---------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortry.operators import clustering as K
 from cohortry.operators import evaluation as V
 from cohortry.operators import neighbors as N
+from cohortry.operators import relational as R
 
 
 def _frame(spark, x, parts=4):
@@ -97,6 +98,28 @@ def test_components(spark, local_edges):
     assert got == {**{i: 0 for i in range(21)}, **{j: 50 for j in range(50, 80)}, 90: 90}
 
 
+def test_components_with_hubs_spread(spark, monkeypatch):
+    """Edges of heavy nodes take the other path of the join; nothing else changes."""
+    monkeypatch.setattr(R, "HEAVY_ROWS", 3)
+    rng = np.random.default_rng(8)
+    pairs = [(0, i) for i in range(1, 60)] + [(200 + i, 200 + i + 1) for i in range(20)] + [(90, 300), (90, 301), (90, 302), (90, 59)]
+    rng.shuffle(pairs)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "a long, b long")
+    got = {r["node"]: r["root"] for r in K.connected_components(df, 0).collect()}
+    assert got == {n: (200 if 200 <= n < 221 else 0) for p in pairs for n in map(int, p)}
+
+
+def test_heavy_join_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(R, "HEAVY_ROWS", 3)
+    df = spark.createDataFrame([(1, i) for i in range(10)] + [(2, 0), (3, 1), (3, 2)], "k int, v int")
+    low = df.groupBy("k").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    got = sorted(tuple(r) for r in R.join_heavy(df, low, "k", "n", "v", 13).collect())
+    assert got == [(1, i, 0) for i in range(10)] + [(2, 0, 0), (3, 1, 1), (3, 2, 1)]
+    # The rows of a heavy key meet the shuffle with many values of its second key.
+    plan = R.join_heavy(df, low, "k", "n", "v", 13)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(k" in plan
+
+
 def _ward_brute(x, k):
     clusters = {i: [i] for i in range(len(x))}
     while len(clusters) > k:
