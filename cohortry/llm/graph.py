@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import forget, keep, scratch
+from cohortry.operators.relational import join_heavy
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -13,7 +14,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternates the two star operations of Kiveris et al. (2014) until no edge changes, each
     round a table in the shared folder. A node's neighbours are only ever reduced to their
-    minimum, before the shuffle already, so a node with very many neighbours is no burden.
+    minimum, before the shuffle already, and the edges of a node with very many neighbours are
+    spread over tasks.
     Null ends and loops are ignored.
     """
     spark = edges.sparkSession
@@ -21,13 +23,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     links = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = keep(links, f"{at}/0")
 
+    def with_least(pairs: DataFrame, total: int) -> DataFrame:
+        low = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        return join_heavy(pairs, low, "a", "n", "b", total)
+
     def star_round(pairs: DataFrame) -> DataFrame:
+        total = 2 * pairs.count()
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return moved.union(low.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+        large = with_least(both, total).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+        return with_least(large, total).select(F.inline(ends)).where("a != b").distinct()
 
     def done(pairs: DataFrame) -> bool:
         """Whether every node but the roots has one edge, and that to a root."""

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.common import forget, keep, map_batches, raw_bytes, scratch
 from cohortry.llm.graph import components
+from cohortry.operators.relational import join_heavy
 
 #: Values of a sketch, and how many of them are indexed.
 K = 48
@@ -141,33 +142,34 @@ def _candidates(reps: DataFrame, percent: int, at: str) -> DataFrame:
     return close.union(stars)
 
 
-def _placed(groups: DataFrame, percent: int) -> DataFrame:
+def _placed(groups: DataFrame, percent: int, total: int) -> DataFrame:
     """(id, task, side) of every block pair a member takes part in; side 0 and 1 are compared, 2 is one block.
 
-    ``groups``: id, root, n.
+    ``groups``: id, root, n, at most ``total`` rows.
     """
     width = -math.log(percent / 100)
     groups = groups.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / width + 1e-9))
 
-    def blocks(*keys: str) -> DataFrame:
-        size = F.greatest(F.count(F.lit(1)) / BLOCK_DOCUMENTS, F.sum("n") / BLOCK_SHINGLES)
-        return groups.groupBy(*keys).agg(F.ceil(size).cast("int").alias("parts"))
+    def parts(n, shingles):
+        return F.ceil(F.greatest(n / BLOCK_DOCUMENTS, shingles / BLOCK_SHINGLES)).cast("int")
 
-    whole = blocks("root").withColumnRenamed("parts", "all_parts")
-    rows = groups.join(whole, "root")
+    by_bucket = groups.groupBy("root", "bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    own = F.struct("bucket", parts(F.col("rows"), F.col("shingles")))
+    whole = by_bucket.groupBy("root").agg(
+        parts(F.sum("rows"), F.sum("shingles")).alias("all_parts"),
+        # Sizes of sets span few buckets, whatever the group.
+        F.map_from_entries(F.collect_list(own)).alias("parts"),
+        F.sum("rows").alias("rows"),
+    )
+    rows = join_heavy(groups, whole, "root", "rows", "id", total)
     small = rows.where("all_parts <= 1").select(
         "id", F.struct("root", *[F.lit(0).cast("long").alias(x) for x in ("b", "i", "c", "j")]).alias("task"),
         F.lit(2).alias("side"),
     )
-    large = rows.where("all_parts > 1")
-    by_bucket = blocks("root", "bucket")
-    own = by_bucket.withColumnRenamed("parts", "p")
-    after = by_bucket.select("root", (F.col("bucket") - 1).alias("bucket"), F.col("parts").alias("p_next"))
-    before = by_bucket.select("root", (F.col("bucket") + 1).alias("bucket"), F.col("parts").alias("p_last"))
     large = (
-        large.join(own, ["root", "bucket"])
-        .join(after, ["root", "bucket"], "left")
-        .join(before, ["root", "bucket"], "left")
+        rows.where("all_parts > 1")
+        .withColumns({"p": F.col("parts")[F.col("bucket")], "p_next": F.try_element_at("parts", F.col("bucket") + 1),
+                      "p_last": F.try_element_at("parts", F.col("bucket") - 1)})
         .withColumn("i", F.pmod(F.xxhash64("id"), F.col("p")).cast("long"))
     )
 
@@ -298,7 +300,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = members.where("doc_id = rep").select(F.col("doc_id").alias("id"), "print", F.col("n_shingles").alias("n"), "sketch")
     reps = keep(reps.dropDuplicates(["id", "print"]).drop("print"), f"{at}/reps")
     groups = components(_candidates(reps, percent, at), "candidates")
-    placed = _placed(groups.select(F.col("node").alias("id"), "root").join(reps.select("id", "n"), "id"), percent)
+    placed = _placed(groups.select(F.col("node").alias("id"), "root").join(reps.select("id", "n"), "id"), percent, reps.count())
     placed = keep(placed, f"{at}/placed")
     wanted = placed.select(F.col("id").alias("__id")).distinct()
     named = docs.select(F.col("doc_id").cast("long").alias("id"), "text")

@@ -15,6 +15,7 @@ from cohortry.llm import ann, licenses, neardup, packing, pieces, pii, quality,
 from cohortry.llm.common import prepare, scratch, table
 from cohortry.llm.queries import vocabulary
 from cohortry.llm.tokens import Encoder
+from cohortry.operators import relational
 
 SF = "/root/testdata/sf0.001"
 
@@ -230,11 +231,12 @@ def _brute_components(texts, width, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block,longest", [(512, 64), (7, 5)])
-def test_near_duplicates(spark, monkeypatch, block, longest):
+@pytest.mark.parametrize("block,longest,heavy", [(512, 64, 1000), (7, 5, 1000), (7, 5, 4)])
+def test_near_duplicates(spark, monkeypatch, block, longest, heavy):
     """Families of copies with growing differences, a passage many texts share, short texts, exact copies."""
     monkeypatch.setattr(neardup, "BLOCK_DOCUMENTS", block)
     monkeypatch.setattr(neardup, "LONGEST_LIST", longest)
+    monkeypatch.setattr(relational, "HEAVY_ROWS", heavy)
     rng = np.random.default_rng(5)
     word = lambda: f"w{rng.integers(0, 3000)}"
     passage = [word() for _ in range(60)]
