@@ -137,7 +137,7 @@ def _(t: Tables):
 
 @check("c11_tests_by_group")
 def _(t: Tables):
-    return P.describe_groups(clinical(t), "gender_name", "person_id")["tests"]
+    return P.describe_groups(clinical(t), "gender_name")["tests"]
 
 
 @check(

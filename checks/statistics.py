@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import Tables, check
 from checks.shared import clinical, rates
+from cohortry.functions import expr as E
 from cohortry.operators import tests_of_difference as T
 from cohortry.operators.relational import count_by
 from cohortry.plans.rates import AGES, GENDERS, drug_rate_analysis
@@ -186,9 +187,61 @@ def _(t: Tables):
     return found["corrected"].select("name", "n_tests", "corrected_alpha").distinct()
 
 
-@check("t11_normality_shapiro")
+def _horner(coefficients: tuple, x: str) -> str:
+    text = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {c!r}::DOUBLE)"
+    return text
+
+
+def _ratio(parts: tuple, x: str) -> str:
+    return f"({_horner(parts[0], x)} / {_horner(parts[1], x)})"
+
+
+def _shapiro(values: str) -> str:
+    """W of every (variable, grp) of ``values``, position by position."""
+    return f"""WITH l AS ({values}),
+      r AS (SELECT *, row_number() OVER (PARTITION BY variable, grp ORDER BY x) AS i, COUNT(*) OVER (PARTITION BY variable, grp) AS n,
+        AVG(x) OVER (PARTITION BY variable, grp) AS mean FROM l WHERE x IS NOT NULL AND grp IS NOT NULL),
+      q AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM r),
+      t AS (SELECT *, p - 0.5::DOUBLE AS q, 0.180625::DOUBLE - (p - 0.5::DOUBLE) * (p - 0.5::DOUBLE) AS c, sqrt(-ln(least(p, 1 - p))) AS u FROM q),
+      z AS (SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {_ratio(E.NORMAL_CENTRE, "c")}
+        WHEN u <= 5 THEN sign(q) * {_ratio(E.NORMAL_TAIL, "(u - 1.6::DOUBLE)")}
+        ELSE sign(q) * {_ratio(E.NORMAL_FAR, "(u - 5)")} END AS m FROM t),
+      s AS (SELECT variable, grp, MAX(n) AS n, SUM(m * m) AS norm, SUM(power(x - mean, 2)) AS squares, 1 / sqrt(MAX(n)) AS v,
+        MAX(CASE WHEN i = n THEN m END) AS m1, MAX(CASE WHEN i = n - 1 THEN m END) AS m2,
+        MAX(x) - MIN(x) AS d1, MAX(CASE WHEN i = n - 1 THEN x END) - MAX(CASE WHEN i = 2 THEN x END) AS d2,
+        SUM(CASE WHEN i BETWEEN 3 AND n - 2 THEN m * (x - mean) ELSE 0 END) AS inner_sum FROM z GROUP BY 1, 2),
+      e AS (SELECT *,
+        m1 / sqrt(norm) + 0.221157::DOUBLE * v - 0.147981::DOUBLE * power(v, 2) - 2.071190::DOUBLE * power(v, 3)
+          + 4.434685::DOUBLE * power(v, 4) - 2.706056::DOUBLE * power(v, 5) AS a1,
+        m2 / sqrt(norm) + 0.042981::DOUBLE * v - 0.293762::DOUBLE * power(v, 2) - 1.752461::DOUBLE * power(v, 3)
+          + 5.682633::DOUBLE * power(v, 4) - 3.582633::DOUBLE * power(v, 5) AS a2 FROM s)
+    SELECT variable, grp, n, ROUND(power(a1 * d1 + a2 * d2
+      + inner_sum / sqrt((norm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / squares, 5) AS statistic
+    FROM e WHERE n > 5"""
+
+
+def _w(found):
+    return found.where("n > 5").select("variable", "grp", "n", F.round("statistic", 5).alias("statistic"))
+
+
+@check(
+    "t11_normality_shapiro",
+    _shapiro("""SELECT 'age' AS variable, gender_name AS grp, age::DOUBLE AS x FROM clinical
+      UNION ALL SELECT 'los', gender_name, los::DOUBLE FROM clinical"""),
+)
+def _(t: Tables):
+    return _w(T.normality_gate(clinical(t), "gender_name", ["age", "los"], "shapiro"))
+
+
+@check(
+    "t11_normality_shapiro_ties",
+    _shapiro("""SELECT 'l_quantity' AS variable, l_returnflag AS grp, l_quantity::DOUBLE AS x FROM lineitem
+      UNION ALL SELECT 'l_extendedprice', l_returnflag, l_extendedprice::DOUBLE FROM lineitem"""),
+)
 def _(t: Tables):
-    return T.normality_gate(clinical(t), "gender_name", ["age", "los"], "person_id")
+    return _w(T.normality_gate(t.lineitem, "l_returnflag", ["l_quantity", "l_extendedprice"], "shapiro"))
 
 
 @check(
@@ -200,7 +253,7 @@ def _(t: Tables):
          FROM (SELECT *, AVG(o_totalprice) OVER (PARTITION BY o_orderstatus) AS m FROM orders) o GROUP BY 2) t""",
 )
 def _(t: Tables):
-    found = T.normality_gate(t.orders, "o_orderstatus", ["o_totalprice"], "o_orderkey", method="moments")
+    found = T.normality_gate(t.orders, "o_orderstatus", ["o_totalprice"])
     return found.select("variable", "grp", "n", F.round("statistic", 4).alias("statistic"))
 
 
@@ -282,7 +335,7 @@ def _(t: Tables):
 def _(t: Tables):
     from cohortry.plans.reports import BINARY, NUMERIC
 
-    return T.compare_groups(clinical(t), "race_name", NUMERIC, BINARY, "person_id")
+    return T.compare_groups(clinical(t), "race_name", NUMERIC, BINARY)
 
 
 @check(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -187,3 +189,60 @@ def stars(p: ColumnLike) -> Column:
 def as_number(c: ColumnLike) -> Column:
     """Flag or number as double (booleans become 0/1)."""
     return as_col(c).cast("double")
+
+
+# --- normal scores ---------------------------------------------------------------
+
+# The published coefficients of AS 241 (Wichura 1988), highest power first,
+# numerator and denominator for the centre, the tails and the far tails.
+NORMAL_CENTRE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457,
+     13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.3871328727963666080),
+    (5226.4952788528545610, 28729.085735721942674, 39307.895800092710610, 21213.794301586595867,
+     5394.1960214247511077, 687.18700749205790830, 42.313330701600911252, 1.0),
+)
+NORMAL_TAIL = (
+    (7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258,
+     3.64784832476320460504, 5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1,
+     6.89767334985100004550e-1, 1.67638483018380384940, 2.05319162663775882187, 1.0),
+)
+NORMAL_FAR = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2,
+     2.96560571828504891230e-1, 1.78482653991729133580, 5.46378491116411436990, 6.65790464350110377720),
+    (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4,
+     1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0),
+)
+
+
+def _ratio(parts: tuple, x: Column) -> Column:
+    above, below = (reduce(lambda total, c: total * x + F.lit(c), part[1:], F.lit(part[0])) for part in parts)
+    return above / below
+
+
+def normal_quantile(p: Column) -> Column:
+    """Standard normal quantile of a probability strictly between 0 and 1."""
+    q = p - F.lit(0.5)
+    r = F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
+    tail = F.when(r <= 5.0, _ratio(NORMAL_TAIL, r - F.lit(1.6))).otherwise(_ratio(NORMAL_FAR, r - F.lit(5.0)))
+    return F.when(F.abs(q) <= 0.425, q * _ratio(NORMAL_CENTRE, F.lit(0.180625) - q * q)).otherwise(F.signum(q) * tail)
+
+
+def score_sum(low: Column, high: Column, n: Column, ends: int) -> Column:
+    """Sum of the normal scores of positions ``low`` to ``high`` of ``n``.
+
+    Of a run longer than twice ``ends`` the inner part is the difference of normal densities.
+    """
+
+    def at(i: Column) -> Column:
+        return normal_quantile((i - F.lit(0.375)) / (n + F.lit(0.25)))
+
+    def each(first: Column, last: Column) -> Column:
+        return F.aggregate(F.sequence(first, last), F.lit(0.0), lambda total, i: total + at(i))
+
+    def density(i: Column) -> Column:
+        return F.exp(at(i) * at(i) / F.lit(-2.0)) / F.lit(math.sqrt(2 * math.pi))
+
+    inner = (n + F.lit(0.25)) * (density(low + F.lit(ends - 0.5)) - density(high - F.lit(ends - 0.5)))
+    long_run = each(low, low + F.lit(ends - 1)) + inner + each(high - F.lit(ends - 1), high)
+    return F.when(low == high, at(low)).when(high - low < 2 * ends, each(low, high)).otherwise(long_run)

@@ -8,16 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cohortry.functions.expr import as_col, rate, stars, versus
-from cohortry.functions.tails import chi2_sf, fisher_p, rank_sum_p, shapiro_wilk, t_two_sided
+from cohortry.functions.expr import as_col, rate, score_sum, stars, versus
+from cohortry.functions.tails import END_SCORES, chi2_sf, fisher_p, rank_sum_p, shapiro_p, shapiro_w, t_two_sided
 from cohortry.operators.order_stats import rank_values, to_long
-from cohortry.operators.relational import bounded_sample, pairs
+from cohortry.operators.relational import pairs, sized_broadcast
 
 FISHER = "Fisher's exact"
 CHI2 = "Chi-square"
@@ -414,21 +412,46 @@ def kruskal(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     return kruskal_from(rank_sums(df, group, columns))
 
 
-def normality_gate(
-    df: DataFrame,
-    group: str,
-    columns: Sequence[str],
-    row_id: str,
-    method: str = "moments",
-    n: int = 5_000,
-    seed: int = 42,
-) -> DataFrame:
-    """``(variable, grp, n, statistic, p_value, normal)``.
+def shapiro_statistics(long: DataFrame) -> DataFrame:
+    """``(variable, grp, statistic, p_value)``: Shapiro-Wilk over all rows of ``long(variable, grp, value)``.
 
-    ``moments`` is Jarque-Bera over all rows; ``shapiro`` tests a bounded seeded sample per
-    (variable, group) and is for those who ask for it. Fewer than 8 values are never called normal.
+    The values' exact ranks give their normal scores, so W is a ratio of aggregates. Tied values
+    are one row with the sum of their scores. Fewer than 3 values, or equal ones, give 1 and 1.
     """
-    long = to_long(df.where(F.col(group).isNotNull()), columns, [row_id, group]).withColumnRenamed(group, "grp")
+    keys = ["variable", "grp"]
+    sizes = long.groupBy(*keys).agg(
+        F.count("value").alias("rows"),
+        F.avg("value").alias("mean"),
+        (F.var_pop("value") * F.count("value")).alias("about"),
+    )
+    placed = rank_values(long, "value", keys).join(sized_broadcast(sizes), keys)
+    half = (F.col("ties") - 1) / 2
+    placed = placed.withColumns(
+        {"low": (F.col("avg_rank") - half).cast("long"), "high": (F.col("avg_rank") + half).cast("long")}
+    )
+
+    def held(position: Column) -> Column:
+        return F.max(F.when(position.between(F.col("low"), F.col("high")), F.col("value")))
+
+    scores = score_sum(F.col("low"), F.col("high"), F.col("rows"), END_SCORES)
+    sums = placed.groupBy(*keys).agg(
+        F.max("rows").alias("size"),
+        F.max("about").alias("squares"),
+        F.sum((F.col("value") - F.col("mean")) * scores).alias("score"),
+        *[held(i).alias(c) for c, i in (("x1", F.lit(1)), ("x2", F.least(F.lit(2), F.col("rows"))))],
+        *[held(i).alias(c) for c, i in (("xm", F.greatest(F.lit(1), F.col("rows") - 1)), ("xn", F.col("rows")))],
+    )
+    w = shapiro_w(*[F.col(c).cast("double") for c in ("size", "score", "x1", "x2", "xm", "xn", "squares")])
+    scored = sums.select(*keys, "size", w.alias("statistic"))
+    return scored.select(*keys, "statistic", shapiro_p("statistic", F.col("size").cast("double")).alias("p_value"))
+
+
+def normality_gate(df: DataFrame, group: str, columns: Sequence[str], method: str = "moments") -> DataFrame:
+    """``(variable, grp, n, statistic, p_value, normal)``, over all rows.
+
+    ``moments`` is Jarque-Bera, ``shapiro`` Shapiro-Wilk. Fewer than 8 values are never called normal.
+    """
+    long = to_long(df.where(F.col(group).isNotNull()), columns, [group]).withColumnRenamed(group, "grp")
     keys = ["variable", "grp"]
     sizes = long.groupBy(*keys).agg(
         F.count("value").alias("n"),
@@ -442,15 +465,7 @@ def normality_gate(
         jb = F.when(F.col("__same") & (F.col("n") >= 8), 0.0).otherwise(jb)
         scored = sizes.withColumn("statistic", jb).withColumn("p_value", chi2_sf("statistic", F.lit(2.0)))
     elif method == "shapiro":
-        sample = bounded_sample(long, n, row_id, keys, seed)
-
-        def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            w, p = shapiro_wilk(rows["value"].to_numpy(np.float64))
-            return pd.DataFrame([[*key, w, p]], columns=[*keys, "statistic", "p_value"])
-
-        grp_type = long.schema["grp"].dataType.simpleString()
-        schema = f"variable string, grp {grp_type}, statistic double, p_value double"
-        scored = sizes.join(sample.groupBy(*keys).applyInPandas(test, schema), keys)
+        scored = sizes.join(shapiro_statistics(long), keys)
     else:
         raise ValueError(f"unknown method {method!r}")
     normal = (F.col("p_value") > 0.05) & (F.col("n") >= 8)
@@ -462,7 +477,6 @@ def compare_groups(
     group: str,
     numeric: Sequence[str],
     binary: Sequence[str],
-    row_id: str,
     alpha: float = 0.05,
     normality: str = "moments",
 ) -> DataFrame:
@@ -473,7 +487,7 @@ def compare_groups(
     :func:`auto_test_counts`. A variable with fewer than two groups gives no row.
     """
     sums = rank_sums(df, group, numeric).checkpoint()
-    gate = normality_gate(df, group, numeric, row_id, normality)
+    gate = normality_gate(df, group, numeric, normality)
     by_t = t_test(df, group, numeric).select(
         "variable", F.col("statistic").alias("t_stat"), F.col("p_value").alias("t_p")
     )

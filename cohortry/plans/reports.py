@@ -239,14 +239,13 @@ def stratum_report(flags: DataFrame) -> DataFrame:
 def describe_groups(
     df: DataFrame,
     group: str,
-    row_id: str,
     numeric: Sequence[str] = NUMERIC,
     binary: Sequence[str] = BINARY,
     normality: str = "moments",
 ) -> dict[str, DataFrame]:
     """Sizes, numeric summaries, flag proportions and significance tests by group."""
     named = df.where(F.col(group).isNotNull())
-    tests = compare_groups(named, group, numeric, binary, row_id, normality=normality)
+    tests = compare_groups(named, group, numeric, binary, normality=normality)
     return {
         "sizes": count_by(named, [group]),
         "numeric": describe_by(named, [group], numeric),

@@ -32,7 +32,7 @@ def test_compare_two_numbers(people):
 
 
 def test_describe_groups(people):
-    found = describe_groups(people, "gender_name", "person_id")
+    found = describe_groups(people, "gender_name")
     assert sum(r["n"] for r in found["sizes"].collect()) == people.count()
     assert found["numeric"].count() == 4 and found["flags"].count() == 24
     tests = {r["variable"]: r["p_value"] for r in found["tests"].collect()}

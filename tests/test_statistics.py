@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cohortry.functions import tails
+from cohortry.operators import order_stats
 from cohortry.operators import tests_of_difference as T
 
 RATES = "name string, race_name string, gender_name string, age_group string, cnt long, base_count long"
@@ -141,7 +143,7 @@ def test_small_untied_samples_use_the_exact_tail(spark):
 
 def test_battery(people):
     _, df = people
-    rows = {r["variable"]: r for r in T.compare_groups(df, "g", ["normal", "skewed", "constant"], ["flag"], "id").collect()}
+    rows = {r["variable"]: r for r in T.compare_groups(df, "g", ["normal", "skewed", "constant"], ["flag"]).collect()}
     assert rows["normal"]["test_used"] == "Independent t-test" and rows["normal"]["significant"]
     assert rows["skewed"]["test_used"] == "Mann-Whitney U test"
     # A constant passes the normality gate; its t statistic is undefined.
@@ -153,11 +155,31 @@ def test_battery(people):
 
 def test_battery_with_three_groups(people):
     _, df = people
-    rows = {r["variable"]: r for r in T.compare_groups(df, "g3", ["normal"], ["flag"], "id").collect()}
+    rows = {r["variable"]: r for r in T.compare_groups(df, "g3", ["normal"], ["flag"]).collect()}
     assert rows["normal"]["test_used"] == "Kruskal-Wallis test" and rows["normal"]["groups"] == "All 3 groups"
     assert rows["normal"]["effect_size"] is None
 
 
 def test_battery_with_one_group_gives_nothing(people):
     _, df = people
-    assert T.compare_groups(df.withColumn("g", F.lit("a")), "g", ["normal"], ["flag"], "id").count() == 0
+    assert T.compare_groups(df.withColumn("g", F.lit("a")), "g", ["normal"], ["flag"]).count() == 0
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_shapiro_over_all_rows_is_that_of_the_values(spark, monkeypatch, small):
+    """Ties, runs beyond the summed ends, tiny groups, a constant; both ways of ranking."""
+    monkeypatch.setattr(T, "rank_values", lambda df, v, by: order_stats.rank_values(df, v, by, small_rows=small))
+    rng = np.random.default_rng(3)
+    groups = {
+        "normal": rng.normal(100, 5, 3000), "skewed": rng.exponential(size=900), "tied": np.round(rng.normal(size=4000)),
+        "third": np.where(rng.random(4900) < 0.33, 7.0, rng.normal(size=4900)), "same": np.ones(20),
+        **{f"n{k}": rng.normal(size=k) for k in (1, 2, 3, 4, 5, 6, 11, 12)},
+    }
+    rows = [(g, float(v)) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["grp"]: r for r in T.normality_gate(df, "g", ["v"], "shapiro").collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        w, p = tails.shapiro_wilk(values)
+        assert got[g]["statistic"] == pytest.approx(w, abs=1e-6), g
+        assert got[g]["p_value"] == pytest.approx(p, abs=1e-3), g
