@@ -23,6 +23,7 @@ from cohortry.operators.batched_models import Blocks, assign, cheapest, lloyd, m
 from cohortry.operators.evaluation import NOISE, silhouette, squared_distance
 from cohortry.operators.neighbors import _Layout, _points, knn_graph, within
 from cohortry.operators.relational import bounded_sample, join_heavy, mode_of
+from cohortry.sources.tables import settle
 
 # The sweeps of the analysis.
 CLUSTER_COUNTS = range(2, 8)
@@ -379,7 +380,7 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
         return edges.sparkSession.createDataFrame(_local_components(head), "node long, root long")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b"))).distinct()
     links = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = links.checkpoint()
+    links = settle(links)
 
     def with_least(pairs: DataFrame, total: int) -> DataFrame:
         low = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
@@ -400,7 +401,7 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
 
     mark = fingerprint(links)
     while True:
-        links = small_star(large_star(links, mark[0]), mark[0]).checkpoint()
+        links = settle(small_star(large_star(links, mark[0]), mark[0]))
         now = fingerprint(links)
         if now == mark:
             break
@@ -597,13 +598,14 @@ def ward_knn(
     """
     clusters = df.select(
         F.col(row_id).cast("long").alias("id"), F.lit(1.0).alias("n"), F.col(vec).cast("array<double>").alias("centre")
-    ).checkpoint()
+    )
+    clusters = settle(clusters)
     rows = clusters.select("id")
     if edges is None:
         near = knn_graph(df, row_id, vec, k_nn, seed)
         edges = near.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    links = links.checkpoint()
+    links = settle(links)
     spark = df.sparkSession
     merge_schema = "a long, b long, cost double"
     done: list[DataFrame] = []
@@ -617,13 +619,13 @@ def ward_knn(
         both = priced.union(priced.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost"))
         cheapest = both.groupBy("a").agg(F.min(F.struct("cost", "b")).alias("m")).select("a", "m.b", "m.cost")
         back = cheapest.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        merges = cheapest.where("a < b").join(back, ["a", "b"]).select("a", "b", "cost").checkpoint()
+        merges = settle(cheapest.where("a < b").join(back, ["a", "b"]).select("a", "b", "cost"))
         merged = merges.count()
         if merged == 0:
             # No links left between the parts: connect them by the centroids' neighbours.
             near = knn_graph(clusters, "id", "centre", min(k_nn, left - 1), seed)
             links = near.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-            links = links.checkpoint()
+            links = settle(links)
             continue
         done.append(merges)
         left -= merged
@@ -636,14 +638,12 @@ def ward_knn(
             F.transform(F.col("p")[0]["centre"], lambda x: x * F.col("p")[0]["n"]),
             lambda acc, q: F.zip_with(acc, q["centre"], lambda x, y: x + y * q["n"]),
         )
-        clusters = pair.select("id", "n", F.transform(weighted, lambda x: x / F.col("n")).alias("centre")).checkpoint()
+        clusters = settle(pair.select("id", "n", F.transform(weighted, lambda x: x / F.col("n")).alias("centre")))
         ends = links
         for side in ("a", "b"):
             renamed = into.toDF(side, "__t")
             ends = ends.join(renamed, side, "left").withColumn(side, F.coalesce("__t", side)).drop("__t")
-        links = (
-            ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        ).checkpoint()
+        links = settle(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     if left > 1:
         rest = _finish_locally(clusters.collect(), links.collect())
         done.append(spark.createDataFrame(rest, merge_schema))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortry.session import ensure_checkpoint_dir
+
 
 def read_table(spark: SparkSession, path_or_name: str, schema: T.StructType | None = None) -> DataFrame:
     """A Parquet path (anything with a slash) or a catalogue name; all columns, pruned by the plan."""
@@ -50,6 +53,19 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str)
     return spark.read.parquet(path)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them back; for loops that feed on their own result.
+
+    A checkpoint keeps the size estimate of the plan it cuts. Joins multiply estimates, so
+    round after round the number gets longer until planning takes longer than the work; a
+    stored table has the size of its files.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with a header row and a declared schema (no inference pass over the data)."""
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)

@@ -349,3 +349,12 @@ def test_worst_partners_over_many_slices(spark, monkeypatch):
         assert [got[i] for i in range(60)] == pytest.approx(ratio.max(axis=1).tolist())
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_component_rounds_do_not_pile_up_size_estimates(spark):
+    """A round joins the last one's result with itself; its estimate must come from the rows, not from all rounds."""
+    path = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    roots = K.connected_components(path, local_edges=10)
+    size = str(roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert len(size) < 15
+    assert roots.agg(F.count(F.lit(1)), F.max("root")).first()[:] == (301, 0)
