@@ -631,10 +631,10 @@ def ward_knn(
         left -= merged
         into = merges.select(F.col("b").alias("id"), F.col("a").alias("target"))
         moved = clusters.join(into, "id", "left").withColumn("id", F.coalesce("target", "id"))
-        # At most two old clusters meet in a new one.
-        pair = moved.groupBy("id").agg(F.collect_list(F.struct("n", "centre")).alias("p"), F.sum("n").alias("n"))
+        # At most two old clusters meet in a new one, and in the first round the rows that share an id.
+        pair = moved.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "centre"))).alias("p"), F.sum("n").alias("n"))
         weighted = F.aggregate(
-            F.slice("p", 2, 1),
+            F.slice("p", 2, F.size("p")),
             F.transform(F.col("p")[0]["centre"], lambda x: x * F.col("p")[0]["n"]),
             lambda acc, q: F.zip_with(acc, q["centre"], lambda x, y: x + y * q["n"]),
         )

@@ -358,3 +358,13 @@ def test_component_rounds_do_not_pile_up_size_estimates(spark):
     size = str(roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     assert len(size) < 15
     assert roots.agg(F.count(F.lit(1)), F.max("root")).first()[:] == (301, 0)
+
+
+def test_ward_centres_count_every_row_of_a_repeated_id(spark):
+    """Row 0 stands there three times: its cluster with row 1 has its centre at 1/4, whatever order the rows come in."""
+    rows = [(0, [0.0]), (0, [0.0]), (0, [0.0]), (1, [1.0]), (2, [3.0])]
+    links = spark.createDataFrame([(0, 1), (1, 2)], "a long, b long")
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "id long, vec array<double>").coalesce(1)
+        tree = K.ward_knn(df, "id", "vec", 1, edges=links, local_clusters=4).info["tree"]
+        assert tree.orderBy(F.desc("cost")).first()["cost"] == pytest.approx(4 * 1 / 5 * 2.75**2)
