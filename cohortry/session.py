@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -21,11 +22,24 @@ SQL_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Estimated size up to which the planner may broadcast a side on its own. The estimate is of
+#: compressed bytes; in the driver's memory a table of ids is about ten times that.
+BROADCAST_KEY = "spark.sql.autoBroadcastJoinThreshold"
+BROADCAST_BYTES = 256 * 1024
+
+
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", size.strip().lower()).groups()
+    return int(number) * 1024 ** "bkmgtp".index(unit[:1] or "b")
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings and make sure a checkpoint folder is known."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    # Lowered only, so that the joins of a plan cannot send the driver a share of every table.
+    if _bytes(spark.conf.get(BROADCAST_KEY)) > BROADCAST_BYTES:
+        spark.conf.set(BROADCAST_KEY, str(BROADCAST_BYTES))
     ensure_checkpoint_dir(spark)
     return spark
 
