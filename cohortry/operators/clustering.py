@@ -10,7 +10,7 @@ import heapq
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators.batched_models import Blocks, assign, cheapest, lloyd, mixtures, silhouettes
 from cohortry.operators.evaluation import NOISE, silhouette, squared_distance
-from cohortry.operators.neighbors import _Layout, _points, knn_graph, within
+from cohortry.operators.neighbors import _Block, _Layout, _rough_squares, knn_graph, settled_within
 from cohortry.operators.relational import bounded_sample, join_heavy, mode_of
 from cohortry.sources.tables import settle
 
@@ -421,69 +421,124 @@ def _spread_minimum(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> t
         left, right = left_new, right_new
 
 
-def dbscan(df: DataFrame, row_id: str, vec: str, eps: float, min_points: int = MIN_POINTS, seed: int = 42) -> Fit:
-    """Density clustering: ``label`` is the smallest row id of the cluster's core rows, noise is -1.
+class _Counts:
+    """Work on blocks: rows within each radius of every point, once for every point of a block."""
 
-    The point itself counts as a neighbour. A border row joins the lowest-labelled
-    cluster in reach. Neighbour pairs are never written out: a pair of blocks yields a
-    count per point, then one link per point to the smallest core point it reaches. Every
-    pair of blocks is measured once for both sides; ``info`` of the result holds the pairs of
-    points ``measured`` for the counts and those ``counted`` from sizes alone.
+    def __init__(self, radii: Sequence[float]):
+        self.radii = radii
+        self.held: dict[str, tuple] = {}
+
+    def _frames(self, reps: np.ndarray, counts: np.ndarray) -> Iterator[pd.DataFrame]:
+        e, i = np.nonzero(counts)
+        yield pd.DataFrame({"e": e.astype(np.int32), "rep": reps[i], "near": counts[e, i]})
+
+    def meet(self, right: _Block, lefts: list) -> Iterator[pd.DataFrame]:
+        mine = np.zeros((len(self.radii), len(right.reps)), dtype=np.int64)
+        for left, most in lefts:
+            rough, error = _rough_squares(left.x, right.x)
+            if left.block not in self.held:
+                self.held[left.block] = (left.reps, np.zeros((len(self.radii), len(left.reps)), dtype=np.int64))
+            for e, eps in enumerate(self.radii):
+                if _surely(most, eps):
+                    continue
+                close = settled_within(rough, error, left.x, right.x, eps)
+                self.held[left.block][1][e] += close @ right.sizes
+                if left is not right:
+                    mine[e] += left.sizes @ close
+        yield from self._frames(right.reps, mine)
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        for reps, counts in self.held.values():
+            yield from self._frames(reps, counts)
+
+
+class _Links:
+    """Work on blocks: links that connect core points as their distances do, and the cores in reach of border points.
+
+    A core point has a name, the smallest point it is known to be connected with. A link is
+    written when a name changes, so a group writes about one link a point, not one a pair of blocks.
     """
-    layout = _Layout(df, row_id, vec, seed=seed)
-    pairs = layout.pairs_within(np.full(len(layout.pivots), float(eps)))
-    surely = F.col("most") <= eps * (1 - 1e-12)
-
-    def count(left, right) -> pd.DataFrame:
-        reps, x = _points(left.reps, left.flat)
-        others, y = _points(right.reps, right.flat)
-        close = within(x, y, eps)
-        found = pd.DataFrame({"rep": reps, "near": close @ np.asarray(right.sizes, dtype=np.int64)})
-        if right is left:
-            return found
-        return pd.concat([found, pd.DataFrame({"rep": others, "near": np.asarray(left.sizes, dtype=np.int64) @ close})])
-
-    measured = layout.meet(pairs.where(~surely), ["reps", "flat", "sizes"], count, "rep long, near long")
-    # Blocks that lie within the radius of each other as a whole are counted without their points.
-    whole = pairs.where(surely)
-    both = whole.select("block", "block2").union(whole.where("block <> block2").select("block2", "block"))
-    sums = both.join(layout.blocks.select(F.col("block").alias("block2"), "rows"), "block2").groupBy("block").agg(F.sum("rows").alias("near"))
-    counted = layout.blocks.select("block", "reps").join(sums, "block").select(F.explode("reps").alias("rep"), "near")
-    counts = measured.unionByName(counted)
-    core = counts.groupBy("rep").agg(F.sum("near").alias("near")).where(F.col("near") >= min_points).select("rep")
-    core = core.checkpoint()
+
+    def __init__(self, radii: Sequence[float]):
+        self.radii = radii
+        self.names: dict[tuple, np.ndarray] = {}
+
+    def meet(self, right: _Block, lefts: list) -> Iterator[pd.DataFrame]:
+        named = {e: right.reps.copy() for e in right.cores}
+        for left, _ in lefts:
+            if not left.cores and not right.cores:
+                continue
+            rough, error = _rough_squares(left.x, right.x)
+            for e in sorted({*left.cores, *right.cores}):
+                close = settled_within(rough, error, left.x, right.x, self.radii[e])
+                a_core = left.cores.get(e, np.zeros(len(left.reps), dtype=bool))
+                b_core = right.cores.get(e, np.zeros(len(right.reps), dtype=bool))
+                links, reached = [], []
+                if a_core.any() and b_core.any():
+                    a_names = self.names.setdefault((e, left.block), left.reps.copy())
+                    b_names = a_names if right is left else named[e]
+                    a_old, b_old = a_names[a_core], b_names[b_core]
+                    a_new, b_new = _spread_minimum(close[np.ix_(a_core, b_core)], a_old, b_old)
+                    links += [(a_old[a_new != a_old], a_new[a_new != a_old]), (b_old[b_new != b_old], b_new[b_new != b_old])]
+                    a_names[a_core], b_names[b_core] = a_new, b_new
+                    if right is left:
+                        links.append((left.reps[a_core], left.reps[a_core]))
+                i, j = np.nonzero(close[np.ix_(~a_core, b_core)])
+                reached.append((left.reps[~a_core][i], right.reps[b_core][j]))
+                if right is not left:
+                    i, j = np.nonzero(close[np.ix_(a_core, ~b_core)])
+                    reached.append((right.reps[~b_core][j], left.reps[a_core][i]))
+                for found, core in ((links, True), (reached, False)):
+                    if sum(len(a) for a, _ in found):
+                        pairs = np.unique(np.concatenate([np.stack(f) for f in found], axis=1), axis=1)
+                        yield pd.DataFrame({"e": np.int32(e), "a": pairs[0], "b": pairs[1], "core": core})
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        yield from ()
+
+
+def _surely(most, eps: float):
+    """Whether points at most ``most`` apart are within ``eps``, rounding included."""
+    return most <= eps * (1 - 1e-12)
+
+
+def _density_links(layout: _Layout, radii: Sequence[float], min_points: int) -> tuple[DataFrame, DataFrame]:
+    """``(e, a, b, core)`` for every radius by its place in ``radii``, and the pairs of blocks.
+
+    ``core`` links connect core points, the others a border point with every core point in
+    its reach (fewer than ``min_points``). All radii share one pass for the counts and one for the links.
+    """
+    radii = [float(eps) for eps in radii]
+    pairs = layout.pairs_within(np.full(len(layout.pivots), max(radii)))
+    unsure = pairs.where(~_surely(F.col("most"), min(radii)))
+    counts = layout.meet(unsure, ["reps", "flat", "sizes"], partial(_Counts, radii), "e int, rep long, near long")
+    # Blocks that lie within a radius of each other as a whole are counted without their points.
+    places = F.explode(F.filter(F.array(*[F.when(_surely(F.col("most"), eps), F.lit(e)) for e, eps in enumerate(radii)]), lambda e: e.isNotNull()))
+    whole = pairs.select(places.alias("e"), "block", "block2")
+    both = whole.union(whole.where("block <> block2").select("e", "block2", "block"))
+    sums = both.join(layout.blocks.select(F.col("block").alias("block2"), "rows"), "block2").groupBy("e", "block").agg(F.sum("rows").alias("near"))
+    counted = layout.blocks.select("block", "reps").join(sums, "block").select("e", F.explode("reps").alias("rep"), "near")
+    core = counts.unionByName(counted).groupBy("e", "rep").agg(F.sum("near").alias("near")).where(F.col("near") >= min_points).select("e", "rep")
     per_block = (
         layout.blocks.select("block", F.explode("reps").alias("rep"))
         .join(core, "rep")
         .groupBy("block")
-        .agg(F.collect_list("rep").alias("cores"))
-    )
-    marked = layout.blocks.join(per_block, "block", "left").checkpoint()
-
-    def link(left, right) -> pd.DataFrame:
-        a, x = _points(left.reps, left.flat)
-        b, y = _points(right.reps, right.flat)
-        a_core = np.isin(a, [] if left.cores is None else left.cores)
-        b_core = np.isin(b, [] if right.cores is None else right.cores)
-        close = within(x, y, eps)
-        near_a, near_b = _spread_minimum(close[np.ix_(a_core, b_core)], a[a_core], b[b_core])
-        out = [
-            pd.DataFrame({"a": a[a_core], "b": near_a, "core": True}),
-            pd.DataFrame({"a": b[b_core], "b": near_b, "core": True}),
-        ]
-        sides = [(close[np.ix_(~a_core, b_core)], a[~a_core], near_b), (close[np.ix_(a_core, ~b_core)].T, b[~b_core], near_a)]
-        for reached, border, names in sides[: 1 if right is left else 2]:
-            i, j = np.nonzero(reached)
-            found = np.unique(np.stack([border[i], names[j]]), axis=1)
-            out.append(pd.DataFrame({"a": found[0], "b": found[1], "core": False}))
-        return pd.concat(out)
-
+        .agg(F.collect_list(F.struct("e", "rep")).alias("cores"))
+        .select("block", F.col("cores.e").alias("core_radius"), F.col("cores.rep").alias("cores"))
+    ).checkpoint()
+    marked = layout.blocks.join(per_block, "block", "left")
     # A pair without a core point on either side links nothing.
-    cored = marked.where(F.col("cores").isNotNull()).select("block")
+    cored = per_block.select("block")
     first = pairs.join(cored, "block", "left_semi")
     rest = pairs.join(cored, "block", "left_anti").join(cored.toDF("block2"), "block2", "left_semi")
-    live = first.select("block", "block2").union(rest.select("block", "block2")).checkpoint()
-    links = layout.meet(live, ["reps", "flat", "cores"], link, "a long, b long, core boolean", marked).distinct().checkpoint()
+    live = first.unionByName(rest).checkpoint()
+    payload = ["reps", "flat", "cores", "core_radius"]
+    links = layout.meet(live, payload, partial(_Links, radii), "e int, a long, b long, core boolean", marked)
+    return links.distinct().checkpoint(), pairs
+
+
+def _density_labels(df: DataFrame, row_id: str, vec: str, layout: _Layout, links: DataFrame) -> DataFrame:
+    """Labels of one radius from its links."""
     roots = connected_components(links.where("core").select("a", "b"))
     border = (
         links.where(~F.col("core"))
@@ -493,11 +548,26 @@ def dbscan(df: DataFrame, row_id: str, vec: str, eps: float, min_points: int = M
     )
     named = roots.select(F.col("node").alias("rep"), F.col("root").alias("label")).unionByName(border)
     members = df.select(row_id, F.col(vec).cast("array<double>").alias("vec"))
-    labels = (
+    return (
         members.join(layout.celled.select("vec", "rep"), "vec")
         .join(named, "rep", "left")
         .select(row_id, F.coalesce("label", F.lit(NOISE)).cast("long").alias("label"))
     )
+
+
+def dbscan(df: DataFrame, row_id: str, vec: str, eps: float, min_points: int = MIN_POINTS, seed: int = 42) -> Fit:
+    """Density clustering: ``label`` is the smallest row id of the cluster's core rows, noise is -1.
+
+    The point itself counts as a neighbour. A border row joins the lowest-labelled
+    cluster in reach. Neighbour pairs are never written out: a group of blocks yields a
+    count per point it meets, then about one link per point. Every
+    pair of blocks is measured once for both sides; ``info`` of the result holds the pairs of
+    points ``measured`` for the counts and those ``counted`` from sizes alone.
+    """
+    layout = _Layout(df, row_id, vec, seed=seed)
+    links, pairs = _density_links(layout, [eps], min_points)
+    labels = _density_labels(df, row_id, vec, layout, links)
+    surely = _surely(F.col("most"), eps)
     work = pairs.agg(F.sum(F.when(surely, 0).otherwise(F.col("cost"))), F.sum(F.when(surely, F.col("cost")).otherwise(0))).first()
     return Fit(labels, eps, info={"measured": work[0], "counted": work[1]})
 
@@ -510,19 +580,25 @@ def dbscan_sweep(
     min_points: int = MIN_POINTS,
     seed: int = 42,
 ) -> Fit:
-    """Density clustering per radius; results with noise or one cluster are rejected, best silhouette wins."""
+    """Density clustering per radius; results with noise or one cluster are rejected, best silhouette wins.
+
+    The radii share one layout of the points and the two passes over pairs of blocks.
+    """
     rows = _features(df, row_id, vec)
+    eps_values = list(eps_values)
+    layout = _Layout(rows, row_id, "vec", seed=seed)
+    links, _ = _density_links(layout, eps_values, min_points)
 
-    def one(eps: float) -> dict:
-        labels = dbscan(rows, row_id, "vec", eps, min_points, seed).labels.checkpoint()
+    def one(e: int) -> dict:
+        labels = _density_labels(rows, row_id, "vec", layout, links.where(F.col("e") == e)).checkpoint()
         noise, clusters = labels.agg(
             F.count(F.when(F.col("label") == NOISE, 1)), F.count_distinct(F.nullif("label", F.lit(NOISE)))
         ).first()
         fine = noise == 0 and clusters > 1
         score = _score(rows, labels, row_id) if fine else None
-        return {"eps": eps, "clusters": clusters, "noise": noise, "silhouette": score, "labels": labels if fine else None}
+        return {"eps": eps_values[e], "clusters": clusters, "noise": noise, "silhouette": score, "labels": labels if fine else None}
 
-    best, scores = sweep(one, eps_values, "silhouette")
+    best, scores = sweep(one, range(len(eps_values)), "silhouette")
     return Fit(best["labels"], best["eps"], scores)
 
 

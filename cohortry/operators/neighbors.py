@@ -4,14 +4,16 @@ Points are put into cells around a bounded set of pivots. A cell is cut into blo
 bounded size: rings by distance to the pivot, slabs along a projection, then a hash where
 points still share both. Two bounds rule out pairs of blocks that cannot hold a neighbour:
 the triangle inequality on the pivots, and the gap between the blocks' boxes in a few
-orthonormal projections. A pair that is left is met once, for both of its sides: a block's
-points are sent once, followed by the points of the blocks it meets. Copies of one vector
+orthonormal projections. A pair that is left is met once, for both of its sides. Blocks
+meet by groups: a task holds one group's blocks while those they meet pass by, so a point is
+sent once a group, not once a block, and a task answers once per point. Copies of one vector
 are collapsed first, so a vector owning a third of the rows is one point.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,11 @@ MAX_PIVOTS = 1_024
 BLOCK = 1_024
 RINGS = 64
 PROJECTIONS = 8
+#: Groups of blocks a layout has at least (with enough points), points a group holds at most
+#: (about), and parts the blocks a group meets are dealt into, each with the group's own blocks.
+GROUPS = 16
+GROUP_POINTS = 65_536
+SLICES = 4
 #: Slack on every bound, against rounding in the distances.
 SLACK = 1e-9
 
@@ -87,6 +94,11 @@ def _pair_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray)
 def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     """Which pairs lie within ``eps``; pairs too close to call are measured exactly."""
     rough, error = _rough_squares(a, b)
+    return settled_within(rough, error, a, b, eps)
+
+
+def settled_within(rough: np.ndarray, error: np.ndarray, a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """As ``within``, from rough squares at hand."""
     near = rough <= eps * eps
     i, j = np.nonzero(np.abs(rough - eps * eps) <= error + 1e-12 * eps * eps)
     near[i, j] = _pair_distances(a, b, i, j) <= eps
@@ -183,17 +195,34 @@ class _Layout:
         self.celled = _to_cells(points, self.pivots).checkpoint()
         self.blocks = _blocks(self.celled).checkpoint()
         self.between = _distances(self.pivots, self.pivots)
-        spans = self.blocks.groupBy("cell").agg(F.max("far").alias("far")).collect()
+        spans = self.blocks.groupBy("cell").agg(F.max("far").alias("far"), F.sum("points").alias("points")).collect()
         self.far = {r["cell"]: r["far"] for r in spans}
+        self.blocks = self.blocks.withColumn("group", self._group({r["cell"]: r["points"] for r in spans}))
+
+    def _group(self, points: dict[int, int]) -> Column:
+        """Number of a block's group: cells in the order of their pivots along the widest axis, cut by points.
+
+        A cell that crosses a cut spreads its blocks over its groups by hash.
+        """
+        room = max(BLOCK, min(GROUP_POINTS, -(-self.total // GROUPS)))
+        along = self.pivots @ _directions(self.pivots)[0]
+        first, span, before = [0] * len(self.pivots), [1] * len(self.pivots), 0
+        for cell in sorted(points, key=lambda c: (along[c], c)):
+            first[cell] = before // room
+            before += points[cell]
+            span[cell] = (before - 1) // room - first[cell] + 1
+        part = F.pmod(F.xxhash64("block"), F.get(F.lit(span), F.col("cell")))
+        return (F.get(F.lit(first), F.col("cell")) + part).cast("int")
 
     def pairs_within(self, bounds: np.ndarray, own: DataFrame | None = None) -> DataFrame:
-        """``(block, block2, cost, most)``: pairs of blocks that can hold points within the bounds, each once.
+        """``(block, block2, group, cost, most)``: pairs of blocks that can hold points within the bounds, each once.
 
         ``bounds`` has a distance per cell; ``own`` may have a smaller one per block (``block,
         reach``). A block also meets itself (``block2`` equal). ``cost`` is the number of point
         pairs, ``most`` a distance that no pair of their points exceeds. Cells are compared first (a table
         bounded by the pivots), then their blocks by id and box; no points are read here. Which
-        of two blocks comes first is settled by a hash, so no block collects all of its pairs.
+        of two blocks comes first is settled by their groups, the same way for all pairs of two
+        groups, so that a block is sent to about half of them; ``group`` is that of the first.
         """
         cells = np.array(sorted(self.far))
         far = np.array([self.far[c] for c in cells])
@@ -205,7 +234,7 @@ class _Layout:
             pd.DataFrame({"cell": cells[i], "cell2": cells[j], "gap": gap[i, j], "bound": bounds[cells][i], "bound2": bounds[cells][j]}),
             "cell int, cell2 int, gap double, bound double, bound2 double",
         )
-        keys = self.blocks.select("block", "cell", "near", "far", "low", "high", "points")
+        keys = self.blocks.select("block", "cell", "near", "far", "low", "high", "points", "group")
         keys = keys.withColumn("reach", F.lit(float("inf"))) if own is None else keys.join(own, "block")
         other = keys.toDF(*[f"{c}2" for c in keys.columns])
         away = F.zip_with(
@@ -221,75 +250,125 @@ class _Layout:
         bound = F.greatest(F.least("bound", "reach"), F.least("bound2", "reach2"))
         once = (F.col("cell") < F.col("cell2")) | (F.col("block") <= F.col("block2"))
         met = keys.join(table, "cell").join(other, "cell2").where(once & (nearest <= bound + SLACK))
-        swap = F.pmod(F.xxhash64("block", "block2"), F.lit(2)) == 1
+        swap = (F.col("group") > F.col("group2")) == ((F.col("group") + F.col("group2")) % 2 == 0)
+        swap = swap & (F.col("group") != F.col("group2"))
         same = F.col("block") == F.col("block2")
         return met.select(
             F.when(swap, F.col("block2")).otherwise(F.col("block")).alias("block"),
             F.when(swap, F.col("block")).otherwise(F.col("block2")).alias("block2"),
+            F.when(swap, F.col("group2")).otherwise(F.col("group")).alias("group"),
             F.when(same, F.col("points") * (F.col("points") - 1) / 2).otherwise(F.col("points") * F.col("points2")).cast("long").alias("cost"),
             (F.col("gap") + F.col("far") + F.col("far2") + SLACK).alias("most"),
         ).checkpoint()
 
     def meet(self, pairs: DataFrame, payload: Sequence[str], work: Callable, schema: str, blocks: DataFrame | None = None) -> DataFrame:
-        """``work(left, right)`` for every pair of blocks; ``right`` is ``left`` where a block meets itself.
+        """Every pair of blocks, by ``work()``: one object a group and slice, with the frames it gives.
 
-        ``pairs`` is a stored frame, as it is read three times. Each left block travels once, ahead of the blocks it meets, and a task holds two blocks at a time.
+        The blocks of the group come first and are held (about ``GROUP_POINTS`` points). Then
+        ``meet(right, lefts)`` is called once for every block that is met, with the held blocks it
+        meets as ``(left, most)``; ``right`` is ``left`` where a block meets itself. ``rest()`` ends the
+        slice. A block held is the same object in all calls. ``pairs`` is a stored frame, as it is read twice.
         """
         blocks = self.blocks if blocks is None else blocks
-        empty = [F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in payload]
-        lefts = pairs.select("block").distinct().join(blocks, "block").select("block", F.lit(0).alias("turn"), *payload)
-        selves = pairs.where("block = block2").select("block", F.lit(1).alias("turn"), *empty)
-        points = blocks.select(F.col("block").alias("block2"), *payload)
-        rights = pairs.where("block <> block2").join(points, "block2").select("block", F.lit(2).alias("turn"), *payload)
-        rows = lefts.unionByName(selves).unionByName(rights).repartition("block").sortWithinPartitions("block", "turn")
+        part = F.pmod(F.xxhash64("block2"), F.lit(SLICES)).cast("int")
+        keyed = pairs.select("group", part.alias("slice"), "block", "block2", "most")
+        points = blocks.select("block", *payload)
+        none = F.lit(None).cast("array<struct<block:string,most:double>>")
+        lefts = keyed.select("group", "slice", "block").distinct().join(points, "block").select("group", "slice", F.lit(0).alias("turn"), none.alias("met"), "block", *payload)
+        met = keyed.groupBy("group", "slice", F.col("block2").alias("block")).agg(F.collect_list(F.struct("block", "most")).alias("met"))
+        rights = met.join(points, "block").select("group", "slice", F.lit(1).alias("turn"), "met", "block", *payload)
+        rows = lefts.unionByName(rights).repartition("group", "slice").sortWithinPartitions("group", "slice", "turn")
+        rows = rows.select("group", "slice", "turn", F.col("met.block").alias("met"), F.col("met.most").alias("most"), "block", *payload)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            left = None
+            key, held, job = None, {}, None
             for batch in batches:
                 for r in batch.itertuples(index=False):
+                    if (r.group, r.slice) != key:
+                        if job is not None:
+                            yield from job.rest()
+                        key, held, job = (r.group, r.slice), {}, work()
+                    block = _Block(r)
                     if r.turn == 0:
-                        left = r
-                    elif left is None or left.block != r.block:
-                        raise ValueError("a block's own row must come first")
+                        held[block.block] = block
                     else:
-                        yield work(left, left if r.turn == 1 else r)
+                        yield from job.meet(held.get(block.block, block), [(held[b], most) for b, most in zip(r.met, r.most, strict=True)])
+            if job is not None:
+                yield from job.rest()
 
         return rows.mapInPandas(run, schema)
 
 
+class _Block:
+    """A block's points in a task: name, ids, vectors, and what else the work asked for."""
+
+    def __init__(self, row):
+        self.block = row.block
+        self.reps, self.x = _points(row.reps, row.flat)
+        self.sizes = np.asarray(row.sizes, dtype=np.int64) if hasattr(row, "sizes") else None
+        if hasattr(row, "ids"):
+            # Own copies, so that no whole batch stays in memory behind a held block.
+            self.copies = np.array([len(ids) for ids in row.ids])
+            self.starts = np.cumsum(self.copies) - self.copies
+            self.ids = np.concatenate(row.ids).astype(np.int64)
+        if hasattr(row, "cores"):
+            pairs = [] if row.cores is None else list(zip(row.core_radius, row.cores, strict=True))
+            self.cores = {e: np.isin(self.reps, [c for at, c in pairs if at == e]) for e in {at for at, _ in pairs}}
+
+
 def _points(reps, flat) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.asarray(reps, dtype=np.int64)
-    return ids, np.asarray(flat, dtype=float).reshape(len(ids), -1)
-
-
-def _nearest(k: int) -> Callable:
-    """Work on a pair of blocks: the ``k + 1`` nearest points of the other block for every point, both ways."""
-
-    def one_way(reps: np.ndarray, x: np.ndarray, other, y: np.ndarray, rough: np.ndarray, error: np.ndarray) -> pd.DataFrame:
-        width = min(k + 1, len(y))
-        edge = np.partition(rough + error, width - 1, axis=1)[:, width - 1]
-        # Everything that may belong to the first ``width``, then exactly, ties by id.
-        q, j = np.nonzero(rough - error <= edge[:, None])
-        dist = _pair_distances(x, y, q, j)
-        copies = np.array([len(ids) for ids in other.ids])
-        q, dist, repeat = np.repeat(q, copies[j]), np.repeat(dist, copies[j]), j
-        dst = np.concatenate([other.ids[m] for m in repeat]).astype(np.int64)
+    ids = np.array(reps, dtype=np.int64)
+    return ids, np.array(flat, dtype=float).reshape(len(ids), -1)
+
+
+class _Nearest:
+    """Work on blocks: the ``k + 1`` nearest points met so far, once for every point of a block."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.best: dict[str, tuple] = {}
+
+    def _offer(self, own: _Block, best: tuple | None, other: _Block, rough: np.ndarray, error: np.ndarray) -> tuple:
+        """``best`` of ``own``'s points, with the points of ``other`` taken in: ``(q, dist, dst)``, at most ``k + 1`` a point."""
+        width, low = min(self.k + 1, len(other.reps)), rough - error
+        far = None
+        if best is not None and len(best[0]) == len(own.reps) * (self.k + 1):
+            # Lists are full and sorted: nothing beyond their last entries enters.
+            far = (best[1][self.k :: self.k + 1] ** 2 * (1 + 1e-9) + 1e-300)[:, None]
+        if far is None or np.count_nonzero(low <= far) > 4 * width * len(own.reps):
+            near = np.partition(rough + error, width - 1, axis=1)[:, width - 1][:, None]
+            far = near if far is None else np.minimum(near, far)
+        # Everything that may belong to the first ``k + 1``, then exactly, ties by id.
+        q, j = np.nonzero(low <= far)
+        dist = _pair_distances(own.x, other.x, q, j)
+        n = other.copies[j]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        q, dist, dst = np.repeat(q, n), np.repeat(dist, n), other.ids[np.repeat(other.starts[j], n) + place]
+        if best is not None:
+            q, dist, dst = np.concatenate([best[0], q]), np.concatenate([best[1], dist]), np.concatenate([best[2], dst])
         order = np.lexsort((dst, dist, q))
         q, dist, dst = q[order], dist[order], dst[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        keep = place <= k
-        return pd.DataFrame({"block": "", "rep": reps[q[keep]], "dst": dst[keep], "dist": dist[keep]})
+        keep = np.arange(len(q)) - np.searchsorted(q, q) <= self.k
+        return q[keep], dist[keep], dst[keep]
 
-    def work(left, right) -> pd.DataFrame:
-        a, x = _points(left.reps, left.flat)
-        b, y = _points(right.reps, right.flat)
-        rough, error = _rough_squares(x, y)
-        found = one_way(a, x, right, y, rough, error).assign(block=left.block)
-        if right is left:
-            return found
-        return pd.concat([found, one_way(b, y, left, x, rough.T, error.T)])
+    @staticmethod
+    def _frame(name: str, reps: np.ndarray, best: tuple) -> pd.DataFrame:
+        return pd.DataFrame({"block": name, "rep": reps[best[0]], "dst": best[2], "dist": best[1]})
 
-    return work
+    def meet(self, right: _Block, lefts: list) -> Iterator[pd.DataFrame]:
+        mine = None
+        for left, _ in lefts:
+            rough, error = _rough_squares(left.x, right.x)
+            held = self.best.get(left.block)
+            self.best[left.block] = (left.reps, self._offer(left, held and held[1], right, rough, error))
+            if left is not right:
+                mine = self._offer(right, mine, left, rough.T, error.T)
+        if mine is not None:
+            yield self._frame(right.block, right.reps, mine)
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        for name, (reps, best) in self.best.items():
+            yield self._frame(name, reps, best)
 
 
 def knn_graph(df: DataFrame, row_id: str, vec: str, k: int = 10, seed: int = 42) -> DataFrame:
@@ -330,15 +409,15 @@ def _knn_lists(df: DataFrame, row_id: str, vec: str, k: int, seed: int) -> tuple
     """``(rep, near)`` with the ``k + 1`` nearest of every point, the layout, and the pairs of blocks met."""
     layout = _Layout(df, row_id, vec, k + 1, seed)
     payload, schema = ["reps", "ids", "flat"], "block string, rep long, dst long, dist double"
-    # ``cost`` and ``most`` play no part in a block's search of itself.
-    selves = layout.blocks.select("block", F.col("block").alias("block2"))
-    home = layout.meet(selves, payload, _nearest(k), schema).checkpoint()
+    # ``most`` plays no part in the search.
+    selves = layout.blocks.select("block", F.col("block").alias("block2"), "group", F.lit(0.0).alias("most"))
+    home = layout.meet(selves, payload, partial(_Nearest, k), schema).checkpoint()
     last = home.groupBy("block", "rep").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("last"))
     enough = F.when(F.col("n") > k, F.col("last")).otherwise(F.lit(float("inf")))
     reach = last.groupBy("block").agg(F.max(enough).alias("reach"))
     pairs = layout.pairs_within(_knn_bounds(layout, k), reach)
     away = pairs.where("block <> block2")
-    found = home if away.isEmpty() else home.unionByName(layout.meet(away, payload, _nearest(k), schema))
+    found = home if away.isEmpty() else home.unionByName(layout.meet(away, payload, partial(_Nearest, k), schema))
     order = Window.partitionBy("rep").orderBy("dist", "dst")
     top = found.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1)
     lists = top.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("near"))
@@ -371,6 +450,24 @@ def _knn_bounds(layout: _Layout, k: int) -> np.ndarray:
     return bounds
 
 
+class _Close:
+    """Work on blocks: every pair of different points within ``eps``, both ways."""
+
+    def __init__(self, eps: float):
+        self.eps = eps
+
+    def meet(self, right: _Block, lefts: list) -> Iterator[pd.DataFrame]:
+        for left, _ in lefts:
+            near = within(left.x, right.x, self.eps) & (left.reps[:, None] < right.reps[None, :] if right is left else True)
+            i, j = np.nonzero(near)
+            found = {"src": left.reps[i], "dst": right.reps[j], "dist": _pair_distances(left.x, right.x, i, j)}
+            one = pd.DataFrame({**found, "src_rows": left.sizes[i], "dst_rows": right.sizes[j]})
+            yield pd.concat([one, one.set_axis(["dst", "src", "dist", "dst_rows", "src_rows"], axis=1)])
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        yield from ()
+
+
 def range_neighbors(df: DataFrame, row_id: str, vec: str, eps: float, seed: int = 42) -> DataFrame:
     """Pairs of different vectors within ``eps``: ``(src, dst, dist, src_rows, dst_rows)``.
 
@@ -380,14 +477,5 @@ def range_neighbors(df: DataFrame, row_id: str, vec: str, eps: float, seed: int
     layout = _Layout(df, row_id, vec, seed=seed)
     pairs = layout.pairs_within(np.full(len(layout.pivots), float(eps)))
 
-    def close(left, right) -> pd.DataFrame:
-        a, x = _points(left.reps, left.flat)
-        b, y = _points(right.reps, right.flat)
-        near = within(x, y, eps) & (a[:, None] < b[None, :] if right is left else True)
-        i, j = np.nonzero(near)
-        n, m, dist = np.asarray(left.sizes)[i], np.asarray(right.sizes)[j], _pair_distances(x, y, i, j)
-        one = pd.DataFrame({"src": a[i], "dst": b[j], "dist": dist, "src_rows": n, "dst_rows": m})
-        return pd.concat([one, one.set_axis(["dst", "src", "dist", "dst_rows", "src_rows"], axis=1)])
-
     schema = "src long, dst long, dist double, src_rows long, dst_rows long"
-    return layout.meet(pairs, ["reps", "flat", "sizes"], close, schema)
+    return layout.meet(pairs, ["reps", "flat", "sizes"], partial(_Close, float(eps)), schema)

@@ -368,3 +368,46 @@ def test_ward_centres_count_every_row_of_a_repeated_id(spark):
         df = spark.createDataFrame(given, "id long, vec array<double>").coalesce(1)
         tree = K.ward_knn(df, "id", "vec", 1, edges=links, local_clusters=4).info["tree"]
         assert tree.orderBy(F.desc("cost")).first()["cost"] == pytest.approx(4 * 1 / 5 * 2.75**2)
+
+
+# --- groups of blocks ---------------------------------------------------------------
+
+
+def test_a_block_is_sent_once_a_group_and_not_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "GROUPS", 4)
+    x = np.random.default_rng(8).normal(0, 1, (600, 3))
+    layout = N._Layout(_frame(spark, x), "id", "vec")
+    pairs = layout.pairs_within(np.full(len(layout.pivots), 100.0))  # every block meets every other
+
+    class Calls:
+        def meet(self, right, lefts):
+            yield pd.DataFrame({"block": [right.block], "pairs": [len(lefts)], "held": [len({left.block for left, _ in lefts})]})
+
+        def rest(self):
+            yield from ()
+
+    seen = layout.meet(pairs, ["reps", "flat"], Calls, "block string, pairs long, held long").toPandas()
+    blocks = layout.blocks.count()
+    assert blocks > 60 and seen["pairs"].sum() == pairs.count() == blocks * (blocks + 1) // 2
+    # One call for each group that a block meets as the second one: its own and, over all blocks, half of the others.
+    assert seen.groupby("block").size().max() <= 5 and len(seen) <= blocks * 3.5
+
+
+def test_links_of_many_radii_are_those_of_each(spark, points, small_blocks):
+    radii = [0.45, 0.25, 3.0]
+    layout = N._Layout(_frame(spark, points), "id", "vec")
+    links, _ = K._density_links(layout, radii, 5)
+    for e, eps in enumerate(radii):
+        found = K._density_labels(_frame(spark, points), "id", "vec", layout, links.where(F.col("e") == e)).collect()
+        got = {r["id"]: r["label"] for r in found}
+        assert [got[i] for i in range(len(points))] == _dbscan_brute(points, eps, 5).tolist()
+
+
+def test_links_of_core_points_do_not_grow_with_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "GROUPS", 2)
+    x = np.random.default_rng(9).normal(0, 1, (800, 3))
+    layout = N._Layout(_frame(spark, x), "id", "vec")
+    links, pairs = K._density_links(layout, [2.5], 5)
+    assert pairs.count() > 2_000 and links.where("core").count() < 10 * len(x)
