@@ -15,6 +15,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from cohortry.operators.batched_models import Blocks, assign, cheapest, lloyd, mixtures, silhouettes
 from cohortry.operators.evaluation import NOISE, silhouette, squared_distance
 from cohortry.operators.neighbors import _Block, _Layout, _rough_squares, knn_graph, settled_within
-from cohortry.operators.relational import bounded_sample, join_heavy, mode_of
+from cohortry.operators.relational import bounded_sample, join_heavy
 from cohortry.sources.tables import settle
 
 # The sweeps of the analysis.
@@ -60,6 +61,21 @@ def _score(rows: DataFrame, labels: DataFrame, row_id: str) -> float | None:
     return silhouette(rows.select(row_id, "vec").join(labels, row_id), "vec", "label", row_id).first()[0]
 
 
+def at_once(work: Callable, items: Iterable, spark: SparkSession, parallelism: int = PARALLEL_FITS) -> list:
+    """``work`` of every item, up to ``parallelism`` at the same time; the results in the order of the items."""
+    items = list(items)
+    if parallelism < 2 or len(items) < 2:
+        return [work(i) for i in items]
+
+    def run(item):
+        # A thread of its own may know another session, or none.
+        spark._jvm.SparkSession.setActiveSession(spark._jsparkSession)
+        return work(item)
+
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(spark)(run), items, chunksize=1)
+
+
 def sweep(
     fit: Callable[[float], dict],
     parameters: Iterable,
@@ -73,11 +89,7 @@ def sweep(
     one fit's job overhead is another's run time.
     """
     parameters = list(parameters)
-    if parallelism > 1:
-        with ThreadPool(min(parallelism, max(1, len(parameters)))) as pool:
-            tried = pool.map(inheritable_thread_target(SparkSession.active())(fit), parameters, chunksize=1)
-    else:
-        tried = [fit(p) for p in parameters]
+    tried = at_once(fit, parameters, SparkSession.active(), parallelism)
     sign = 1 if highest else -1
     scored = [t for t in tried if t[key] is not None]
     best = max(scored, key=lambda t: sign * t[key]) if scored else tried[0]
@@ -208,16 +220,58 @@ def _hashed_start(rows: DataFrame, row_id: str, numeric: Sequence[str], categori
     return bounded_sample(rows.dropDuplicates([*numeric, *categorical]), k, row_id, seed=seed).collect()
 
 
-def _huang_start(
-    rows: DataFrame, row_id: str, numeric: Sequence[str], categorical: Sequence[str], k: int, gamma: float, seed: int
-) -> list:
-    """Modes spread over the frequent categories, each replaced by the row nearest to it (Huang 1998).
+class _MixedBlocks:
+    """Rows in packed blocks, kept for several scans: numbers by column, categories as places in the block's own words."""
+
+    def __init__(self, rows: DataFrame, row_id: str, numeric: Sequence[str], categorical: Sequence[str]):
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    ids, *columns = batch.columns
+                    flat = [c.to_numpy(zero_copy_only=False) for c in columns[: len(numeric)]]
+                    coded = [c.dictionary_encode() for c in columns[len(numeric) :]]
+                    codes = [c.indices.fill_null(len(c.dictionary)).to_numpy() for c in coded]
+                    words = [[*c.dictionary.to_pylist(), None] for c in coded]
+                    held = [
+                        pa.ListArray.from_arrays([0, len(ids)], ids),
+                        pa.array([np.array(flat, dtype=np.float64).tobytes()], pa.binary()),
+                        pa.array([np.array(codes, dtype=np.int32).tobytes()], pa.binary()),
+                        pa.array([words], pa.list_(pa.list_(pa.string()))),
+                    ]
+                    yield pa.RecordBatch.from_arrays(held, names=["ids", "flat", "codes", "words"])
+
+        self.id_type = rows.schema[row_id].dataType.simpleString()
+        schema = f"ids array<{self.id_type}>, flat binary, codes binary, words array<array<string>>"
+        self.frame = rows.select(row_id, *numeric, *categorical).mapInArrow(pack, schema).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def scan(self, work: Callable, schema: str) -> DataFrame:
+        """One scan; ``work`` turns a block's ids, numbers, codes and words into the columns of rows."""
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    ids, flat, codes, words = (batch.column(c)[r] for c in ("ids", "flat", "codes", "words"))
+                    n = len(ids)
+                    numbers = np.frombuffer(flat.as_py()).reshape(-1, n)
+                    places = np.frombuffer(codes.as_py(), dtype=np.int32).reshape(-1, n)
+                    yield pa.RecordBatch.from_arrays(work(ids.values, numbers, places, words.as_py()), names=names)
+
+        return self.frame.mapInArrow(run, schema)
+
+
+def _mixed_costs(numbers: np.ndarray, codes: np.ndarray, words: list, centre: tuple, gamma: float, n: int) -> np.ndarray:
+    """What ``_mixed_cost`` gives for the rows of a block, added up in the same order."""
+    total = np.zeros(n)
+    for x, v in zip(numbers, centre[0].values(), strict=True):
+        total += (x - v) * (x - v)
+    for places, known, v in zip(codes, words, centre[1].values(), strict=True):
+        total += np.where(places == known.index(v), 0.0, gamma) if v in known else gamma
+    return total
 
-    Column c's categories, most frequent first, go round the modes with an offset of c, so
-    that modes differ in several columns at once. The numbers of a mode are drawn around the
-    columns' means. Rows are different from each other: a mode whose nearest row is taken
-    gets the nearest of the others. Each scan keeps one row a mode.
-    """
+
+def _frequent(rows: DataFrame, categorical: Sequence[str], k: int) -> dict[str, list]:
+    """Every column's ``k`` most frequent categories, the most frequent first."""
     frequent: dict[str, list] = {c: [] for c in categorical}
     if categorical:
         pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("value")) for c in categorical]))
@@ -226,32 +280,179 @@ def _huang_start(
         top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
         for r in top.orderBy("variable", "r").collect():
             frequent[r["variable"]].append(r["value"])
-    moments = rows.agg(*[F.avg(c) for c in numeric], *[F.stddev_pop(c) for c in numeric]).first() if numeric else []
-    draws = np.random.default_rng(seed).standard_normal((k, len(numeric)))
-    wanted = []
-    for j in range(k):
-        nums = {c: (moments[i] or 0.0) + (moments[len(numeric) + i] or 0.0) * float(draws[j, i]) for i, c in enumerate(numeric)}
-        cats = {c: frequent[c][(j + i) % len(frequent[c])] if frequent[c] else None for i, c in enumerate(categorical)}
-        wanted.append((nums, cats))
-    columns = [*numeric, *categorical]
-    found: dict[int, Row] = {}
-    while len(found) < k:
-        left = rows
-        for r in found.values():
-            same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(r[c])) for c in columns])
-            left = left.where(~same)
-        missing = [j for j in range(k) if j not in found]
-        nearest = [F.min_by(F.struct(*columns), F.struct(_mixed_cost(*wanted[j], gamma), row_id)).alias(f"m{j}") for j in missing]
-        best = left.agg(*nearest).first()
-        taken: set = set()
-        for j in missing:
-            row = best[f"m{j}"]
-            if row is None:  # no different rows left
-                return list(found.values())
-            if tuple(row) not in taken:
-                taken.add(tuple(row))
-                found[j] = row
-    return [found[j] for j in range(k)]
+    return frequent
+
+
+def _huang_starts(
+    rows: DataFrame, blocks: _MixedBlocks, numeric: Sequence[str], categorical: Sequence[str], ks: Sequence[int],
+    moments: Sequence, gamma: float, seed: int,
+) -> list[list[tuple[dict, dict]]]:
+    """Per k: modes spread over the frequent categories, each replaced by the row nearest to it (Huang 1998).
+
+    Column c's categories, most frequent first, go round the modes with an offset of c, so
+    that modes differ in several columns at once. The numbers of a mode are drawn around the
+    columns' means. Rows are different from each other: a mode whose nearest row is taken
+    gets the nearest of the others. Each scan serves all k and keeps one row a mode.
+    """
+    frequent = _frequent(rows, categorical, max(ks, default=0))
+    wanted: list[list[tuple[dict, dict]]] = []
+    for k in ks:
+        draws = np.random.default_rng(seed).standard_normal((k, len(numeric)))
+        wanted.append([])
+        for j in range(k):
+            nums = {c: (moments[i] or 0.0) + (moments[len(numeric) + i] or 0.0) * float(draws[j, i]) for i, c in enumerate(numeric)}
+            tops = {c: frequent[c][:k] for c in categorical}
+            cats = {c: tops[c][(j + i) % len(tops[c])] if tops[c] else None for i, c in enumerate(categorical)}
+            wanted[-1].append((nums, cats))
+    found: list[dict[int, tuple[dict, dict]]] = [{} for _ in ks]
+    open_models = {m for m, k in enumerate(ks) if k > 0}
+    while open_models:
+        missing = [(m, j) for m in sorted(open_models) for j in range(ks[m]) if j not in found[m]]
+        best = {(r["m"], r["j"]): r["row"] for r in _nearest_rows(blocks, missing, wanted, found, gamma).collect()}
+        for m in sorted(open_models):
+            taken: set = set()
+            for j in [j for o, j in missing if o == m]:
+                if (m, j) not in best:  # no different rows left
+                    open_models.discard(m)
+                    break
+                nums, cats = (tuple(x) for x in best[m, j])
+                if (nums, cats) not in taken:
+                    taken.add((nums, cats))
+                    found[m][j] = (dict(zip(numeric, nums, strict=True)), dict(zip(categorical, cats, strict=True)))
+            if len(found[m]) == ks[m]:
+                open_models.discard(m)
+    return [[one[j] for j in sorted(one)] for one in found]
+
+
+def _nearest_rows(blocks: _MixedBlocks, missing: list, wanted: list, found: list, gamma: float) -> DataFrame:
+    """``(m, j, row)``: for every missing mode j of a model m the nearest row unlike those the model has, the smallest id on ties."""
+
+    def work(ids: pa.Array, numbers: np.ndarray, codes: np.ndarray, words: list) -> list[pa.Array]:
+        n, out = len(ids), []
+        free = {}
+        for m in {m for m, _ in missing}:
+            free[m] = np.ones(n, dtype=bool)
+            for nums, cats in found[m].values():
+                same = np.ones(n, dtype=bool)
+                for x, v in zip(numbers, nums.values(), strict=True):
+                    same &= (x == v) | (np.isnan(x) & np.isnan(v))
+                for places, known, v in zip(codes, words, cats.values(), strict=True):
+                    same &= (places == known.index(v)) if v in known else False
+                free[m] &= ~same
+        for m, j in missing:
+            left = np.flatnonzero(free[m])
+            if len(left):
+                cost = _mixed_costs(numbers, codes, words, wanted[m][j], gamma, n)[left]
+                cost = np.where(np.isnan(cost), np.inf, cost)
+                ties = left[cost == cost.min()]
+                _, i = min(zip(ids.take(pa.array(ties)).to_pylist(), ties.tolist(), strict=True), key=lambda t: (t[0] is not None, t[0]))
+                out.append((m, j, float(cost.min()), i, numbers[:, i], [known[p[i]] for p, known in zip(codes, words, strict=True)]))
+        return [
+            *[pa.array([r[c] for r in out], t) for c, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.float64()))],
+            ids.take(pa.array([r[3] for r in out], pa.int64())),
+            pa.array([r[4] for r in out], pa.list_(pa.float64())),
+            pa.array([r[5] for r in out], pa.list_(pa.string())),
+        ]
+
+    rows = blocks.scan(work, f"m int, j int, cost double, id {blocks.id_type}, nums array<double>, cats array<string>")
+    return rows.groupBy("m", "j").agg(F.min_by(F.struct("nums", "cats"), F.struct("cost", "id")).alias("row"))
+
+
+def _mixed_totals(blocks: _MixedBlocks, models: dict[int, list], gamma: float) -> dict[tuple, Row]:
+    """One scan for all models: per model, label and column the sum, or the most frequent category (the smallest on ties).
+
+    Columns -1 and -2 are cost and rows, the numbers go on from -3, the categories up from 0.
+    """
+
+    def work(ids: pa.Array, numbers: np.ndarray, codes: np.ndarray, words: list) -> list[pa.Array]:
+        n = len(ids)
+        keys, sums, values = [], [], []
+        for m, centres in models.items():
+            costs = np.array([_mixed_costs(numbers, codes, words, c, gamma, n) for c in centres])
+            own = np.where(np.isnan(costs), np.inf, costs).argmin(axis=0)
+            k = len(centres)
+            for at, x in enumerate([costs[own, np.arange(n)], np.ones(n), *numbers]):
+                total = np.bincount(own, weights=x, minlength=k)
+                seen = np.unique(own)
+                keys.append(np.stack([np.full(len(seen), m), seen, np.full(len(seen), -1 - at)]))
+                sums.append(total[seen])
+                values += [None] * len(seen)
+            for at, (places, known) in enumerate(zip(codes, words, strict=True)):
+                counts = np.bincount(own * len(known) + places, minlength=k * len(known)).reshape(k, -1)[:, :-1]
+                label, place = np.nonzero(counts)
+                keys.append(np.stack([np.full(len(label), m), label, np.full(len(label), at)]))
+                sums.append(counts[label, place].astype(float))
+                values += [known[w] for w in place.tolist()]
+        key = np.concatenate(keys, axis=1).astype(np.int32)
+        return [*[pa.array(x) for x in key], pa.array(values, pa.string()), pa.array(np.concatenate(sums))]
+
+    parts = blocks.scan(work, "m int, label int, at int, value string, s double")
+    counted = parts.groupBy("m", "label", "at", "value").agg(F.sum("s").alias("s"))
+    best = F.min_by("value", F.struct(-F.col("s"), F.col("value")))
+    # One row a model, label and column.
+    found = counted.groupBy("m", "label", "at").agg(best.alias("mode"), F.sum("s").alias("s")).collect()
+    return {(r["m"], r["label"], r["at"]): r for r in found}
+
+
+def _kprototypes(
+    df: DataFrame, row_id: str, numeric: Sequence[str], categorical: Sequence[str], ks: Sequence[int],
+    gamma: float | None, seed: int, max_iter: int, start: str,
+) -> list[Fit | None]:
+    """A fit per k, None where there are fewer different rows; all advance together, one scan an iteration."""
+    rows = df.select(
+        row_id,
+        *[F.col(c).cast("double").alias(c) for c in numeric],
+        *[F.col(c).cast("string").alias(c) for c in categorical],
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    unknown = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in numeric], F.lit(False))
+    moments = rows.agg(*[F.avg(c) for c in numeric], *[F.stddev_pop(c) for c in numeric], F.count(F.when(unknown, 1))).first()
+    if gamma is None:
+        gamma = 0.5 * float(np.mean([s or 0.0 for s in moments[len(numeric) : -1]]))
+    blocks = _MixedBlocks(rows, row_id, numeric, categorical)
+    if start == "huang":
+        begun = _huang_starts(rows, blocks, numeric, categorical, ks, moments, gamma, seed)
+    else:
+        begun = [
+            [({c: r[c] for c in numeric}, {c: r[c] for c in categorical}) for r in _hashed_start(rows, row_id, numeric, categorical, k, seed)]
+            for k in ks
+        ]
+    models = {m: centres for m, centres in enumerate(begun) if len(centres) >= ks[m]}
+    if models and moments[-1]:
+        raise TypeError("a number is null")
+    cost, trace = dict.fromkeys(models, math.inf), {m: [] for m in models}
+    moving = set(models)
+    for step in range(max_iter + 1):
+        if not moving:
+            break
+        found = _mixed_totals(blocks, {m: models[m] for m in sorted(moving)}, gamma)
+        for m in sorted(moving):
+            used = [j for j in range(len(models[m])) if (m, j, -1) in found]
+            now = sum(found[m, j, -1]["s"] for j in used)
+            trace[m].append(now)
+            # The last scan of a model only adds up its cost.
+            if step == max_iter or now >= cost[m] - 1e-12 * max(1.0, abs(now)):
+                if step < max_iter:
+                    trace[m].append(now)
+                moving.discard(m)
+            else:
+                models[m] = [
+                    (
+                        {c: found[m, j, -3 - i]["s"] / found[m, j, -2]["s"] if j in used else nums[c] for i, c in enumerate(numeric)},
+                        {c: found[m, j, i]["mode"] if (m, j, i) in found else cats[c] for i, c in enumerate(categorical)},
+                    )
+                    for j, (nums, cats) in enumerate(models[m])
+                ]
+            cost[m] = now
+    blocks.frame.unpersist()
+    rows.unpersist()
+
+    def fit(m: int) -> Fit:
+        prices = F.array(*[_mixed_cost(*c, gamma) for c in models[m]])
+        label = F.array_position(prices, F.array_min(prices)).cast("int") - 1
+        info = {"cost": float(cost[m]), "gamma": gamma, "centres": models[m], "trace": trace[m]}
+        return Fit(rows.select(row_id, label.alias("label")), ks[m], info=info)
+
+    return [fit(m) if m in models else None for m in range(len(ks))]
 
 
 def kprototypes(
@@ -267,57 +468,15 @@ def kprototypes(
 ) -> Fit:
     """k-prototypes: squared distance on numeric plus ``gamma`` per differing category.
 
-    Centres are ``k`` rows held as literals; assignment is a column expression and the
-    update two aggregates. ``gamma`` defaults to half the mean standard deviation of the
-    numeric columns. ``start`` is ``huang`` (frequent categories) or ``hashed`` (any rows).
-    ``info`` has the cost, its course and the centres.
+    The driver holds the ``k`` centres; an iteration is one scan of packed rows. ``gamma``
+    defaults to half the mean standard deviation of the numeric columns. ``start`` is
+    ``huang`` (frequent categories) or ``hashed`` (any rows). ``info`` has the cost, its
+    course and the centres.
     """
-    rows = df.select(
-        row_id,
-        *[F.col(c).cast("double").alias(c) for c in numeric],
-        *[F.col(c).cast("string").alias(c) for c in categorical],
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    if gamma is None:
-        spread = rows.agg(*[F.stddev_pop(c) for c in numeric]).first()
-        gamma = 0.5 * float(np.mean([s or 0.0 for s in spread]))
-    if start == "huang":
-        begun = _huang_start(rows, row_id, numeric, categorical, k, gamma, seed)
-    else:
-        begun = _hashed_start(rows, row_id, numeric, categorical, k, seed)
-    centres = [({c: r[c] for c in numeric}, {c: r[c] for c in categorical}) for r in begun]
-    if len(centres) < k:
-        rows.unpersist()
+    fit = _kprototypes(df, row_id, numeric, categorical, [k], gamma, seed, max_iter, start)[0]
+    if fit is None:
         raise ValueError(f"fewer than {k} different rows")
-
-    def assigned(placed_rows: DataFrame) -> DataFrame:
-        found = [_mixed_cost(*c, gamma) for c in centres]
-        least = F.array_min(F.array(*found))
-        return placed_rows.withColumns({"label": F.array_position(F.array(*found), least).cast("int") - 1, "__cost": least})
-
-    cost, trace = math.inf, []
-    for _ in range(max_iter):
-        placed = assigned(rows)
-        means = placed.groupBy("label").agg(F.sum("__cost").alias("__cost"), *[F.avg(c).alias(c) for c in numeric])
-        stats = {r["label"]: r for r in means.collect()}
-        now = sum(r["__cost"] for r in stats.values())
-        trace.append(now)
-        if now >= cost - 1e-12 * max(1.0, abs(now)):
-            break
-        cost = now
-        modes: dict[tuple, str] = {}
-        if categorical:
-            modes = {(r["label"], r["variable"]): r["mode"] for r in mode_of(placed, categorical, ["label"]).collect()}
-        centres = [
-            (
-                {c: stats[j][c] if j in stats else nums[c] for c in numeric},
-                {c: modes.get((j, c), cats[c]) for c in categorical},
-            )
-            for j, (nums, cats) in enumerate(centres)
-        ]
-    cost = float(assigned(rows).agg(F.sum("__cost")).first()[0])
-    rows.unpersist()
-    final = assigned(rows).select(row_id, "label")
-    return Fit(final, k, info={"cost": cost, "gamma": gamma, "centres": centres, "trace": [*trace, cost]})
+    return fit
 
 
 def kprototypes_sweep(
@@ -329,19 +488,17 @@ def kprototypes_sweep(
     gamma: float | None = None,
     seed: int = 42,
 ) -> Fit:
-    """k-prototypes for every k; the lowest cost wins. A k that cannot be fitted has no cost."""
+    """k-prototypes for every k; the lowest cost wins. A k that cannot be fitted has no cost.
 
-    def one(k: int) -> dict:
-        try:
-            fit = kprototypes(df, row_id, numeric, categorical, k, gamma, seed)
-        except ValueError:
-            return {"k": k, "cost": None, "labels": None}
-        return {"k": k, "cost": fit.info["cost"], "labels": fit}
-
-    best, scores = sweep(one, ks, "cost", highest=False)
-    if best["labels"] is None:
+    All k advance together, one scan an iteration.
+    """
+    ks = list(ks)
+    fits = _kprototypes(df, row_id, numeric, categorical, ks, gamma, seed, 20, "huang")
+    tried = [{"k": k, "cost": None if f is None else f.info["cost"], "model": f} for k, f in zip(ks, fits, strict=True)]
+    best, scores = _choice(tried, "cost", highest=False)
+    if best["model"] is None:
         return Fit(None, best["k"], scores)
-    return Fit(best["labels"].labels, best["k"], scores, best["labels"].info)
+    return Fit(best["model"].labels, best["k"], scores, best["model"].info)
 
 
 # --- graphs ---------------------------------------------------------------
@@ -692,10 +849,12 @@ def ward_knn(
         priced = links.join(one, "a").join(two, "b").select(
             "a", "b", _ward_cost(F.col("na"), F.col("nb"), squared_distance("ca", "cb")).alias("cost")
         )
-        both = priced.union(priced.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost"))
-        cheapest = both.groupBy("a").agg(F.min(F.struct("cost", "b")).alias("m")).select("a", "m.b", "m.cost")
-        back = cheapest.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        merges = settle(cheapest.where("a < b").join(back, ["a", "b"]).select("a", "b", "cost"))
+        sides = F.array(F.struct("a", "b", "cost"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cost"))
+        cheapest = priced.select(F.inline(sides)).groupBy("a").agg(F.min(F.struct("cost", "b")).alias("m")).select("a", "m.b", "m.cost")
+        # A pair that both sides chose is there twice, with the same cost.
+        chosen = cheapest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        mutual = chosen.agg(F.min("cost").alias("cost"), F.count(F.lit(1)).alias("n")).where("n = 2")
+        merges = settle(mutual.select("a", "b", "cost"))
         merged = merges.count()
         if merged == 0:
             # No links left between the parts: connect them by the centroids' neighbours.
@@ -714,12 +873,13 @@ def ward_knn(
             F.transform(F.col("p")[0]["centre"], lambda x: x * F.col("p")[0]["n"]),
             lambda acc, q: F.zip_with(acc, q["centre"], lambda x, y: x + y * q["n"]),
         )
-        clusters = settle(pair.select("id", "n", F.transform(weighted, lambda x: x / F.col("n")).alias("centre")))
+        joined = pair.select("id", "n", F.transform(weighted, lambda x: x / F.col("n")).alias("centre"))
         ends = links
         for side in ("a", "b"):
             renamed = into.toDF(side, "__t")
             ends = ends.join(renamed, side, "left").withColumn(side, F.coalesce("__t", side)).drop("__t")
-        links = settle(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+        ends = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        clusters, links = at_once(settle, [joined, ends], spark)
     if left > 1:
         rest = _finish_locally(clusters.collect(), links.collect())
         done.append(spark.createDataFrame(rest, merge_schema))

@@ -12,6 +12,7 @@ from cohortry.operators.clustering import (
     CLUSTER_COUNTS,
     EPS_VALUES,
     Fit,
+    at_once,
     dbscan_sweep,
     gmm_sweep,
     kmeans_sweep,
@@ -85,24 +86,32 @@ def run_clustering(df: DataFrame, spec: ClusteringSpec | None = None) -> Cluster
             lambda: ward_knn(vectors, spec.row_id, "vec", spec.ward_clusters, spec.k_nn, seed=seed),
         ),
     }
-    result = ClusteringResult(comparison=None)
-    scores = []
-    for method in spec.methods:
+
+    def one(method: str) -> tuple:
+        """Name, fit, scores, profile and map; None for what there is not."""
         name, fit_it = runs[method]
         fit = fit_it()
-        result.fits[name] = fit
         if fit.labels is None:
-            continue
+            return name, fit, None, None, None
         labels = fit.labels = fit.labels.checkpoint()
         scored = evaluate(vectors.join(labels, spec.row_id), "vec", "label", spec.row_id, name)
-        scores.append(scored)
         if scored.isEmpty():
-            continue
+            return name, fit, scored, None, None
         labelled = clean.join(labels, spec.row_id)
-        result.profiles[name] = cluster_profile(
+        profile = cluster_profile(
             labelled, "label", spec.numeric, [*spec.labels, *spec.flags], ["race_name", "gender_name"]
         )
-        result.maps[name] = cluster_map(labelled, "label", list(spec.numeric), spec.row_id)
+        return name, fit, scored, profile, cluster_map(labelled, "label", list(spec.numeric), spec.row_id)
+
+    result = ClusteringResult(comparison=None)
+    scores = []
+    # Most of a method's time is that of many short jobs, so the methods run beside each other.
+    for name, fit, scored, profile, mapped in at_once(one, spec.methods, df.sparkSession, len(spec.methods)):
+        result.fits[name] = fit
+        if scored is not None:
+            scores.append(scored)
+        if profile is not None:
+            result.profiles[name], result.maps[name] = profile, mapped
     result.comparison = compare_algorithms(scores, df.sparkSession)
     vectors.unpersist()
     clean.unpersist()

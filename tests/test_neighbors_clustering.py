@@ -178,6 +178,49 @@ def test_kprototypes(spark):
     assert all(len({got[i] for i in range(s, s + 30)}) == 1 for s in (0, 30, 60))
 
 
+def test_kprototypes_sweep_advances_all_k_together(spark):
+    """The fits are those of every k by itself, and six of them start no more than twice the jobs of one."""
+    rng = np.random.default_rng(1)
+    rows = [
+        (i, float(rng.integers(0, 12)), float(rng.integers(20, 60)), None if i % 13 == 0 else "abcde"[int(rng.integers(0, 5))], "xyz"[int(rng.integers(0, 3))])
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(rows, "id long, n double, m double, c string, d string").repartition(3)
+    tracker = spark.sparkContext.statusTracker()
+
+    def counted(group: str, work):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            return work(), len(tracker.getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+
+    alone = [counted(f"alone-{k}", lambda k=k: K.kprototypes(df, "id", ["n", "m"], ["c", "d"], k)) for k in range(2, 8)]
+    fit, jobs = counted("sweep", lambda: K.kprototypes_sweep(df, "id", ["n", "m"], ["c", "d"], range(2, 8)))
+    assert [s["cost"] for s in fit.scores] == pytest.approx([f.info["cost"] for f, _ in alone])
+    assert jobs <= 2 * max(n for _, n in alone)
+
+
+def test_kprototypes_ends_with_plain_python_s_steps(spark):
+    """Costs of every step, with an unknown category and repeated ids, against a loop over rows."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 90), float(rng.integers(0, 9)), "ab"[int(rng.integers(0, 2))] if i % 7 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, n double, c string").repartition(4)
+    fit = K.kprototypes(df, "id", ["n"], ["c"], 3, gamma=2.0)
+    begun = K.kprototypes(df, "id", ["n"], ["c"], 3, gamma=2.0, max_iter=0).info["centres"]
+    centres, trace = [(n["n"], c["c"]) for n, c in begun], []
+    while len(trace) < 2 or trace[-1] < trace[-2] - 1e-12:
+        prices = [[(x - n) ** 2 + (2.0 if c != w else 0.0) for n, w in centres] for _, x, c in rows]
+        own = [p.index(min(p)) for p in prices]
+        trace.append(sum(map(min, prices)))
+        for j in range(3):
+            mine = [r for r, o in zip(rows, own) if o == j]
+            words = [c for _, _, c in mine if c is not None]
+            centres[j] = (np.mean([x for _, x, _ in mine]), max(sorted(set(words)), key=words.count) if words else centres[j][1])
+    assert fit.info["trace"] == pytest.approx([*trace, trace[-1]])
+    assert fit.labels.count() == 120
+
+
 def test_silhouette_forms(spark):
     x = np.array([[0.0], [1.0], [10.0], [12.0], [30.0]])
     label = [0, 0, 1, 1, 2]
