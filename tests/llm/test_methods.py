@@ -497,3 +497,42 @@ def test_licenses_wherever_lines_break(spark):
     assert found[1] == ("MIT-text", 1, 1.0) and found[3] == ("GPL-3.0", 1, 1.0) and found[4] == ("CC-BY-4.0,MIT", 2, 1.0)
     assert "Apache-2.0-notice" in found[2][0].split(",") and found[2][2] == 1.0
     assert found[5] == ("MIT", 1, 1.0) and found[6] == ("", 0, 0.0) and found[7] == ("GPL-2.0", 2, 1.0)
+
+
+def test_words_are_cut_as_the_library_cuts_them(monkeypatch):
+    # Every Latin-1 character, apostrophes beside words and marks, and texts cut into pieces at white space.
+    from tokenizers import Tokenizer
+
+    from cohortry.llm import tokens
+
+    path = vocabulary("word_bpe_49k.json")
+    rng = np.random.default_rng(3)
+    usual = list("abcstremvldn''''  \n\t.,!?019²½éßÀÿ×÷ÇX")
+    pool = [[chr(x) for x in range(1, 256)], usual, usual]
+    texts = ["".join(rng.choice(pool[i % 3], rng.integers(0, 60))) for i in range(1_500)]
+    texts += ["", " ", "'", "''s", "don't x'store ,'s", "<|endoftext|> a", "A<|ENDOFTEXT|>", "日本 a", None, "ab " * 50]
+    library = Tokenizer.from_file(path)
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for size in (tokens.CUT_BYTES, 40):
+        monkeypatch.setattr(tokens, "CUT_BYTES", size)
+        assert [x.tolist() for x in Encoder(path, end=2).encode(texts)] == want
+
+
+def test_a_worker_reads_a_vocabulary_once(monkeypatch):
+    # Every task gets a copy of the encoder; the file is opened for the first of them.
+    import pickle
+
+    import tokenizers
+
+    opened, real = [], tokenizers.Tokenizer
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            opened.append(path)
+            return real.from_file(path)
+
+    Encoder(vocabulary("word_bpe_49k.json"), end=2).encode(["once"])
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    sent = pickle.dumps(Encoder(vocabulary("word_bpe_49k.json"), end=2))
+    assert [pickle.loads(sent).encode(["a b"])[0].tolist() for _ in range(2)] and not opened
