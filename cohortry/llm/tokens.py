@@ -161,8 +161,10 @@ class Encoder:
 
     def _plain(self, text: str) -> bytes | None:
         """The text in lower-case Latin-1, if it may be cut into words."""
+        if self._mode != "words":
+            return None
         seen = text.lower()
-        if self._mode != "words" or any(mark in seen for mark in self._added):
+        if any(mark in seen for mark in self._added):
             return None
         try:
             raw = text.encode("latin-1")
