@@ -8,6 +8,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,6 +363,26 @@ def test_redaction(spark):
     assert [(r["text"], r["n_chars"]) for r in got] == [("mail [EMAIL] or [PHONE] é", 25), ("nothing", 7)]
 
 
+def test_context_words_are_found_without_lower(spark):
+    # Spark's lower and upper fill tables for all of Unicode when an executor first uses them.
+    frame = spark.createDataFrame([(1, "tel 555-123-4567", 16)], "doc_id long, text string, n_chars long")
+    plans = [f(frame)._jdf.queryExecution().analyzed().toString() for f in (pii.report, pii.redact)]
+    assert not any(re.search(r"\b(lower|upper)\(", plan) for plan in plans)
+    capitals = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000 and chr(x).lower() != chr(x)]
+    odd = {*capitals[::50], *(c for c in capitals if c.lower() in pii.SMALL), "\u0130"}
+    for _, words, _ in pii.ADDED.values():
+        near = [w[:k] + c + w[k + n :] for w in words.split("|") for k in range(len(w) + 1) for n in (0, 1) for c in odd]
+        texts = spark.createDataFrame(pd.DataFrame({"near": near}))
+        hits = [f(F.col("near")).rlike(rf"(?<!\p{{L}})(?:{words})(?!\p{{L}})") for f in (F.lower, pii._small)]
+        assert texts.where(hits[0] != hits[1]).isEmpty() and not texts.where(hits[0]).isEmpty()
+
+
+def test_redacted_kinds_are_named_in_capitals(spark):
+    rows = [(1, "TÉLÉPHONE 555-123-4567, DE89 3704 0044 0532 0130 00, SSN 123-45-6789, 1.2.3.4, 4111 1111 1111 1111")]
+    got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).first()["text"]
+    assert got == "TÉLÉPHONE [LOCAL_PHONE], [IBAN], SSN [SSN], [IP], [CARD]"
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.PieceModel(vocabulary("piece_bpe_32k.model"))
