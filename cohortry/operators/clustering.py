@@ -16,13 +16,14 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.operators.batched_models import Blocks, assign, cheapest, lloyd, mixtures, silhouettes
 from cohortry.operators.evaluation import NOISE, silhouette, squared_distance
-from cohortry.operators.neighbors import _Block, _Layout, _rough_squares, knn_graph, settled_within
+from cohortry.operators.neighbors import _Block, _Layout, _low_squares, _pair_distances, _settled, _up_to, knn_graph
 from cohortry.operators.relational import bounded_sample, join_heavy
 from cohortry.sources.tables import settle
 
@@ -504,24 +505,28 @@ def kprototypes_sweep(
 # --- graphs ---------------------------------------------------------------
 
 
-#: Graphs up to this many edges are finished on the driver.
-LOCAL_EDGES = 50_000
+#: Graphs up to this many edges (16 MB) are finished on the driver.
+LOCAL_EDGES = 1_000_000
 
 
-def _local_components(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    root: dict[int, int] = {}
+def _local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a graph and the smallest node that each is connected with."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = places[: len(a)], places[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        least = np.minimum(root[a], root[b])
+        for at in (before[a], before[b]):
+            np.minimum.at(root, at, least)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return nodes, nodes[root]
 
-    def find(x: int) -> int:
-        root.setdefault(x, x)
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return [(x, find(x)) for x in list(root)]
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().to_numpy(zero_copy_only=False)
 
 
 def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -532,9 +537,9 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
     checked, small size is solved directly.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    head = edges.limit(local_edges + 1).collect()
-    if len(head) <= local_edges:
-        return edges.sparkSession.createDataFrame(_local_components(head), "node long, root long")
+    head = edges.limit(local_edges + 1).toArrow()
+    if head.num_rows <= local_edges and not any(c.null_count for c in head.columns):
+        return edges.sparkSession.createDataFrame(pa.table(_local_components(*map(_numbers, head.columns)), names=["node", "root"]), "node long, root long")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b"))).distinct()
     links = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = settle(links)
@@ -570,39 +575,84 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
 def _spread_minimum(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest name reachable inside one pair of blocks, for both sides."""
     top = np.iinfo(np.int64).max
+    few = np.count_nonzero(close) <= close.size // 16
+    i, j = np.nonzero(close) if few else (None, None)
     while True:
-        right_new = np.minimum(right, np.where(close, left[:, None], top).min(axis=0, initial=top))
-        left_new = np.minimum(left, np.where(close, right_new[None, :], top).min(axis=1, initial=top))
+        right_new, left_new = right.copy(), left.copy()
+        if few:
+            np.minimum.at(right_new, j, left[i])
+            np.minimum.at(left_new, i, right_new[j])
+        else:
+            right_new = np.minimum(right, np.where(close, left[:, None], top).min(axis=0, initial=top))
+            left_new = np.minimum(left, np.where(close, right_new[None, :], top).min(axis=1, initial=top))
         if (left_new == left).all() and (right_new == right).all():
             return left, right
         left, right = left_new, right_new
 
 
 class _Counts:
-    """Work on blocks: rows within each radius of every point, once for every point of a block."""
+    """Work on blocks: rows within each radius of every point, once for every point of a block.
 
-    def __init__(self, radii: Sequence[float]):
+    A point that has ``enough`` rows within a radius is not counted on there: from then on its
+    number is too small, never below ``enough``.
+    """
+
+    def __init__(self, radii: Sequence[float], enough: int):
         self.radii = radii
+        self.enough = enough
         self.held: dict[str, tuple] = {}
 
     def _frames(self, reps: np.ndarray, counts: np.ndarray) -> Iterator[pd.DataFrame]:
         e, i = np.nonzero(counts)
-        yield pd.DataFrame({"e": e.astype(np.int32), "rep": reps[i], "near": counts[e, i]})
+        yield pd.DataFrame({"e": e.astype(np.int32), "rep": reps[i], "near": counts[e, i].astype(np.int64)})
+
+    def _open(self, counts: np.ndarray, live: list[int]) -> np.ndarray:
+        """The largest radius at which a point still counts, below zero where there is none."""
+        far = np.full(counts.shape[1], -1.0)
+        for e in live:
+            far = np.maximum(far, np.where(counts[e] < self.enough, self.radii[e], -1.0))
+        return far
 
     def meet(self, right: _Block, lefts: list) -> Iterator[pd.DataFrame]:
-        mine = np.zeros((len(self.radii), len(right.reps)), dtype=np.int64)
-        for left, most in lefts:
-            rough, error = _rough_squares(left.x, right.x)
+        for left, _ in lefts:
             if left.block not in self.held:
-                self.held[left.block] = (left.reps, np.zeros((len(self.radii), len(left.reps)), dtype=np.int64))
-            for e, eps in enumerate(self.radii):
-                if _surely(most, eps):
-                    continue
-                close = settled_within(rough, error, left.x, right.x, eps)
-                self.held[left.block][1][e] += close @ right.sizes
-                if left is not right:
-                    mine[e] += left.sizes @ close
-        yield from self._frames(right.reps, mine)
+                self.held[left.block] = (left.reps, np.zeros((len(self.radii), len(left.reps))))
+        at_home = any(left is right for left, _ in lefts)
+        mine = self.held[right.block][1] if at_home else np.zeros((len(self.radii), len(right.reps)))
+        for left, most in lefts:
+            theirs, own = self.held[left.block][1], left is right
+            live = [e for e, eps in enumerate(self.radii) if not _surely(most, eps)]
+            limits = self._open(theirs, live), self._open(theirs if own else mine, live)
+            limit = max(limits[0].max(initial=-1.0), limits[1].max(initial=-1.0))
+            live = [e for e in live if self.radii[e] <= limit]
+            if not live:
+                continue
+            low, width = _low_squares(left, right)
+            possible = low <= _up_to(low, limit * limit * (1 + 1e-9))
+            found = np.count_nonzero(possible)
+            if found <= possible.size // 16:
+                i, j = np.divmod(np.flatnonzero(possible), len(right.reps))
+                # Only what one of the two still counts.
+                some = np.maximum(limits[0][i], limits[1][j])
+                dist = _pair_distances(left.x, right.x, i, j)
+                i, j, dist = i[dist <= some], j[dist <= some], dist[dist <= some]
+                for e in live:
+                    hit = dist <= self.radii[e]
+                    theirs[e] += np.bincount(i[hit], weights=right.sizes[j[hit]], minlength=len(left.reps))
+                    if not own:
+                        mine[e] += np.bincount(j[hit], weights=left.sizes[i[hit]], minlength=len(right.reps))
+                continue
+            for e in live:
+                close = _settled(low, width, left, right, self.radii[e])
+                theirs[e] += self._weighed(close, right.sizes)
+                if not own:
+                    mine[e] += self._weighed(close.T, left.sizes)
+        if not at_home:
+            yield from self._frames(right.reps, mine)
+
+    @staticmethod
+    def _weighed(close: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return np.count_nonzero(close, axis=1) if (sizes == 1).all() else close @ sizes.astype(float)
 
     def rest(self) -> Iterator[pd.DataFrame]:
         for reps, counts in self.held.values():
@@ -614,37 +664,56 @@ class _Links:
 
     A core point has a name, the smallest point it is known to be connected with. A link is
     written when a name changes, so a group writes about one link a point, not one a pair of blocks.
+    Core points of the same name are connected already and not measured again.
     """
 
     def __init__(self, radii: Sequence[float]):
         self.radii = radii
         self.names: dict[tuple, np.ndarray] = {}
 
+    def _close(self, left: _Block, right: _Block, e: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return _settled(*_low_squares(left, right, i, j), left, right, self.radii[e], i, j)
+
+    def _connect(self, left: _Block, right: _Block, e: int, a_names: np.ndarray, b_names: np.ndarray, i: np.ndarray, j: np.ndarray) -> list:
+        """Names spread over the core points ``i`` and ``j``; the changes as pairs ``(old names, new names)``."""
+        if not len(i) or not len(j):
+            return []
+        close = self._close(left, right, e, i, j)
+        if not close.any():
+            return []
+        a_old, b_old = a_names[i], b_names[j]
+        a_new, b_new = _spread_minimum(close, a_old, b_old)
+        a_names[i], b_names[j] = a_new, b_new
+        return [(a_old[a_new != a_old], a_new[a_new != a_old]), (b_old[b_new != b_old], b_new[b_new != b_old])]
+
     def meet(self, right: _Block, lefts: list) -> Iterator[pd.DataFrame]:
-        named = {e: right.reps.copy() for e in right.cores}
+        at_home = any(left is right for left, _ in lefts)
+        named = {e: self.names.setdefault((e, right.block), right.reps.copy()) if at_home else right.reps.copy() for e in right.cores}
         for left, _ in lefts:
-            if not left.cores and not right.cores:
-                continue
-            rough, error = _rough_squares(left.x, right.x)
             for e in sorted({*left.cores, *right.cores}):
-                close = settled_within(rough, error, left.x, right.x, self.radii[e])
-                a_core = left.cores.get(e, np.zeros(len(left.reps), dtype=bool))
-                b_core = right.cores.get(e, np.zeros(len(right.reps), dtype=bool))
+                a_core, b_core = (np.flatnonzero(b.cores.get(e, ())) for b in (left, right))
                 links, reached = [], []
-                if a_core.any() and b_core.any():
+                if len(a_core) and len(b_core):
                     a_names = self.names.setdefault((e, left.block), left.reps.copy())
-                    b_names = a_names if right is left else named[e]
-                    a_old, b_old = a_names[a_core], b_names[b_core]
-                    a_new, b_new = _spread_minimum(close[np.ix_(a_core, b_core)], a_old, b_old)
-                    links += [(a_old[a_new != a_old], a_new[a_new != a_old]), (b_old[b_new != b_old], b_new[b_new != b_old])]
-                    a_names[a_core], b_names[b_core] = a_new, b_new
                     if right is left:
+                        if (a_names[a_core] != a_names[a_core[0]]).any():
+                            links += self._connect(left, left, e, a_names, a_names, a_core, a_core)
                         links.append((left.reps[a_core], left.reps[a_core]))
-                i, j = np.nonzero(close[np.ix_(~a_core, b_core)])
-                reached.append((left.reps[~a_core][i], right.reps[b_core][j]))
-                if right is not left:
-                    i, j = np.nonzero(close[np.ix_(a_core, ~b_core)])
-                    reached.append((right.reps[~b_core][j], left.reps[a_core][i]))
+                    else:
+                        # Only points of different names: those without the most frequent name with all, the others with the rest.
+                        names, counts = np.unique(np.concatenate([a_names[a_core], named[e][b_core]]), return_counts=True)
+                        common = names[counts.argmax()]
+                        if len(names) > 1:
+                            a_other, b_other = a_names[a_core] != common, named[e][b_core] != common
+                            links += self._connect(left, right, e, a_names, named[e], a_core[a_other], b_core)
+                            links += self._connect(left, right, e, a_names, named[e], a_core[~a_other], b_core[b_other])
+                a_edge, b_edge = (np.flatnonzero(b.edges.get(e, ())) for b in (left, right))
+                if len(a_edge) and len(b_core):
+                    i, j = np.nonzero(self._close(left, right, e, a_edge, b_core))
+                    reached.append((left.reps[a_edge][i], right.reps[b_core][j]))
+                if right is not left and len(b_edge) and len(a_core):
+                    i, j = np.nonzero(self._close(left, right, e, a_core, b_edge))
+                    reached.append((right.reps[b_edge][j], left.reps[a_core][i]))
                 for found, core in ((links, True), (reached, False)):
                     if sum(len(a) for a, _ in found):
                         pairs = np.unique(np.concatenate([np.stack(f) for f in found], axis=1), axis=1)
@@ -668,28 +737,30 @@ def _density_links(layout: _Layout, radii: Sequence[float], min_points: int) ->
     radii = [float(eps) for eps in radii]
     pairs = layout.pairs_within(np.full(len(layout.pivots), max(radii)))
     unsure = pairs.where(~_surely(F.col("most"), min(radii)))
-    counts = layout.meet(unsure, ["reps", "flat", "sizes"], partial(_Counts, radii), "e int, rep long, near long")
+    counts = layout.meet(unsure, ["reps", "flat", "sizes"], partial(_Counts, radii, min_points), "e int, rep long, near long")
     # Blocks that lie within a radius of each other as a whole are counted without their points.
     places = F.explode(F.filter(F.array(*[F.when(_surely(F.col("most"), eps), F.lit(e)) for e, eps in enumerate(radii)]), lambda e: e.isNotNull()))
     whole = pairs.select(places.alias("e"), "block", "block2")
     both = whole.union(whole.where("block <> block2").select("e", "block2", "block"))
     sums = both.join(layout.blocks.select(F.col("block").alias("block2"), "rows"), "block2").groupBy("e", "block").agg(F.sum("rows").alias("near"))
     counted = layout.blocks.select("block", "reps").join(sums, "block").select("e", F.explode("reps").alias("rep"), "near")
-    core = counts.unionByName(counted).groupBy("e", "rep").agg(F.sum("near").alias("near")).where(F.col("near") >= min_points).select("e", "rep")
+    near = counts.unionByName(counted).groupBy("e", "rep").agg(F.sum("near").alias("near"))
+    # A point with nothing but itself in reach is neither core nor border.
+    point = F.struct("e", "rep", (F.col("near") >= min_points).alias("core"))
     per_block = (
         layout.blocks.select("block", F.explode("reps").alias("rep"))
-        .join(core, "rep")
+        .join(near.where((F.col("near") >= min_points) | (F.col("near") > 1)), "rep")
         .groupBy("block")
-        .agg(F.collect_list(F.struct("e", "rep")).alias("cores"))
-        .select("block", F.col("cores.e").alias("core_radius"), F.col("cores.rep").alias("cores"))
+        .agg(F.collect_list(point).alias("cores"), F.max(F.col("near") >= min_points).alias("cored"))
+        .select("block", F.col("cores.e").alias("core_radius"), F.col("cores.rep").alias("cores"), F.col("cores.core").alias("is_core"), "cored")
     ).checkpoint()
-    marked = layout.blocks.join(per_block, "block", "left")
+    marked = layout.blocks.join(per_block.drop("cored"), "block", "left")
     # A pair without a core point on either side links nothing.
-    cored = per_block.select("block")
+    cored = per_block.where("cored").select("block")
     first = pairs.join(cored, "block", "left_semi")
     rest = pairs.join(cored, "block", "left_anti").join(cored.toDF("block2"), "block2", "left_semi")
     live = first.unionByName(rest).checkpoint()
-    payload = ["reps", "flat", "cores", "core_radius"]
+    payload = ["reps", "flat", "cores", "core_radius", "is_core"]
     links = layout.meet(live, payload, partial(_Links, radii), "e int, a long, b long, core boolean", marked)
     return links.distinct().checkpoint(), pairs
 

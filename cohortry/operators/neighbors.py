@@ -13,10 +13,11 @@ are collapsed first, so a vector owning a third of the rows is one point.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +82,39 @@ def _rough_squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return size - 2 * (a @ b.T), 1e-12 * size + 1e-300
 
 
+def _low_squares(left: _Block, right: _Block, i=slice(None), j=slice(None)) -> tuple[np.ndarray, float]:
+    """No more than the squared distances of points ``i`` of one block to ``j`` of the other, and how much more they are at most.
+
+    Single precision where the numbers allow it: one matrix product, with the rounding error
+    of every pair already taken off. What is too close to call is for the caller to measure.
+    """
+    if not (left.small and right.small):
+        rough, error = _rough_squares(left.x[i], right.x[j])
+        width = 2 * float(error.max(initial=0.0))
+        return rough - error, width if np.isfinite(width) else np.inf
+    return left.ahead[i] @ right.behind[j].T, 2.1 * left.share * (left.top + right.top) + 1e-30
+
+
+def _up_to(low: np.ndarray, squares) -> np.ndarray:
+    """Squares in the precision of ``low``, never below what they were."""
+    if low.dtype != np.float32:
+        return np.asarray(squares, dtype=float)
+    with np.errstate(over="ignore"):
+        return np.nextafter(np.asarray(np.asarray(squares) * (1 + 1e-6) + 1e-30, dtype=np.float32), np.float32(np.inf))
+
+
+def _settled(low: np.ndarray, width: float, left: _Block, right: _Block, eps: float, i=slice(None), j=slice(None)) -> np.ndarray:
+    """Which pairs lie within ``eps``, from what ``_low_squares`` gave for them; pairs too close to call are measured exactly."""
+    possible = low <= _up_to(low, eps * eps * (1 + 1e-9))
+    sure = eps * eps * (1 - 1e-6) - width
+    doubtful = possible & (low > sure) if sure > 0 else possible
+    q, r = np.nonzero(doubtful)
+    if len(q):
+        rows, columns = np.arange(len(left.x))[i], np.arange(len(right.x))[j]
+        possible[q, r] = _pair_distances(left.x, right.x, rows[q], columns[r]) <= eps
+    return possible
+
+
 def _pair_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact distances of chosen pairs."""
     out = np.empty(len(i))
@@ -111,6 +145,27 @@ def _directions(pivots: np.ndarray) -> np.ndarray:
     return axes[:PROJECTIONS]
 
 
+def _nearest_pivot(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row's nearest pivot, the first one on ties, and its distance; exact where rough squares are too close to call."""
+    nearest, radius = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+    step = max(1, 2_000_000 // len(pivots))
+    for s in range(0, len(x), step):
+        part = x[s : s + step]
+        rough, error = _rough_squares(part, pivots)
+        least = (rough + error).min(axis=1)
+        if not np.isfinite(least).all():
+            dist = _distances(part, pivots)
+            best = dist.argmin(axis=1)
+            nearest[s : s + step], radius[s : s + step] = best, dist[np.arange(len(part)), best]
+            continue
+        q, j = np.nonzero(rough - error <= least[:, None])
+        dist = _pair_distances(part, pivots, q, j)
+        order = np.lexsort((j, dist, q))
+        first = order[np.searchsorted(q[order], np.arange(len(part)))]
+        nearest[s : s + step], radius[s : s + step] = j[first], dist[first]
+    return nearest, radius
+
+
 def _to_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add the nearest pivot (``cell``), the distance to it (``radius``) and the projections (``at``)."""
     axes = _directions(pivots)
@@ -120,9 +175,8 @@ def _to_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
             if len(rows) == 0:
                 continue
             x = np.stack(rows["vec"].to_numpy())
-            dist = _distances(x, pivots)
-            nearest = dist.argmin(axis=1)
-            yield rows.assign(cell=nearest.astype(np.int32), radius=dist[np.arange(len(rows)), nearest], at=list(x @ axes.T))
+            nearest, radius = _nearest_pivot(x, pivots)
+            yield rows.assign(cell=nearest.astype(np.int32), radius=radius, at=list(x @ axes.T))
 
     added = [("cell", T.IntegerType()), ("radius", T.DoubleType()), ("at", T.ArrayType(T.DoubleType()))]
     schema = T.StructType([*points.schema.fields, *[T.StructField(n, t) for n, t in added]])
@@ -279,6 +333,7 @@ class _Layout:
         rights = met.join(points, "block").select("group", "slice", F.lit(1).alias("turn"), "met", "block", *payload)
         rows = lefts.unionByName(rights).repartition("group", "slice").sortWithinPartitions("group", "slice", "turn")
         rows = rows.select("group", "slice", "turn", F.col("met.block").alias("met"), F.col("met.most").alias("most"), "block", *payload)
+        centre = self.pivots.mean(axis=0)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key, held, job = None, {}, None
@@ -288,7 +343,7 @@ class _Layout:
                         if job is not None:
                             yield from job.rest()
                         key, held, job = (r.group, r.slice), {}, work()
-                    block = _Block(r)
+                    block = _Block(r, centre)
                     if r.turn == 0:
                         held[block.block] = block
                     else:
@@ -302,18 +357,51 @@ class _Layout:
 class _Block:
     """A block's points in a task: name, ids, vectors, and what else the work asked for."""
 
-    def __init__(self, row):
+    def __init__(self, row, centre: np.ndarray):
         self.block = row.block
         self.reps, self.x = _points(row.reps, row.flat)
         self.sizes = np.asarray(row.sizes, dtype=np.int64) if hasattr(row, "sizes") else None
+        with np.errstate(over="ignore", invalid="ignore"):
+            self._around = self.x - centre
+            self._squares = np.einsum("ij,ij->i", self._around, self._around)
+        self.top = float(self._squares.max(initial=0.0))
+        self.small = self.top < 1e30  # in single precision nothing overflows; not so for what is not a number
+        # Of the two squares of a pair, what single precision can lose at most.
+        self.share = 2 * (self.x.shape[1] + 8) * 2.0**-24
         if hasattr(row, "ids"):
             # Own copies, so that no whole batch stays in memory behind a held block.
             self.copies = np.array([len(ids) for ids in row.ids])
             self.starts = np.cumsum(self.copies) - self.copies
             self.ids = np.concatenate(row.ids).astype(np.int64)
         if hasattr(row, "cores"):
-            pairs = [] if row.cores is None else list(zip(row.core_radius, row.cores, strict=True))
-            self.cores = {e: np.isin(self.reps, [c for at, c in pairs if at == e]) for e in {at for at, _ in pairs}}
+            none = row.cores is None
+            places = np.asarray([] if none else row.core_radius, dtype=np.int64)
+            points, core = np.asarray([] if none else row.cores, dtype=np.int64), np.asarray([] if none else row.is_core, dtype=bool)
+            found = {e: (places == e, core) for e in np.unique(places).tolist()}
+            self.cores = {e: np.isin(self.reps, points[at & core]) for e, (at, core) in found.items() if (at & core).any()}
+            self.edges = {e: np.isin(self.reps, points[at & ~core]) for e, (at, core) in found.items() if (at & ~core).any()}
+        if hasattr(row, "last"):
+            # How far a point must look at most, in the order of the points.
+            order = np.argsort(self.reps)
+            self.reach = np.full(len(self.reps), np.inf)
+            known = np.asarray([] if row.last is None else row.known, dtype=np.int64)
+            self.reach[order[np.searchsorted(self.reps, known, sorter=order)]] = np.asarray([] if row.last is None else row.last, dtype=float)
+
+    def _packed(self, *parts: np.ndarray) -> np.ndarray:
+        return np.concatenate(parts, axis=1).astype(np.float32)
+
+    @cached_property
+    def ahead(self) -> np.ndarray:
+        """With ``behind`` of another block, one matrix product gives the squared distances."""
+        return self._packed(-2 * self._around, self._less, np.ones_like(self._less))
+
+    @cached_property
+    def behind(self) -> np.ndarray:
+        return self._packed(self._around, np.ones_like(self._less), self._less)
+
+    @property
+    def _less(self) -> np.ndarray:
+        return (self._squares * (1 - self.share))[:, None]
 
 
 def _points(reps, flat) -> tuple[np.ndarray, np.ndarray]:
@@ -321,54 +409,92 @@ def _points(reps, flat) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.array(flat, dtype=float).reshape(len(ids), -1)
 
 
+class _Lists:
+    """The ``k + 1`` nearest of every point of a block: entries ``(q, dist, dst)``, sorted, and those still to be taken in."""
+
+    def __init__(self, own: _Block, k: int):
+        self.reps, self.k = own.reps, k
+        self.reach = getattr(own, "reach", np.full(len(own.reps), np.inf))
+        self.best = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))
+        self.far = self.reach**2 * (1 + 1e-9) + 1e-300
+        self.waiting: list[tuple] = []
+
+    def offer(self, own: _Block, other: _Block, low: np.ndarray, width: float) -> None:
+        """Takes the points of ``other`` that may be among the nearest, with their exact distances."""
+        wanted = min(self.k + 1, len(other.reps))
+        near = low <= _up_to(low, self.far)[:, None]
+        if np.count_nonzero(near) > 8 * wanted * len(self.reps):
+            last = np.partition(low, wanted - 1, axis=1)[:, wanted - 1].astype(float) + width
+            near = low <= _up_to(low, np.minimum(self.far, np.where(np.isnan(last), np.inf, np.maximum(last, 0.0))))[:, None]
+        q, j = np.divmod(np.flatnonzero(near), len(other.reps))
+        dist = _pair_distances(own.x, other.x, q, j)
+        some = dist <= self.reach[q] * (1 + 1e-9)
+        q, j, dist = q[some], j[some], dist[some]
+        n = other.copies[j]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.waiting.append((np.repeat(q, n), np.repeat(dist, n), other.ids[np.repeat(other.starts[j], n) + place]))
+        if sum(len(w[0]) for w in self.waiting) >= (self.k + 1) * len(self.reps):
+            self.merge()
+
+    def merge(self) -> None:
+        q, dist, dst = (np.concatenate(c) for c in zip(self.best, *self.waiting, strict=True))
+        self.waiting, self.best = [], _first(q, dist, dst, self.k + 1)
+        # Nothing beyond the last entry of a full list enters it.
+        ends = np.cumsum(np.bincount(self.best[0], minlength=len(self.reps)))
+        full = np.diff(ends, prepend=0) > self.k
+        self.far[full] = np.minimum(self.far[full], self.best[1][ends[full] - 1] ** 2 * (1 + 1e-9) + 1e-300)
+
+    def frame(self, name: str) -> pd.DataFrame:
+        """One row with all lists of the block."""
+        self.merge()
+        q, dist, dst = self.best
+        return pd.DataFrame({"block": [name], "rep": [self.reps[q].tobytes()], "dst": [dst.tobytes()], "dist": [dist.tobytes()]})
+
+
+def _first(q: np.ndarray, dist: np.ndarray, dst: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``most`` entries of every ``q`` by distance, the smaller id on ties; sorted."""
+    order = np.lexsort((dst, dist, q))
+    q, dist, dst = q[order], dist[order], dst[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < most
+    return q[keep], dist[keep], dst[keep]
+
+
 class _Nearest:
-    """Work on blocks: the ``k + 1`` nearest points met so far, once for every point of a block."""
+    """Work on blocks: the ``k + 1`` nearest points met so far, one row for every block."""
+
+    schema = "block string, rep binary, dst binary, dist binary"
 
     def __init__(self, k: int):
         self.k = k
-        self.best: dict[str, tuple] = {}
-
-    def _offer(self, own: _Block, best: tuple | None, other: _Block, rough: np.ndarray, error: np.ndarray) -> tuple:
-        """``best`` of ``own``'s points, with the points of ``other`` taken in: ``(q, dist, dst)``, at most ``k + 1`` a point."""
-        width, low = min(self.k + 1, len(other.reps)), rough - error
-        far = None
-        if best is not None and len(best[0]) == len(own.reps) * (self.k + 1):
-            # Lists are full and sorted: nothing beyond their last entries enters.
-            far = (best[1][self.k :: self.k + 1] ** 2 * (1 + 1e-9) + 1e-300)[:, None]
-        if far is None or np.count_nonzero(low <= far) > 4 * width * len(own.reps):
-            near = np.partition(rough + error, width - 1, axis=1)[:, width - 1][:, None]
-            far = near if far is None else np.minimum(near, far)
-        # Everything that may belong to the first ``k + 1``, then exactly, ties by id.
-        q, j = np.nonzero(low <= far)
-        dist = _pair_distances(own.x, other.x, q, j)
-        n = other.copies[j]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        q, dist, dst = np.repeat(q, n), np.repeat(dist, n), other.ids[np.repeat(other.starts[j], n) + place]
-        if best is not None:
-            q, dist, dst = np.concatenate([best[0], q]), np.concatenate([best[1], dist]), np.concatenate([best[2], dst])
-        order = np.lexsort((dst, dist, q))
-        q, dist, dst = q[order], dist[order], dst[order]
-        keep = np.arange(len(q)) - np.searchsorted(q, q) <= self.k
-        return q[keep], dist[keep], dst[keep]
-
-    @staticmethod
-    def _frame(name: str, reps: np.ndarray, best: tuple) -> pd.DataFrame:
-        return pd.DataFrame({"block": name, "rep": reps[best[0]], "dst": best[2], "dist": best[1]})
+        self.held: dict[str, _Lists] = {}
 
     def meet(self, right: _Block, lefts: list) -> Iterator[pd.DataFrame]:
-        mine = None
+        mine = _Lists(right, self.k)
         for left, _ in lefts:
-            rough, error = _rough_squares(left.x, right.x)
-            held = self.best.get(left.block)
-            self.best[left.block] = (left.reps, self._offer(left, held and held[1], right, rough, error))
+            low, width = _low_squares(left, right)
+            self.held.setdefault(left.block, _Lists(left, self.k)).offer(left, right, low, width)
             if left is not right:
-                mine = self._offer(right, mine, left, rough.T, error.T)
-        if mine is not None:
-            yield self._frame(right.block, right.reps, mine)
+                mine.offer(right, left, low.T, width)
+        if any(left is not right for left, _ in lefts):
+            yield mine.frame(right.block)
 
     def rest(self) -> Iterator[pd.DataFrame]:
-        for name, (reps, best) in self.best.items():
-            yield self._frame(name, reps, best)
+        for name, lists in self.held.items():
+            yield lists.frame(name)
+
+
+def _merged_lists(found: DataFrame, k: int) -> DataFrame:
+    """``(block, rep, near)``: the lists that several tasks have of a block made one."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        rep, dst = (np.concatenate([np.frombuffer(b, dtype=np.int64) for b in table[c].to_pylist()]) for c in ("rep", "dst"))
+        dist = np.concatenate([np.frombuffer(b) for b in table["dist"].to_pylist()])
+        rep, dist, dst = _first(rep, dist, dst, k + 1)
+        reps, starts = np.unique(rep, return_index=True)
+        near = pa.ListArray.from_arrays(np.append(starts, len(rep)).astype(np.int32), pa.StructArray.from_arrays([dist, dst], ["dist", "dst"]))
+        return pa.table({"block": pa.repeat(table["block"][0], len(reps)), "rep": reps, "near": near})
+
+    return found.groupBy("block").applyInArrow(merge, "block string, rep long, near array<struct<dist:double,dst:bigint>>")
 
 
 def knn_graph(df: DataFrame, row_id: str, vec: str, k: int = 10, seed: int = 42) -> DataFrame:
@@ -408,20 +534,21 @@ def knn_work(df: DataFrame, row_id: str, vec: str, k: int = 10, seed: int = 42)
 def _knn_lists(df: DataFrame, row_id: str, vec: str, k: int, seed: int) -> tuple[DataFrame, _Layout, DataFrame]:
     """``(rep, near)`` with the ``k + 1`` nearest of every point, the layout, and the pairs of blocks met."""
     layout = _Layout(df, row_id, vec, k + 1, seed)
-    payload, schema = ["reps", "ids", "flat"], "block string, rep long, dst long, dist double"
+    payload, search = ["reps", "ids", "flat"], partial(_Nearest, k)
     # ``most`` plays no part in the search.
     selves = layout.blocks.select("block", F.col("block").alias("block2"), "group", F.lit(0.0).alias("most"))
-    home = layout.meet(selves, payload, partial(_Nearest, k), schema).checkpoint()
-    last = home.groupBy("block", "rep").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("last"))
-    enough = F.when(F.col("n") > k, F.col("last")).otherwise(F.lit(float("inf")))
-    reach = last.groupBy("block").agg(F.max(enough).alias("reach"))
-    pairs = layout.pairs_within(_knn_bounds(layout, k), reach)
+    home = layout.meet(selves, payload, search, _Nearest.schema).checkpoint()
+    last = F.when(F.size("near") > k, F.element_at("near", -1)["dist"]).otherwise(F.lit(float("inf")))
+    lasts = _merged_lists(home, k).select("block", "rep", last.alias("last")).groupBy("block")
+    own = lasts.agg(F.max("last").alias("reach"), F.collect_list(F.struct("rep", "last")).alias("lasts")).checkpoint()
+    pairs = layout.pairs_within(_knn_bounds(layout, k), own.select("block", "reach"))
     away = pairs.where("block <> block2")
-    found = home if away.isEmpty() else home.unionByName(layout.meet(away, payload, partial(_Nearest, k), schema))
-    order = Window.partitionBy("rep").orderBy("dist", "dst")
-    top = found.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1)
-    lists = top.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("near"))
-    return lists, layout, pairs
+    # What a point found in its own block bounds how far it looks in the others.
+    bounded = layout.blocks.join(own.select("block", F.col("lasts.rep").alias("known"), F.col("lasts.last").alias("last")), "block", "left")
+    found = home
+    if not away.isEmpty():
+        found = home.unionByName(layout.meet(away, [*payload, "known", "last"], search, _Nearest.schema, bounded))
+    return _merged_lists(found, k).drop("block"), layout, pairs
 
 
 def _knn_bounds(layout: _Layout, k: int) -> np.ndarray:
@@ -458,7 +585,8 @@ class _Close:
 
     def meet(self, right: _Block, lefts: list) -> Iterator[pd.DataFrame]:
         for left, _ in lefts:
-            near = within(left.x, right.x, self.eps) & (left.reps[:, None] < right.reps[None, :] if right is left else True)
+            low, width = _low_squares(left, right)
+            near = _settled(low, width, left, right, self.eps) & (left.reps[:, None] < right.reps[None, :] if right is left else True)
             i, j = np.nonzero(near)
             found = {"src": left.reps[i], "dst": right.reps[j], "dist": _pair_distances(left.x, right.x, i, j)}
             one = pd.DataFrame({**found, "src_rows": left.sizes[i], "dst_rows": right.sizes[j]})

@@ -1,5 +1,7 @@
 """Neighbour joins and clusterings against brute force, with copies and crowded cells."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -454,3 +456,71 @@ def test_links_of_core_points_do_not_grow_with_pairs_of_blocks(spark, monkeypatc
     layout = N._Layout(_frame(spark, x), "id", "vec")
     links, pairs = K._density_links(layout, [2.5], 5)
     assert pairs.count() > 2_000 and links.where("core").count() < 10 * len(x)
+
+
+def _block(name, x, centre=0.0, **more):
+    given = {"reps": np.arange(len(x)), "flat": x.ravel(), "sizes": np.ones(len(x), dtype=int)} | more
+    return N._Block(SimpleNamespace(block=name, **given), np.full(x.shape[1], centre))
+
+
+@pytest.mark.parametrize("scale, offset", [(1, 0), (1e-25, 0), (1e20, 0), (1, 1e6), (1, np.nan)])
+def test_low_squares_bound_the_distances_at_any_scale(scale, offset):
+    rng = np.random.default_rng(12)
+    a, b = (_block(n, rng.normal(0, 1, (50, 8)) * scale + (0 if np.isnan(offset) else offset), offset or 0.0) for n in "ab")
+    if np.isnan(offset):
+        a.x[3, 2] = offset
+    dist = N._distances(a.x, b.x)
+    low, width = N._low_squares(a, b)
+    some = ~np.isnan(dist)
+    assert (low[some] <= dist[some] ** 2 * (1 + 1e-6) + 1e-30).all() and (dist[some] ** 2 <= (low[some].astype(float) + width) * (1 + 1e-6)).all()
+    for q in (0.1, 0.5):
+        eps = float(np.nanquantile(dist, q))
+        assert (N._settled(low, width, a, b, eps) == (dist <= eps)).all()
+
+
+@pytest.mark.parametrize("scale, offset", [(1e20, 0), (1, 1e7)])
+def test_knn_far_from_the_origin(spark, points, small_blocks, scale, offset):
+    x = np.round(points, 3) * scale + offset
+    dist = _brute(x)
+    got = {}
+    for r in N.knn_graph(_frame(spark, x), "id", "vec", 4).collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
+    for i in range(len(x)):
+        assert [d for _, d in sorted(got[i])] == [j for _, j in sorted((dist[i, j], j) for j in range(len(x)) if j != i)[:4]]
+
+
+def test_neighbour_lists_are_one_row_a_block(spark, points, small_blocks, monkeypatch):
+    """A task answers with one row for a block, not one for every neighbour it found."""
+    seen = []
+    meet = N._Layout.meet
+
+    def counted(self, *args):
+        found = meet(self, *args)
+        seen.append((found.groupBy("block").count().agg(F.max("count")).first()[0], self.blocks.count()))
+        return found
+
+    monkeypatch.setattr(N._Layout, "meet", counted)
+    assert N.knn_graph(_frame(spark, points), "id", "vec", 5).count() == 5 * len(points)
+    assert len(seen) == 2 and all(most <= N.GROUPS + N.SLICES for most, _ in seen)
+
+
+def test_settled_points_are_not_measured_again(monkeypatch):
+    """Points that are core, and core points that are connected, need no further distances."""
+    calls = []
+    monkeypatch.setattr(K, "_low_squares", lambda *a: calls.append(1) or N._low_squares(*a))
+    x = np.random.default_rng(3).normal(0, 0.1, (20, 3))
+    mark = {"cores": np.arange(60), "core_radius": np.zeros(60), "is_core": np.ones(60, dtype=bool)}
+    blocks = [_block(str(i), x + 0.01 * i, reps=np.arange(20 * i, 20 * i + 20), **mark) for i in range(3)]
+    for work in (K._Counts([5.0], 5), K._Links([5.0])):
+        calls.clear()
+        frames = [*work.meet(blocks[0], [(blocks[0], 9.0)]), *work.meet(blocks[1], [(blocks[0], 9.0), (blocks[1], 9.0)])]
+        first = len(calls)
+        frames += [*work.meet(blocks[2], [(blocks[0], 9.0), (blocks[1], 9.0)]), *work.rest()]
+        assert first <= 3 and len(calls) == first + 1
+        got = pd.concat(frames)
+        if "near" in got:
+            assert (got.groupby("rep")["near"].sum() >= 5).all() and got["rep"].nunique() == 60
+        else:
+            links = got[got["core"]]
+            nodes, roots = K._local_components(links["a"].to_numpy(), links["b"].to_numpy())
+            assert len(nodes) == 60 and (roots == 0).all()
