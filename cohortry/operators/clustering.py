@@ -834,6 +834,9 @@ def dbscan_sweep(
 
 #: Clusters left at which the rest of the tree is built on the driver from their centroids.
 LOCAL_CLUSTERS = 256
+#: Numbers of centroids (64 MB) and links (16 MB) up to which rounds run on the driver.
+LOCAL_VALUES = 8_000_000
+LOCAL_LINKS = 1_000_000
 
 
 def _ward_cost(n1, n2, squared) -> Column:
@@ -882,6 +885,89 @@ def _finish_locally(clusters: list, edges: list) -> list[tuple[int, int, float]]
     return merges
 
 
+def _nearest_links(clusters: DataFrame, left: int, k_nn: int, seed: int) -> DataFrame:
+    near = knn_graph(clusters, "id", "centre", min(k_nn, left - 1), seed)
+    return near.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+
+
+class _Rounds:
+    """Rounds of merges on the driver: a bounded number of clusters and links, in the order and with the sums of the distributed rounds."""
+
+    def __init__(self, clusters: pa.Table, links: pa.Table):
+        order = np.argsort(_numbers(clusters["id"]))
+        self.ids, self.n = _numbers(clusters["id"])[order], _numbers(clusters["n"])[order].copy()
+        self.centre = clusters["centre"].combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+        self.alive = np.ones(len(order), dtype=bool)
+        ends = [np.searchsorted(self.ids, _numbers(links[c])) for c in ("a", "b")]
+        self.a, self.b = ends
+        self.cost = self._costs(*ends)
+        self.merges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    @staticmethod
+    def of(clusters: DataFrame, links: DataFrame, left: int) -> _Rounds | None:
+        """None where there is too much for the driver, or ids repeat, or a number is missing."""
+        width = F.size("centre")
+        holes = F.exists("centre", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        odd = F.count(F.when(F.col("id").isNull() | F.col("centre").isNull() | holes, 1))
+        least, most, odd, ids = clusters.agg(F.min(width), F.max(width), odd, F.count_distinct("id")).first()
+        if odd or least != most or not least or ids < left or left * most > LOCAL_VALUES:
+            return None
+        found = links.limit(LOCAL_LINKS + 1).toArrow()
+        if found.num_rows > LOCAL_LINKS:
+            return None
+        rounds = clusters.select("id", "n", "centre").toArrow()
+        known = pa.compute.and_(*(pa.compute.is_in(found[c], value_set=rounds["id"].combine_chunks()) for c in ("a", "b")))
+        return _Rounds(rounds, found.filter(known))
+
+    def _costs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        squared = np.zeros(len(a))
+        for column in self.centre.T:
+            gap = column[a] - column[b]
+            squared = squared + gap * gap
+        return self.n[a] * self.n[b] / (self.n[a] + self.n[b]) * squared
+
+    def merge(self) -> int:
+        """One round: every pair of clusters that are each other's cheapest neighbour, the smaller id on ties."""
+        ends, others, costs = np.concatenate([self.a, self.b]), np.concatenate([self.b, self.a]), np.tile(self.cost, 2)
+        least = np.full(len(self.ids), np.inf)
+        np.minimum.at(least, ends, costs)
+        best = np.full(len(self.ids), len(self.ids))
+        tied = costs == least[ends]
+        np.minimum.at(best, ends[tied], others[tied])
+        a = np.flatnonzero(best < len(self.ids))
+        a = a[(best[best[a]] == a) & (a < best[a])]
+        b = best[a]
+        if not len(a):
+            return 0
+        self.merges.append((self.ids[a], self.ids[b], least[a]))
+        na, nb = self.n[a, None], self.n[b, None]
+        self.centre[a] = (self.centre[a] * na + self.centre[b] * nb) / (na + nb)
+        self.n[a] += self.n[b]
+        self.alive[b] = False
+        target, moved = np.arange(len(self.ids)), np.zeros(len(self.ids), dtype=bool)
+        target[b], moved[a] = a, True
+        ends = target[self.a], target[self.b]
+        fresh = moved[ends[0]] | moved[ends[1]]
+        pairs = np.minimum(*ends)[fresh] * len(self.ids) + np.maximum(*ends)[fresh]
+        one, two = np.divmod(np.unique(pairs), len(self.ids))
+        one, two = one[one < two], two[one < two]
+        # What did not move costs what it did.
+        self.cost = np.concatenate([self.cost[~fresh], self._costs(one, two)])
+        self.a, self.b = np.concatenate([ends[0][~fresh], one]), np.concatenate([ends[1][~fresh], two])
+        return len(a)
+
+    def clusters(self) -> pa.Table:
+        centre = self.centre[self.alive]
+        steps = np.arange(len(centre) + 1, dtype=np.int32) * centre.shape[1]
+        return pa.table({"id": self.ids[self.alive], "n": self.n[self.alive], "centre": pa.ListArray.from_arrays(steps, centre.ravel())})
+
+    def links(self) -> pa.Table:
+        return pa.table({"a": self.ids[self.a], "b": self.ids[self.b]})
+
+    def tree(self) -> pa.Table:
+        return pa.table([np.concatenate(c) for c in zip(*self.merges, strict=True)], names=["a", "b", "cost"])
+
+
 def ward_knn(
     df: DataFrame,
     row_id: str,
@@ -915,6 +1001,19 @@ def ward_knn(
     done: list[DataFrame] = []
     left = clusters.count()
     while left > max(local_clusters, 1):
+        # Rows that share an id meet in the first round.
+        rounds = _Rounds.of(clusters, links, left)
+        if rounds is not None:
+            while left > max(local_clusters, 1) and (merged := rounds.merge()):
+                left -= merged
+            if rounds.merges:
+                done.append(spark.createDataFrame(rounds.tree(), merge_schema))
+            clusters = spark.createDataFrame(rounds.clusters(), "id long, n double, centre array<double>")
+            links = spark.createDataFrame(rounds.links(), "a long, b long")
+            if left <= max(local_clusters, 1):
+                break
+            links = settle(_nearest_links(settle(clusters), left, k_nn, seed))
+            continue
         one = clusters.toDF("a", "na", "ca")
         two = clusters.toDF("b", "nb", "cb")
         priced = links.join(one, "a").join(two, "b").select(
@@ -929,9 +1028,7 @@ def ward_knn(
         merged = merges.count()
         if merged == 0:
             # No links left between the parts: connect them by the centroids' neighbours.
-            near = knn_graph(clusters, "id", "centre", min(k_nn, left - 1), seed)
-            links = near.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-            links = settle(links)
+            links = settle(_nearest_links(clusters, left, k_nn, seed))
             continue
         done.append(merges)
         left -= merged
@@ -944,7 +1041,9 @@ def ward_knn(
             F.transform(F.col("p")[0]["centre"], lambda x: x * F.col("p")[0]["n"]),
             lambda acc, q: F.zip_with(acc, q["centre"], lambda x, y: x + y * q["n"]),
         )
-        joined = pair.select("id", "n", F.transform(weighted, lambda x: x / F.col("n")).alias("centre"))
+        # A cluster that did not merge keeps its centre to the last digit.
+        mean = F.when(F.size("p") == 1, F.col("p")[0]["centre"]).otherwise(F.transform(weighted, lambda x: x / F.col("n")))
+        joined = pair.select("id", "n", mean.alias("centre"))
         ends = links
         for side in ("a", "b"):
             renamed = into.toDF(side, "__t")

@@ -524,3 +524,19 @@ def test_settled_points_are_not_measured_again(monkeypatch):
             links = got[got["core"]]
             nodes, roots = K._local_components(links["a"].to_numpy(), links["b"].to_numpy())
             assert len(nodes) == 60 and (roots == 0).all()
+
+
+@pytest.mark.parametrize("kind", ["normal", "grid", "parts"])
+def test_ward_rounds_on_the_driver_are_those_on_executors(spark, monkeypatch, kind):
+    rng = np.random.default_rng(7)
+    x = {"normal": rng.normal(0, 1, (90, 3)), "grid": rng.integers(0, 4, (90, 2)).astype(float), "parts": np.repeat(rng.normal(0, 1, (12, 2)), 8, axis=0)}[kind]
+    stored, found = [], []
+    settle = K.settle
+    monkeypatch.setattr(K, "settle", lambda df: stored.append(1) or settle(df))
+    for most in (K.LOCAL_VALUES, 0):
+        monkeypatch.setattr(K, "LOCAL_VALUES", most)
+        stored.clear()
+        fit = K.ward_knn(_frame(spark, x), "id", "vec", 4, k_nn=4, local_clusters=3)
+        found.append((sorted(map(tuple, fit.info["tree"].collect())), sorted(map(tuple, fit.labels.collect())), len(stored)))
+    assert found[0][:2] == found[1][:2] and len(found[0][1]) == len(x)
+    assert found[0][2] < found[1][2] / 2
